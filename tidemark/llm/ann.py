@@ -37,7 +37,7 @@ from .common import durable
 TABLES = 16
 HASHES = 8
 WIDTH = 1.6
-PROBES = 160
+PROBES = 260
 TOP = 20
 BLOCK = 8_192
 SEED = 7

@@ -31,7 +31,7 @@ from .common import durable, partitions
 from .tokens import encoder
 
 CAPACITY = 2048
-NODES = 20_000
+NODES = 1_000
 #: Undominated fillings tried around one piece, best first.
 FILLINGS = 8
 CELLS = 64
