@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from . import metrics as M
 
-ALL = W.partitionBy()
+def _all():
+    return W.partitionBy()
+
 #: Matrix methods run on the driver; their members are bounded.
 MOST_MEMBERS = 2_000
 
@@ -20,8 +22,8 @@ MOST_MEMBERS = 2_000
 def _normal(df: DataFrame, raw: Column) -> DataFrame:
     """Raw weights over their sum; equal where the sum is not positive. One row per member."""
     df = df.withColumn("_raw", F.coalesce(raw, F.lit(0.0)))
-    total = F.sum("_raw").over(ALL)
-    return df.withColumn("w", F.when(total > 0, F.col("_raw") / F.nullif(total, F.lit(0.0))).otherwise(1.0 / F.count("*").over(ALL))).drop("_raw")
+    total = F.sum("_raw").over(_all())
+    return df.withColumn("w", F.when(total > 0, F.col("_raw") / F.nullif(total, F.lit(0.0))).otherwise(1.0 / F.count("*").over(_all()))).drop("_raw")
 
 
 def stats_of(returns: DataFrame) -> DataFrame:
@@ -60,14 +62,14 @@ def tier_based(members: DataFrame) -> DataFrame:
 
 
 def dynamic_1k(members: DataFrame, most: float = 0.25) -> DataFrame:
-    return _normal(members.select("ticker").distinct(), F.least(1.0 / F.count("*").over(ALL), F.lit(most))).select("ticker", "w")
+    return _normal(members.select("ticker").distinct(), F.least(1.0 / F.count("*").over(_all()), F.lit(most))).select("ticker", "w")
 
 
 def cap_weights(weights: DataFrame, cap: float, renormalise: bool = True) -> DataFrame:
     """Normalise, cap, and normalise again; or leave what was cut off in cash."""
-    w = F.col("w") / F.nullif(F.sum("w").over(ALL), F.lit(0.0))
+    w = F.col("w") / F.nullif(F.sum("w").over(_all()), F.lit(0.0))
     cut = weights.withColumn("w", F.least(w, F.lit(cap)))
-    return cut.withColumn("w", F.col("w") / F.nullif(F.sum("w").over(ALL), F.lit(0.0))) if renormalise else cut
+    return cut.withColumn("w", F.col("w") / F.nullif(F.sum("w").over(_all()), F.lit(0.0))) if renormalise else cut
 
 
 def matrix(returns: DataFrame, tickers: list[str] | None = None) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -161,7 +163,7 @@ def hrp(returns: DataFrame) -> DataFrame:
 
 def narrow_sector(members: DataFrame, share: float = 0.25) -> DataFrame:
     """The best by Sharpe of each sector: at least two, at most a share of all."""
-    most = F.greatest(F.lit(2), F.floor(F.count("*").over(ALL) * share))
+    most = F.greatest(F.lit(2), F.floor(F.count("*").over(_all()) * share))
     ranked = members.withColumn("_m", most).withColumn("_r", F.row_number().over(W.partitionBy("sector").orderBy(F.col("sharpe").desc(), "ticker")))
     return ranked.filter("_r <= _m").drop("_m", "_r")
 
