@@ -6,8 +6,9 @@ email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 dig
 Scored kinds, added where their score reaches ``THRESHOLD``:
 
 * iban: a country code, two check digits and 11 to 30 letters or digits, confirmed by mod 97;
-* phone: the longest prefix of a failed phone match that has a phone's digits, if the digits that
-  follow it are a span of their own (a number and a card written side by side);
+* card: an unbroken run of 14 to 19 digits that passes Luhn within a longer failed match;
+* phone: what stands before a card in a failed phone match, if it has a phone's digits (a number and a
+  card written side by side);
 * card: 13 digits that pass Luhn, and phone, national id: bare digit groups; these need a context
   word within ``NEAR`` characters.
 
@@ -46,6 +47,7 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
+_RUN = re.compile(r"[0-9]++")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _GROUPS = re.compile(r"(?<![A-Za-z0-9.+-])[0-9]{3}[-.\x20][0-9]{2,3}[-.\x20][0-9]{4}(?![A-Za-z0-9-])")
 
@@ -111,7 +113,14 @@ def scored_spans(text: str, base: list[Span], failed: list[tuple[int, int]]) ->
     out: list[tuple[Span, float]] = []
     if not _DIGIT.search(text):
         return out
-    starts = {s: e for k, s, e in base if k == "card"}
+    starts = {s for k, s, _ in base if k == "card"}
+    for m in _CARD.finditer(text):
+        if m.end() - m.start() > 19 and len(_digits(m.group())) > 19:
+            for run in _RUN.finditer(m.group()):
+                if 14 <= len(run.group()) <= 19 and luhn(run.group()):
+                    at = m.start() + run.start()
+                    out.append((("card", at, m.start() + run.end()), 0.8))
+                    starts.add(at)
     for start, end in failed:
         # A phone number run into another span: what stands before that span is tried by itself.
         for at in sorted(s for s in starts if start < s < end):
