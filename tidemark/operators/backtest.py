@@ -102,7 +102,7 @@ def sweep(signal: np.ndarray, close: np.ndarray, entries: Sequence[float], exits
     ok = (trades >= least_trades) & (trades >= n_params)
     if not ok.any():
         return None
-    pen = np.where(ok, sr * np.sqrt(1 - n_params / np.maximum(trades, 1)), -np.inf)
+    pen = np.where(ok, sr * np.sqrt(np.maximum(1 - n_params / np.maximum(trades, 1), 0)), -np.inf)
     best = int(np.argmax(pen))
     return best, float(sr[best]), int(trades[best]), float(pen[best])
 

@@ -1,19 +1,530 @@
-"""All queries of the library by name, with the SQL that checks them."""
+"""All queries of the library by name, with the SQL that checks them.
+
+A query is (spark, sf_dir) -> DataFrame over whole tables. ``@query(name, sql)`` registers it; without
+SQL it is checked by tests instead. Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions import rolling as R
+from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, screens as S1, signals as SG, significance as S4, validation as V, weights as WT
+from ..sources import panel as P
+from ..streaming import events as EV
+from . import sql as Q
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def rounded(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    def put(fn: Query) -> Query:
+        _QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        if sql is not None:
+            _SQL[name] = sql
+        return fn
 
+    return put
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Panel, pairs, ratio, signals, positions, daily returns, metrics: the whole slice."""
+    return rounded(B.summary(B.run(SG.zscore_standard(P.series(spark, sf_dir))), "pair"))
+
+
+query("bt_zscore_summary", Q.BACKTEST)(flagship)
+
+# Panel ------------------------------------------------------------------------------------------
+
+
+@query("panel_px", Q.PX + "SELECT ticker, ts, round(close,6) AS close FROM px")
+def _(spark, d):
+    return P.px(spark, d)
+
+
+@query("panel_ratio", Q.S + "SELECT pair, ts, seq, round(ratio,6) AS ratio, round(num_close,6) AS num_close, round(den_close,6) AS den_close FROM s")
+def _(spark, d):
+    return P.series(spark, d).withColumn("seq", F.col("seq").cast("long"))
+
+
+@query("panel_bars", Q.BARS + "SELECT ticker, ts, round(open,6) AS open, round(high,6) AS high, round(low,6) AS low, round(close,6) AS close, round(volume,6) AS volume FROM bars")
+def _(spark, d):
+    return P.bars(spark, d)
+
+
+@query("panel_coverage", Q.SPARSE + "SELECT ticker, min(ts) AS first_date, max(ts) AS last_date, count(*) AS n_bars FROM sp WHERE close IS NOT NULL GROUP BY 1")
+def _(spark, d):
+    prices = P.px_sparse(spark, d)
+    return P.coverage(prices, prices)
+
+
+@query("panel_freshness", Q.SPARSE + "SELECT ticker, CAST(DATE '2001-08-05' - max(ts) AS INTEGER) AS days_behind, (DATE '2001-08-05' - max(ts)) BETWEEN 0 AND 4 AS fresh FROM sp GROUP BY 1")
+def _(spark, d):
+    prices = P.px_sparse(spark, d)
+    return P.freshness(prices, prices, "2001-08-05", 4)
+
+
+@query("panel_sparse_ratio", Q.SPARSE + Q.PAIRS.format(src="sp") + "SELECT pair, ts, round(ratio,6) AS ratio FROM s")
+def _(spark, d):
+    prices = P.px_sparse(spark, d)
+    return P.compute_ratio(prices, P.universe(prices)).select("pair", "ts", "ratio")
+
+
+@query("panel_weekdays", Q.PX + "SELECT ticker, count(*) AS n FROM px WHERE isodow(ts) <= 5 GROUP BY 1")
+def _(spark, d):
+    return P.weekdays_only(P.px(spark, d)).groupBy("ticker").agg(F.count("*").alias("n"))
+
+
+@query("panel_last_business_day", Q.PX + "SELECT DISTINCT ts, CASE isodow(ts) WHEN 7 THEN ts - 2 WHEN 1 THEN ts - 3 ELSE ts - 1 END AS lbd, isodow(ts) = 5 AS friday FROM px")
+def _(spark, d):
+    return P.px(spark, d).select("ts", P.last_business_day(F.col("ts")).alias("lbd"), P.is_friday(F.col("ts")).alias("friday")).distinct()
+
+
+@query("panel_wide_long", Q.PX + "SELECT ts, ticker, round(close,6) AS close FROM px WHERE close IS NOT NULL")
+def _(spark, d):
+    return P.to_long(P.to_wide(P.px(spark, d), tickers=["A", "N", "R"])).filter("close is not null")
+
+
+@query("panel_ratio_ohlc", Q.BARS + "SELECT a.ticker || '/' || b.ticker AS pair, a.ts, round(a.open/b.open,6) AS open, round(a.high/b.low,6) AS high, round(a.low/b.high,6) AS low, round(a.close/b.close,6) AS close FROM bars a JOIN bars b ON a.ts = b.ts AND a.ticker < b.ticker QUALIFY count(*) OVER (PARTITION BY a.ticker, b.ticker) >= 504")
+def _(spark, d):
+    bars = P.bars(spark, d)
+    return P.ratio_ohlc(bars, P.universe(bars)).select("pair", "ts", "open", "high", "low", "close")
+
+
+# Screens ----------------------------------------------------------------------------------------
+
+
+@query("s1_halflife", Q.S + Q.HALFLIFE)
+def _(spark, d):
+    h = S1.halflives(P.series(spark, d))
+    return h.select("pair", "halflife", S1.window_of(F.col("halflife")).cast("long").alias("window"))
+
+
+@query("s1_adf_tstat", Q.S + Q.ADF)
+def _(spark, d):
+    return S1.adf(P.series(spark, d)).select("pair", "adf_t")
+
+
+@query("s1_kaufman_er", Q.S + Q.ER)
+def _(spark, d):
+    return S1.kaufman_er(P.series(spark, d))
+
+
+@query("s1_kaufman_er_trend", Q.S + Q.ER.replace("< 0.3", "> 0.3"))
+def _(spark, d):
+    return S1.kaufman_er(P.series(spark, d), trend=True)
+
+
+@query("s1_variance_ratio", Q.S + Q.VR)
+def _(spark, d):
+    return S1.variance_ratio(P.series(spark, d))
+
+
+@query("s1_vol_cone", Q.S + Q.VOL_CONE)
+def _(spark, d):
+    return S1.vol_cone(P.series(spark, d))
+
+
+@query("s1_passthrough", Q.S + Q.PASSTHROUGH)
+def _(spark, d):
+    return S1.passthrough(P.series(spark, d)).withColumn("window", F.col("window").cast("long"))
+
+
+@query("s1_chan_hurst")
+def _(spark, d):
+    return S1.chan_hurst(P.series(spark, d))
+
+
+@query("s1_chan_hurst_trend")
+def _(spark, d):
+    return S1.chan_hurst(P.series(spark, d), trend=True)
+
+
+@query("s1_kaufman_kama")
+def _(spark, d):
+    from ..operators import kernels as K
+
+    s = K.per_key(S1.with_efficiency(P.series(spark, d), still=0.0), lambda c: {"kama": K.kama(c["ratio"])}, {"kama": "double"}, ["ratio"])
+    s = s.withColumn("above", (F.col("ratio") > F.col("kama")).cast("int")).withColumn("crossed", (F.col("above") != R.lag(F.col("above"))).cast("int"))
+    g = s.groupBy("pair").agg(F.avg("er").alias("mean_er"), F.sum("crossed").alias("crossings"), (F.sum("crossed") / F.count("kama") * 252).alias("per_year"))
+    return g.withColumn("passed", (F.col("mean_er") < 0.15) & (F.col("per_year") >= 4))
+
+
+for _name, _fn in {"s1_chan_halflife": S1.chan_halflife, "s1_kpss": S1.kpss, "s1_cadf": S1.cadf, "s1_cadf_rolling": S1.cadf_rolling, "s1_johansen": S1.johansen, "s1_chan_combined": S1.chan_combined, "s1_trend_combined": S1.trend_combined}.items():
+    query(_name)(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
+
+
+@query("s1_cadf_rolling_kalman")
+def _(spark, d):
+    from ..operators import kernels as K
+
+    def run(c):
+        slope, level, e = K.kalman_hedge(c["num_close"], c["den_close"])
+        return {"ratio": e, "beta": slope}
+
+    s = K.per_key(P.series(spark, d).drop("ratio"), run, {"ratio": "double", "beta": "double"}, ["num_close", "den_close"])
+    rows = S1.anchored(s, 252, 60)
+    g = S1.adf(rows, "ratio", ("pair", "anchor"), "_i").groupBy("pair").agg(F.count("*").alias("n_windows"), F.avg((F.col("adf_p") < 0.05).cast("int")).alias("pass_rate"))
+    return g.join(S1.halflives(s).select("pair", "halflife"), "pair").withColumn("passed", (F.col("n_windows") >= 4) & (F.col("pass_rate") >= 0.5))
+
+
+@query("s1_regime_aware")
+def _(spark, d):
+    return S1.regime_aware(P.series(spark, d), P.benchmark_px(spark, d))
+
+
+# Signals ----------------------------------------------------------------------------------------
+
+for _name, _fn in SG.SIGNALS.items():
+    query(f"sig_{_name}", Q.signal(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)).select("pair", "ts", "entry", "exit"))
+
+
+@query("sig_hl_spread_band", Q.BARS + Q.HL_BAND)
+def _(spark, d):
+    return SG.hl_spread_band(P.bars(spark, d)).select("ticker", "ts", "entry", "exit")
+
+
+@query("sig_obv", Q.BARS + "SELECT ticker, ts, round(sum(coalesce(sign(dc),0)*volume) OVER (PARTITION BY ticker ORDER BY ts),6) AS obv FROM (SELECT *, close - lag(close) OVER (PARTITION BY ticker ORDER BY ts) AS dc FROM bars)")
+def _(spark, d):
+    return SG.obv(P.bars(spark, d)).select("ticker", "ts", "obv")
+
+
+@query("sig_obv_pivot")
+def _(spark, d):
+    bars = SG.obv(P.bars(spark, d))
+    pivots = PT.classify_pivots(PT.fractal_pivots(bars))
+    out = None
+    for m in "ABC":
+        got = PT.pivot_positions(bars, pivots, m).select(F.lit(m).alias("mapping"), "ticker", "ts", "position")
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("pat_fractal_pivots", Q.BARS + Q.FRACTAL)
+def _(spark, d):
+    return PT.fractal_pivots(SG.obv(P.bars(spark, d))).select("ticker", "ts", "kind")
+
+
+@query("pat_trendlines")
+def _(spark, d):
+    bars = P.bars(spark, d)
+    return PT.trendlines(P.ratio_ohlc(bars, P.universe(bars)), most_period=120)
+
+
+@query("sig_trendline_breakout")
+def _(spark, d):
+    bars = P.bars(spark, d)
+    pairs = P.universe(bars)
+    ohlc = P.ratio_ohlc(bars, pairs)
+    lines = PT.trendlines(ohlc, most_period=120, top=50)
+    from pyspark.sql import Window as W
+
+    num = bars.select(F.col("ticker").alias("numerator"), "ts", F.col("close").alias("num_close"))
+    rows = ohlc.join(pairs, "pair").join(num, ["numerator", "ts"]).withColumn("seq", F.row_number().over(W.partitionBy("pair").orderBy("ts")))
+    return PT.breakout(rows.select("pair", "ts", "seq", "close", "num_close"), lines).select("pair", "ts", "entry", "exit")
+
+
+# Backtests and optimisers -----------------------------------------------------------------------
+
+
+@query("bt_state_ma", Q.S + Q.STATE_MA)
+def _(spark, d):
+    s = P.series(spark, d)
+    b = B.state_backtest(s, F.col("ratio") > R.mean(F.col("ratio"), 20))
+    return b.groupBy("pair").agg(B.sharpe(F.col("ret")).alias("sharpe"), F.sum("position").alias("bars_in"), F.max("trade").cast("long").alias("n_trades"))
+
+
+@query("bt_obv_walk")
+def _(spark, d):
+    bars = SG.obv(P.bars(spark, d))
+    pos = PT.pivot_positions(bars, PT.classify_pivots(PT.fractal_pivots(bars)))
+    out = None
+    for stop, p in (("none", 0.0), ("pct", 0.05), ("pct", 0.1), ("atr", 2.0), ("atr", 3.0), ("atr", 4.0)):
+        got = PT.obv_walk(pos, stop, p).groupBy("ticker").agg(B.sharpe(F.col("ret"), 0).alias("sharpe")).withColumn("stop", F.lit(f"{stop}{p}"))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+@query("opt_grid_search")
+def _(spark, d):
+    return B.grid_search(P.series(spark, d))
+
+
+for _kind in ("sma", "ema", "dual", "kama", "momentum"):
+    query(f"opt_grid_ma_{_kind}")(lambda spark, d, kind=_kind: B.grid_ma(P.series(spark, d), kind))
+
+
+@query("opt_random_search")
+def _(spark, d):
+    return B.random_search(P.series(spark, d))
+
+
+# Validation -------------------------------------------------------------------------------------
+
+
+def _rets(spark, d):
+    return B.run(SG.zscore_standard(P.series(spark, d))).select("pair", "seq", "ret")
+
+
+@query("fold_expanding", Q.S + "SELECT pair, fold, 0::BIGINT AS is_lo, (fold+1)*c AS is_hi, (fold+1)*c AS oos_lo, least((fold+2)*c, n) AS oos_hi FROM (SELECT pair, n, n//9 AS c, unnest(range(0,8))::INTEGER AS fold FROM (SELECT pair, count(*) AS n FROM s GROUP BY 1)) WHERE c >= 20 AND (fold+1)*c >= 50 AND least((fold+2)*c, n) - (fold+1)*c >= 10")
+def _(spark, d):
+    return V.expanding_folds(V.lengths(P.series(spark, d)))
+
+
+@query("fold_rolling", Q.S + "SELECT pair, fold::INTEGER AS fold, fold*180 AS is_lo, fold*180+504 AS is_hi, fold*180+504 AS oos_lo, fold*180+684 AS oos_hi FROM (SELECT pair, unnest(range(0, least((n-684)//180+1, 30))) AS fold FROM (SELECT pair, count(*) AS n FROM s GROUP BY 1) WHERE n >= 684)")
+def _(spark, d):
+    return V.rolling_folds(V.lengths(P.series(spark, d)))
+
+
+@query("fold_cpcv", Q.S + Q.CPCV)
+def _(spark, d):
+    return V.cpcv_folds(V.lengths(P.series(spark, d))).select("pair", F.element_at("test_folds", 1).alias("f1"), F.element_at("test_folds", 2).alias("f2"), "n_train", "n_test")
+
+
+@query("fold_factorisation", "SELECT r::BIGINT AS path, CASE WHEN j=0 THEN least(9, r%9) ELSE least((r+j)%9, (r-j+9)%9) END::BIGINT AS a, CASE WHEN j=0 THEN 9 ELSE greatest((r+j)%9, (r-j+9)%9) END::BIGINT AS b FROM range(9) t(r), range(5) u(j)")
+def _(spark, d):
+    return spark.createDataFrame([(p, *e) for p, edges in enumerate(V.factorisation()) for e in edges], "path long, a long, b long")
+
+
+for _name, _fn in {
+    "s3_wfa_expanding": lambda r: V.walk_forward(r, V.expanding_folds(V.lengths(r))), "s3_wfa_rolling": lambda r: V.walk_forward(r, V.rolling_folds(V.lengths(r)), name="wfa_rolling"),
+    "s3_is_oos": V.is_oos, "s3_cpcv": V.cpcv, "s3_bootstrap_ci": V.bootstrap_ci, "s3_monte_carlo": V.monte_carlo,
+}.items():
+    query(_name)(lambda spark, d, fn=_fn: fn(_rets(spark, d)))
+
+
+@query("s3_sensitivity")
+def _(spark, d):
+    return V.sensitivity(P.series(spark, d), SG.zscore_standard, {"window": 20, "entry": -2.0, "exit_": 0.5, "stop": 0.1})
+
+
+# Significance (the rows are a literal table) -------------------------------------------------------
+
+
+def _s3(spark):
+    return spark.createDataFrame(Q.S3_ROWS, "pair string, mean_test_sharpe double, std_test_sharpe double, n_test_periods long, n_oos_bars long, passed boolean, wfe double, val_method string")
+
+
+_KEEP = ("pair", "passed", "tier")
+
+
+@query("s4_t_test", Q.S3 + "SELECT pair, round(t,6) AS t_stat, t > 2 AS passed, CASE WHEN t > 2 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM (SELECT pair, CASE WHEN sd > 0 AND n >= 2 THEN m/(sd/sqrt(n)) ELSE 0 END AS t FROM s3 WHERE passed)")
+def _(spark, d):
+    return S4.t_test(_s3(spark)).select("t_stat", *_KEEP)
+
+
+@query("s4_carver_2sigma", Q.S3 + "SELECT pair, round(l,6) AS lower, l > 0 AS passed, CASE WHEN l > 0 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM (SELECT pair, m - 2*sd/sqrt(n) AS l FROM s3 WHERE passed)")
+def _(spark, d):
+    return S4.carver_2sigma(_s3(spark)).select("lower", *_KEEP)
+
+
+@query("s4_drawdown", Q.S3 + "SELECT pair, round(-1/greatest(m,0.01)*sqrt(2*coalesce(CASE WHEN nb>0 THEN nb END, n)/252.0),6) AS expected_dd, true AS passed, 'TOP_TIER' AS tier FROM s3 WHERE passed")
+def _(spark, d):
+    return S4.drawdown(_s3(spark)).select("expected_dd", *_KEEP)
+
+
+@query("s4_permutation", Q.S3 + "SELECT pair, round(q,6) AS null_quantile, m > q AS passed, CASE WHEN m > q THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM (SELECT pair, m, 1.6448536269514715*greatest(sd,0.1) AS q FROM s3 WHERE passed)")
+def _(spark, d):
+    return S4.permutation(_s3(spark)).select("null_quantile", *_KEEP)
+
+
+@query("s4_wfe", Q.S3 + "SELECT pair, wfe > 0.5 AS passed, CASE WHEN wfe > 0.5 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM s3 WHERE passed AND vm LIKE 'wfa%'")
+def _(spark, d):
+    return S4.wfe(_s3(spark)).select(*_KEEP)
+
+
+@query("s4_psr")
+def _(spark, d):
+    return S4.psr(_s3(spark)).select("psr", *_KEEP)
+
+
+@query("s4_dsr")
+def _(spark, d):
+    return S4.dsr(_s3(spark), 46).select("dsr", "sr_star", *_KEEP)
+
+
+@query("s4_min_trl")
+def _(spark, d):
+    return S4.min_trl(_s3(spark)).select(F.when(F.col("min_trl_years") < float("inf"), F.col("min_trl_years")).alias("min_trl_years"), *_KEEP)
+
+
+@query("s4_best_tier", Q.S3 + "SELECT pair, CASE WHEN t>2 OR l>0 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier, t>2 OR l>0 AS passed, CASE WHEN t<=2 AND l>0 THEN 'carver' ELSE 't_test' END AS sig_method FROM (SELECT pair, CASE WHEN sd > 0 AND n >= 2 THEN m/(sd/sqrt(n)) ELSE 0 END AS t, m - 2*sd/sqrt(n) AS l FROM s3 WHERE passed)")
+def _(spark, d):
+    s = _s3(spark)
+    return S4.best_tier({"t_test": S4.t_test(s), "carver": S4.carver_2sigma(s)})
+
+
+@query("s4_dsr_inputs")
+def _(spark, d):
+    s = P.series(spark, d).withColumn("r", R.change(F.col("num_close")))
+    out = None
+    for w in (10, 20, 40):
+        got = s.select(F.col("pair").alias("unit"), F.lit(w).alias("combo"), "seq", F.coalesce((F.col("ratio") > R.mean(F.col("ratio"), w)).cast("int"), F.lit(0)).alias("position"), F.coalesce("r", F.lit(0.0)).alias("r"))
+        out = got if out is None else out.unionByName(got)
+    return S4.dsr_inputs(out)
+
+
+# Metrics ----------------------------------------------------------------------------------------
+
+
+def _curve(spark, d):
+    return P.px(spark, d).filter("close is not null").select(F.col("ticker").alias("key"), "ts", F.col("close").alias("equity"))
+
+
+def _returns(spark, d):
+    return M.simple_returns(_curve(spark, d)).select("key", "ts", "r")
+
+
+def _bench(spark, d):
+    return M.simple_returns(P.benchmark_px(spark, d).filter("close is not null").select(F.col("ticker").alias("key"), "ts", F.col("close").alias("equity"))).select("ts", "r")
+
+
+query("met_simple_returns", Q.RET + "SELECT key, ts, round(r,6) AS r FROM ret")(_returns)
+query("met_core", Q.RET + Q.CORE)(lambda s, d: M.core(_returns(s, d)))
+query("met_equity_metrics", Q.RET + Q.EQUITY)(lambda s, d: M.equity_metrics(_returns(s, d)).select("key", "ulcer", "skew", "kurtosis", "pct_invested", "win_rate", "best_day", "worst_day", "max_dd_run"))
+query("met_vs_benchmark", Q.RET + Q.VS)(lambda s, d: M.vs_benchmark(_returns(s, d), _bench(s, d)))
+query("met_extended", Q.RET + Q.EXTENDED)(lambda s, d: M.extended(_returns(s, d)).drop("longest_gain", "longest_loss"))
+query("met_streaks", Q.RET + Q.STREAKS)(lambda s, d: M.streak_lengths(_returns(s, d)))
+query("met_stability", Q.RET + "SELECT key, round(regr_r2(lc, seq),6) AS stability_r2 FROM (SELECT key, sum(ln(1+r)) OVER w AS lc, row_number() OVER w AS seq FROM ret WINDOW w AS (PARTITION BY key ORDER BY ts)) GROUP BY 1")(lambda s, d: M.stability(_returns(s, d)))
+query("met_monthly_table", Q.RET + Q.MONTHLY)(lambda s, d: M.monthly_table(_curve(s, d)))
+query("met_annual_returns", Q.RET + Q.ANNUAL)(lambda s, d: M.annual_returns(_curve(s, d)))
+query("met_rolling", Q.RET + Q.ROLLING)(lambda s, d: M.rolling(_returns(s, d)))
+query("met_rolling_beta", Q.RET + Q.ROLLING_BETA)(lambda s, d: M.rolling_beta(_returns(s, d), _bench(s, d)))
+query("met_correlation", Q.RET + "SELECT x.key AS a, y.key AS b, round(corr(x.r,y.r),6) AS corr, round(covar_samp(x.r,y.r),6) AS cov, count(*) AS n FROM ret x JOIN ret y ON x.ts=y.ts AND x.key<y.key GROUP BY 1,2")(lambda s, d: M.correlation(_returns(s, d)))
+query("met_tail_correlation", Q.RET + "SELECT x.key AS a, y.key AS b, round(corr(x.r,y.r),6) AS corr, round(covar_samp(x.r,y.r),6) AS cov, count(*) AS n FROM ret x JOIN ret y ON x.ts=y.ts AND x.key<y.key WHERE x.ts IN (SELECT ts FROM ret JOIN (SELECT key, quantile_cont(r,0.05) AS lo, quantile_cont(r,0.95) AS hi FROM ret GROUP BY 1) USING (key) WHERE r<lo OR r>hi) GROUP BY 1,2 HAVING count(*)>=10")(lambda s, d: M.tail_correlation(_returns(s, d)))
+query("met_sma_regime", Q.PX + "SELECT ticker AS key, ts, coalesce((CASE WHEN count(*) OVER f=50 THEN avg(close) OVER f END > CASE WHEN count(*) OVER l=200 THEN avg(close) OVER l END)::INTEGER,0) AS regime FROM px WHERE close IS NOT NULL WINDOW f AS (PARTITION BY ticker ORDER BY ts ROWS 49 PRECEDING), l AS (PARTITION BY ticker ORDER BY ts ROWS 199 PRECEDING)")(lambda s, d: M.sma_regime(P.px(s, d)).withColumnRenamed("ticker", "key"))
+query("met_drawdown_table", Q.RET + Q.DRAWDOWNS)(lambda s, d: M.drawdown_table(_returns(s, d)).select("key", "valley_date", "depth", "bars_under", F.col("rank").cast("long").alias("rank")))
+query("met_decile_returns", Q.RET + Q.DECILE)(lambda s, d: M.decile_returns(_returns(s, d), _bench(s, d)).withColumn("bin", F.col("bin").cast("long")))
+query("met_period_returns", Q.RET + "SELECT key, period, round(last/lag(last) OVER (PARTITION BY key ORDER BY period)-1,6) AS r FROM (SELECT ticker AS key, CAST(date_trunc('week',ts) AS DATE) AS period, max_by(close,ts) AS last FROM px WHERE close IS NOT NULL GROUP BY 1,2) QUALIFY lag(last) OVER (PARTITION BY key ORDER BY period) IS NOT NULL")(lambda s, d: M.period_returns(_curve(s, d), "week"))
+query("met_bars_per_year", Q.RET + "SELECT ticker AS key, round(count(*)/((max(ts)-min(ts))/365.25),6) AS bars_per_year FROM px WHERE close IS NOT NULL GROUP BY 1")(lambda s, d: M.bars_per_year(_curve(s, d)))
+query("met_kde")(lambda s, d: M.kde(_returns(s, d)))
+query("met_curve_hash")(lambda s, d: M.curve_hash(_curve(s, d)))
+query("met_bootstrap")(lambda s, d: M.bootstrap_stats(_returns(s, d)))
+query("met_forecast_cone")(lambda s, d: M.forecast_cone(_returns(s, d)))
+query("met_regime_metrics")(lambda s, d: M.regime_metrics(_returns(s, d), M.sma_regime(P.benchmark_px(s, d))))
+query("met_rebase", Q.PX + "SELECT ticker AS key, ts, round(close*100/first(close) OVER (PARTITION BY ticker ORDER BY ts),6) AS equity FROM px WHERE close IS NOT NULL AND ts >= DATE '1997-01-01'")(lambda s, d: M.rebase(_curve(s, d), "1997-01-01"))
+
+
+@query("met_stress_windows", Q.RET + "SELECT key, name, count(*) AS n, round(exp(sum(ln(1+r)))-1,6) AS total_return FROM ret JOIN (VALUES ('w96',DATE '1996-01-01',DATE '1996-06-30'),('w98',DATE '1998-07-01',DATE '1998-10-31'),('w00',DATE '2000-03-01',DATE '2001-03-31')) v(name,a,b) ON ts BETWEEN a AND b GROUP BY 1,2 HAVING count(*)>=5")
+def _(spark, d):
+    w = spark.sql("SELECT * FROM VALUES ('w96',DATE '1996-01-01',DATE '1996-06-30'),('w98',DATE '1998-07-01',DATE '1998-10-31'),('w00',DATE '2000-03-01',DATE '2001-03-31') AS v(name,start,end)")
+    return M.stress_windows(_returns(spark, d), w).select("key", "name", "n", "total_return")
+
+
+# Weights ----------------------------------------------------------------------------------------
+
+
+def _ret6(spark, d):
+    return M.simple_returns(P.px6(spark, d).filter("close is not null").select(F.col("ticker").alias("key"), "ts", F.col("close").alias("equity"))).select("key", "ts", "r")
+
+
+def _members(spark, d):
+    tier = F.when(F.col("sector") == "A", "TOP_TIER").when(F.col("sector") == "N", "SECOND_TIER").otherwise("REJECT")
+    return P.px6(spark, d).select("ticker").distinct().withColumn("sector", F.substring("ticker", 1, 1)).withColumn("tier", tier)
+
+
+query("w_equal", Q.W6 + "SELECT ticker, round(1.0::DOUBLE/count(*) OVER (),6) AS w FROM st")(lambda s, d: WT.equal_weight(_members(s, d)))
+query("w_inverse_vol", Q.W6 + "SELECT ticker, round((1/sd)/sum(1/sd) OVER (),6) AS w FROM st")(lambda s, d: WT.inverse_vol(_members(s, d), _ret6(s, d)))
+query("w_sharpe", Q.W6 + "SELECT ticker, round(CASE WHEN sum(greatest(mu/sd,0)) OVER ()>0 THEN greatest(mu/sd,0)/sum(greatest(mu/sd,0)) OVER () ELSE 1.0/count(*) OVER () END,6) AS w FROM st")(lambda s, d: WT.sharpe_weighted(_members(s, d), _ret6(s, d)))
+query("w_half_kelly", Q.W6 + "SELECT ticker, round(CASE WHEN sum(greatest(mu/(2*sd*sd),0)) OVER ()>0 THEN greatest(mu/(2*sd*sd),0)/sum(greatest(mu/(2*sd*sd),0)) OVER () ELSE 1.0/count(*) OVER () END,6) AS w FROM st")(lambda s, d: WT.half_kelly(_members(s, d), _ret6(s, d)))
+query("w_handcraft", Q.W6 + "SELECT ticker, round(x/sum(x) OVER (),6) AS w FROM (SELECT ticker, (1/sd)/sum(1/sd) OVER (PARTITION BY left(ticker,1)) AS x FROM st)")(lambda s, d: WT.handcraft(_members(s, d), _ret6(s, d)))
+query("w_tier_based", Q.W6 + "SELECT ticker, round(x/sum(x) OVER (),6) AS w FROM (SELECT ticker, CASE left(ticker,1) WHEN 'A' THEN 2.0::DOUBLE WHEN 'N' THEN 1.0 ELSE 0.0 END AS x FROM st)")(lambda s, d: WT.tier_based(_members(s, d)))
+query("w_dynamic_1k", Q.W6 + "SELECT ticker, round(x/sum(x) OVER (),6) AS w FROM (SELECT ticker, least(1.0::DOUBLE/count(*) OVER (),0.25) AS x FROM st)")(lambda s, d: WT.dynamic_1k(_members(s, d)))
+query("w_cap", Q.W6 + "SELECT ticker, round(x/sum(x) OVER (),6) AS w FROM (SELECT ticker, least((1/sd)/sum(1/sd) OVER (),0.2) AS x FROM st)")(lambda s, d: WT.cap_weights(WT.inverse_vol(_members(s, d), _ret6(s, d)), 0.2))
+query("w_risk_parity")(lambda s, d: WT.risk_parity(_ret6(s, d)))
+query("w_hrp")(lambda s, d: WT.hrp(_ret6(s, d)))
+query("w_diversification")(lambda s, d: WT.M.diversification(WT.equal_weight(_members(s, d)).withColumnRenamed("ticker", "key"), _ret6(s, d)))
+query("w_combine", Q.W6 + "SELECT ts, round(sum(r)/(SELECT count(*) FROM st),6) AS r FROM ret6 GROUP BY 1")(lambda s, d: WT.combine(WT.equal_weight(_members(s, d)), _ret6(s, d)).select("ts", "r"))
+
+
+@query("w_narrow_sector")
+def _(spark, d):
+    sh = WT.stats_of(_ret6(spark, d)).select("ticker", (F.col("mu") / F.col("sd")).alias("sharpe"))
+    return WT.narrow_sector(_members(spark, d).join(sh, "ticker"))
+
+
+@query("w_narrow_clusters")
+def _(spark, d):
+    r = _ret6(spark, d)
+    sh = {x["ticker"]: x["mu"] / x["sd"] for x in WT.stats_of(r).collect()}
+    return spark.createDataFrame([(t,) for t in WT.narrow_clusters(r, sh, per_cluster=1)], "ticker string")
+
+
+@query("w_narrow_max_div")
+def _(spark, d):
+    return spark.createDataFrame([(t,) for t in WT.narrow_max_div(_ret6(spark, d))], "ticker string")
+
+
+# Replay, pipeline, streaming --------------------------------------------------------------------
+
+
+def replay_input(spark: SparkSession, d: str) -> DataFrame:
+    s = SG.zscore_standard(P.series(spark, d))
+    b = B.run(s)
+    return b.select(F.col("pair").alias("ticker"), "ts", F.col("num_close").alias("close"), (F.col("num_close") * 0.995).alias("low"), (F.col("num_close") * 0.01).alias("atr"), F.col("position").alias("pos_raw"), F.lit(1).alias("stop_code"), F.lit(0.1).alias("stop_param"))
+
+
+@query("rp_days")
+def _(spark, d):
+    return RP.run_schemes(replay_input(spark, d), ["equal", "invvol", "roll_sr_cap10", "cf__equal", "plg__roll_sr"], seed=10_000_000.0)
+
+
+@query("rp_trades")
+def _(spark, d):
+    return RP.run_schemes(replay_input(spark, d), ["equal", "hrp"], seed=10_000_000.0, output="trades")
+
+
+@query("rp_concentration")
+def _(spark, d):
+    return RP.concentration(RP.run_schemes(replay_input(spark, d), ["equal", "invvol"], seed=10_000_000.0))
+
+
+@query("rp_live_shares", Q.PX + "SELECT ticker, ts, CAST(floor(0.1*100000*0.98/(close*1.0005*1.001)) AS BIGINT) AS shares FROM px WHERE close IS NOT NULL")
+def _(spark, d):
+    return P.px(spark, d).filter("close is not null").select("ticker", "ts", RP.live_shares(F.lit(0.1), F.col("close"), F.lit(100000.0), F.lit("enter")).alias("shares"))
+
+
+@query("rp_commission", Q.PX + "SELECT ticker, ts, round(least(greatest(1.0,0.005*10000/close),100.0),6) AS fixed, round(least(greatest(0.35,0.0035*10000/close)+0.0008*10000/close,100.0),6) AS tiered FROM px WHERE close IS NOT NULL")
+def _(spark, d):
+    n, sh = F.lit(10000.0), 10000.0 / F.col("close")
+    return P.px(spark, d).filter("close is not null").select("ticker", "ts", RP.commission_column(sh, n, "ibkr_pro_fixed").alias("fixed"), RP.commission_column(sh, n, "ibkr_pro_tiered").alias("tiered"))
+
+
+@query("rp_as_of", Q.RET + "SELECT r.key AS ticker, r.ts, round((SELECT max_by(score, b.ts) FROM (SELECT key, CAST(date_trunc('month',ts) AS DATE) AS ts, avg(r) AS score FROM ret GROUP BY 1,2) b WHERE b.key=r.key AND b.ts<=r.ts),6) AS score FROM ret r")
+def _(spark, d):
+    r = _returns(spark, d).withColumnRenamed("key", "ticker")
+    scores = r.groupBy("ticker", F.trunc("ts", "month").alias("ts")).agg(F.avg("r").alias("score"))
+    return RP.as_of(r.select("ticker", "ts"), scores)
+
+
+@query("pl_funnel")
+def _(spark, d):
+    prices = P.px(spark, d)
+    return PL.Pipeline(s1="passthrough", s4=["t_test", "min_trl"]).run(prices, P.universe(prices), stop_after="s4").stages["s4"].select("pair", "tier", "passed", "sig_method")
+
+
+@query("ql_anomalies")
+def _(spark, d):
+    return PL.anomalies(S1.passthrough(P.series(spark, d)), "s1")
+
+
+_EV = "SELECT {a}, event_type, count(*) AS n, round({v},6) AS {name} FROM {src} GROUP BY 1,2"
+query("ev_tumbling", _EV.format(a="date_trunc('hour', ts) AS start", v="avg(value)", name="mean_value", src="events"))(lambda s, d: EV.tumbling(s.read.parquet(f"{d}/events.parquet")))
+query("ev_sliding", _EV.format(a="date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start", v="sum(value)", name="total", src="events, range(2) t(k)"))(lambda s, d: EV.sliding(s.read.parquet(f"{d}/events.parquet")))
+query("ev_sessions", "SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS \"end\", user_id, count(*) AS n FROM (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS g FROM (SELECT *, coalesce(ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) > INTERVAL 30 MINUTE, true)::INTEGER AS b FROM events)) GROUP BY user_id, g")(lambda s, d: EV.sessions(s.read.parquet(f"{d}/events.parquet")))
