@@ -111,10 +111,16 @@ def held_out(doc_id: Column) -> Column:
 
 def learn(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Profiles:
     """Profiles from the documents that are not held out."""
-    key = F.xxhash64(F.col(doc_id), F.lit("langid"))
+    key = F.pmod(F.xxhash64(F.col(doc_id), F.lit("langid")), F.lit(1 << 40))
     labelled = docs.filter(F.col(doc_id).isNotNull() & F.col(text).isNotNull() & F.col(lang).isNotNull() & ~held_out(F.col(doc_id)))
-    # The sample is chosen by ids alone, then its texts are fetched: a threshold per language on the hash.
-    chosen = labelled.select(F.col(lang).alias("lang"), key.alias("key"))
+    # The sample is chosen by ids alone, then its texts are fetched: a threshold per language on the
+    # hash. Twice the sample is cut out by the language's count first, so a task ranks that many rows
+    # however large the language is.
+    counts = labelled.groupBy(F.col(lang).alias("lang")).count().collect()  # a row for each language
+    cut = F.lit(0).cast("long")
+    for row in counts:
+        cut = F.when(F.col(lang) == row["lang"], F.lit(min(1 << 40, int((1 << 40) * (2 * per_language / row["count"])))).cast("long")).otherwise(cut)
+    chosen = labelled.filter(key < cut).select(F.col(lang).alias("lang"), key.alias("key"))
     order = W.partitionBy("lang").orderBy("key")
     limits = chosen.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= per_language).groupBy("lang").agg(F.max("key").alias("top")).collect()
     wanted = F.lit(False)
