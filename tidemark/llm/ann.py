@@ -107,29 +107,32 @@ def search_block(base: pd.DataFrame, queries: pd.DataFrame, norm: float, hashing
     scaled = x / norm
     rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
     cells = hashing.keys(np.floor(hashing.project(np.column_stack([scaled, rest]))))
-    order = np.argsort(cells, axis=0, kind="stable")
-    sorted_keys = np.take_along_axis(cells, order, axis=0)
+    # Per table: the block's buckets, and each row's place among them.
+    buckets = [np.unique(cells[:, t], return_inverse=True) for t in range(hashing.tables)]
     q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-    unit = q / np.linalg.norm(q, axis=1, keepdims=True)
+    lengths = np.linalg.norm(q, axis=1)
+    unit = q / lengths[:, None]
     spots = hashing.project(np.column_stack([unit, np.zeros(len(q))]))
     need = min(top + 1, len(x))
     out_q, out_v, out_s = [], [], []
     for i, query_id in enumerate(queries["vec_id"].to_numpy()):
         keys = probe_keys(hashing, spots[i], sets)
         seen = np.zeros(len(x), dtype=bool)
-        for t in range(hashing.tables):
-            lo = np.searchsorted(sorted_keys[:, t], keys[t], side="left")
-            hi = np.searchsorted(sorted_keys[:, t], keys[t], side="right")
-            for a, b in zip(lo[hi > lo], hi[hi > lo], strict=True):
-                seen[order[a:b, t]] = True
+        for t, (known, bucket) in enumerate(buckets):
+            spot = np.searchsorted(known, keys[t])
+            spot[spot == len(known)] = 0
+            visited = np.zeros(len(known), dtype=bool)
+            visited[spot[known[spot] == keys[t]]] = True
+            seen |= visited[bucket]
         at = np.nonzero(seen)[0]
         if len(at) < need:
             at = np.arange(len(x))
-        score = (x[at] * q[i]).sum(axis=1)
         if len(at) > need:
-            # All classes that tie with the last one stay: their ids decide.
-            least = np.partition(score, len(score) - need)[len(score) - need]
-            at, score = at[score >= least], score[score >= least]
+            # One product for the block finds the cut; all classes that tie with the last one stay, as
+            # their ids decide.
+            rough = (x @ q[i])[at]
+            at = at[rough >= np.partition(rough, len(rough) - need)[len(rough) - need] - 1e-9 * norm * lengths[i]]
+        score = (x[at] * q[i]).sum(axis=1)
         ids = [members[j] for j in at]
         sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         ids, score = np.concatenate(ids), np.repeat(score, sizes)
