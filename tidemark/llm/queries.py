@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, fingerprints, langid, mixing, near_dedup, packing, pii, sharding, training_order, url_filter
+from . import ann, fingerprints, langid, mixing, near_dedup, packing, pii, sharding, sql, training_order, url_filter
 from .common import table
 
 
@@ -75,4 +75,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": sql.OP3, "op7_source_mixing": sql.OP7, "op10_lsh_forest": sql.OP10}
