@@ -93,7 +93,8 @@ def _frame(spark, names: list[str], w: np.ndarray) -> DataFrame:
 
 
 def erc(cov: np.ndarray, rounds: int = 100) -> np.ndarray:
-    """Equal risk contributions by repeated rescaling."""
+    """Equal risk contributions by repeated rescaling; by the square root of the ratio, as the whole
+    ratio swings between two answers forever where assets are uncorrelated."""
     n = len(cov)
     w = np.full(n, 1 / n)
     for _ in range(rounds):
@@ -101,7 +102,7 @@ def erc(cov: np.ndarray, rounds: int = 100) -> np.ndarray:
         part = w * (cov @ w)
         if total <= 0 or (part <= 0).any():
             break
-        w = w * (total / n) / part
+        w = w * np.sqrt(total / n / part)
         w /= w.sum()
     return w
 
