@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import stats
-from tidemark.operators import kernels as K, patterns as PT, pipeline as PL, replay as RP, significance as S, validation as V, weights as WT
+from tidemark.operators import backtest as B, kernels as K, patterns as PT, pipeline as PL, replay as RP, significance as S, validation as V, weights as WT
 
 
 def value(spark, column):
@@ -60,6 +60,54 @@ def test_position_order():
     assert got["ret"] == pytest.approx([0, -0.001, 0.1, 90 / 110 - 1 - 0.001, -0.001])
 
 
+def _closes(n=400, seed=7):
+    return 100 * np.exp(np.cumsum(np.random.default_rng(seed).normal(0, 0.02, n)))
+
+
+def test_regime_sweep_against_single_backtests():
+    close = _closes()
+    rng = np.random.default_rng(3)
+    z, on, adx = rng.normal(0, 1.5, 400), rng.random(400) < 0.5, rng.uniform(10, 35, 400)
+    adx[:14] = np.nan
+    grid = [(e, x, s) for e in (-2.0, -1.0) for x in (0.0, 0.5) for s in (0.0, 0.05)]
+    scores = []
+    for e, x, stop in grid:
+        go, leave = np.zeros(400, bool), np.zeros(400, bool)
+        for i in range(400):
+            if adx[i] < 20:
+                go[i], leave[i] = z[i] <= e, z[i] >= x
+            elif adx[i] > 25:
+                was = i > 0 and on[i - 1]
+                go[i], leave[i] = on[i] and not was, was and not on[i]
+        p = K.positions(close, K.shifted(go), K.shifted(leave), stop, 0.001)
+        scores.append(p["ret"].mean() / p["ret"].std(ddof=1) * math.sqrt(252))
+    best, sharpe, trades, _ = B.sweep_regime(z, on, adx, close, (-2.0, -1.0), (0.0, 0.5), (0.0, 0.05))
+    assert sharpe == pytest.approx(scores[best], rel=1e-9) and trades > 4
+    assert B.sweep_regime(z, on, adx, close[:2], (-2.0,), (0.0,), (0.0,)) is None
+
+
+def test_regime_without_adx_never_trades():
+    close = _closes()
+    assert B.sweep_regime(np.full(400, -9.0), np.ones(400, bool), np.full(400, np.nan), close, (-2.0,), (0.0,), (0.0,)) is None
+
+
+@pytest.mark.parametrize("s2", ["grid_search", "grid_regime", "grid_ma", "random_search"])
+def test_pipeline_uses_its_optimiser(spark, s2):
+    rng = np.random.default_rng(5)
+    rows = [(t, d, float(v)) for t in "ABC" for d, v in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 500))))]
+    prices = spark.createDataFrame(rows, "ticker string, d int, close double").selectExpr("ticker", "date_add(date'2020-01-01', d) AS ts", "close")
+    pairs = spark.createDataFrame([("A/B", "A", "B"), ("A/C", "A", "C")], "pair string, numerator string, denominator string")
+    found = PL.Pipeline(s1="passthrough", s2=s2, s4="t_test").run(prices, pairs, stop_after="s3").stages
+    s2_rows = PL.validate_interface(found["s2"], "s2").collect()
+    assert {r["optim_method"] for r in s2_rows} <= {s2}
+    assert {r["pair"] for r in found["s3"].collect()} <= {r["pair"] for r in s2_rows if r["passed"]}
+
+
+def test_pipeline_names_are_checked():
+    with pytest.raises(KeyError):
+        PL.Pipeline(s2="nothing")
+
+
 def test_max_hold():
     e = np.array([0, 1, 0, 0, 0, 0], bool)
     assert K.max_hold_exits(e, np.zeros(6, bool), 2).tolist() == [False, False, False, True, False, False]

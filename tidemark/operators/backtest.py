@@ -7,7 +7,7 @@ are plain aggregates by any keys, so folds and parameter sets only add grouping
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -69,12 +69,19 @@ def state_backtest(series: DataFrame, on: Column, price: str = "ratio", key: str
     return s.withColumn("_open", (F.col("position") > F.coalesce(F.lag("position").over(w), F.lit(0))).cast("int")).withColumn("trade", F.sum("_open").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_open")
 
 
-def sweep(signal: np.ndarray, close: np.ndarray, entries: Sequence[float], exits: Sequence[float], stops: Sequence[float], fee: float = 0.001, least_trades: int = 3, n_params: int = 4, oversold: bool = True) -> tuple[int, float, int, float] | None:
+Combo = tuple[float, float, float]
+
+
+def _product(entries: Sequence[float], exits: Sequence[float], stops: Sequence[float]) -> list[Combo]:
+    return [(e, x, s) for e in entries for x in exits for s in stops]
+
+
+def _advance(close: np.ndarray, grid: Sequence[Combo], rules: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], fee: float, least_trades: int, n_params: int) -> tuple[int, float, int, float] | None:
     """(grid index, sharpe, trades, penalised) of the best entry, exit and stop; the first among equals.
 
     All combinations advance together: one vector step per bar, not one bar loop per combination.
+    ``rules(i, entries, exits)`` says which of them want in and which want out at bar i.
     """
-    grid = [(e, x, s) for e in entries for x in exits for s in stops]
     if not grid or len(close) < 3:
         return None
     e, x, stop = (np.array(c) for c in zip(*grid))
@@ -82,10 +89,7 @@ def sweep(signal: np.ndarray, close: np.ndarray, entries: Sequence[float], exits
     held, at = np.zeros(k, dtype=bool), np.zeros(k)
     trades, total, square = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k)
     for i in range(1, n):
-        z = signal[i - 1]
-        known = z == z
-        go = (z <= e if oversold else z >= e) if known else np.zeros(k, dtype=bool)
-        leave = (z >= x if oversold else z <= x) if known else np.zeros(k, dtype=bool)
+        go, leave = rules(i - 1, e, x)
         r = close[i] / close[i - 1] - 1 if close[i - 1] > 0 else 0.0
         out = held & (((stop > 0) & (close[i] / np.where(at > 0, at, 1.0) - 1 <= -stop)) | leave)
         enter = ~held & go
@@ -107,31 +111,62 @@ def sweep(signal: np.ndarray, close: np.ndarray, entries: Sequence[float], exits
     return best, float(sr[best]), int(trades[best]), float(pen[best])
 
 
-def grid_search(series: DataFrame, windows: Sequence[int] = (10, 20, 40), entries: Sequence[float] = (-2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5), stops: Sequence[float] = (0.0, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001) -> DataFrame:
-    """The z-score grid on the first part of each pair, its best set tried on the rest; a row per pair
-    that has one. A task holds one pair: the sweep runs on its bars in place."""
-    from pyspark.sql import Window as W  # noqa: F401
+def threshold_rules(signal: np.ndarray, oversold: bool = True) -> Callable:
+    def rules(i, e, x):
+        z = signal[i]  # comparisons with a missing value are false
+        return (z <= e, z >= x) if oversold else (z >= e, z <= x)
+
+    return rules
+
+
+def regime_rules(signal: np.ndarray, on: np.ndarray, adx: np.ndarray, trending: float = 25.0, ranging: float = 20.0) -> Callable:
+    """Thresholds while the ADX is below ``ranging``; above ``trending`` the average's state turning on
+    or off; between them, and where the ADX is missing, neither."""
+    plain = threshold_rules(signal)
+
+    def rules(i, e, x):
+        if adx[i] < ranging:
+            return plain(i, e, x)
+        turned = int(on[i]) - int(on[i - 1] if i else 0) if adx[i] > trending else 0
+        return np.full(len(e), turned > 0), np.full(len(e), turned < 0)
+
+    return rules
 
+
+def sweep(signal: np.ndarray, close: np.ndarray, entries: Sequence[float], exits: Sequence[float], stops: Sequence[float], fee: float = 0.001, least_trades: int = 3, n_params: int = 4, oversold: bool = True) -> tuple[int, float, int, float] | None:
+    """The best of a threshold grid: (grid index, sharpe, trades, penalised)."""
+    return _advance(close, _product(entries, exits, stops), threshold_rules(signal, oversold), fee, least_trades, n_params)
+
+
+def sweep_regime(signal: np.ndarray, on: np.ndarray, adx: np.ndarray, close: np.ndarray, entries: Sequence[float], exits: Sequence[float], stops: Sequence[float], fee: float = 0.001, least_trades: int = 3, n_params: int = 4, trending: float = 25.0, ranging: float = 20.0) -> tuple[int, float, int, float] | None:
+    """The best of a grid whose rules depend on the ADX regime: (grid index, sharpe, trades, penalised)."""
+    return _advance(close, _product(entries, exits, stops), regime_rules(signal, on, adx, trending, ranging), fee, least_trades, n_params)
+
+
+def _search(series: DataFrame, trials: dict[int, list[Combo]], is_ratio: float, least_trades: int, least_oos: float, fee: float, regime: tuple[float, float] | None = None) -> DataFrame:
+    """Each window's combinations on the first part of each pair, the best one tried on the rest; a row
+    per pair that has one. A task holds one pair: the sweep runs on its bars in place."""
     schema = T.StructType([T.StructField("pair", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in ("window", "entry_thresh", "exit_thresh", "stop_pct", "is_sharpe", "is_penalized_sharpe", "is_trades", "oos_sharpe", "oos_trades")] + [T.StructField("passed", T.BooleanType())])
-    combos = [(e, x, s) for e in entries for x in exits for s in stops]
-    n_params = 5 if len(windows) > 1 else 4
+    n_params = 5 if len(trials) > 1 else 4
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("seq")
         x, close = rows["ratio"], rows["num_close"].to_numpy(float)
         cut = int(len(rows) * is_ratio)
+        adx = K.adx_close(x.to_numpy(float)) if regime else None
         best = None
-        for w in windows:
+        for w, grid in trials.items():
             z = ((x - x.rolling(w).mean()) / x.rolling(w).std().replace(0.0, np.nan)).to_numpy()
-            got = sweep(z[:cut], close[:cut], entries, exits, stops, fee, least_trades, n_params)
+            rules = regime_rules(z, (x > x.rolling(w).mean()).to_numpy(), adx, *regime) if regime else threshold_rules(z)
+            got = _advance(close[:cut], grid, rules, fee, least_trades, n_params)
             if got and (best is None or got[3] > best[1][3]):
-                best = (w, got, z)
+                best = (w, got, rules)
         if best is None:
             return pd.DataFrame([], columns=schema.names)
-        w, (index, sr, trades, pen), z = best
-        e, out, stop = combos[index]
-        with np.errstate(invalid="ignore"):
-            p = K.positions(close[cut:], K.shifted(z[cut:] <= e), K.shifted(z[cut:] >= out), stop, fee)
+        w, (index, sr, trades, pen), rules = best
+        e, out, stop = trials[w][index]
+        flags = [rules(i, np.array([e]), np.array([out])) for i in range(cut, len(rows))]
+        p = K.positions(close[cut:], K.shifted(np.array([bool(g[0]) for g, _ in flags], dtype=bool)), K.shifted(np.array([bool(v[0]) for _, v in flags], dtype=bool)), stop, fee)
         sd = p["ret"].std(ddof=1) if len(p["ret"]) > 1 else 0.0
         oos = p["ret"].mean() / sd * math.sqrt(YEAR) if sd > 1e-10 else 0.0
         n = int(np.isfinite(p["trade_ret"]).sum())
@@ -140,6 +175,16 @@ def grid_search(series: DataFrame, windows: Sequence[int] = (10, 20, 40), entrie
     return series.groupBy("pair").applyInPandas(one, schema)
 
 
+def grid_search(series: DataFrame, windows: Sequence[int] = (10, 20, 40), entries: Sequence[float] = (-2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5), stops: Sequence[float] = (0.0, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001) -> DataFrame:
+    """The z-score grid."""
+    return _search(series, {w: _product(entries, exits, stops) for w in windows}, is_ratio, least_trades, least_oos, fee)
+
+
+def grid_regime(series: DataFrame, windows: Sequence[int] = (10, 20, 40), entries: Sequence[float] = (-2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5), stops: Sequence[float] = (0.0, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001, trending: float = 25.0, ranging: float = 20.0) -> DataFrame:
+    """The z-score grid with the rules of the ADX regime."""
+    return _search(series, {w: _product(entries, exits, stops) for w in windows}, is_ratio, least_trades, least_oos, fee, (trending, ranging))
+
+
 def _ma_signal(kind: str, x: pd.Series, w: int) -> np.ndarray:
     if kind == "sma":
         on = x > x.rolling(w).mean()
@@ -189,14 +234,14 @@ def grid_ma(series: DataFrame, kind: str = "sma", low: int = 10, high: int = 270
     return series.groupBy("pair").applyInPandas(one, schema)
 
 
-def random_search(series: DataFrame, trials: int = 50, seed: int = 42, windows: Sequence[int] = (10, 20, 30, 40, 60), entries: Sequence[float] = (-3.0, -2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5, 1.0), stops: Sequence[float] = (0.0, 0.05, 0.1)) -> DataFrame:
-    """A seeded sampler over the categorical grids: each trial is a grid of one set."""
+def random_search(series: DataFrame, trials: int = 50, seed: int = 42, windows: Sequence[int] = (10, 20, 30, 40, 60), entries: Sequence[float] = (-3.0, -2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5, 1.0), stops: Sequence[float] = (0.0, 0.05, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001) -> DataFrame:
+    """A seeded sampler over the categorical grids: the drawn sets are tried, and no others."""
     rng = np.random.default_rng(seed)
     chosen = {(int(rng.choice(windows)), float(rng.choice(entries)), float(rng.choice(exits)), float(rng.choice(stops))) for _ in range(trials)}
-    parts = {}
+    parts: dict[int, list[Combo]] = {}
     for w, e, x, s in sorted(chosen):
         parts.setdefault(w, []).append((e, x, s))
-    return grid_search(series, sorted(parts), sorted({e for p in parts.values() for e, _, _ in p}), sorted({x for p in parts.values() for _, x, _ in p}), sorted({s for p in parts.values() for _, _, s in p}))
+    return _search(series, parts, is_ratio, least_trades, least_oos, fee)
 
 
 def best_first(rows: DataFrame, key: str, score: str, index: str) -> DataFrame:

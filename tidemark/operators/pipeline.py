@@ -7,6 +7,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -54,7 +55,7 @@ def method(stage: str, name: str) -> Callable:
 
 for _f in (screens.chan_halflife, screens.chan_hurst, screens.kaufman_er, screens.variance_ratio, screens.kpss, screens.cadf, screens.cadf_rolling, screens.johansen, screens.vol_cone, screens.passthrough, screens.chan_combined, screens.trend_combined, screens.regime_aware):
     register_stage("s1")(_f)
-for _f in (B.grid_search, B.grid_ma, B.random_search):
+for _f in (B.grid_search, B.grid_regime, B.grid_ma, B.random_search):
     register_stage("s2")(_f)
 for _f in (V.walk_forward, V.is_oos, V.cpcv, V.bootstrap_ci, V.monte_carlo, V.sensitivity):
     register_stage("s3")(_f)
@@ -206,6 +207,8 @@ class Result:
     seconds: float = 0.0
 
 
+#: Signals whose window and thresholds mean what the optimisers' grids mean.
+ZSCORES = ("zscore_standard", "zscore_robust_mad", "bollinger")
 CONFIG = {"fee": 0.001, "stop": 0.0, "n_folds": 8, "is_days": 504, "oos_days": 180, "n_trials": 46.0, "window": 20, "entry": -2.0, "exit_": 0.0}
 
 
@@ -215,7 +218,9 @@ class Pipeline:
     def __init__(self, s1: str = "chan_halflife", signal: str = "zscore_standard", s2: str = "grid_search", s3: str = "wfa_expanding", s4: str | list[str] = "t_test", s5: str = "equal_weight", name: str = "pipeline"):
         self.s1, self.signal, self.s2, self.s3, self.s5, self.name = s1, signal, s2, s3, s5, name
         self.s4 = [s4] if isinstance(s4, str) else list(s4)
-        method("s1", s1)
+        for stage, chosen in (("s1", [s1]), ("s2", [s2]), ("s4", self.s4), ("s5", [s5])):
+            for m in chosen:
+                method(stage, m)
         if signal not in signals.SIGNALS:
             raise KeyError(f"no signal {signal!r}; there are {', '.join(sorted(signals.SIGNALS))}")
         if "wfe" in self.s4 and not s3.startswith("wfa"):
@@ -234,12 +239,14 @@ class Pipeline:
         fire("stage_end", stage="s1")
         if stop_after != "s1":
             kept = series.join(s1.filter("passed"), "pair", "left_semi")
-            s2 = B.grid_search(kept, fee=c["fee"]).join(pairs.select("pair", "numerator", "denominator"), "pair").withColumn("signal_method", F.lit(self.signal)).withColumn("optim_method", F.lit(self.s2))
+            s2 = self._optimise(kept, c).join(pairs.select("pair", "numerator", "denominator"), "pair").withColumn("signal_method", F.lit(self.signal)).withColumn("optim_method", F.lit(self.s2))
+            half = s1.select("pair", (F.col("halflife") if "halflife" in s1.columns else F.lit(None)).cast("double").alias("halflife"))
+            s2 = s2.join(half, "pair").withColumn("slope_min", F.lit(0.0))
             out.stages["s2"] = s2.persist()
             fire("stage_end", stage="s2")
         if stop_after not in ("s1", "s2"):
             live = kept.join(s2.filter("passed"), "pair", "left_semi")
-            rets = B.run(signals.SIGNALS[self.signal](live, window=c["window"]), c["stop"], c["fee"])
+            rets = self._trade(live, s2.filter("passed"), c)
             s3 = self._validate(rets, c).join(pairs.select("pair", "numerator", "denominator"), "pair")
             out.stages["s3"] = s3
             fire("stage_end", stage="s3")
@@ -259,6 +266,28 @@ class Pipeline:
         fire("pipeline_end", name=self.name)
         return out
 
+    def _optimise(self, series: DataFrame, c: dict[str, Any]) -> DataFrame:
+        """The named optimiser's row per pair; settings it doesn't have are null."""
+        if self.s2 != "grid_ma":
+            return method("s2", self.s2)(series, fee=c["fee"])
+        found = B.grid_ma(series)
+        lacking = ("entry_thresh", "exit_thresh", "stop_pct", "is_penalized_sharpe", "is_trades", "oos_trades")
+        return found.select("pair", F.col("window").cast("double").alias("window"), "is_sharpe", "oos_sharpe", "passed", *[F.lit(None).cast("double").alias(n) for n in lacking])
+
+    def _trade(self, live: DataFrame, best: DataFrame, c: dict[str, Any]) -> DataFrame:
+        """Returns of the signal: with each pair's optimised settings where the signal is a z-score and
+        the optimiser's thresholds therefore its own, else with the configured ones."""
+        signal = signals.SIGNALS[self.signal]
+        if self.signal in ZSCORES and self.s2 in ("grid_search", "random_search"):
+            chosen = best.select("pair", "window", "stop_pct", F.col("entry_thresh").alias("_at_entry"), F.col("exit_thresh").alias("_at_exit"))
+            parts = []
+            for w, stop in sorted(tuple(r) for r in chosen.select("window", "stop_pct").distinct().collect()):  # at most the grid's sets
+                mine = live.join(chosen.filter((F.col("window") == w) & (F.col("stop_pct") == stop)).drop("window", "stop_pct"), "pair")
+                parts.append(B.run(signal(mine, window=int(w), entry=F.col("_at_entry"), exit_=F.col("_at_exit")), stop, c["fee"]))
+            if parts:
+                return reduce(DataFrame.unionByName, parts)
+        return B.run(signal(live, window=c["window"]), c["stop"], c["fee"])
+
     def _validate(self, rets: DataFrame, c: dict[str, Any]) -> DataFrame:
         n = V.lengths(rets)
         if self.s3 == "wfa_expanding":

@@ -270,6 +270,11 @@ for _kind in ("sma", "ema", "dual", "kama", "momentum"):
     query(f"opt_grid_ma_{_kind}")(lambda spark, d, kind=_kind: B.grid_ma(P.series(spark, d), kind))
 
 
+@query("opt_grid_regime")
+def _(spark, d):
+    return B.grid_regime(P.series(spark, d))
+
+
 @query("opt_random_search")
 def _(spark, d):
     return B.random_search(P.series(spark, d))
