@@ -369,6 +369,23 @@ def test_classes_by_brute_force(docs, shingle):
     assert got == wanted
 
 
+def crowd(spark, size, pairs):
+    """Texts of mutual similarity 0.75; text 2 i and text 2 i + 1 of the first pairs have 0.81."""
+    rows = []
+    for i in range(size):
+        both = [f"p{i // 2}_{k}" for k in range(7)] if i < 2 * pairs else [f"q{i}_{k}" for k in range(7)]
+        rows.append((i, " ".join([f"core{k}" for k in range(172)] + both + [f"own{i}_{k}" for k in range(21)])))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_regions_split_into_blocks(spark):
+    """Every pair of different classes that shares a region is met once, however many blocks the region has."""
+    reps = near_dedup.sketch(crowd(spark, 60, 5), 1).select("doc_id", "signature")
+    classed = spark.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
+    one, many = (sorted((r["a"], r["b"]) for r in near_dedup.across(reps, classed, 50, block).collect()) for block in (1000, 7))
+    assert one == many == [(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 10]
+
+
 def test_classes_odd(odd, none):
     rows = near_dedup.classes(odd).collect()
     assert len(rows) == len(ODD)

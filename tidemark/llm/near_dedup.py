@@ -14,12 +14,16 @@ union; classes are the connected components of the links.
    one only those with the longest prefixes, so the depth adapts to the region. An order is a global
    sort, cut into ranges of about equal size whatever prefixes are frequent.
 4. Compared rows whose whole signatures agree well enough are candidates. Of a stretch's candidates
-   ``forests`` edge-disjoint spanning forests are kept, best estimates first: candidates within one
-   linked group beyond that cannot change its class.
+   ``forests`` edge-disjoint spanning forests are kept for a start, best estimates first.
 5. Confirmation: texts of candidates are fetched once (a bitmap of the ids, of fixed size, keeps the
    others out of the shuffle). Each document's best candidate is confirmed first; then all candidates
-   between different classes so far. Nothing is capped in that second round.
-6. ``components`` joins the confirmed links.
+   between different classes so far.
+6. The rest: a region is all rows that share the first ``least`` values of a tree. In every region
+   that holds more than one class so far, all pairs of rows of different classes are compared, and
+   all candidates among them are confirmed: neither the window, nor the forests (built on estimates,
+   before confirmation), nor the border of a range decides. A region larger than ``BLOCK`` is split
+   into pairs of blocks. A pair at 0.8 shares no region with probability 0.36 ** 16, below 1e-7.
+7. ``components`` joins the confirmed links.
 
 Odd cases: a null text counts as empty; empty sets are linked with nothing and are their own class;
 rows that repeat an id are one document for the links, and each row is returned; a row with a null id
@@ -45,8 +49,11 @@ WINDOW = 32
 FORESTS = 3
 #: How far below the threshold an estimate may be: about three and a half standard errors.
 MARGIN = 0.14
+#: Rows of a region that are compared as one block.
+BLOCK = 1024
 BITMAP_BITS = 1 << 23
 _WORDS_HELD = 400_000
+_SHINGLES_HELD = 2_000_000
 
 
 class Shingler:
@@ -225,6 +232,80 @@ def candidates(reps: DataFrame, percent: int, window: int = WINDOW) -> DataFrame
     return pairs.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
+def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, class, signature) to a row for each tree, with the tree and its first values as ``region``."""
+    for batch in batches:
+        whole = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, TREES, DEPTH).astype(np.int64)
+        for t in range(TREES):
+            region = np.full(batch.num_rows, t, dtype=np.int64)
+            for i in range(LEAST):
+                region = region << 16 | whole[:, t, i]
+            yield pa.RecordBatch.from_arrays([pa.array(region), *batch.columns], names=["region", "doc_id", "class", "signature"])
+
+
+def _compare(enough: float):
+    """Candidates (a, b, likeness) of different classes from rows sorted by region and pair of blocks."""
+
+    def pairs(key: tuple[int, int, int], ids: np.ndarray, classes: np.ndarray, blocks: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tree, crossing = key[0] >> (16 * LEAST), key[1] != key[2]
+        for at in range(len(ids) - 1):
+            other = classes[at + 1 :] != classes[at]
+            if crossing:
+                other &= blocks[at + 1 :] != blocks[at]
+            to = np.nonzero(other)[0] + at + 1
+            if not len(to):
+                continue
+            same = whole[to] == whole[at]
+            like = same.mean(axis=1)
+            good = like >= enough
+            # A pair that shares several regions is compared in the first one only.
+            shared = same[good].reshape(-1, TREES, DEPTH)[:, :, :LEAST].all(axis=2)
+            good[good] = shared.argmax(axis=1) == tree
+            if good.any():
+                b = ids[to[good]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, ids[at])), pa.array(np.maximum(b, ids[at])), pa.array(like[good])], names=["a", "b", "likeness"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if sum(len(h[0]) for h in held) > 1:
+                yield from pairs(key, *(np.concatenate(c) for c in zip(*held, strict=True)))
+
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            region, low, high, ids, classes, blocks = (batch.column(i).to_numpy() for i in range(6))
+            whole = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint16).reshape(n, HASHES)
+            new = (np.diff(region) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
+            cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), n]
+            for lo, hi in zip(cuts, cuts[1:]):
+                this = int(region[lo]), int(low[lo]), int(high[lo])
+                if this != key:
+                    yield from finish()
+                    key, held = this, []
+                held.append((ids[lo:hi], classes[lo:hi], blocks[lo:hi], whole[lo:hi]))
+        yield from finish()
+
+    return walk
+
+
+def across(reps: DataFrame, classed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """(a, b, likeness) with a < b: every candidate between different classes, from (doc_id, signature)
+    and (node, component)."""
+    n = partitions(reps.sparkSession)
+    known = reps.join(classed, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("class"), "signature")
+    rows = durable(known, "classed").mapInArrow(_regions, "region long, doc_id long, class long, signature binary")
+    mixed = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
+    mixed = durable(mixed.select("region", F.ceil(F.col("n") / block).cast("int").alias("_blocks")), "regions")
+    found = rows.filter(marked(rows, mixed.select(F.col("region").alias("id")), "region")).join(mixed, "region")
+    dealt = found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
+    dealt = dealt.select("region", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "doc_id", "class", "block", "signature")
+    ordered = dealt.repartition(n, "region", "low", "high").sortWithinPartitions("region", "low", "high")
+    return ordered.mapInArrow(_compare(percent / 100 - MARGIN), "a long, b long, likeness double")
+
+
 def _bitmap(ids: DataFrame, bits: int) -> bytearray:
     """One bit for each id's hash: a summary of fixed size."""
     place = F.pmod(F.xxhash64("id"), F.lit(bits))
@@ -278,17 +359,23 @@ def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> D
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(shingle)
-        last: dict[int, tuple[str, np.ndarray]] = {}
-
-        def shingles(side: int, t: str) -> np.ndarray:
-            if side not in last or last[side][0] != t:
-                last[side] = t, cut(t)
-            return last[side][1]
+        held: dict[int, np.ndarray] = {}
+        size = 0
+
+        def shingles(key: int, t: pa.Scalar) -> np.ndarray:
+            nonlocal size
+            if key not in held:
+                if size > _SHINGLES_HELD:
+                    held.clear()
+                    size = 0
+                held[key] = cut(t.as_py())
+                size += len(held[key])
+            return held[key]
 
         for batch in batches:
             good = []
-            for ta, tb in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = shingles(0, ta.as_py()), shingles(1, tb.as_py())
+            for ia, ib, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
+                a, b = shingles(ia, ta), shingles(ib, tb)
                 same = len(np.intersect1d(a, b, assume_unique=True))
                 good.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good, pa.bool_())).columns[:2], names=["a", "b"])
@@ -314,8 +401,12 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str =
     so_far = components(linked)
     left, right = (so_far.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
     rest = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(first, ["a", "b"], "left_anti")
-    more = confirm(rest, texts, shingle, percent)
-    joined = components(linked.unionByName(more))
+    links = durable(linked.unionByName(confirm(rest, texts, shingle, percent)), "links")
+    joined = components(links)
+    last = durable(across(reps.filter("doc_id is not null"), joined, percent), "candidates")
+    if not last.isEmpty():
+        more = confirm(last, texts_of(docs, last, doc_id, text), shingle, percent)
+        joined = components(links.unionByName(more))
     to = reps.select("set_key", F.col("doc_id").alias("rep")).join(joined, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("of_set"))
     rows = sketches.select("doc_id", "n_shingles", "set_key").join(to, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of_set")).otherwise(F.col("doc_id"))
