@@ -378,6 +378,13 @@ def crowd(spark, size, pairs):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
+@pytest.mark.parametrize("window", [near_dedup.WINDOW, 1])
+def test_single_partners_in_a_dense_region(spark, window):
+    size, pairs = 500, 40
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(crowd(spark, size, pairs), shingle=1, window=window).collect()}
+    assert got == {i: i - i % 2 if i < 2 * pairs else i for i in range(size)}
+
+
 def test_regions_split_into_blocks(spark):
     """Every pair of different classes that shares a region is met once, however many blocks the region has."""
     reps = near_dedup.sketch(crowd(spark, 60, 5), 1).select("doc_id", "signature")
