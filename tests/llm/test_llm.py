@@ -182,6 +182,19 @@ def test_bin_completion_against_all_packings():
         assert bound <= best <= used and used == best
 
 
+def test_bin_completion_reaches_leaves_with_many_lengths():
+    lengths = np.clip(np.random.default_rng(1).lognormal(6.3, 0.8, 5000).astype(int), 1, 2048).tolist()
+    counts = {n: lengths.count(n) for n in set(lengths)}
+    plan, bound = packing.complete_bins(counts)
+    used = {}
+    for filling, bins in plan:
+        assert sum(filling) <= 2048
+        for n in filling:
+            used[n] = used.get(n, 0) + bins
+    assert used == counts
+    assert bound <= sum(n for _, n in plan) < sum(n for _, n in packing.best_fit_decreasing(counts, 2048))
+
+
 def test_pack(docs, odd, none):
     for d in (docs, odd):
         rows = packing.pack(d).collect()

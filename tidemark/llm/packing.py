@@ -7,8 +7,9 @@ so the plan is made on the driver from that bounded histogram, whatever the numb
 * if it uses more bins than the lower bound, bin completion searches for a better one: around the
   longest piece left, the undominated fillings of the remaining room are tried, least waste first; a
   branch is left when the waste so far cannot beat the incumbent. A filling is applied to as many
-  bins at once as the counts allow. The search ends at the lower bound or after ``nodes`` steps and
-  keeps the best packing found.
+  bins at once as the counts allow. The search ends at the lower bound or after ``nodes`` steps, or
+  ``NODES_A_LENGTH`` steps for each distinct length if that is more (one full packing needs about one
+  for each), and keeps the best packing found.
 
 The plan is a list of (filling, number of bins). Pieces are then ranked within their length, in
 parallel (ranks within small cells plus the cells' offsets), and a piece's length and rank tell its
@@ -32,6 +33,7 @@ from .tokens import encoder
 
 CAPACITY = 2048
 NODES = 1_000
+NODES_A_LENGTH = 3
 #: Undominated fillings tried around one piece, best first.
 FILLINGS = 8
 CELLS = 64
@@ -139,7 +141,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     best = best_fit_decreasing(counts, capacity)
     used = sum(n for _, n in best)
     total = sum(s * n for s, n in counts.items())
-    budget = [nodes]
+    budget = [max(nodes, NODES_A_LENGTH * len(counts))]
 
     def search(left: dict[int, int], plan: Plan, bins: int, waste: int) -> None:
         nonlocal best, used
