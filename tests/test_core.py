@@ -196,3 +196,15 @@ def test_stage_round_trip(spark, tmp_path):
 
 def test_bootstrap_generator_is_fixed():
     assert V.Lcg(42).draws(5, 10).tolist() == V.Lcg(42).draws(5, 10).tolist()
+
+
+def test_grid_ma_tries_every_window(spark):
+    import pandas as pd
+
+    x = pd.Series(np.exp(np.cumsum(np.random.default_rng(4).normal(0, 0.01, 700))))
+    got = B.grid_ma(spark.createDataFrame(pd.DataFrame({"pair": "P", "seq": range(700), "ratio": x}))).first()
+    r = x.pct_change().fillna(0.0).to_numpy()
+    nets = {w: (r * K.shifted(B._ma_signal("sma", x, w)))[:560] for w in range(10, 271)}
+    scores = {w: v.mean() / v.std(ddof=1) * 252**0.5 if v.std(ddof=1) > 1e-10 else 0.0 for w, v in nets.items()}
+    best = max(scores, key=scores.get)
+    assert (best - 10) % 20 and got["window"] == best and abs(got["is_sharpe"] - scores[best]) < 1e-9

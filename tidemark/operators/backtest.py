@@ -201,7 +201,7 @@ def _ma_signal(kind: str, x: pd.Series, w: int) -> np.ndarray:
     return on.to_numpy()
 
 
-def grid_ma(series: DataFrame, kind: str = "sma", low: int = 10, high: int = 270, step: int = 20, is_ratio: float = 0.8) -> DataFrame:
+def grid_ma(series: DataFrame, kind: str = "sma", low: int = 10, high: int = 270, step: int = 1, is_ratio: float = 0.8) -> DataFrame:
     """Every look-back of a moving-average state on the first part, the best one on the rest; pairs
     are aligned by date before, never by position."""
     schema = "pair string, window long, is_sharpe double, oos_sharpe double, oos_cagr double, oos_max_dd double, oos_exposure double, lag5_autocorr double, passed boolean"
