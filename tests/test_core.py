@@ -165,6 +165,15 @@ def test_trendline_through_three_touches():
     assert any(r[1] == 10 and r[2] == 110 and r[5] >= 3 for r in found)
 
 
+def test_trendline_of_any_length():
+    n = 700
+    line = 100 - 0.01 * np.arange(n)
+    high = line - 1.0
+    high[[10, 300, 690]] = line[[10, 300, 690]]
+    found = PT.trendlines_of(high, high - 0.5, "resistance", 3, 0.1, 30)
+    assert any(r[1] == 10 and r[2] == 690 and r[5] >= 3 for r in found)
+
+
 def test_registry_and_gates(spark):
     with pytest.raises(KeyError):
         PL.method("s1", "nothing")

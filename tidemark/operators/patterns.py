@@ -104,7 +104,7 @@ def expanding_detection(x: np.ndarray, detect, warmup: int = 120, step: int = 5)
 LINES = "pair string, kind string, start_idx long, end_idx long, slope double, intercept double, n_points long, score double"
 
 
-def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: int = 3, error_pct: float = 0.1, least_period: int = 30, most_period: int = 504) -> list[tuple]:
+def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: int = 3, error_pct: float = 0.1, least_period: int = 30, most_period: int | None = None) -> list[tuple]:
     """Lines through two extremes that no bar between breaks by more than the error and enough touch.
 
     All ends of one start are tested together: slopes as a column, bars as rows.
@@ -117,7 +117,7 @@ def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: in
     error = error_pct * float(np.mean(high - low))
     out = []
     for i in range(n - least_period):
-        j = np.arange(i + least_period, min(n, i + most_period + 1))
+        j = np.arange(i + least_period, n if most_period is None else min(n, i + most_period + 1))
         slope = (x[j] - x[i]) / (j - i)
         ok = slope * sign < 0
         # A line is broken before j if some bar between lies beyond it: compare slopes from i.
@@ -135,8 +135,8 @@ def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: in
     return sorted(out, key=lambda r: (-r[6], r[1], r[2]))
 
 
-def trendlines(ohlc: DataFrame, top: int = 200, **options) -> DataFrame:
-    """The best lines of each pair and kind, a row each."""
+def trendlines(ohlc: DataFrame, top: int | None = None, **options) -> DataFrame:
+    """All lines of each pair and kind, or the best ``top``, a row each."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ts")

@@ -224,7 +224,7 @@ def _(spark, d):
 @query("pat_trendlines")
 def _(spark, d):
     bars = P.bars(spark, d)
-    return PT.trendlines(P.ratio_ohlc(bars, P.universe(bars)), most_period=120)
+    return PT.trendlines(P.ratio_ohlc(bars, P.universe(bars)))
 
 
 @query("sig_trendline_breakout")
@@ -232,7 +232,7 @@ def _(spark, d):
     bars = P.bars(spark, d)
     pairs = P.universe(bars)
     ohlc = P.ratio_ohlc(bars, pairs)
-    lines = PT.trendlines(ohlc, most_period=120, top=50)
+    lines = PT.trendlines(ohlc)
     from pyspark.sql import Window as W
 
     num = bars.select(F.col("ticker").alias("numerator"), "ts", F.col("close").alias("num_close"))
