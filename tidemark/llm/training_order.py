@@ -10,7 +10,7 @@
 4. ``write_shards`` writes each shard as a file of fixed-stride records in slot order: slot ``s`` is
    at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``, so a reader can resume at any
    slot with one seek. A shard is written under another name and then renamed; a repeated task
-   writes the same bytes, and shards that are there already in full are skipped.
+   writes the same bytes again.
 
 Odd cases: a null text counts as empty; an empty text is one sequence that holds only the end id;
 repeated rows are sequences of their own; an empty table has no sequences and no shards.
