@@ -398,12 +398,23 @@ def test_single_partners_in_a_dense_region(spark, window):
     assert got == {i: i - i % 2 if i < 2 * pairs else i for i in range(size)}
 
 
-def test_regions_split_into_blocks(spark):
-    """Every pair of different classes that shares a region is met once, however many blocks the region has."""
-    reps = near_dedup.sketch(crowd(spark, 60, 5), 1).select("doc_id", "signature")
-    classed = spark.createDataFrame([(i, 0) for i in range(10)], "node long, component long")
-    one, many = (sorted((r["a"], r["b"]) for r in near_dedup.across(reps, classed, 50, block).collect()) for block in (1000, 7))
-    assert one == many == [(a, b) for a in range(60) for b in range(a + 1, 60) if b >= 10]
+@pytest.mark.parametrize("region", [2, 50])
+def test_dense_regions_are_joined_by_rare_shingles(spark, docs, region):
+    """Nothing is lost where regions count as large and no row has a neighbour to be compared with."""
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.classes(crowd(spark, 300, 30), shingle=1, window=1, region=region).collect()}
+    assert got == {i: i - i % 2 if i < 60 else i for i in range(300)}
+    wanted = brute([(r["doc_id"], r["text"]) for r in docs.collect()], 2, 80)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.classes(docs, 2, window=1, region=region).collect()}
+    assert got == wanted
+
+
+def test_marks_hold_all_numbers(spark):
+    x = np.random.default_rng(0).integers(-(2**63), 2**63, 5000)
+    held = near_dedup.marks(spark.createDataFrame([(int(v),) for v in x], "h long"), "h")
+    other = np.random.default_rng(1).integers(-(2**63), 2**63, 5000)
+    assert held.holds(x).all() and held.holds(other).mean() < 0.1
+    few = near_dedup.marks(spark.createDataFrame([(int(v),) for v in x], "h long"), "h", most=12)
+    assert few.holds(x).all()
 
 
 def test_classes_odd(odd, none):

@@ -12,21 +12,23 @@ union; classes are the connected components of the links.
    share the longest prefixes. Each row is compared with the ``window`` rows after it as long as they
    share ``least`` values: in a sparse region that is every row with this short prefix, in a dense
    one only those with the longest prefixes, so the depth adapts to the region. An order is a global
-   sort, cut into ranges of about equal size whatever prefixes are frequent.
-4. Compared rows whose whole signatures agree well enough are candidates. Of a stretch's candidates
-   ``forests`` edge-disjoint spanning forests are kept for a start, best estimates first.
-5. Confirmation: texts of candidates are fetched once (a bitmap of the ids, of fixed size, keeps the
-   others out of the shuffle). Each document's best candidate is confirmed first; then all candidates
-   between different classes so far.
-6. The rest: a region is all rows that share the first ``least`` values of a tree. In every region
-   that holds more than one class so far, all pairs of rows of different classes are compared, and
-   all candidates among them are confirmed: neither the window, nor the forests (built on estimates,
-   before confirmation), nor the border of a range decides. A region larger than ``BLOCK`` is split
-   into pairs of blocks. A pair at 0.8 shares no region with probability 0.36 ** 16, below 1e-7.
-7. ``components`` joins the confirmed links.
+   sort, cut into ranges of about equal size whatever prefixes are frequent. This finds most links early;
+   step 5 finds all others, so neither the window, nor ``forests`` (the candidates of a stretch that are
+   kept for a start), nor the border of a range or batch decides what is linked.
+4. Confirmation on the full sets: each document's best candidate first, then all candidates between
+   different classes so far. Texts of candidates alone are fetched (a bitmap of bounded size keeps the
+   others out of the shuffle), and a block of candidates shares them.
+5. The rest: a region is all rows that share the first ``least`` values of a tree. In every region that
+   holds more than one class so far, rows of different classes are compared: pair by pair in regions of
+   up to ``region`` rows, where signatures that agree well enough (``MARGIN``) are confirmed; rows of
+   larger regions are joined by their rarest shingles (``rarest``).
+6. ``components`` joins the confirmed links.
+
+A pair at 0.8 is lost with a chance below 1e-4: by sharing no region (0.36 ** 16, below 1e-7) or by a
+signature that agrees in less than 0.62 of its values (2e-5).
 
 Odd cases: a null text counts as empty; empty sets are linked with nothing and are their own class;
-rows that repeat an id are one document for the links, and each row is returned; a row with a null id
+rows that repeat an id are one document for the links (each of its texts links it), and each row is returned; a row with a null id
 takes its copies' class, and without one has a null class and is kept; an empty table gives no rows.
 """
 
@@ -37,7 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, partitions, unused_name
 from .components import components
@@ -47,13 +50,20 @@ HASHES = TREES * DEPTH
 LEAST = 2
 WINDOW = 32
 FORESTS = 3
-#: How far below the threshold an estimate may be: about three and a half standard errors.
-MARGIN = 0.14
-#: Rows of a region that are compared as one block.
-BLOCK = 1024
-BITMAP_BITS = 1 << 23
+#: How far below the threshold an estimate may be: some four and a half standard errors: the estimate of a true link is below that with a chance of 2e-5.
+MARGIN = 0.18
+#: A region of up to so many rows is compared pair by pair.
+REGION = 1024
+#: A bitmap has at most 2 ^ 26 bits (8 MB); the table of shingle counts has 2 ^ 20 cells (4 MB).
+BITMAP_BITS = 26
+CELL_BITS = 20
+PREFIX = "region long, doc_id long, class long"
+ROW = "region long, doc_id long, class long, n long, signature binary"
+#: Documents, and characters or shingles, of a block that is confirmed in one task.
+_GROUP_DOCS = 256
+_GROUP_TEXT = 1 << 22
+_GROUP_SHINGLES = 1 << 19
 _WORDS_HELD = 400_000
-_SHINGLES_HELD = 2_000_000
 
 
 class Shingler:
@@ -232,102 +242,320 @@ def candidates(reps: DataFrame, percent: int, window: int = WINDOW) -> DataFrame
     return pairs.groupBy("a", "b").agg(F.max("likeness").alias("likeness"))
 
 
-def _regions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, class, signature) to a row for each tree, with the tree and its first values as ``region``."""
-    for batch in batches:
-        whole = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, TREES, DEPTH).astype(np.int64)
-        for t in range(TREES):
-            region = np.full(batch.num_rows, t, dtype=np.int64)
-            for i in range(LEAST):
-                region = region << 16 | whole[:, t, i]
-            yield pa.RecordBatch.from_arrays([pa.array(region), *batch.columns], names=["region", "doc_id", "class", "signature"])
+#: Regions are numbered by an odd multiple of (tree, first values), so their high bits are mixed and the tree can be told from the number.
+_SPREAD = 0x9E3779B97F4A7C15
+_BACK = pow(_SPREAD, -1, 1 << 64)
+
+
+def _region_numbers(whole: np.ndarray, tree: int) -> np.ndarray:
+    key = np.full(len(whole), tree, dtype=np.uint64)
+    for i in range(LEAST):
+        key = key << np.uint64(16) | whole[:, tree, i].astype(np.uint64)
+    return (key * np.uint64(_SPREAD)).view(np.int64)
+
+
+def _whole(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(len(column), TREES, DEPTH)
+
+
+class Marks:
+    """A bitmap over the highest bits of 64-bit numbers; it may hold more numbers than were put in, never less."""
+
+    def __init__(self, words: np.ndarray, bits: int):
+        self.words, self.shift = words, np.uint64(64 - bits)
+
+    def __contains__(self, _):
+        raise TypeError("ask for arrays")
 
+    def holds(self, numbers: np.ndarray) -> np.ndarray:
+        place = numbers.view(np.uint64) >> self.shift
+        return (self.words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)).astype(np.int64) & 1).astype(bool)
+
+
+def marks(numbers: DataFrame, column: str, most: int = BITMAP_BITS) -> Marks:
+    """The bitmap of a column of well mixed numbers: 16 bits or more for each, up to 2 ^ ``most`` bits.
+
+    Beyond some 2 ^ (``most`` - 2) numbers it keeps less and less back, which costs time, not results.
+    """
+    n = numbers.count()
+    bits = min(most, max(12, (16 * n).bit_length()))
+    place = F.shiftrightunsigned(F.col(column), 64 - bits)
+    bit = F.expr("shiftleft(1L, cast(p & 63 as int))")
+    words = numbers.select(place.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()  # at most 2 ^ (most - 6) rows
+    out = np.zeros(1 << (bits - 6), dtype=np.int64)
+    out[words.column("w").to_numpy()] = words.column("b").to_numpy()
+    return Marks(out, bits)
+
+
+def _by_region(only: Broadcast | None):
+    """(doc_id, class, n, signature) to a row for each region the row is in, or for those marked."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = _whole(batch.column(3))
+            for t in range(TREES):
+                region = _region_numbers(whole, t)
+                if only is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(region), batch.column(1)], names=["region", "class"])
+                    continue
+                at = pa.array(np.flatnonzero(only.value.holds(region)))
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(region).take(at), *batch.take(at).columns], names=["region", "doc_id", "class", "n", "signature"])
+
+    return walk
 
-def _compare(enough: float):
-    """Candidates (a, b, likeness) of different classes from rows sorted by region and pair of blocks."""
 
-    def pairs(key: tuple[int, int, int], ids: np.ndarray, classes: np.ndarray, blocks: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
-        tree, crossing = key[0] >> (16 * LEAST), key[1] != key[2]
+def _in_any(only: Broadcast):
+    """The rows of (doc_id, class, n, signature) that are in some marked region."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = _whole(batch.column(3))
+            found = np.zeros(batch.num_rows, dtype=bool)
+            for t in range(TREES):
+                found |= only.value.holds(_region_numbers(whole, t))
+            yield batch.filter(pa.array(found))
+
+    return walk
+
+
+def _compare(enough: float, percent: int):
+    """Candidates (a, b) of different classes from rows (region, doc_id, class, n, signature) sorted by
+    region; of the regions a pair shares, only the first tree's gives it."""
+
+    def pairs(region: int, ids: np.ndarray, classes: np.ndarray, n: np.ndarray, whole: np.ndarray) -> Iterator[pa.RecordBatch]:
+        tree = (region * _BACK) % (1 << 64) >> (16 * LEAST)
+        order = np.lexsort((ids, classes))
+        ids, classes, n, whole = (c[order] for c in (ids, classes, n, whole))
+        # Sorted by class: a row meets those after its class.
+        ends = np.searchsorted(classes, classes, side="right")
         for at in range(len(ids) - 1):
-            other = classes[at + 1 :] != classes[at]
-            if crossing:
-                other &= blocks[at + 1 :] != blocks[at]
-            to = np.nonzero(other)[0] + at + 1
+            to = np.arange(ends[at], len(ids))
+            to = to[(100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])) & (ids[to] != ids[at])]
             if not len(to):
                 continue
             same = whole[to] == whole[at]
-            like = same.mean(axis=1)
-            good = like >= enough
-            # A pair that shares several regions is compared in the first one only.
+            good = same.mean(axis=1) >= enough
             shared = same[good].reshape(-1, TREES, DEPTH)[:, :, :LEAST].all(axis=2)
             good[good] = shared.argmax(axis=1) == tree
             if good.any():
                 b = ids[to[good]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, ids[at])), pa.array(np.maximum(b, ids[at])), pa.array(like[good])], names=["a", "b", "likeness"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(b, ids[at])), pa.array(np.maximum(b, ids[at]))], names=["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        region, held = None, []
 
         def finish() -> Iterator[pa.RecordBatch]:
             if sum(len(h[0]) for h in held) > 1:
-                yield from pairs(key, *(np.concatenate(c) for c in zip(*held, strict=True)))
+                yield from pairs(region, *(np.concatenate(c) for c in zip(*held, strict=True)))
 
         for batch in batches:
-            n = batch.num_rows
-            if not n:
+            size = batch.num_rows
+            if not size:
                 continue
-            region, low, high, ids, classes, blocks = (batch.column(i).to_numpy() for i in range(6))
-            whole = np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype=np.uint16).reshape(n, HASHES)
-            new = (np.diff(region) != 0) | (np.diff(low) != 0) | (np.diff(high) != 0)
-            cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), n]
+            regions, ids, classes, n = (batch.column(i).to_numpy() for i in range(4))
+            whole = _whole(batch.column(4)).reshape(size, HASHES)
+            cuts = [0, *(np.nonzero(np.diff(regions))[0] + 1).tolist(), size]
             for lo, hi in zip(cuts, cuts[1:]):
-                this = int(region[lo]), int(low[lo]), int(high[lo])
-                if this != key:
+                if int(regions[lo]) != region:
                     yield from finish()
-                    key, held = this, []
-                held.append((ids[lo:hi], classes[lo:hi], blocks[lo:hi], whole[lo:hi]))
+                    region, held = int(regions[lo]), []
+                held.append((ids[lo:hi], classes[lo:hi], n[lo:hi], whole[lo:hi]))
         yield from finish()
 
     return walk
 
 
-def across(reps: DataFrame, classed: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
-    """(a, b, likeness) with a < b: every candidate between different classes, from (doc_id, signature)
-    and (node, component)."""
-    n = partitions(reps.sparkSession)
-    known = reps.join(classed, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("class"), "signature")
-    rows = durable(known, "classed").mapInArrow(_regions, "region long, doc_id long, class long, signature binary")
-    mixed = rows.groupBy("region").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high")
-    mixed = durable(mixed.select("region", F.ceil(F.col("n") / block).cast("int").alias("_blocks")), "regions")
-    found = rows.filter(marked(rows, mixed.select(F.col("region").alias("id")), "region")).join(mixed, "region")
-    dealt = found.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("_blocks")).cast("int")).withColumn("_other", F.explode(F.expr("sequence(0, _blocks - 1)")))
-    dealt = dealt.select("region", F.least("block", "_other").alias("low"), F.greatest("block", "_other").alias("high"), "doc_id", "class", "block", "signature")
-    ordered = dealt.repartition(n, "region", "low", "high").sortWithinPartitions("region", "low", "high")
-    return ordered.mapInArrow(_compare(percent / 100 - MARGIN), "a long, b long, likeness double")
-
-
-def _bitmap(ids: DataFrame, bits: int) -> bytearray:
-    """One bit for each id's hash: a summary of fixed size."""
-    place = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select((place / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(id), {bits}L), 64L) as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).collect()
-    out = np.zeros(bits // 64, dtype=np.int64)
-    for r in words:
-        out[r["w"]] = r["bits"]
-    return bytearray(out.astype("<i8").tobytes())
-
-
-def marked(docs: DataFrame, ids: DataFrame, doc_id: str, bits: int = BITMAP_BITS):
+def _mixed(rows: DataFrame) -> DataFrame:
+    """(region, n): the regions that hold more than one class."""
+    return rows.groupBy("region").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).filter("low < high").select("region", "n")
+
+
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each cell's shingles occur, in chunks of one size."""
+    cells = np.zeros(1 << CELL_BITS, dtype=np.uint32)
+    for batch in batches:
+        for b in batch.column(0):
+            np.add.at(cells, np.frombuffer(b.as_py(), dtype=np.uint64) >> np.uint64(64 - CELL_BITS), 1)
+    if cells.any():
+        chunks = cells.reshape(-1, 1 << 14)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(chunks))), pa.array([c.tobytes() for c in chunks], pa.binary())], names=["chunk", "cells"])
+
+
+def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for k, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            more = np.frombuffer(b, dtype=np.uint32).astype(np.uint64)
+            held[k] = held[k] + more if k in held else more
+    for k, v in held.items():
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int64()), pa.array([np.minimum(v, 2**32 - 1).astype(np.uint32).tobytes()], pa.binary())], names=["chunk", "cells"])
+
+
+def _prefixes(often: Broadcast, percent: int, only: Broadcast | None):
+    """(hashes, doc_id, class, ...) to a row (region, doc_id, class) for each shingle of its prefix; see ``rarest``."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = often.value
+        for batch in batches:
+            regions, at = [], []
+            for i, b in enumerate(batch.column(0)):
+                h = np.frombuffer(b.as_py(), dtype=np.uint64)
+                n = count[(h >> np.uint64(64 - CELL_BITS)).astype(np.int64)]
+                first = np.lexsort((h, n))[: len(h) - -(-percent * len(h) // 100) + 1]
+                # A cell counted once holds a shingle no other text has.
+                region = h[first[n[first] > 1]].view(np.int64)
+                if only is not None:
+                    region = region[only.value.holds(region)]
+                regions.append(region)
+                at.append(np.full(len(region), i))
+            if regions:
+                at = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), batch.column(1).take(at), batch.column(2).take(at)], names=["region", "doc_id", "class"])
+
+    return walk
+
+
+def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (low, high) of the blocks that share a region, from rows (region, block) sorted by region."""
+    seen: set[tuple[int, int]] = set()
+    region, blocks = None, []
+
+    def out() -> pa.RecordBatch:
+        low, high = zip(*seen, strict=True)
+        seen.clear()
+        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["low", "high"])
+
+    for batch in batches:
+        for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if r != region:
+                region, blocks = r, []
+            blocks.append(b)
+            for other in blocks:
+                seen.add((other, b) if other < b else (b, other))
+            if len(seen) > 500_000:
+                yield out()
+    if seen:
+        yield out()
+
+
+def _verify_blocks(enough: float, percent: int):
+    """Links (a, b) between different classes, enough to join the classes that are linked at all, from
+    groups (low, high) of rows (low, high, block, doc_id, class, n, signature, hashes)."""
+
+    def links(low: int, high: int, blocks: np.ndarray, ids: np.ndarray, classes: np.ndarray, n: np.ndarray, whole: np.ndarray, sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+        group = np.unique(classes, return_inverse=True)[1]  # joined as links are found
+        for at in range(len(ids) - 1):
+            to = np.arange(at + 1, len(ids))
+            mine = group[to] != group[at]
+            if low != high:
+                mine &= blocks[to] != blocks[at]
+            to = to[mine & (100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at]))]
+            if not len(to):
+                continue
+            like = (whole[to] == whole[at]).mean(axis=1)
+            to, like = to[like >= enough], like[like >= enough]
+            for other in to[np.argsort(-like, kind="stable")].tolist():
+                if group[other] != group[at] and _alike(sets[at], sets[other], percent):
+                    group[group == group[other]] = group[at]
+                    yield min(ids[at], ids[other]), max(ids[at], ids[other])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                blocks, ids, classes, n, signatures, hashes = zip(*held, strict=True)
+                whole = np.frombuffer(b"".join(signatures), dtype=np.uint16).reshape(len(held), HASHES)
+                found = list(links(*key, np.array(blocks), np.array(ids), np.array(classes), np.array(n), whole, [np.frombuffer(h, dtype=np.uint64) for h in hashes]))
+                if found:
+                    a, b = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+        for batch in batches:
+            for low, high, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (low, high) != key:
+                    yield from finish()
+                    key, held = (low, high), []
+                held.append(row)
+        yield from finish()
+
+    return walk
+
+
+def rarest(docs: DataFrame, chosen: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """(a, b): links that join all linked classes of ``chosen`` (doc_id, class, n, signature).
+
+    The join by prefixes: in any common order of all shingles, two sets that are alike enough share one of
+    the first n - ceil(percent n / 100) + 1 shingles of each. The order here is rarest first, by counts of
+    all texts in a table of fixed size (shingles that share a cell count together; any order gives the same
+    result). Texts that only have a passage or a template in common don't meet: their own shingles come first.
+
+    Rows that share such a shingle are dealt to blocks of bounded size by the smallest id they meet, and
+    pairs of blocks that meet are compared, so no pair of rows leaves a task but links.
+    """
+    spark, n = docs.sparkSession, partitions(docs.sparkSession)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = Shingler(shingle)
+        for batch in batches:
+            sets = [of(t.as_py()) for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([pa.array([s.tobytes() for s in sets], pa.binary()), batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), batch.column(2)], names=["hashes", "doc_id", "class", "n", "signature"])
+
+    texts = texts_of(docs, chosen.select(F.col("doc_id").alias("id")), doc_id, text).select(F.col("id").alias("doc_id"), "text")
+    sets = chosen.groupBy("doc_id").agg(F.first("class").alias("class"), F.first("signature").alias("signature")).join(texts, "doc_id").select("doc_id", "class", "signature", "text")
+    sets = durable(sets.mapInArrow(cut, "hashes binary, doc_id long, class long, n long, signature binary"), "dense")
+    chunks = sets.select("hashes").mapInArrow(_counts, "chunk long, cells binary")
+    summed = chunks.repartition(min(n, 1 << (CELL_BITS - 14)), "chunk").mapInArrow(_sum_chunks, "chunk long, cells binary").toArrow()  # one table of cells
+    cells = np.zeros((1 << (CELL_BITS - 14), 1 << 14), dtype=np.uint32)
+    for k, b in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
+        cells[k] = np.frombuffer(b, dtype=np.uint32)
+    often = spark.sparkContext.broadcast(cells.reshape(-1))
+    mixed = durable(_mixed(sets.mapInArrow(_prefixes(often, percent, None), PREFIX)), "regions")
+    only = spark.sparkContext.broadcast(marks(mixed, "region"))
+    rows = durable(sets.mapInArrow(_prefixes(often, percent, only), PREFIX).join(mixed.select("region"), "region", "left_semi"), "prefixes")
+    least = rows.groupBy("region").agg(F.min("doc_id").alias("near"))
+    near = rows.join(least, "region").groupBy("doc_id").agg(F.min("near").alias("near")).join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
+    crowds = near.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / _GROUP_DOCS), F.ceil(F.sum("n") / _GROUP_SHINGLES)).alias("blocks"))
+    placed = durable(near.join(crowds, "near").select("doc_id", F.xxhash64("near", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).alias("block")), "blocks")
+    shared = rows.join(placed, "doc_id").select("region", "block").distinct().repartition(n, "region").sortWithinPartitions("region")
+    met = durable(shared.mapInArrow(_block_pairs, "low long, high long").distinct(), "met")
+    sent = met.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).join(placed, "block").join(sets, "doc_id")
+    dealt = sent.select("low", "high", "block", "doc_id", "class", "n", "signature", "hashes").repartition(n, "low", "high").sortWithinPartitions("low", "high", "class", "doc_id")
+    return dealt.mapInArrow(_verify_blocks(percent / 100 - MARGIN, percent), "a long, b long")
+
+
+def across(reps: DataFrame, classed: DataFrame, docs: DataFrame, shingle: int, percent: int, doc_id: str = "doc_id", text: str = "text", region: int = REGION) -> tuple[DataFrame, DataFrame | None]:
+    """Candidates (a, b), and links (a, b), between different classes, from (doc_id, n, signature) and
+    (node, component): all candidates of regions of up to ``region`` rows, and links from the larger ones."""
+    spark = reps.sparkSession
+    known = reps.join(classed, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("class"), "n", "signature")
+    known = durable(known, "classed")
+    mixed = durable(_mixed(known.mapInArrow(_by_region(None), "region long, class long")), "regions")
+    small, large = mixed.filter(F.col("n") <= region), mixed.filter(F.col("n") > region)
+    held = spark.sparkContext.broadcast(marks(small, "region"))
+    # The marks let a few rows of other regions pass; the join drops them.
+    rows = known.mapInArrow(_by_region(held), ROW).join(small.select("region"), "region", "left_semi")
+    ordered = rows.repartition(partitions(spark), "region").sortWithinPartitions("region")
+    found = ordered.mapInArrow(_compare(percent / 100 - MARGIN, percent), "a long, b long").distinct()
+    if large.isEmpty():
+        return found, None
+    wide = spark.sparkContext.broadcast(marks(large, "region"))
+    chosen = durable(known.mapInArrow(_in_any(wide), "doc_id long, class long, n long, signature binary"), "chosen")
+    return found, rarest(docs, chosen, shingle, percent, doc_id, text)
+
+
+def marked(docs: DataFrame, ids: DataFrame, doc_id: str):
     """A column that is true for every row whose id is in ``ids`` (id), and for few others."""
-    held = docs.sparkSession.sparkContext.broadcast(np.frombuffer(bytes(_bitmap(ids, bits)), dtype=np.uint8))
+    held = docs.sparkSession.sparkContext.broadcast(marks(ids.select(F.xxhash64(F.col("id").cast("long")).alias("h")), "h"))
 
     @F.pandas_udf("boolean")
-    def found(at):
+    def found(h):
         import pandas as pd
 
-        at = at.to_numpy()
-        return pd.Series(((held.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1).astype(bool))
+        return pd.Series(held.value.holds(h.to_numpy()))
 
-    return found(F.pmod(F.xxhash64(F.col(doc_id).cast("long")), F.lit(bits)))
+    return found(F.xxhash64(F.col(doc_id).cast("long")))
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -335,78 +563,104 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: st
     rows that repeat an id one. Only rows that may have to go are shuffled."""
     found = durable(classes(docs, shingle, percent, doc_id, text), "classes")
     repeated = found.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.max("kept").alias("kept"))
-    suspects = durable(repeated.filter("n > 1 or not kept").select(F.col("doc_id").alias("id"), "kept"), "suspects")
-    mark = marked(docs, suspects, doc_id)
-    name = unused_name(docs, "_suspect")
-    both = docs.withColumn(name, F.coalesce(mark, F.lit(False)))
-    unclear = both.filter(F.col(name)).drop(name)
-    known = suspects.select(F.col("id").alias("_known"), F.col("kept").alias("_stays"))
-    judged = unclear.join(known, unclear[doc_id].cast("long") == F.col("_known"), "left").filter(F.coalesce("_stays", F.lit(True)))
-    first = W.partitionBy("_known").orderBy(text)
-    judged = judged.withColumn("_first", F.when(F.col("_known").isNull(), F.lit(1)).otherwise(F.row_number().over(first))).filter("_first = 1")
-    return both.filter(~F.col(name)).drop(name).unionByName(judged.drop("_known", "_stays", "_first"))
-
-
-def texts_of(docs: DataFrame, pairs: DataFrame, doc_id: str, text: str, bits: int = BITMAP_BITS) -> DataFrame:
-    """(id, text) of every document in a pair; one text for each id."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    known, stays, suspect, whole = (unused_name(docs, n) for n in ("known", "stays", "suspect", "whole"))
+    suspects = durable(repeated.filter("n > 1 or not kept").select(F.col("doc_id").alias(known), F.col("kept").alias(stays)), "suspects")
+    both = docs.withColumn(suspect, F.coalesce(marked(docs, suspects.select(F.col(known).alias("id")), doc_id), F.lit(False)))
+    unclear = both.filter(F.col(suspect)).drop(suspect)
+    judged = unclear.join(suspects, unclear[doc_id].cast("long") == suspects[known], "left")
+    clear = judged.filter(F.col(known).isNull()).select(docs.columns)
+    # Of rows that repeat an id the one with the smallest text, by a partial aggregate.
+    first = judged.filter(F.col(stays)).groupBy(known).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias(whole))
+    one = first.select(*[F.col(whole)[c].alias(c) for c in docs.columns])
+    return both.filter(~F.col(suspect)).select(docs.columns).unionByName(clear).unionByName(one)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(id, text) of every document in ``ids`` (id); an id with several texts has a row for each."""
+    ids = durable(ids.distinct(), "ids")
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).filter("id is not null")
-    return rows.filter(marked(rows, ids, "id", bits)).join(ids, "id", "left_semi").dropDuplicates(["id"])
+    return rows.filter(marked(rows, ids, "id")).join(ids, "id", "left_semi").distinct()
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets are alike enough."""
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
+def _alike(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return bool(same) and 100 * same >= percent * (len(x) + len(y) - same)
+
+
+def _verify(shingle: int, percent: int):
+    """(a, b) that are alike enough from groups (low, high) of rows: first the texts (id, text), then the pairs (id, b)."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut = Shingler(shingle)
-        held: dict[int, np.ndarray] = {}
-        size = 0
-
-        def shingles(key: int, t: pa.Scalar) -> np.ndarray:
-            nonlocal size
-            if key not in held:
-                if size > _SHINGLES_HELD:
-                    held.clear()
-                    size = 0
-                held[key] = cut(t.as_py())
-                size += len(held[key])
-            return held[key]
+        key, held = None, {}
 
         for batch in batches:
-            good = []
-            for ia, ib, ta, tb in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                a, b = shingles(ia, ta), shingles(ib, tb)
-                same = len(np.intersect1d(a, b, assume_unique=True))
-                good.append(bool(same) and 100 * same >= percent * (len(a) + len(b) - same))
-            yield pa.RecordBatch.from_arrays(batch.filter(pa.array(good, pa.bool_())).columns[:2], names=["a", "b"])
+            a, b = [], []
+            for low, high, one, other, text in zip(*(batch.column(i).to_pylist() for i in range(4)), batch.column(4), strict=True):
+                if (low, high) != key:
+                    key, held = (low, high), {}
+                if text.is_valid:
+                    held.setdefault(one, []).append(cut(text.as_py()))
+                elif any(_alike(x, y, percent) for x in held.get(one, ()) for y in held.get(other, ())):
+                    a.append(one)
+                    b.append(other)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    left = texts.select(F.col("id").alias("a"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(check, "a long, b long")
+    return check
 
 
-def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of a written table whose full sets are alike enough.
+
+    Documents are dealt to blocks of bounded size by the smallest id among them and their partners, so
+    documents of one crowd mostly share blocks. A group is a pair of blocks; each text a group needs is
+    sent to it once, however many pairs it is in there.
+    """
+    n = partitions(pairs.sparkSession)
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    sizes = texts.groupBy("id").agg(F.sum(F.length("text")).alias("size"))
+    near = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("near")).join(sizes, "id")
+    crowds = near.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / _GROUP_DOCS), F.ceil(F.sum("size") / _GROUP_TEXT)).alias("blocks"))
+    placed = durable(near.join(crowds, "near").select("id", F.xxhash64("near", F.pmod(F.xxhash64("id"), F.col("blocks"))).alias("block")), "blocks")
+    left, right = (placed.select(F.col("id").alias(s), F.col("block").alias(f"block_{s}")) for s in "ab")
+    low, high = F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high")
+    met = durable(pairs.select("a", "b").join(left, "a").join(right, "b").select(low, high, "a", "b"), "met")
+    needed = met.select("low", "high", F.explode(F.array("a", "b")).alias("id")).distinct().join(texts, "id").select("low", "high", "id", F.lit(None).cast("long").alias("other"), "text")
+    rows = needed.unionByName(met.select("low", "high", F.col("a").alias("id"), F.col("b").alias("other"), F.lit(None).cast("string").alias("text")))
+    # Nulls sort first: a group's texts come before its pairs.
+    ordered = rows.repartition(n, "low", "high").sortWithinPartitions("low", "high", "other", "id")
+    return ordered.mapInArrow(_verify(shingle, percent), "a long, b long")
+
+
+def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW, region: int = REGION) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): a row for each row of ``docs``."""
     sketches = durable(sketch(docs, shingle, doc_id, text), "sketches")
     sets = sketches.filter("n_shingles > 0")
-    reps = durable(sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature")), "sets")
-    # Rows of one id with different texts are one document: its sets are linked as they are.
-    pairs = durable(candidates(reps.filter("doc_id is not null"), percent, window), "candidates")
-    texts = durable(texts_of(docs, pairs, doc_id, text), "texts")
+    reps = durable(sets.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("signature").alias("signature")), "sets")
+    named = reps.filter("doc_id is not null")
+    pairs = durable(candidates(named, percent, window), "candidates")
+    texts = durable(texts_of(docs, _ends(pairs), doc_id, text), "texts")
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
     best = both.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
-    first = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
     linked = durable(confirm(first, texts, shingle, percent), "links")
     so_far = components(linked)
     left, right = (so_far.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    rest = pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).join(first, ["a", "b"], "left_anti")
+    rest = durable(pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
     links = durable(linked.unionByName(confirm(rest, texts, shingle, percent)), "links")
     joined = components(links)
-    last = durable(across(reps.filter("doc_id is not null"), joined, percent), "candidates")
-    if not last.isEmpty():
-        more = confirm(last, texts_of(docs, last, doc_id, text), shingle, percent)
-        joined = components(links.unionByName(more))
+    last, more = across(named, joined, docs, shingle, percent, doc_id, text, region)
+    last = durable(last, "candidates")
+    found = confirm(last, durable(texts_of(docs, _ends(last), doc_id, text), "texts"), shingle, percent)
+    joined = components(links.unionByName(found if more is None else found.unionByName(more)))
     to = reps.select("set_key", F.col("doc_id").alias("rep")).join(joined, F.col("rep") == F.col("node"), "left").select("set_key", F.coalesce("component", "rep").alias("of_set"))
     rows = sketches.select("doc_id", "n_shingles", "set_key").join(to, "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("of_set")).otherwise(F.col("doc_id"))
