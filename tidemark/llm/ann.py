@@ -1,10 +1,10 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Vectors are hashed by ``tables`` groups of ``width``-quantised Gaussian projections (2-stable, so
-distances carry over). A query visits, per table, its own bucket and then perturbed buckets: each
-projection may step to the neighbouring cell, and sets of steps are visited in the order of their
-estimated failure (the sum of squared distances to the crossed borders). Candidates of all tables
-are merged and reranked with the exact measure in double precision.
+Vectors are hashed by ``tables`` groups of quantised Gaussian projections (2-stable, so distances
+carry over). A query visits, per table, its own bucket and then perturbed buckets: each projection may
+step to the neighbouring cell, and sets of steps are visited in the order of their estimated failure
+(the sum of squared distances to the crossed borders). Candidates of all tables are merged and ranked
+by the exact measure in double precision.
 
 The measure is the largest inner product. Vectors are scaled by the largest norm and extended by one
 coordinate to unit length (a query by 0), which turns the largest inner product into the smallest
@@ -13,35 +13,53 @@ Euclidean distance, the one p-stable hashing is made for.
 Equal vectors are one class: the class is hashed once, and a query takes from each class its smallest
 ids, as many as it returns plus one for its own row. That is exact, since ties go to smaller ids.
 
-Execution: the index is split by a hash of the vector into blocks of about ``block`` classes, the
-queries into blocks as well, and each pair of blocks is one bounded task that hashes, probes, reranks
-and returns its best rows per query. No pairs leave a task but those.
+Execution: every class is sent to its bucket of each table, every query to the buckets it probes, and
+only what meets in a bucket is scored. A bucket of more than ``BLOCK`` classes is split into blocks,
+its queries go to each of them. A task keeps the best rows of each query it has seen and returns those
+alone; a window merges the tasks' rows.
 
-If fewer than ``top`` candidates are found in a block for a query, probing there goes on until there
-are enough or the block is exhausted.
+Two numbers follow the data. The projections of a table grow with the logarithm of the number of
+classes, so buckets stay small. The number of probes is fitted: for ``SAMPLE`` queries (those with the
+smallest hash of their id, whatever the input) one scan finds the exact neighbours, and the fewest
+probes that reach ``GOAL`` of them are used for all queries, ``MOST_PROBES`` at most.
+
+A query with fewer than ``top`` rows probes on, eight times as many buckets a round, and if all
+``MOST_PROBES`` are visited every block of the index.
 
 Odd cases: vectors that are null, zero, or hold null or non-finite components take no part, neither
-as queries nor as candidates; vectors of another dimension than most rows take no part (the dimension
-is that of the row with the smallest id among the usable ones); equal scores are ordered by id;
-repeated ids stay separate candidates; an empty table gives no rows.
+as queries nor as candidates; nor do vectors of another dimension than the most frequent one (the
+smallest of those that are equally frequent); equal scores are ordered by id; rows that repeat an id
+with one vector are one candidate, with several vectors one for each; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from .common import durable
+from .common import durable, partitions
 
-TABLES = 16
-HASHES = 8
-WIDTH = 1.6
-PROBES = 260
+TABLES = 8
+WIDTH = 2.5
 TOP = 20
 BLOCK = 8_192
 SEED = 7
-RESULT = "query_id long, vec_id long, score double"
+SAMPLE = 64
+GOAL = 0.95
+MOST_PROBES = 1_024
+#: Scored pairs that a task holds before it drops all but the best.
+_HELD = 1_000_000
+FOUND = "query_id long, rep long, score double"
+
+
+def hashes_for(classes: int) -> int:
+    """Projections of a table: half the binary logarithm of the number of classes."""
+    return min(16, max(4, round(math.log2(max(2, classes)) / 2)))
 
 
 def steps(hashes: int, probes: int) -> list[tuple[int, ...]]:
@@ -100,58 +118,237 @@ def probe_keys(hashing: Hashing, spots: np.ndarray, sets: list[tuple[int, ...]])
     return base[:, None] + (table[None] * delta[:, None, :]).sum(axis=2, dtype=np.uint64)
 
 
-def search_block(base: pd.DataFrame, queries: pd.DataFrame, norm: float, hashing: Hashing, sets: list[tuple[int, ...]], top: int) -> pd.DataFrame:
-    """The best rows of one index block for the queries of one query block."""
-    x = np.stack(base["vector"].to_numpy()).astype(np.float64)
-    members = base["ids"].to_numpy()
-    scaled = x / norm
-    rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
-    cells = hashing.keys(np.floor(hashing.project(np.column_stack([scaled, rest]))))
-    # Per table: the block's buckets, and each row's place among them.
-    buckets = [np.unique(cells[:, t], return_inverse=True) for t in range(hashing.tables)]
-    q = np.stack(queries["vector"].to_numpy()).astype(np.float64)
-    lengths = np.linalg.norm(q, axis=1)
-    unit = q / lengths[:, None]
-    spots = hashing.project(np.column_stack([unit, np.zeros(len(q))]))
-    need = min(top + 1, len(x))
-    out_q, out_v, out_s = [], [], []
-    for i, query_id in enumerate(queries["vec_id"].to_numpy()):
-        keys = probe_keys(hashing, spots[i], sets)
-        seen = np.zeros(len(x), dtype=bool)
-        for t, (known, bucket) in enumerate(buckets):
-            spot = np.searchsorted(known, keys[t])
-            spot[spot == len(known)] = 0
-            visited = np.zeros(len(known), dtype=bool)
-            visited[spot[known[spot] == keys[t]]] = True
-            seen |= visited[bucket]
-        at = np.nonzero(seen)[0]
-        if len(at) < need:
-            at = np.arange(len(x))
-        if len(at) > need:
-            # One product for the block finds the cut; all classes that tie with the last one stay, as
-            # their ids decide.
-            rough = (x @ q[i])[at]
-            at = at[rough >= np.partition(rough, len(rough) - need)[len(rough) - need] - 1e-9 * norm * lengths[i]]
-        score = (x[at] * q[i]).sum(axis=1)
-        ids = [members[j] for j in at]
-        sizes = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        ids, score = np.concatenate(ids), np.repeat(score, sizes)
-        own = ids != query_id
-        ids, score = ids[own], score[own]
-        best = np.lexsort((ids, -score))[:top]
-        out_q.append(np.full(len(best), query_id))
-        out_v.append(ids[best])
-        out_s.append(score[best])
-    empty = np.empty(0)
-    return pd.DataFrame({"query_id": np.concatenate(out_q or [empty]).astype(np.int64), "vec_id": np.concatenate(out_v or [empty]).astype(np.int64), "score": np.concatenate(out_s or [empty]).astype(np.float64)})
+
+
+class Search:
+    """What every task needs to know: projections, probing order and the longest norm."""
+
+    def __init__(self, dimension: int, tables: int, hashes: int, width: float, seed: int, norm: float):
+        self.hashing = Hashing(dimension + 1, tables, hashes, width, seed)
+        self.sets = steps(hashes, MOST_PROBES)
+        self.norm = norm
+        self.spread = np.random.default_rng(seed + 1).integers(1, 2**63, tables, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+
+    def buckets(self, x: np.ndarray) -> np.ndarray:
+        """(rows, tables): the bucket of each vector in each table, one number for table and cells."""
+        scaled = x / self.norm
+        rest = np.sqrt(np.maximum(0.0, 1.0 - (scaled * scaled).sum(axis=1)))
+        keys = self.hashing.keys(np.floor(self.hashing.project(np.column_stack([scaled, rest]))))
+        return self._numbers(keys)
+
+    def probes(self, q: np.ndarray, first: int, last: int) -> Iterator[np.ndarray]:
+        """For each query (tables, probes): the buckets it visits, from the ``first`` to before the ``last``."""
+        unit = q / np.linalg.norm(q, axis=1)[:, None]
+        spots = self.hashing.project(np.column_stack([unit, np.zeros(len(q))]))
+        for spot in spots:
+            yield self._numbers(probe_keys(self.hashing, spot, self.sets[:last])[:, first:].T).T
+
+    def _numbers(self, keys: np.ndarray) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(31))) * self.spread
+        return (mixed ^ (mixed >> np.uint64(29))).view(np.int64)
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    """(rows, dimension) in double precision."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+def _repeat(batch: pa.RecordBatch, times: int) -> pa.Array:
+    return pa.array(np.repeat(np.arange(batch.num_rows), times))
+
+
+class Best:
+    """The best ``top`` classes of each query among those offered."""
+
+    def __init__(self, top: int):
+        self.top = top
+        self.number: dict[int, int] = {}
+        self.floor = np.empty(0)
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def floors(self, queries: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        at = np.fromiter((self.number.setdefault(q, len(self.number)) for q in queries), dtype=np.int64, count=len(queries))
+        if len(self.number) > len(self.floor):
+            self.floor = np.concatenate([self.floor, np.full(max(1024, len(self.number)), -np.inf)])
+        return at, self.floor[at]
+
+    def offer(self, at: np.ndarray, reps: np.ndarray, scores: np.ndarray) -> None:
+        self.parts.append((at, reps, scores))
+        self.size += len(at)
+        if self.size > _HELD:
+            self.cut()
+
+    def cut(self) -> None:
+        if not self.parts:
+            return
+        at, reps, scores = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        order = np.lexsort((reps, -scores, at))
+        at, reps, scores = at[order], reps[order], scores[order]
+        # A class met in several tables stands side by side: its scores are equal.
+        keep = np.ones(len(at), dtype=bool)
+        keep[1:] = (at[1:] != at[:-1]) | (reps[1:] != reps[:-1])
+        at, reps, scores = at[keep], reps[keep], scores[keep]
+        first = np.searchsorted(at, at, side="left")
+        rank = np.arange(len(at)) - first
+        last = rank == self.top - 1
+        self.floor[at[last]] = scores[last]
+        keep = rank < self.top
+        self.parts = [(at[keep], reps[keep], scores[keep])]
+        self.size = int(keep.sum())
+
+    def batches(self) -> Iterator[pa.RecordBatch]:
+        self.cut()
+        names = np.fromiter(self.number.keys(), dtype=np.int64, count=len(self.number))
+        for at, reps, scores in self.parts:
+            for lo in range(0, len(at), 50_000):
+                part = slice(lo, lo + 50_000)
+                yield pa.RecordBatch.from_arrays([pa.array(names[at[part]]), pa.array(reps[part]), pa.array(scores[part])], names=["query_id", "rep", "score"])
+
+
+def _score(best: Best, reps: np.ndarray, x: np.ndarray, queries: list[int], q: np.ndarray) -> None:
+    most, step = np.sqrt((x * x).sum(axis=1).max()), max(1, 1_000_000 // len(x))
+    for first in range(0, len(q), step):
+        part = q[first : first + step]
+        at, floor = best.floors(queries[first : first + step])
+        # One product finds what may be among the best, then each score is summed up by itself.
+        slack = 1e-9 * np.linalg.norm(part, axis=1) * most
+        i, j = np.nonzero(part @ x.T >= (floor - slack)[:, None])
+        for lo in range(0, len(i), 100_000):
+            a, b = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            best.offer(at[a], reps[b], (part[a] * x[b]).sum(axis=1))
+
+
+def meet(top: int):
+    """The best classes of each query from rows (bucket, block, query_id, id, vector) sorted by bucket and
+    block, the classes (null query_id, their smallest id) before the queries. A block's classes are held."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = Best(top)
+        key, reps, held = None, [], []
+        ready: tuple[np.ndarray, np.ndarray] | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            bucket, block = (batch.column(i).to_numpy() for i in (0, 1))
+            asks = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
+            ids, x = batch.column(3).to_numpy(), _vectors(batch.column(4))
+            new = (np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)
+            cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), len(bucket)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                this = int(bucket[lo]), int(block[lo])
+                if this != key:
+                    key, reps, held, ready = this, [], [], None
+                if not asks[lo]:
+                    reps.append(ids[lo:hi])
+                    held.append(x[lo:hi].copy())
+                elif held:
+                    if ready is None:
+                        ready = np.concatenate(reps), np.concatenate(held)
+                    _score(best, *ready, ids[lo:hi].tolist(), x[lo:hi])
+        yield from best.batches()
+
+    return walk
 
 
 def usable(vectors: DataFrame, vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """(vec_id, vector): finite vectors without nulls, not zero."""
-    v = F.col(vector).cast("array<double>")
-    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("vector"))
+    """(vec_id, vector): finite vectors without nulls, not zero, of the most frequent dimension."""
+    rows = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(vector).alias("vector"))
+    if dict(rows.dtypes)["vector"] not in ("array<float>", "array<double>"):
+        rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf")))
-    return rows.filter("vec_id is not null and vector is not null").filter(~F.exists("vector", bad)).filter(F.exists("vector", lambda x: x != 0))
+    rows = rows.filter("vec_id is not null and vector is not null").filter(~F.exists("vector", bad)).filter(F.exists("vector", lambda x: x != 0))
+    sizes = rows.groupBy(F.size("vector").alias("size")).count().orderBy(F.col("count").desc(), "size").first()
+    return rows.filter(F.size("vector") == (sizes["size"] if sizes else 0))
+
+
+def _nearest_of_sample(classes: DataFrame, sample: list, search: Broadcast, top: int) -> list:
+    """(query_id, buckets): the buckets of the exact nearest classes of a few queries."""
+    ids, q = [r["vec_id"] for r in sample], np.array([r["vector"] for r in sample], dtype=np.float64)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best, known = Best(top + 1), {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            reps, x = batch.column(0).to_numpy(), _vectors(batch.column(1))
+            _score(best, reps, x, ids, q)
+            best.cut()
+            kept = set(best.parts[0][1].tolist())
+            at = [i for i, r in enumerate(reps.tolist()) if r in kept]
+            for i, row in zip(at, search.value.buckets(x[at]) if at else ()):
+                known[int(reps[i])] = row
+            known = {k: v for k, v in known.items() if k in kept}
+        for batch in best.batches():
+            rows = [known[r].tolist() for r in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, pa.list_(pa.int64()))], names=["query_id", "rep", "score", "buckets"])
+
+    found = classes.select("rep", "vector").mapInArrow(scan, FOUND + ", buckets array<long>")
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "rep")
+    return found.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= top + 1).select("query_id", "rep", "buckets").collect()  # SAMPLE x (top + 1) rows
+
+
+def fitted_probes(classes: DataFrame, asked: DataFrame, search: Broadcast, top: int, goal: float = GOAL, sample: int = SAMPLE) -> int:
+    """The fewest probes by which ``goal`` of the exact neighbours of ``sample`` queries are met."""
+    few = asked.orderBy(F.xxhash64("vec_id", F.lit("sample")), "vec_id").limit(sample).collect()
+    if not few:
+        return 1
+    rank: list[int] = []
+    own = {r["vec_id"]: np.array([r["vector"]], dtype=np.float64) for r in few}
+    visits = {k: next(search.value.probes(v, 0, MOST_PROBES)) for k, v in own.items()}
+    for row in _nearest_of_sample(classes, few, search, top):
+        if row["rep"] != row["query_id"]:
+            hit = visits[row["query_id"]] == np.array(row["buckets"], dtype=np.int64)[:, None]
+            rank.append(int(hit.any(axis=0).argmax()) + 1 if hit.any() else MOST_PROBES)
+    rank.sort()
+    return rank[max(0, math.ceil(goal * len(rank)) - 1)] if rank else 1
+
+
+def _dealt_classes(classes: DataFrame, search: Broadcast, whole: bool = True) -> DataFrame:
+    """(bucket, id, vector), or the bucket alone: a row for each table."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(lo, 2_000) for lo in range(0, batch.num_rows, 2_000)):
+                buckets = search.value.buckets(_vectors(part.column(1)))
+                if not whole:
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1))], names=["bucket"])
+                    continue
+                at = _repeat(part, buckets.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(buckets.reshape(-1)), part.column(0).take(at), part.column(1).take(at)], names=["bucket", "id", "vector"])
+
+    kind = dict(classes.dtypes)["vector"]
+    return classes.select("rep", "vector").mapInArrow(deal, f"bucket long, id long, vector {kind}" if whole else "bucket long")
+
+
+def _dealt_queries(asked: DataFrame, search: Broadcast, first: int, last: int) -> DataFrame:
+    """(bucket, id, vector): a row for each bucket a query visits."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(lo, 500) for lo in range(0, batch.num_rows, 500)):
+                buckets = [np.unique(b) for b in search.value.probes(_vectors(part.column(1)), first, last)]
+                at = pa.array(np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), part.column(0).take(at), part.column(1).take(at)], names=["bucket", "id", "vector"])
+
+    kind = dict(asked.dtypes)["vector"]
+    return asked.select("vec_id", "vector").mapInArrow(deal, f"bucket long, id long, vector {kind}")
+
+
+def _large(buckets: DataFrame, block: int) -> DataFrame:
+    """(bucket, blocks): the buckets of more than ``block`` classes."""
+    sizes = buckets.groupBy("bucket").count().filter(F.col("count") > block)
+    return durable(sizes.select("bucket", F.ceil(F.col("count") / block).cast("long").alias("blocks")), "buckets")
+
+
+def _round(dealt: DataFrame, large: DataFrame, asked: DataFrame, top: int) -> DataFrame:
+    """(query_id, rep, score) of what meets."""
+    n = partitions(dealt.sparkSession)
+    one = F.coalesce(F.col("blocks"), F.lit(1))
+    base = dealt.join(large, "bucket", "left").select("bucket", F.pmod(F.xxhash64("id"), one).alias("block"), F.lit(None).cast("long").alias("query_id"), "id", "vector")
+    spread = asked.join(large, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("block"), F.col("id").alias("query_id"), "id", "vector")
+    rows = base.unionByName(spread).repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", F.col("query_id").asc_nulls_first())
+    return rows.mapInArrow(meet(top + 1), FOUND)
 
 
 def search(
@@ -159,44 +356,60 @@ def search(
     every: int = 20,
     top: int = TOP,
     tables: int = TABLES,
-    hashes: int = HASHES,
+    hashes: int | None = None,
     width: float = WIDTH,
-    probes: int = PROBES,
+    probes: int | None = None,
     block: int = BLOCK,
     seed: int = SEED,
     vec_id: str = "vec_id",
     vector: str = "embedding",
 ) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id ``every`` divides, its nearest others."""
+    """(query_id, rank, vec_id, score): for each row whose id ``every`` divides, its nearest others.
+
+    ``hashes`` and ``probes`` follow from the data unless they are given.
+    """
+    spark = vectors.sparkSession
     rows = usable(vectors, vec_id, vector)
-    first = rows.agg(F.min_by(F.size("vector"), "vec_id").alias("d")).first()["d"] or 1
-    rows = rows.filter(F.size("vector") == first)
-    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))
     # A class keeps the smallest ids only: as many as can be returned, and the query's own. They are
     # found by rank within parts of a class first, so a class of any size is summed up in parallel.
     parts = rows.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(64)))
-    keep = lambda c: F.slice(F.array_sort(c), 1, top + 1)
-    small = _smallest(parts, top + 1)
-    classes = small.groupBy("vector").agg(keep(F.flatten(F.collect_list("ids"))).alias("ids"))
-    classes = durable(classes.withColumn("norm", length), "classes")
-    stats = classes.agg(F.count("*").alias("n"), F.max("norm").alias("norm")).first()
-    asked = rows.filter(F.col("vec_id") % every == 0)
-    n_queries = asked.select("vec_id").count()
-    n_base, n_asked = max(1, -(-stats["n"] // block)), max(1, -(-n_queries // block))
-    norm = stats["norm"] or 1.0
-    base = classes.select("vector", "ids", F.pmod(F.xxhash64("vector"), F.lit(n_base)).alias("bb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_asked - 1).cast("long"))).alias("qb"))
-    asked = asked.select("vec_id", "vector", F.pmod(F.xxhash64("vec_id"), F.lit(n_asked)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_base - 1).cast("long"))).alias("bb"))
-
-    def pair(_, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-        hashing = Hashing(first + 1, tables, hashes, width, seed)
-        return search_block(left, right, norm, hashing, steps(hashes, probes), top)
-
-    found = base.groupBy("bb", "qb").cogroup(asked.groupBy("bb", "qb")).applyInPandas(pair, RESULT)
-    # Best rows over all blocks; each query has at most top rows from each.
-    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
+    keep = F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))), 1, top + 1)
+    classes = _smallest(parts, top + 1).groupBy("vector").agg(keep.alias("ids"))
+    classes = durable(classes.withColumn("rep", F.col("ids")[0]), "classes")
+    length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    stats = classes.agg(F.count("*").alias("n"), F.max(length).alias("norm"), F.first(F.size("vector")).alias("d")).first()
+    asked = durable(rows.filter(F.col("vec_id") % every == 0).distinct(), "asked")
+    held = spark.sparkContext.broadcast(Search(stats["d"] or 1, tables, hashes or hashes_for(stats["n"]), width, seed, stats["norm"] or 1.0))
+    probes = probes or fitted_probes(classes, asked, held, top)
+    dealt, large = _dealt_classes(classes, held), _large(_dealt_classes(classes, held, False), block)
+    order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "rep")
+    found, left, first, last = None, asked, 0, min(probes, MOST_PROBES)
+    while True:
+        if first < MOST_PROBES:
+            more = _round(dealt, large, _dealt_queries(left, held, first, last), top)
+        else:
+            # Every block of the index, as buckets of their own.
+            n_blocks = max(1, -(-stats["n"] // block))
+            base = classes.select(F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).alias("bucket"), F.col("rep").alias("id"), "vector")
+            every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
+            more = _round(base, large.limit(0), left.select(every_block.alias("bucket"), F.col("vec_id").alias("id"), "vector"), top)
+        more = more if found is None else more.unionByName(found)
+        # Equal rows of several tasks have one rank.
+        best = more.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= top + 1)
+        found = durable(best.groupBy("query_id", "rep").agg(F.first("score").alias("score")), "found")
+        # Queries with fewer rows than they could have.
+        enough = found.groupBy(F.col("query_id").alias("vec_id")).count().filter(F.col("count") >= min(top + 1, stats["n"] or 0)).select("vec_id")
+        if first >= MOST_PROBES:
+            break
+        left = durable(left.join(enough, "vec_id", "left_anti"), "left")
+        if left.isEmpty():
+            break
+        first, last = last, min(8 * last, MOST_PROBES)
+    # Of the rows of classes, those of the smallest ids; the query's own row goes.
+    many = classes.filter(F.size("ids") > 1).select("rep", "ids")
+    out = found.join(many, "rep", "left").select("query_id", F.explode(F.coalesce("ids", F.array("rep"))).alias("vec_id"), "score").filter("vec_id <> query_id")
+    ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")))
+    return ranked.filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
 def _smallest(parts: DataFrame, n: int) -> DataFrame:
