@@ -37,8 +37,17 @@ def test_links_equal_sql(spark):
         (4, "https://d.example.org/fr/4", page.format("https://c.example.org/en/3")),
         (5, "https://e.example.org/en/5", '<meta http-equiv="refresh" content="0; url=/en/6">'),
         (6, "https://e.example.org/en/6", page.format("https://example.com/de/9")),
-        (7, "no scheme", None),
+        (7, "no scheme", page.format("z")),
         (8, None, "<p>"),
+        (9, "https://f.example.org/en/x/9?q=1", page.format("../../de/./b/../9?k=2")),
+        (10, "https://f.example.org/de/9?k=2", '<LINK href=z REL="alternate Canonical">'),
+        (11, "https://f.example.org/de/z", "<link rel='canonical' href='//Example.com/de/x/..'>"),
+        (12, "https://g.example.org", '<meta content="1; URL=?login=http://h.net/" http-equiv=refresh>'),
+        (13, "https://g.example.org?login=http://h.net/", page.format("#top")),
+        (14, "https://g.example.org/a/b/", page.format("..")),
+        (15, "https://g.example.org/a/", page.format("/a/../b/.")),
+        (16, "https://g.example.org/b/", page.format("mailto:x@b.net")),
+        (17, "https://k.example.org/", '<link data-rel="canonical" href="http://b.net/"><link rel="canonical2" href="http://b.net/">'),
     ]
     pages = spark.createDataFrame(data, "page_id long, url string, html string")
     con = duckdb.connect()
@@ -46,7 +55,10 @@ def test_links_equal_sql(spark):
     con.executemany("INSERT INTO pages VALUES (?, ?, ?)", data)
     same(url_filter.judge(pages), con, sql.OP3)
     verdicts = {r["page_id"]: r["verdict"] for r in url_filter.judge(pages).collect()}
-    assert verdicts == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow"}
+    assert verdicts == {1: "allow", 2: "block", 3: "allow", 4: "allow", 5: "block", 6: "block", 7: "allow", 8: "allow", 9: "block", 10: "block", 11: "block", 12: "allow", 13: "allow", 14: "allow", 15: "allow", 16: "allow", 17: "allow"}
+    component = {r["page_id"]: r["component"] for r in url_filter.judge(pages).collect()}
+    assert component[9] == component[10] == component[11] and component[12] == component[13] and component[14] == component[15] == component[16] and component[17] is None
+    assert rows(url_filter.judge(pages, compiled=0).collect()) == rows(url_filter.judge(pages).collect())
 
 
 def test_odd_documents_equal_sql(spark):

@@ -18,18 +18,33 @@ _RULE = """CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) A
 _SAID = "CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IN ('net/', 'example.com/de/') THEN 'block' END"
 _KEY = "CASE WHEN regexp_extract({0}, '^([^/?#]*://)', 1) = '' THEN {0} ELSE regexp_extract({0}, '^([^/?#]*://)', 1) || " + _HOST + " || regexp_extract({0}, '^[^/?#]*://[^/?#]*([^#]*)', 1) END"
 
+_VALUE = """(?:"([^"]*)"|''([^'']*)''|([^\\x20\\t\\n\\r\\f"''>]+))"""
+
+
+def _attribute(name: str) -> str:
+    pattern = f"""(?i)[\\x20\\t\\n\\r\\f"''/]{name}[\\x20\\t\\n\\r\\f]*=[\\x20\\t\\n\\r\\f]*{_VALUE}"""
+    return "(" + " || ".join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+
+
+_NO_DOTS = """(list_reduce(str_split({0}, '/')[2:], lambda held, x: CASE x WHEN '.' THEN held WHEN '..' THEN regexp_replace(held, '/[^/]*$', '') ELSE held || '/' || x END, '')
+        || CASE WHEN str_split({0}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END)"""
+
 OP3 = f"""
 WITH RECURSIVE tags AS (
-    SELECT url AS a, unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>') || regexp_extract_all(html, '(?i)<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>')) AS tag
+    SELECT url AS a, unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*>') || regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS tag
     FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
 named AS (
-    SELECT a, CASE WHEN regexp_matches(tag, '(?i)^<link') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 1)
-        || regexp_extract(tag, '(?i)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 2) || regexp_extract(tag, '(?i)\\bhref\\s*=\\s*(?:"([^"]*)"|''([^'']*)''|([^\\s"''>]+))', 3)
-        ELSE regexp_extract(tag, '(?i)\\burl\\s*=\\s*[''"]?([^"''>\\s]+)', 1) END AS t FROM tags),
+    SELECT a, trim(replace(CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower({_attribute("rel")}), '[\\x20\\t\\n\\r\\f]+'), 'canonical') THEN {_attribute("href")}
+        WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_attribute("http-equiv")}) = 'refresh' THEN regexp_extract(tag, '(?i)\\burl[\\x20\\t\\n\\r\\f]*=[\\x20\\t\\n\\r\\f]*[''"]?([^"''>\\x20\\t\\n\\r\\f]+)', 1) END, '&amp;', '&')) AS t FROM tags),
+parts AS (
+    SELECT a, t, regexp_extract(a, '^([^/?#]*:)//', 1) AS scheme, regexp_extract(a, '^([^/?#]*://[^/?#]*)', 1) AS root, regexp_extract(a, '^[^/?#]*://[^/?#]*([^?#]*)', 1) AS p,
+        regexp_extract(t, '^([^?#]*)', 1) AS own, regexp_extract(t, '^[^?#]*(.*)$', 1) AS tail FROM named WHERE t <> ''),
+folders AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || own AS under FROM parts),
 full_url AS (
-    SELECT a, trim(replace(CASE WHEN contains(t, '://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(a, '^([^/?#]*:)//', 1) || t
-        WHEN starts_with(t, '/') THEN regexp_extract(a, '^([^/?#]*://[^/?#]*)', 1) || t END, '&amp;', '&')) AS b FROM named),
-edges AS (SELECT DISTINCT {_KEY.format("a")} AS a, {_KEY.format("b")} AS b FROM full_url WHERE b <> ''),
+    SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN root = '' THEN NULL WHEN starts_with(t, '//') THEN scheme || t
+        WHEN starts_with(t, '/') THEN root || {_NO_DOTS.format("own")} || tail WHEN starts_with(t, '?') THEN root || p || t WHEN starts_with(t, '#') THEN a
+        ELSE root || {_NO_DOTS.format("under")} || tail END AS b FROM folders),
+edges AS (SELECT DISTINCT {_KEY.format("a")} AS a, {_KEY.format("b")} AS b FROM full_url WHERE b IS NOT NULL),
 links AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),
 member AS (SELECT node, min(other) AS component FROM reach GROUP BY 1),

@@ -1,15 +1,22 @@
 """URL rules with redirect equivalence.
 
 A rule (host, path, action) fits its host and all subdomains if the url's path starts with the
-rule's path; the longest fitting rule (host and path together) decides. Where no rule fits, the url
-takes part in redirect equivalence: redirects and canonical links found in pages join urls into
-components; if any url of a component is blocked by a rule, and none is allowed by one, its members
-without a rule are blocked too. An explicit allow therefore wins twice: over shorter block rules of
-its own url, and over decisions that would arrive through aliases.
-
-Odd cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is
-allowed; a null page body has no links; repeated rows are judged alike, each on its own row; an
-empty table gives no rows.
+rule's path; the longest fitting rule (host and path together; of equally long ones the first in the
+list) decides. Where no rule fits, the url takes part in redirect equivalence: redirects and canonical
+links found in pages join urls into components; if any url of a component is blocked by a rule, and none
+is allowed by one, its members without a rule are blocked too. An explicit allow therefore wins twice:
+over shorter block rules of its own url, and over decisions that would arrive through aliases.
+
+Links are ``<link>`` tags with the word canonical in ``rel`` and ``<meta>`` tags with ``http-equiv``
+refresh, anywhere in a page. Targets are resolved against the page's url as RFC 3986 says (scheme at the
+start, ``//``, ``/``, ``?``, relative paths with ``.`` and ``..``); ``<base>`` is not followed.
+
+Up to ``COMPILED`` rules are part of the plan. More are a table: a url's host gives all its suffixes, and
+those are joined with the rules' hosts.
+
+Odd cases: a null url, or one without ``://``, has an empty host and path, fits no rule and is allowed
+unless an alias is blocked; its relative links can't be resolved and are none; a null page body has no
+links; repeated rows are judged alike, each on its own row; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,18 +25,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import ASCII_LOWER, ASCII_UPPER, durable
+from .common import ASCII_LOWER, ASCII_UPPER, durable, unused_name
 from .components import components
 
 Rule = tuple[str, str, str]
 #: (host, path, action)
 RULES: tuple[Rule, ...] = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-#: Rules are compiled into the plan, so their number is bounded.
-MOST_RULES = 5_000
-_CANONICAL = r"""(?i)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
-_REFRESH = r"""(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_HREF = r"""(?i)\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-_TARGET = r"""(?i)\burl\s*=\s*['"]?([^"'>\s]+)"""
+COMPILED = 200
+_LINK, _META = r"(?i)<link\b[^>]*>", r"(?i)<meta\b[^>]*>"
+_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\x20\t\n\r\f"'>]+))"""
+_ATTRIBUTE = r"""(?i)[\x20\t\n\r\f"'/]{}[\x20\t\n\r\f]*=[\x20\t\n\r\f]*""" + _VALUE
+_TARGET = r"""(?i)\burl[\x20\t\n\r\f]*=[\x20\t\n\r\f]*['"]?([^"'>\x20\t\n\r\f]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -41,25 +47,76 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def matched_rule(host: Column, path: Column, rules: Sequence[Rule]) -> Column:
-    """The longest fitting rule as ``host`` + ``path``, or null; ties go to the first in the list."""
-    out = F.lit(None).cast("string")
-    # Shortest last, so the longest is tested first.
-    for rule_host, rule_path, _ in sorted(rules, key=lambda r: len(r[0] + r[1])):
+    """The longest fitting rule as a struct (rule, action), or null; ties go to the first in the list."""
+    out = F.lit(None).cast("struct<rule:string,action:string>")
+    # The last one wrapped is tested first: the longest, and of those the first.
+    for _, (rule_host, rule_path, action) in sorted(enumerate(rules), key=lambda r: (len(r[1][0] + r[1][1]), -r[0])):
         fits = ((host == rule_host) | host.endswith("." + rule_host)) & path.startswith(rule_path)
-        out = F.when(fits, F.lit(rule_host + rule_path)).otherwise(out)
+        out = F.when(fits, F.struct(F.lit(rule_host + rule_path).alias("rule"), F.lit(action).alias("action"))).otherwise(out)
     return out
 
 
+def with_rule(rows: DataFrame, rules: Sequence[Rule], compiled: int = COMPILED) -> DataFrame:
+    """``rows`` (with host and path) and its ``rule`` and what that ``said``."""
+    if len(rules) <= compiled:
+        found = unused_name(rows, "found")
+        both = rows.withColumn(found, matched_rule(F.col("host"), F.col("path"), rules))
+        return both.withColumns({"rule": F.col(found)["rule"], "said": F.col(found)["action"]}).drop(found)
+    listed = rows.sparkSession.createDataFrame([(i, *r) for i, r in enumerate(rules)], "number long, rule_host string, rule_path string, action string")
+    places = rows.select("host", "path").distinct()
+    parts = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    each = places.withColumn("suffix", F.explode(suffixes))
+    met = each.join(listed, F.col("suffix") == F.col("rule_host")).filter(F.col("path").startswith(F.col("rule_path")))
+    name = F.concat("rule_host", "rule_path")
+    best = met.groupBy("host", "path").agg(F.max_by(F.struct(name.alias("rule"), "action"), F.struct(F.length(name), -F.col("number"))).alias("best"))
+    best = best.select(F.col("host").alias("best_host"), F.col("path").alias("best_path"), F.col("best")["rule"].alias("rule"), F.col("best")["action"].alias("said"))
+    return rows.join(best, (F.col("host") == F.col("best_host")) & (F.col("path") == F.col("best_path")), "left").drop("best_host", "best_path")
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    return F.concat(*[F.regexp_extract(tag, _ATTRIBUTE.format(name), i) for i in (1, 2, 3)])
+
+
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, without the segments ``.`` and ``..``."""
+    parts = F.split(path, "/")
+    grown = F.aggregate(
+        F.slice(parts, 2, F.size(parts)),
+        F.lit(""),
+        lambda held, x: F.when(x == ".", held).when(x == "..", F.regexp_replace(held, "/[^/]*$", "")).otherwise(F.concat(held, F.lit("/"), x)),
+    )
+    return F.concat(grown, F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(base: Column, target: Column) -> Column:
+    """``target`` as an absolute url; null if ``base`` has no ``://`` and the target needs it."""
+    scheme = F.regexp_extract(base, r"^([^/?#]*:)//", 1)
+    root = F.regexp_extract(base, r"^([^/?#]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[^/?#]*://[^/?#]*([^?#]*)", 1)
+    own, tail = F.regexp_extract(target, r"^([^?#]*)", 1), F.regexp_extract(target, r"^[^?#]*(.*)$", 1)
+    folder = F.when(path == "", F.lit("/")).otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(root == "", F.lit(None).cast("string"))
+        .when(target.startswith("//"), F.concat(scheme, target))
+        .when(target.startswith("/"), F.concat(root, _without_dots(own), tail))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(target.startswith("#") | (target == ""), base)
+        .otherwise(F.concat(root, _without_dots(F.concat(folder, own)), tail))
+    )
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(a, b): a page's url and the url its canonical link or its refresh names, if any."""
-    tags = F.concat(F.regexp_extract_all(F.col(html), F.lit(_CANONICAL), F.lit(0)), F.regexp_extract_all(F.col(html), F.lit(_REFRESH), F.lit(0)))
+    """(a, b): a page's url and each url its canonical links and refreshes name."""
+    tags = F.concat(F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(0)), F.regexp_extract_all(F.col(html), F.lit(_META), F.lit(0)))
     found = pages.filter(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("a"), F.explode(tags).alias("tag"))
-    href = F.concat(*[F.regexp_extract("tag", _HREF, i) for i in (1, 2, 3)])
-    target = F.when(F.col("tag").rlike("(?i)^<link"), href).otherwise(F.regexp_extract("tag", _TARGET, 1))
-    root = F.regexp_extract("a", r"^([^/?#]*://[^/?#]*)", 1)
-    scheme = F.regexp_extract("a", r"^([^/?#]*:)//", 1)
-    absolute = F.when(target.contains("://"), target).when(target.startswith("//"), F.concat(scheme, target)).when(target.startswith("/"), F.concat(root, target))
-    return found.select("a", F.trim(F.replace(absolute, F.lit("&amp;"), F.lit("&"))).alias("b")).filter("b <> ''")
+    words = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"[\x20\t\n\r\f]+")
+    canonical = F.col("tag").rlike("(?i)^<link") & F.array_contains(words, "canonical")
+    refresh = F.col("tag").rlike("(?i)^<meta") & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
+    named = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract("tag", _TARGET, 1))
+    target = F.trim(F.replace(named, F.lit("&amp;"), F.lit("&")))
+    return found.select("a", target.alias("t")).filter("t <> ''").select("a", resolved(F.col("a"), F.col("t")).alias("b")).filter("b is not null")
 
 
 def url_key(url: Column) -> Column:
@@ -70,21 +127,14 @@ def url_key(url: Column) -> Column:
     return F.when(start == "", url).otherwise(F.concat(start, host, tail))
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str | None = "html") -> DataFrame:
+def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame | None = None, page_id: str = "page_id", url: str = "url", html: str | None = "html", compiled: int = COMPILED) -> DataFrame:
     """(page_id, host, path, rule, verdict, component): a row for each page.
 
     ``redirects`` (a, b) adds known redirects to the links found in the pages.
     """
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"{len(rules)} rules; the plan holds at most {MOST_RULES}")
     host, path = host_and_path(F.col("url"))
-    action = {h + p: a for h, p, a in reversed(rules)}
     own = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url")).withColumn("host", host).withColumn("path", path)
-    own = own.withColumn("rule", matched_rule(F.col("host"), F.col("path"), rules))
-    verdict = F.lit(None).cast("string")
-    for name, what in action.items():
-        verdict = F.when(F.col("rule") == name, F.lit(what)).otherwise(verdict)
-    own = own.withColumn("said", verdict)
+    own = with_rule(own, rules, compiled)
 
     edges = link_edges(pages, url, html) if html is not None else None
     if redirects is not None:
@@ -95,12 +145,9 @@ def judge(pages: DataFrame, rules: Sequence[Rule] = RULES, redirects: DataFrame
     edges = durable(edges.select(url_key(F.col("a")).alias("a"), url_key(F.col("b")).alias("b")).distinct(), "links")
     member = components(edges)
     # The decisions of a component come from every url in it, also from those that are not pages.
-    node_host, node_path = host_and_path(F.col("node"))
-    ruled = member.withColumn("rule", matched_rule(node_host, node_path, rules))
-    node_said = F.lit(None).cast("string")
-    for name, what in action.items():
-        node_said = F.when(F.col("rule") == name, F.lit(what)).otherwise(node_said)
-    decided = ruled.groupBy("component").agg(F.max((node_said == "block").cast("int")).alias("blocked"), F.max((node_said == "allow").cast("int")).alias("allowed"))
+    host, path = host_and_path(F.col("node"))
+    ruled = with_rule(member.withColumn("host", host).withColumn("path", path), rules, compiled)
+    decided = ruled.groupBy("component").agg(F.max((F.col("said") == "block").cast("int")).alias("blocked"), F.max((F.col("said") == "allow").cast("int")).alias("allowed"))
     spread = member.join(decided, "component").select(F.col("node").alias("key"), "component", ((F.coalesce("blocked", F.lit(0)) == 1) & (F.coalesce("allowed", F.lit(0)) == 0)).alias("by_alias"))
     joined = own.withColumn("key", url_key(F.col("url"))).join(spread, "key", "left")
     final = F.coalesce("said", F.when(F.col("by_alias"), F.lit("block")), F.lit("allow"))
