@@ -12,7 +12,8 @@ Scored kinds, added where their score reaches ``THRESHOLD``:
 * card: 13 digits that pass Luhn, and phone, national id: bare digit groups; these need a context
   word within ``NEAR`` characters.
 
-A span overlapping an accepted one of a kind listed before it is not added. Positions are code points, end exclusive.
+Of proposals that overlap, the one with the higher score is added (then the earlier one, then by kind),
+and none that overlaps a base span. Positions are code points, end exclusive.
 
 Odd cases: a null text counts as empty; the empty text has no spans; repeated rows are searched
 alike; an empty table gives no rows. All patterns take time in proportion to the text: runs are
@@ -21,6 +22,7 @@ matched possessively and e-mail addresses are found from their ``@``.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 from collections.abc import Iterator
@@ -86,7 +88,8 @@ def base_spans(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
                 end = m.end()
     if _DIGIT.search(text):
         for m in _IP.finditer(text):
-            if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split(".")):
+            # Leading zeros go before a part is read as a number: a run of digits may be very long.
+            if all(len(p) <= 3 and int(p or "0") <= 255 for p in (q.lstrip("0") for q in m.group().split("."))):
                 found.append(("ip", m.start(), m.end()))
         for m in _CARD.finditer(text):
             if m.end() - m.start() >= 14:
@@ -113,17 +116,18 @@ def scored_spans(text: str, base: list[Span], failed: list[tuple[int, int]]) ->
     out: list[tuple[Span, float]] = []
     if not _DIGIT.search(text):
         return out
-    starts = {s for k, s, _ in base if k == "card"}
+    starts = [s for k, s, _ in base if k == "card"]
     for m in _CARD.finditer(text):
         if m.end() - m.start() > 19 and len(_digits(m.group())) > 19:
             for run in _RUN.finditer(m.group()):
                 if 14 <= len(run.group()) <= 19 and luhn(run.group()):
                     at = m.start() + run.start()
                     out.append((("card", at, m.start() + run.end()), 0.8))
-                    starts.add(at)
+                    starts.append(at)
+    starts.sort()
     for start, end in failed:
         # A phone number run into another span: what stands before that span is tried by itself.
-        for at in sorted(s for s in starts if start < s < end):
+        for at in starts[bisect.bisect_right(starts, start) : bisect.bisect_left(starts, end)]:
             head = text[start:at].rstrip(" ().-")
             if 10 <= len(_digits(head)) <= 15:
                 out.append((("phone", start, start + len(head)), 0.7))
@@ -142,12 +146,37 @@ def scored_spans(text: str, base: list[Span], failed: list[tuple[int, int]]) ->
     return out
 
 
+class _Taken:
+    """Stretches of a text that spans cover, apart from each other and in order."""
+
+    def __init__(self, found: list[Span]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in found:
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def add(self, span: Span) -> bool:
+        """Takes the span if it is free."""
+        _, start, end = span
+        at = bisect.bisect_right(self.starts, start)
+        if at and self.ends[at - 1] > start or at < len(self.starts) and self.starts[at] < end:
+            return False
+        self.starts.insert(at, start)
+        self.ends.insert(at, end)
+        return True
+
+
 def spans(text: str | None, threshold: float = THRESHOLD) -> tuple[list[Span], list[Span]]:
     """(base spans, all spans), each by start and then kind."""
     base, failed = base_spans(text or "")
-    held = list(base)
-    for span, score in scored_spans(text or "", base, failed):
-        if score >= threshold and not any(s < span[2] and span[1] < e for _, s, e in held):
+    held, taken = list(base), _Taken(base)
+    # Best score first; the base stays whatever overlaps it.
+    for span, score in sorted(scored_spans(text or "", base, failed), key=lambda x: (-x[1], x[0][1], KINDS.index(x[0][0]), x[0][2])):
+        if score >= threshold and taken.add(span):
             held.append(span)
     held.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return base, held
