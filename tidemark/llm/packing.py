@@ -6,10 +6,13 @@ so the plan is made on the driver from that bounded histogram, whatever the numb
 * a best-fit decreasing packing of the histogram is the incumbent;
 * if it uses more bins than the lower bound, bin completion searches for a better one: around the
   longest piece left, the undominated fillings of the remaining room are tried, least waste first; a
-  branch is left when the waste so far cannot beat the incumbent. A filling is applied to as many
-  bins at once as the counts allow. The search ends at the lower bound or after ``nodes`` steps, or
-  ``NODES_A_LENGTH`` steps for each distinct length if that is more (one full packing needs about one
-  for each), and keeps the best packing found.
+  branch is left when the waste so far cannot beat the incumbent. The search ends at the lower bound.
+
+``Limits`` bound the search: a filling is applied to as many bins at once as the counts allow, at most
+``fillings`` fillings are tried around a piece, found in ``steps`` steps, and the search ends after
+``nodes`` of them, or ``nodes_a_length`` for each distinct length if that is more (one full packing needs
+about one for each). The best packing found is kept, best fit at least. With ``EXACT`` there are no limits
+and the packing is as short as any, in time that is exponential in the number of lengths.
 
 The plan is a list of (filling, number of bins). Pieces are then ranked within their length, in
 parallel (ranks within small cells plus the cells' offsets), and a piece's length and rank tell its
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,16 +36,28 @@ from .common import durable, partitions
 from .tokens import encoder
 
 CAPACITY = 2048
-NODES = 1_000
-NODES_A_LENGTH = 3
-#: Undominated fillings tried around one piece, best first.
-FILLINGS = 8
 CELLS = 64
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 Plan = list[tuple[tuple[int, ...], int]]
 
 
+@dataclass(frozen=True)
+class Limits:
+    """Bounds of the search; None is no bound."""
+
+    nodes: int | None = 1_000
+    nodes_a_length: int = 3
+    fillings: int | None = 8
+    steps: int | None = 400
+    #: Whether a filling is also tried on fewer bins than it could fill.
+    fewer: bool = False
+
+
+LIMITS = Limits()
+EXACT = Limits(None, 0, None, None, True)
+
+
 def lower_bound(counts: dict[int, int], capacity: int) -> int:
     """Bins any packing needs: by total length, and by pieces that leave no room for each other."""
     total = sum(s * n for s, n in counts.items())
@@ -93,15 +109,15 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> Plan:
     return [(f, n) for group in open_bins.values() for f, n in group]
 
 
-def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = FILLINGS, steps: int = 400) -> list[tuple[int, ...]]:
+def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int | None = LIMITS.fillings, steps: int | None = LIMITS.steps) -> list[tuple[int, ...]]:
     """Undominated sets of pieces that fit in ``room``, least waste first.
 
     A filling is dominated if one of its pieces could be swapped for a longer one that still fits, or
     another piece still fits; only sets that are full in that sense are listed. Sizes are tried
-    longest first, so a perfect filling ends the search.
+    longest first; with a bound on the steps a perfect filling ends the search.
     """
     found: dict[tuple[int, ...], int] = {}
-    budget = [steps]
+    budget = [float("inf") if steps is None else steps]
     smallest = min(sizes, default=room + 1)
 
     def walk(at: int, left: int, held: tuple[int, ...]) -> bool:
@@ -116,7 +132,7 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = FI
             size = sizes[i]
             if size <= left and held.count(size) < counts[size]:
                 grown = True
-                if walk(i, left - size, (*held, size)):
+                if walk(i, left - size, (*held, size)) and steps is not None:
                     return True
         if not grown:
             found.setdefault(held, left)
@@ -134,14 +150,14 @@ def fillings(room: int, sizes: list[int], counts: dict[int, int], most: int = FI
     return kept or [f for f, _ in whole[:1]]
 
 
-def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> tuple[Plan, int]:
+def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, limits: Limits = LIMITS) -> tuple[Plan, int]:
     """A packing plan and the lower bound on its number of bins."""
     counts = {s: n for s, n in counts.items() if n}
     bound = lower_bound(counts, capacity) if counts else 0
     best = best_fit_decreasing(counts, capacity)
     used = sum(n for _, n in best)
     total = sum(s * n for s, n in counts.items())
-    budget = [max(nodes, NODES_A_LENGTH * len(counts))]
+    budget = [float("inf") if limits.nodes is None else max(limits.nodes, limits.nodes_a_length * len(counts))]
 
     def search(left: dict[int, int], plan: Plan, bins: int, waste: int) -> None:
         nonlocal best, used
@@ -162,14 +178,15 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
         one = left.copy()
         one[large] -= 1
         sizes = sorted((s for s, n in one.items() if n and s <= capacity - large), reverse=True)
-        for filling in fillings(capacity - large, sizes, one):
+        for filling in fillings(capacity - large, sizes, one, limits.fillings, limits.steps):
             whole = (large, *filling)
-            times = min(left[s] // whole.count(s) for s in set(whole))
-            after = {s: n - times * whole.count(s) for s, n in left.items()}
-            lost = waste + times * (capacity - sum(whole))
-            search({s: n for s, n in after.items() if n}, [*plan, (whole, times)], bins + times, lost)
-            if used == bound or budget[0] <= 0:
-                return
+            most = min(left[s] // whole.count(s) for s in set(whole))
+            for times in range(most, 0 if limits.fewer else most - 1, -1):
+                after = {s: n - times * whole.count(s) for s, n in left.items()}
+                lost = waste + times * (capacity - sum(whole))
+                search({s: n for s, n in after.items() if n}, [*plan, (whole, times)], bins + times, lost)
+                if used == bound or budget[0] <= 0:
+                    return
 
     if counts and used > bound:
         import sys
@@ -228,7 +245,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, doc_id: str = "doc_id", te
     return rows.mapInArrow(cut, PIECES)
 
 
-def place(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataFrame:
+def place(cut: DataFrame, capacity: int = CAPACITY, limits: Limits = LIMITS) -> DataFrame:
     """Pieces (a written table with ``length`` and columns that tell rows apart) with their
     ``sequence_id`` and ``offset``."""
     spark = cut.sparkSession
@@ -239,7 +256,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataF
     for r in sorted(counted, key=lambda r: (r["length"], r["_cell"])):
         firsts[r["length"], r["_cell"]] = counts.get(r["length"], 0)
         counts[r["length"]] = counts.get(r["length"], 0) + r["n"]
-    plan, _ = complete_bins(counts, capacity, nodes)
+    plan, _ = complete_bins(counts, capacity, limits)
     first = np.zeros((capacity + 1, CELLS), dtype=np.int64)
     for (size, cell), at in firsts.items():
         first[size, cell] = at
@@ -264,6 +281,6 @@ def place(cut: DataFrame, capacity: int = CAPACITY, nodes: int = NODES) -> DataF
     return ranked.mapInArrow(find, PIECES + ", sequence_id long, offset long")
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, nodes: int = NODES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, limits: Limits = LIMITS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row for each piece."""
-    return place(durable(pieces(docs, capacity, doc_id, text), "pieces"), capacity, nodes)
+    return place(durable(pieces(docs, capacity, doc_id, text), "pieces"), capacity, limits)
