@@ -1,11 +1,12 @@
 """Training-order materialisation of token sequences.
 
-1. ``token_sequences`` tokenises whole texts and cuts each document's ids into sequences of
-   ``length`` ids (the last may be shorter; it is padded on disk).
-2. ``assign_slots`` numbers the sequences 0 .. N-1 as they lie in the written table and gives each a
-   global slot: a keyed Feistel permutation over the smallest even power of two of at least N,
-   walked along its cycle until it falls below N. Every sequence computes its own slot; slots are a
-   permutation of 0 .. N-1 for any key and N.
+1. ``token_sequences`` puts the documents in the order of (doc_id, hash of the text, text), null ids
+   first, tokenises whole texts and cuts each document's ids into sequences of ``length`` ids (the last
+   may be shorter; it is padded on disk).
+2. ``assign_slots`` numbers the sequences 0 .. N-1 in that order and gives each a global slot: a keyed
+   Feistel permutation over the smallest even power of two of at least N, walked along its cycle until
+   it falls below N. Every sequence computes its own slot; slots are a permutation of 0 .. N-1 for any
+   key and N. Slots follow from the key and the documents alone, not from files, partitions or cores.
 3. ``in_training_order`` range-partitions by slot, so each partition holds whole shards in order.
 4. ``write_shards`` writes each shard as a file of fixed-stride records in slot order: slot ``s`` is
    at byte ``(s % per_shard) * stride`` of shard ``s // per_shard``, so a reader can resume at any
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from .common import durable, partitions
@@ -64,56 +66,61 @@ def feistel(index: np.ndarray, n: int, key: str = KEY, rounds: int = ROUNDS) ->
 
 
 def token_sequences(docs: DataFrame, length: int = LENGTH, doc_id: str = "doc_id", text: str = "text", tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, part, n_tokens, ids): little-endian unsigned 16-bit ids; each text ends with id 0."""
+    """(range, row, doc_id, part, n_tokens, ids): little-endian unsigned 16-bit ids; each text ends with id 0.
+
+    ``range`` and ``row`` are the sequence's place in the documents' order: a range partition, and the
+    sequences before it there.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer)
+        here, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 keys, parts, sizes, ids = [], [], [], []
                 for key, t in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                    whole = encode(t).astype("<u2")
+                    whole = encode(t)
+                    if whole.max() > 0xFFFF:
+                        raise ValueError("this vocabulary has ids beyond 16 bits")
+                    whole = whole.astype("<u2")
                     for i, at in enumerate(range(0, len(whole), length)):
                         keys.append(key)
                         parts.append(i)
                         sizes.append(len(whole[at : at + length]))
                         ids.append(whole[at : at + length].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], names=["doc_id", "part", "n_tokens", "ids"])
+                rows = pa.array(np.arange(row, row + len(keys)))
+                row += len(keys)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), here, dtype=np.int32)), rows, pa.array(keys, pa.int64()), pa.array(parts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(ids, pa.binary())], names=["range", "row", "doc_id", "part", "n_tokens", "ids"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.mapInArrow(cut, "doc_id long, part int, n_tokens int, ids binary")
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("key"))
+    # The hash splits the rows that repeat an id.
+    ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "key").sortWithinPartitions("doc_id", "key", "text")
+    return ordered.select("doc_id", "text").mapInArrow(cut, "range int, row long, doc_id long, part int, n_tokens int, ids binary")
 
 
-def assign_slots(sequences: DataFrame, key: str = KEY, columns: list[str] | None = None) -> DataFrame:
-    """``sequences`` with its ``slot``; ``sequences`` must be a written table (see ``durable``).
+def assign_slots(sequences: DataFrame, key: str = KEY) -> DataFrame:
+    """``sequences`` (a written table, see ``durable``) with ``slot`` for ``range`` and ``row``.
 
-    A sequence's number is its file's and block's first number plus its place there; the counts by
-    file block are the only thing the driver gathers.
+    The driver gathers one count for each range.
     """
-    from pyspark.sql import types as T
-
     spark = sequences.sparkSession
-    marked = sequences.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), 33)).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = sequences.select(F.spark_partition_id().alias("b")).groupBy("b").count().collect()
-    n_blocks = max((r["b"] for r in counts), default=-1) + 1
-    sizes = np.zeros(n_blocks + 1, dtype=np.int64)
+    counts = sequences.groupBy("range").agg(F.count("*").alias("n")).collect()
+    sizes = np.zeros(max((r["range"] for r in counts), default=-1) + 2, dtype=np.int64)
     for r in counts:
-        sizes[r["b"] + 1] = r["count"]
+        sizes[r["range"] + 1] = r["n"]
     starts = np.cumsum(sizes)
     total = int(starts[-1])
     held = spark.sparkContext.broadcast(starts)
 
     def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = held.value
         for batch in batches:
-            block, row = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("_block", "_row"))
-            slot = feistel(first[block] + row, total, key) if total else np.empty(0, np.int64)
-            kept = [batch.column(i) for i, f in enumerate(batch.schema) if f.name not in ("_block", "_row")]
-            names = [f.name for f in batch.schema if f.name not in ("_block", "_row")]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(slot, pa.int64())], names=[*names, "slot"])
+            slot = feistel(held.value[batch.column(0).to_numpy()] + batch.column(1).to_numpy(), total, key)
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(slot)], names=[*batch.schema.names[2:], "slot"])
 
-    return marked.mapInArrow(slots, T.StructType([*sequences.schema.fields, T.StructField("slot", T.LongType())]))
+    rows = sequences.select("range", "row", "doc_id", "part", "n_tokens", "ids")
+    return rows.mapInArrow(slots, "doc_id long, part int, n_tokens int, ids binary, slot long")
 
 
 def in_training_order(slotted: DataFrame, per_shard: int = PER_SHARD) -> DataFrame:
