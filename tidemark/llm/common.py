@@ -43,6 +43,13 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def partition_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of ``n`` partitions a number that ``repartition(n, ...)`` deals to it."""
+    tried = spark.range(64 * n).select("id", F.pmod(F.hash("id"), F.lit(n)).alias("p")).groupBy("p").agg(F.min("id").alias("id"))
+    found = {r["p"]: r["id"] for r in tried.collect()}
+    return [found.get(p, 0) for p in range(n)]
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -1,6 +1,7 @@
 """Merkle fingerprints of documents.
 
-A text is a tree: document -> sections -> paragraphs -> sentences. Paragraphs are lines. A section
+A text is a tree: document -> sections -> paragraphs -> sentences; each node's hash is that of its
+children's hashes, whole, of which the string prints the beginning. Paragraphs are lines. A section
 ends at a blank line, or after a paragraph whose own hash says so (one in eight), so an insertion
 does not move the later section borders. Leaves are sentences; a sentence of more than
 ``LONG`` characters is cut at words whose hash says so, so one long line is still a tree.
@@ -27,10 +28,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions
+from .common import partition_keys, partitions
 
 LONG = 160
-LEAF_HEX = 6
+LEAF_HEX = 8
 NODE_HEX = 10
 ROOT_HEX = 32
 SECTION_ODDS = 8
@@ -43,25 +44,21 @@ def _hash(data: bytes) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
-def _leaf(piece: str) -> str:
-    return hashlib.blake2b(piece.encode("utf-8", "surrogatepass"), digest_size=LEAF_HEX // 2).hexdigest()
-
-
-def _leaves(paragraph: str) -> list[str]:
+def _leaves(paragraph: str) -> list[bytes]:
     out = []
     for sentence in _SENTENCE.findall(paragraph):
         if len(sentence) <= LONG:
-            out.append(_leaf(sentence))
+            out.append(_hash(sentence.encode("utf-8", "surrogatepass")))
             continue
         words, held, size = _WORD.findall(sentence) or [sentence], [], 0
         for word in words:
             held.append(word)
             size += len(word)
             if size >= LONG or _hash(word.encode("utf-8", "surrogatepass"))[0] % WORD_CUT_ODDS == 0:
-                out.append(_leaf("".join(held)))
+                out.append(_hash("".join(held).encode("utf-8", "surrogatepass")))
                 held, size = [], 0
         if held:
-            out.append(_leaf("".join(held)))
+            out.append(_hash("".join(held).encode("utf-8", "surrogatepass")))
     return out
 
 
@@ -78,10 +75,10 @@ def fingerprint(text: str | None) -> str:
             hashes.clear()
 
     for line in (text or "").split("\n") if text else ():
-        whole = _hash(b"p" + line.encode("utf-8", "surrogatepass"))
-        hashes.append(whole)
         leaves = _leaves(line)
-        paragraphs.append(whole.hex()[:NODE_HEX] + (":" + "".join(leaves) if leaves else ""))
+        whole = _hash(b"p" + b"".join(leaves))
+        hashes.append(whole)
+        paragraphs.append(whole.hex()[:NODE_HEX] + (":" + "".join(x.hex()[:LEAF_HEX] for x in leaves) if leaves else ""))
         if not line.strip() or whole[0] % SECTION_ODDS == 0:
             close()
     close()
@@ -213,44 +210,58 @@ def revisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     """Each text's fingerprint beside that of its edited text and of the next document.
 
     The next document in falling id order lends the edited text its last third; the one after the
-    last is the first. Null ids come last; rows of one id are ordered by their text. A table of one
-    row is its own follower; an empty table gives no rows.
+    last is the first. Null ids come last; rows of one id are ordered by a hash of their text, then by
+    the text. A table of one row is its own follower; an empty table gives no rows.
 
-    Plan: quantiles of the ids cut the order into as many buckets as there are shuffle partitions;
-    the first row of each bucket is also sent to the bucket before it, so buckets are compared
-    independently and a task holds two texts at a time. The text is shuffled once.
+    Plan: quantiles of the ids cut the order into as many buckets as there are shuffle partitions, a
+    partition for each; an id that fills several buckets, or null, is cut by the hash. The first row of
+    each bucket is also sent to the bucket before it, so buckets are compared independently and a task
+    holds two texts at a time. The text is shuffled once.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole.alias("text"), F.xxhash64(whole).alias("key"))
     n = partitions(spark)
-    ids = rows.select("doc_id")
-    cuts = ids.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q")).first()["q"] or []
-    cuts = sorted(set(cuts), reverse=True)
-    # Falling order: bucket 0 holds ids above the highest cut; null ids are last.
-    number = F.when(F.col("doc_id").isNull(), F.lit(len(cuts))).otherwise(
-        F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: F.col("doc_id") <= c)) if cuts else F.lit(0)
-    )
+    stats = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)] or [0.5], 20 * n).alias("q"), F.count("*").alias("n"), F.count("doc_id").alias("named")).first()
+    times = Counter(stats["q"] or [])
+    cuts = sorted(times, reverse=True)
+    # Falling order: ids above the highest cut, then from each cut down to the next; null ids are last.
+    # A cut that several quantiles fall on is an id with as many buckets of its own.
+    firsts = [1]
+    for c in cuts:
+        firsts.append(firsts[-1] + (times[c] + 1 if times[c] > 1 else 1))
+    nulls = max(1, -(-(stats["n"] - stats["named"]) * n // max(1, stats["n"])))
+    spread = lambda parts: F.least(F.floor((F.col("key") / F.lit(2.0**64) + 0.5) * parts), parts - 1)
+    if cuts:
+        listed = F.array(*[F.lit(c).cast("long") for c in cuts])
+        above = F.size(F.filter(listed, lambda c: F.col("doc_id") <= c))
+        at = F.when(above == 0, F.lit(0)).otherwise(F.element_at(F.array(*[F.lit(f) for f in firsts[:-1]]), F.greatest(above, F.lit(1))))
+        own_parts = F.element_at(F.array(*[F.lit(times[c]) for c in cuts]), F.greatest(above, F.lit(1)))
+        is_cut = F.element_at(listed, F.greatest(above, F.lit(1))) == F.col("doc_id")
+        number = at + F.when((above == 0) | (own_parts == 1), F.lit(0)).when(is_cut, spread(own_parts)).otherwise(own_parts)
+        number = F.when(F.col("doc_id").isNull(), F.lit(firsts[-1]) + spread(F.lit(nulls))).otherwise(number)
+    else:
+        number = spread(F.lit(nulls))
     own = rows.withColumn("bucket", number.cast("int"))
-    heads = (
-        own.select("doc_id", "bucket")
-        .groupBy("bucket")
-        .agg(F.max("doc_id").alias("head"))
-        .orderBy("bucket")
-        .collect()  # a row for each bucket
-    )
+    order = F.struct(F.col("doc_id").isNull().alias("last"), (-F.col("doc_id")).alias("falling"), F.col("key"))
+    heads = own.groupBy("bucket").agg(F.min(order).alias("head")).orderBy("bucket").collect()  # a row for each bucket
     used = [h["bucket"] for h in heads]
     before = {b: used[i - 1] for i, b in enumerate(used)}
-    named = [h for h in heads if h["head"] is not None]
-    if named:
-        table = F.map_from_arrays(F.array(*[F.lit(h["head"]).cast("long") for h in named]), F.array(*[F.lit(before[h["bucket"]]) for h in named]))
-        head_of = F.try_element_at(table, F.col("doc_id"))
-    else:
-        head_of = F.lit(0)  # no row has an id: one bucket, followed by itself
-    mapped = own.withColumn("at", F.when(head_of.isNull(), F.array("bucket")).otherwise(F.array(F.col("bucket"), head_of)))
-    sent = mapped.select("doc_id", "text", F.posexplode("at").alias("copy", "bucket"))
-    # In a bucket: its own rows in falling order, then the next bucket's first rows.
-    dealt = sent.repartition(n, "bucket").sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "text")
-    return dealt.mapInArrow(_compare_batches, REVISIONS)
+    name = F.xxhash64("doc_id", "key")
+    named = {r["name"]: before[r["bucket"]] for r in _names(spark, heads, name)}
+    sent_to = F.try_element_at(F.map_from_arrays(F.array(*[F.lit(k) for k in named]), F.array(*[F.lit(b) for b in named.values()])), name) if named else F.lit(None).cast("int")
+    mapped = own.withColumn("at", F.when(sent_to.isNull(), F.array("bucket")).otherwise(F.array(F.col("bucket"), sent_to)))
+    sent = mapped.select("doc_id", "key", "text", F.posexplode("at").alias("copy", "bucket"))
+    # In a bucket: its own rows in falling order, then the next bucket's first row.
+    to = F.element_at(F.array(*[F.lit(k) for k in partition_keys(spark, n)]), F.pmod("bucket", F.lit(n)) + 1)
+    dealt = sent.withColumn("to", to).repartition(n, "to").sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "key", "text")
+    return dealt.select("doc_id", "text", "copy", "bucket").mapInArrow(_compare_batches, REVISIONS)
+
+
+def _names(spark, heads: list, name) -> list:
+    """(bucket, name): the hash by which a bucket's first row is known."""
+    rows = [(h["bucket"], None if h["head"]["last"] else -h["head"]["falling"], h["head"]["key"]) for h in heads]
+    return spark.createDataFrame(rows, "bucket int, doc_id long, key long").select("bucket", name.alias("name")).collect()
 
 
 _REVISION_TYPES = pa.schema(
@@ -270,7 +281,7 @@ _REVISION_TYPES = pa.schema(
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows():
-        over = None  # the bucket whose first copy has been seen: later copies of it are of the same id
+        over = None  # the bucket whose first copy has been seen: later copies of it are of the same row
         for batch in batches:
             columns = batch.to_pydict()
             for doc_id, text, copy, bucket in zip(columns["doc_id"], columns["text"], columns["copy"], columns["bucket"], strict=True):
