@@ -55,24 +55,31 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float
     return levels.select("source", "source_size", target.alias("target")).withColumn("rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0)))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
+def sized(docs: DataFrame, text: str = "text", to: str = "size") -> DataFrame:
+    return docs.withColumn(to, word_count(F.col(text)))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, budget: float = BUDGET, most: float = MOST, seed: str = SEED, doc_id: str = "doc_id", text: str = "text", source: str = "source", size: str | None = None) -> DataFrame:
     """``docs`` with ``size``, ``source_size``, ``target`` and ``copies``; the text isn't shuffled.
 
-    New columns whose names the input has already are lengthened by underscores. The rates, one row
-    per source, are a written table, so the planner knows their size: it broadcasts them below its own
-    limit, and beyond it joins by source and splits hot sources.
+    New columns whose names the input has already are lengthened by underscores. ``size`` names a column
+    that holds the sizes already; else words are counted where they are summed and again for each row.
+    The rates, one row per source, are a written table, so the planner knows their size: it broadcasts
+    them below its own limit, and beyond it joins by source and splits hot sources.
     """
-    names = {n: unused_name(docs, n) for n in ("size", "source_size", "target", "copies")}
-    sized = docs.withColumn(names["size"], word_count(F.col(text)))
-    per_source = docs.groupBy(F.col(source).alias("source")).agg(F.sum(word_count(F.col(text))).alias("source_size"))
-    rates = targets(per_source, weights, budget, most).select(F.col("source").alias("_mix_source"), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]), F.col("rate").alias("_mix_rate"))
-    rates = durable(rates, "rates")
-    joined = sized.join(rates, F.col(source).eqNullSafe(F.col("_mix_source")), "left")
-    whole = F.floor("_mix_rate")
-    extra = (uniform(F.col(doc_id), seed) < F.col("_mix_rate") - whole).cast("long")
-    return joined.withColumn(names["copies"], (whole + extra).cast("int")).drop("_mix_source", "_mix_rate")
+    names = {n: unused_name(docs, n) for n in ("size", "source_size", "target", "copies", "of", "rate")}
+    size = size or names["size"]
+    rows = docs if size in docs.columns else sized(docs, text, size)
+    per_source = rows.groupBy(F.col(source).alias("source")).agg(F.sum(size).alias("source_size"))
+    columns = {"source": names["of"], "source_size": names["source_size"], "target": names["target"], "rate": names["rate"]}
+    rates = durable(targets(per_source, weights, budget, most).select(*[F.col(k).alias(v) for k, v in columns.items()]), "rates")
+    joined = rows.join(rates, F.col(source).eqNullSafe(F.col(names["of"])), "left")
+    whole = F.floor(names["rate"])
+    extra = (uniform(F.col(doc_id), seed) < F.col(names["rate"]) - whole).cast("long")
+    return joined.withColumn(names["copies"], (whole + extra).cast("int")).drop(names["of"], names["rate"])
 
 
 def emit(mixed: DataFrame, copies: str = "copies") -> DataFrame:
     """Each document as often as it was taken."""
-    return mixed.filter(F.col(copies) > 0).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col(copies)))).drop("_copy")
+    number = unused_name(mixed, "copy")
+    return mixed.filter(F.col(copies) > 0).withColumn(number, F.explode(F.sequence(F.lit(1), F.col(copies)))).drop(number)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from . import ann, fingerprints, langid, mixing, near_dedup, packing, pii, sharding, sql, training_order, url_filter
-from .common import table
+from .common import durable, table
 
 
 def op1_merkle_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,9 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    # Words are counted once: their numbers are a small table.
+    sizes = durable(mixing.sized(table(spark, sf_dir, "documents")).select("doc_id", "source", "size"), "sizes")
+    mixed = mixing.mix(sizes, size="size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies", "source")
 
 
