@@ -27,6 +27,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from .common import unused_name
+
 RANKS = 400
 PER_LANGUAGE = 1_500
 SIZES = (1, 2, 3)
@@ -126,7 +128,10 @@ def learn(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE,
     wanted = F.lit(False)
     for row in limits:
         wanted = wanted | ((F.col(lang) == row["lang"]) & (key <= row["top"]))
-    sample = labelled.filter(wanted).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    # Rows that repeat the id at the border count as well.
+    exact = W.partitionBy("lang").orderBy("key", F.xxhash64("text"))
+    sample = labelled.filter(wanted).select(F.col(lang).alias("lang"), key.alias("key"), F.col(text).alias("text"))
+    sample = sample.withColumn("r", F.row_number().over(exact)).filter(F.col("r") <= per_language).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, dict[int, int]] = {}
@@ -136,7 +141,7 @@ def learn(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE,
                 for g, n in zip(*(x.tolist() for x in grams(t)), strict=True):
                     mine[g] = mine.get(g, 0) + n
         for name, mine in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine)), pa.array(np.fromiter(mine.keys(), np.uint64, len(mine)).view(np.int64)), pa.array(list(mine.values()), pa.int64())], names=["lang", "gram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(mine), pa.string()), pa.array(np.fromiter(mine.keys(), np.uint64, len(mine)).view(np.int64)), pa.array(list(mine.values()), pa.int64())], names=["lang", "gram", "n"])
 
     summed = sample.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     # Ties by the unsigned number, as in ``profile``.
@@ -159,5 +164,5 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", to: str =
         got = [held.value.predict(t if isinstance(t, str) else None) for t in column]
         return pd.DataFrame({"lang": [g[0] for g in got], "score": [g[1] for g in got]})
 
-    both = docs.withColumn("_language", predicted(F.col(text)))
-    return both.withColumns({to: F.col("_language.lang"), score: F.col("_language.score")}).drop("_language")
+    both = unused_name(docs, "language")
+    return docs.withColumn(both, predicted(F.col(text))).withColumns({to: F.col(both)["lang"], score: F.col(both)["score"]}).drop(both)
