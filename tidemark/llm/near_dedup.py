@@ -54,10 +54,11 @@ FORESTS = 3
 MARGIN = 0.18
 #: A region of up to so many rows is compared pair by pair.
 REGION = 1024
+#: Of more rows that share a rare shingle the signatures are not compared beforehand.
+CROWD = 4096
 #: A bitmap has at most 2 ^ 26 bits (8 MB); the table of shingle counts has 2 ^ 20 cells (4 MB).
 BITMAP_BITS = 26
 CELL_BITS = 20
-PREFIX = "region long, doc_id long, class long"
 ROW = "region long, doc_id long, class long, n long, signature binary"
 #: Documents, and characters or shingles, of a block that is confirmed in one task.
 _GROUP_DOCS = 256
@@ -393,7 +394,7 @@ def _sum_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefixes(often: Broadcast, percent: int, only: Broadcast | None):
-    """(hashes, doc_id, class, ...) to a row (region, doc_id, class) for each shingle of its prefix; see ``rarest``."""
+    """(hashes, doc_id, class, n, signature) to a row for each shingle of its prefix; see ``rarest``."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = often.value
@@ -409,35 +410,69 @@ def _prefixes(often: Broadcast, percent: int, only: Broadcast | None):
                     region = region[only.value.holds(region)]
                 regions.append(region)
                 at.append(np.full(len(region), i))
-            if regions:
-                at = pa.array(np.concatenate(at))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(regions)), batch.column(1).take(at), batch.column(2).take(at)], names=["region", "doc_id", "class"])
+            if not regions:
+                continue
+            region, at = pa.array(np.concatenate(regions)), pa.array(np.concatenate(at))
+            if only is None:
+                yield pa.RecordBatch.from_arrays([region, batch.column(2).take(at)], names=["region", "class"])
+            else:
+                yield pa.RecordBatch.from_arrays([region, *batch.select([1, 2, 3, 4]).take(at).columns], names=["region", "doc_id", "class", "n", "signature"])
 
     return walk
 
 
-def _block_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (low, high) of the blocks that share a region, from rows (region, block) sorted by region."""
-    seen: set[tuple[int, int]] = set()
-    region, blocks = None, []
+def _sharers(enough: float, percent: int):
+    """(low, high, doc_id): the rows that a pair of blocks has to compare, from rows (region, block, doc_id,
+    class, n, signature) sorted by region. Rows whose signatures are far apart need not meet."""
 
-    def out() -> pa.RecordBatch:
-        low, high = zip(*seen, strict=True)
-        seen.clear()
-        return pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["low", "high"])
+    def needed(blocks: np.ndarray, ids: np.ndarray, classes: np.ndarray, n: np.ndarray, whole: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        order = np.lexsort((ids, classes))
+        blocks, ids, classes, n, whole = (c[order] for c in (blocks, ids, classes, n, whole))
+        ends = np.searchsorted(classes, classes, side="right")
+        for at in range(len(ids) - 1):
+            to = np.arange(ends[at], len(ids))
+            to = to[100 * np.minimum(n[to], n[at]) >= percent * np.maximum(n[to], n[at])]
+            if not len(to):
+                continue
+            to = to[(whole[to] == whole[at]).mean(axis=1) >= enough]
+            for other in to.tolist():
+                low, high = min(blocks[at], blocks[other]), max(blocks[at], blocks[other])
+                yield low, high, ids[at]
+                yield low, high, ids[other]
 
-    for batch in batches:
-        for r, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if r != region:
-                region, blocks = r, []
-            blocks.append(b)
-            for other in blocks:
-                seen.add((other, b) if other < b else (b, other))
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int, int]] = set()
+        region, held = None, []
+
+        def finish() -> None:
+            if sum(len(h[0]) for h in held) > 1:
+                seen.update(needed(*(np.concatenate(c) for c in zip(*held, strict=True))))
+
+        def out() -> pa.RecordBatch:
+            columns = zip(*seen, strict=True) if seen else ((), (), ())
+            got = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["low", "high", "doc_id"])
+            seen.clear()
+            return got
+
+        for batch in batches:
+            size = batch.num_rows
+            if not size:
+                continue
+            regions, blocks, ids, classes, n = (batch.column(i).to_numpy() for i in range(5))
+            whole = _whole(batch.column(5)).reshape(size, HASHES)
+            cuts = [0, *(np.nonzero(np.diff(regions))[0] + 1).tolist(), size]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if int(regions[lo]) != region:
+                    finish()
+                    region, held = int(regions[lo]), []
+                held.append((blocks[lo:hi], ids[lo:hi], classes[lo:hi], n[lo:hi], whole[lo:hi]))
             if len(seen) > 500_000:
                 yield out()
-    if seen:
+        finish()
         yield out()
 
+    return walk
+
 
 def _verify_blocks(enough: float, percent: int):
     """Links (a, b) between different classes, enough to join the classes that are linked at all, from
@@ -483,7 +518,7 @@ def _verify_blocks(enough: float, percent: int):
     return walk
 
 
-def rarest(docs: DataFrame, chosen: DataFrame, shingle: int, percent: int, doc_id: str, text: str) -> DataFrame:
+def rarest(docs: DataFrame, chosen: DataFrame, shingle: int, percent: int, doc_id: str, text: str, crowd: int = CROWD) -> DataFrame:
     """(a, b): links that join all linked classes of ``chosen`` (doc_id, class, n, signature).
 
     The join by prefixes: in any common order of all shingles, two sets that are alike enough share one of
@@ -491,8 +526,9 @@ def rarest(docs: DataFrame, chosen: DataFrame, shingle: int, percent: int, doc_i
     all texts in a table of fixed size (shingles that share a cell count together; any order gives the same
     result). Texts that only have a passage or a template in common don't meet: their own shingles come first.
 
-    Rows that share such a shingle are dealt to blocks of bounded size by the smallest id they meet, and
-    pairs of blocks that meet are compared, so no pair of rows leaves a task but links.
+    Rows that share such a shingle are dealt to blocks of bounded size by the smallest id they meet. A pair
+    of blocks compares those of its rows that share a shingle and whose signatures agree well enough, or,
+    where more than ``crowd`` rows share it, all of them; no pair of rows leaves a task but links.
     """
     spark, n = docs.sparkSession, partitions(docs.sparkSession)
 
@@ -511,16 +547,21 @@ def rarest(docs: DataFrame, chosen: DataFrame, shingle: int, percent: int, doc_i
     for k, b in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
         cells[k] = np.frombuffer(b, dtype=np.uint32)
     often = spark.sparkContext.broadcast(cells.reshape(-1))
-    mixed = durable(_mixed(sets.mapInArrow(_prefixes(often, percent, None), PREFIX)), "regions")
+    mixed = durable(_mixed(sets.mapInArrow(_prefixes(often, percent, None), "region long, class long")), "regions")
     only = spark.sparkContext.broadcast(marks(mixed, "region"))
-    rows = durable(sets.mapInArrow(_prefixes(often, percent, only), PREFIX).join(mixed.select("region"), "region", "left_semi"), "prefixes")
+    rows = durable(sets.mapInArrow(_prefixes(often, percent, only), ROW).join(mixed.select("region", F.col("n").alias("size")), "region"), "prefixes")
     least = rows.groupBy("region").agg(F.min("doc_id").alias("near"))
-    near = rows.join(least, "region").groupBy("doc_id").agg(F.min("near").alias("near")).join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
+    near = rows.select("region", "doc_id").join(least, "region").groupBy("doc_id").agg(F.min("near").alias("near")).join(sets.groupBy("doc_id").agg(F.sum("n").alias("n")), "doc_id")
     crowds = near.groupBy("near").agg(F.greatest(F.ceil(F.count("*") / _GROUP_DOCS), F.ceil(F.sum("n") / _GROUP_SHINGLES)).alias("blocks"))
     placed = durable(near.join(crowds, "near").select("doc_id", F.xxhash64("near", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))).alias("block")), "blocks")
-    shared = rows.join(placed, "doc_id").select("region", "block").distinct().repartition(n, "region").sortWithinPartitions("region")
-    met = durable(shared.mapInArrow(_block_pairs, "low long, high long").distinct(), "met")
-    sent = met.select("low", "high", F.explode(F.array_distinct(F.array("low", "high"))).alias("block")).join(placed, "block").join(sets, "doc_id")
+    blocked = rows.join(placed, "doc_id").select("region", "block", "doc_id", "class", "n", "signature", "size")
+    ordered = blocked.filter(F.col("size") <= crowd).drop("size").repartition(n, "region").sortWithinPartitions("region")
+    met = ordered.mapInArrow(_sharers(percent / 100 - MARGIN, percent), "low long, high long, doc_id long")
+    # Where very many rows share a shingle, all blocks it is in meet.
+    wide = blocked.filter(F.col("size") > crowd).select("region", "block", "doc_id")
+    each = wide.join(wide.select("region", F.col("block").alias("other")).distinct(), "region")
+    met = durable(met.unionByName(each.select(F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "doc_id")).distinct(), "met")
+    sent = met.join(placed, "doc_id").join(sets, "doc_id")
     dealt = sent.select("low", "high", "block", "doc_id", "class", "n", "signature", "hashes").repartition(n, "low", "high").sortWithinPartitions("low", "high", "class", "doc_id")
     return dealt.mapInArrow(_verify_blocks(percent / 100 - MARGIN, percent), "a long, b long")
 
