@@ -16,7 +16,7 @@ def test_wrong_arguments(tmp_path):
     with pytest.raises(SystemExit) as e:
         cli.main(["run"])
     assert e.value.code == 2
-    wrong = ["run", "--preset", "P-8", "--prices", "x", "--pairs", "y", "--out", str(tmp_path), "--set", "nothing=1"]
+    wrong = ["run", "--preset", "TRE-2", "--prices", "x", "--pairs", "y", "--out", str(tmp_path), "--set", "nothing=1"]
     assert cli.main(wrong) == 2
 
 
@@ -25,7 +25,7 @@ def test_run(spark, tmp_path):
     rows = [(t, d, float(v)) for t in "ABC" for d, v in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 400))))]
     spark.createDataFrame(rows, "ticker string, d int, close double").selectExpr("ticker", "date_add(date'2020-01-01', d) AS ts", "close").write.parquet(f"{tmp_path}/prices")
     spark.createDataFrame([("A/B", "A", "B"), ("A/C", "A", "C")], "pair string, numerator string, denominator string").write.parquet(f"{tmp_path}/pairs")
-    args = ["run", "--preset", "P-8", "--prices", f"{tmp_path}/prices", "--pairs", f"{tmp_path}/pairs", "--out", f"{tmp_path}/out", "--stop-after", "s2", "--set", "fee=0.0005"]
+    args = ["run", "--preset", "TRE-2", "--prices", f"{tmp_path}/prices", "--pairs", f"{tmp_path}/pairs", "--out", f"{tmp_path}/out", "--stop-after", "s2", "--set", "fee=0.0005"]
     assert cli.main(args) == 0
     tag = "f0"
     assert spark.read.parquet(f"{tmp_path}/out/s1_{tag}_metrics.parquet").count() == 2

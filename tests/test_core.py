@@ -91,7 +91,7 @@ def test_regime_without_adx_never_trades():
     assert B.sweep_regime(np.full(400, -9.0), np.ones(400, bool), np.full(400, np.nan), close, (-2.0,), (0.0,), (0.0,)) is None
 
 
-@pytest.mark.parametrize("s2", ["grid_search", "grid_regime", "grid_ma", "random_search"])
+@pytest.mark.parametrize("s2", ["grid_search", "grid_regime", "grid_ma", "optuna_tpe", "optuna_ma"])
 def test_pipeline_uses_its_optimiser(spark, s2):
     rng = np.random.default_rng(5)
     rows = [(t, d, float(v)) for t in "ABC" for d, v in enumerate(100 * np.exp(np.cumsum(rng.normal(0, 0.02, 500))))]
@@ -128,8 +128,13 @@ def test_commissions():
 def test_scheme_names():
     names = RP.scheme_names()
     assert len(names) == len(set(names)) == 59
-    with pytest.raises(ValueError):
-        RP.parse_scheme("equal_top5")
+    for wrong in ("equal_weight_top5", "equal", "roll_sr", "flat_1k", "xx__hrp"):
+        with pytest.raises(ValueError):
+            RP.parse_scheme(wrong)
+    assert {n for n in names if RP.parse_scheme(n).cap is None} == {"equal_weight", "sharpe_weighted", "inverse_vol", "hrp"}
+    assert RP.parse_scheme("plg__roll_er_cap30") == RP.Scheme("plg__roll_er_cap30", "paleologo_strict", "rolling", "er", 0.3)
+    assert RP.parse_scheme("conv_hrp_cap05").cap == 0.05
+    assert RP.filter_schemes(names, "10")[:5] == ["equal_weight", "sharpe_weighted", "inverse_vol", "hrp", "flat_1k_cap10"]
 
 
 def _panel(n=100, k=3, seed=42):
@@ -142,7 +147,7 @@ def _panel(n=100, k=3, seed=42):
 @pytest.mark.parametrize("rule", RP.SIZING)
 def test_walk_invariants(rule):
     p = _panel()
-    s = RP.parse_scheme("equal", rule)
+    s = RP.parse_scheme("equal_weight", rule)
     got = RP.walk(p, RP.oracle_for(p, s, {"equal": np.full(3, 1 / 3)}), 100_000.0, rule)
     assert all(cash >= 0 for _, _, cash, *_ in got["days"])
     assert all(nav >= cash - 1e-6 for _, nav, cash, *_ in got["days"])
@@ -150,6 +155,224 @@ def test_walk_invariants(rule):
     assert got["days"][-1][3] == 0
 
 
+def _one_day(rule, cash=1000.0, **options):
+    """Two names turn on together at a price of 10, without costs."""
+    p = RP.Panel(np.arange(3), ["A", "B"], np.full((3, 2), 10.0), np.full((3, 2), 10.0), np.full((3, 2), np.nan), np.array([[0, 0], [1, 1], [1, 1]]), np.zeros(2, int), np.zeros(2), np.zeros(2, bool), np.zeros(2))
+    got = RP.walk(p, lambda active, t: np.array([0.6, 0.4])[active], cash, rule, cost=0.0, slip=0.0, model="ibkr_lite", **options)
+    return {t[0]: t[5] for t in got["trades"]}
+
+
+def test_sizing_rules_by_hand():
+    assert _one_day("netliq_clip", buffer=1.0) == {"A": 60, "B": 40}
+    assert _one_day("netliq_clip", buffer=0.5) == {"A": 50, "B": 25}
+    assert _one_day("cash_fraction") == {"A": 57, "B": 38}
+    assert _one_day("cash_fraction_capped", cap=0.2) == {"A": 19, "B": 19}
+    # The second name is sized on the cash that the first has left: 1000 - 190.
+    assert _one_day("cash_fraction_seq_capped") == {"A": 19, "B": 15}
+    assert _one_day("paleologo_strict", cap=0.5) == {"A": 47, "B": 38}
+
+
+def test_walk_by_a_plain_walker():
+    """The vectorised walk against one that goes name by name."""
+    for seed in range(4):
+        p = _panel(200, 3, seed)
+        p.stop_code, p.atr = np.array([0, 1, 2]), p.close * 0.02
+        p.stop_param = np.array([0.0, 0.05, 1.5])
+        got = RP.walk(p, lambda active, t: np.full(len(active), 1 / 3), 100_000.0, "cash_fraction_capped", model="flat_10bps")
+        cash, held, trades = 100_000.0, {}, []
+        for t in range(200):
+            for i in sorted(held):
+                k, entry, trail, began = held[i]
+                price = None
+                if p.stop_code[i] == 1 and p.low[t, i] <= entry * 0.95:
+                    price, why = entry * 0.95, "stop_pct"
+                elif p.stop_code[i] == 2:
+                    trail = max(trail, p.close[t, i] - 1.5 * p.atr[t, i])
+                    held[i] = (k, entry, trail, began)
+                    if p.close[t, i] <= trail:
+                        price, why = trail, "stop_atr"
+                if price is None and p.raw[t, i] == 0:
+                    price, why = p.close[t, i], "signal"
+                if price is not None:
+                    price *= 1 - RP.SLIP
+                    cash += k * price * (1 - RP.COST)
+                    trades.append((i, began, t, k, why))
+                    del held[i]
+            new = [i for i in range(3) if t and i not in held and p.raw[t, i] == 1 and p.raw[t - 1, i] == 0]
+            pool = cash * RP.BUFFER
+            for i in new:
+                price = p.close[t, i] * (1 + RP.SLIP)
+                k = int(min(1 / 3, RP.CAP) * pool / (price * (1 + RP.COST)))
+                if k > 0 and k * price * (1 + RP.COST) <= cash:
+                    cash -= k * price * (1 + RP.COST)
+                    held[i] = (k, price, -np.inf, t)
+        rest = [("ABC".index(x[0]), int(x[1]), int(x[2]), x[5], x[8]) for x in got["trades"] if x[8] != "force_eow"]
+        assert rest == trades and len(trades) > 20
+
+
+def test_schemes_over_rows_and_over_a_broadcast(spark):
+    rng = np.random.default_rng(3)
+    close = 100 * np.exp(np.cumsum(rng.normal(0, 0.02, (160, 4)), axis=0))
+    on = (rng.random((160, 4)) < 0.5).astype(int)
+    rows = [("ABCD"[i], t, float(close[t, i]), float(close[t, i] * 0.99), 1.0, int(on[t, i])) for t in range(160) for i in range(4)]
+    cache = spark.createDataFrame(rows, "ticker string, t int, close double, low double, atr double, pos_raw int").selectExpr("ticker", "date_add(date'2020-01-01', t) AS ts", "close", "low", "atr", "pos_raw", "0 AS stop_code", "0.0D AS stop_param")
+    names = ["equal_weight", "inv_vol_dyn_cap20", "roll_mom_cap30", "cf__flat_1k_cap50"]
+    one, other = (sorted(map(tuple, RP.run_schemes(cache, names, most_cells=m).collect())) for m in (10**6, 1))
+    assert one == other and len(one) == 4 * 160
+    bench = cache.filter("ticker = 'A'").select("ts", F.col("close").alias("equity"))
+    summary = RP.summary_rows(RP.run_schemes(cache, names), RP.run_schemes(cache, names, output="counts"), bench, "2020-03-01")
+    got = {r["scheme"]: r for r in summary.collect()}
+    assert set(got) == {*names, "SPY"} and got["SPY"]["beta"] == 1 and got["SPY"]["n_trades"] is None
+    assert all(got[n]["n_entries_total"] >= got[n]["n_cap_bound"] and 0 < got[n]["mean_hhi"] <= got[n]["max_hhi"] for n in names)
+    picked = RP.beat_benchmark(summary).collect()
+    better = [n for n in names if got[n]["oos_sharpe"] > got["SPY"]["oos_sharpe"] and got[n]["ir_vs_spy"] > 0 and got[n]["oos_end_value"] > got["SPY"]["oos_end_value"]]
+    assert {r["scheme"] for r in picked} == set(better or names)
+
+
+def test_equal_curves_collapse(spark):
+    rows = [("equal_weight", "a"), ("flat_1k_cap10", "a"), ("cf__equal_weight", "a"), ("hrp_cap05", "b"), ("hrp_cap50", "b"), ("x", None), ("y", None)]
+    df = spark.createDataFrame(rows, "scheme string, curve_hash string")
+    got = {r["scheme"]: r["aliases"] for r in RP.collapse_equal(df).collect()}
+    assert got == {"cf__equal_weight": "equal_weight, flat_1k_cap10", "hrp_cap05": "hrp_cap50", "x": "", "y": ""}
+    assert "flat_1k_cap10" in {r["scheme"] for r in RP.collapse_equal(df, "flat_1k_cap10").collect()}
+
+
+def _noise_pair(spark, n=700, seed=8):
+    x, step = np.ones(n), np.random.default_rng(seed).normal(0, 0.02, n)
+    for i in range(1, n):
+        x[i] = 1 + 0.95 * (x[i - 1] - 1) + step[i]
+    return x, spark.createDataFrame([("P", i + 1, float(v), float(100 * v)) for i, v in enumerate(x)], "pair string, seq long, ratio double, num_close double")
+
+
+def test_cross_validation_paths_by_brute_force(spark):
+    x, df = _noise_pair(spark)
+    got = V.cpcv(df, purge=20, embargo=5).first()
+    c, n = 70, 700
+    edges = [(k * c, n if k == 9 else (k + 1) * c) for k in range(10)]
+
+    def traded(lo, hi, w):
+        ret, pos, flags = np.zeros(hi - lo), 0, [None] * (hi - lo)
+        for i in range(w - 1, hi - lo):
+            v = x[lo + i - w + 1 : lo + i + 1]
+            z = (v[-1] - v.mean()) / v.std(ddof=1)
+            flags[i] = "in" if z <= -2 else "out" if z >= 0 else None
+        for i in range(1, hi - lo):
+            move = x[lo + i] / x[lo + i - 1] - 1
+            if pos:
+                out = flags[i - 1] == "out"
+                ret[i], pos = move - 0.001 * out, int(not out)
+            elif flags[i - 1] == "in":
+                ret[i], pos = -0.001, 1
+        return ret
+
+    known = {}
+    for a in range(10):
+        for b in range(a + 1, 10):
+            keep = [i for i in range(n) if not any(lo <= i < hi or abs(i - lo + 0.5) < 20 or abs(i - hi + 0.5) < 20 or hi <= i < hi + 5 for lo, hi in (edges[a], edges[b]))]
+            t = x[keep]
+            slope = np.polyfit(t[:-1], np.diff(t), 1)[0]
+            w = min(max(int(-np.log(2) / np.log1p(slope) * 0.5), 10), 252) if -1 < slope < 0 else 20
+            known[a, b] = {k: traded(*edges[k], w) for k in (a, b)}
+    paths = []
+    for r in range(9):
+        edges_of = [e for e in known if (e[1] == 9 and e[0] == r) or (e[1] < 9 and (sum(e) - 2 * r) % 9 == 0)]
+        whole = np.concatenate([known[e][k] for k in range(10) for e in edges_of if k in e])
+        assert len(whole) == n
+        paths.append(whole.mean() / whole.std(ddof=1) * 252**0.5)
+    assert got["mean_test_sharpe"] == pytest.approx(np.mean(paths), abs=1e-9) and got["std_test_sharpe"] == pytest.approx(np.std(paths, ddof=1), abs=1e-9)
+    assert got["std_test_sharpe"] > 0 and got["n_test_periods"] == 9 and got["n_oos_bars"] == n
+
+
+def test_train_mask():
+    keep = V.train_mask(300, [(100, 130)], 20, 5)
+    assert not keep[80:150].any() and keep[:80].all() and keep[150:].all()
+    assert not V.train_mask(300, [(100, 130)], 2, 9)[130:139].any() and V.train_mask(300, [(100, 130)], 2, 9)[139:].all()
+
+
+@pytest.mark.parametrize("name", sorted(V.SEGMENT_SIGNALS))
+def test_segment_signals_say_what_signals_say(spark, name):
+    from tidemark.operators import segments as S, signals as SG
+
+    x, df = _noise_pair(spark, 400)
+    window = 14 if "rsi" in name else 20
+    rows = df.withColumn("ts", F.date_add(F.lit("2020-01-01").cast("date"), F.col("seq").cast("int"))).withColumn("den_close", F.lit(100.0))
+    options = {} if name == "donchian" else {"window": window}
+    got = SG.SIGNALS[name](rows, **options).orderBy("seq").collect()
+    go, leave = S.flags(S.SEGMENT_SIGNALS[name], x, window, {})
+    assert [r["entry"] for r in got] == go.tolist() and [r["exit"] for r in got] == leave.tolist()
+
+
+def test_double_bottom_by_steps():
+    x = np.array([6, 5, 4, 3, 4, 5, 6, 5, 4, 3.05, 3.5, 4, 5, 7, 6.0])
+    go, leave = K.double_bottom(x, 3, 0.03, 20)
+    assert np.flatnonzero(go).tolist() == [10] and np.flatnonzero(leave).tolist() == [11]
+    assert not K.double_bottom(x, 3, 0.01, 20)[0].any() and np.flatnonzero(K.double_bottom(x, 3, 0.03, 1)[1]).tolist() == [10]
+
+
+def test_prominence_in_growing_parts():
+    x = np.round(np.cumsum(np.random.default_rng(0).normal(0, 1, 300)), 1)
+    held = PT.Prominences(x)
+    for end in (40, 150, 300):
+        for i, p in zip(*held.of(end)):
+            left = i - np.argmax(np.append(x[:i][::-1] > x[i], True))
+            right = i + np.argmax(np.append(x[i + 1 : end] > x[i], True))
+            assert p == pytest.approx(x[i] - max(x[left : i + 1].min(), x[i : right + 1].min()))
+
+
+def test_breakout_trades_by_hand():
+    close = np.array([10.0, 11, 12, 9, 9, 10, 11, 12])
+    into, out = np.zeros(8, bool), np.zeros(8, bool)
+    into[[0, 4]] = True
+    ret, trades = PT.breakout_trades(close, into, out, 0.05, cost=0.0, slip=0.0)
+    assert [t[:2] + t[5:] for t in trades] == [(0, 3, "stop"), (4, 7, "eod")]
+    assert np.prod(1 + ret[:4]) == pytest.approx(0.95) and np.prod(1 + ret[4:]) == pytest.approx(12 / 9)
+
+
+def test_position_walk_by_hand():
+    close = np.array([10.0, 10, 12, 11, 9, 10, 11])
+    low, atr, pos = close * 0.99, np.full(7, 1.0), np.array([0, 1, 1, 1, 1, 1, 0])
+    ret, trades, wins, inside = PT.walk_position(close, low, atr, pos, "none", 0.0, 0.0, 0.0)
+    assert (trades, wins, inside) == (1, 1, 5) and np.prod(1 + ret) == pytest.approx(1.1)
+    ret, trades, wins, inside = PT.walk_position(close, low, atr, pos, "pct", 0.1, 0.0, 0.0)
+    assert trades == 2 and wins == 1 and np.prod(1 + ret) == pytest.approx(0.9 * 11 / 10)
+    ret, trades, *_ = PT.walk_position(close, low, atr, pos, "atr", 0.5, 0.0, 0.0)
+    assert trades == 2 and np.prod(1 + ret) == pytest.approx(11.5 / 10 * 11 / 9)
+
+
+def test_tpe_finds_the_best_of_a_bowl():
+    found, value = B.tpe(np.random.default_rng(42), [range(50), range(50)], lambda t: -((t[0] - 30) ** 2) - (t[1] - 10) ** 2, 120)
+    assert value > -20 and abs(found[0] - 30) <= 4
+
+
+def test_presets():
+    assert len(PL.PRESETS) == 28
+    for name, p in PL.PRESETS.items():
+        PL.Pipeline(name=name, **p)
+
+
+@pytest.mark.parametrize("name", ["X-11", "ALT-RSI-S", "TRE-3", "ALT-VAZ"])
+def test_preset_runs(spark, name):
+    rng = np.random.default_rng(11)
+    wave = {t: 100 * (1 + 0.1 * np.sin(np.arange(800) / p)) * np.exp(np.cumsum(rng.normal(0, 0.004, 800))) for t, p in zip("ABC", (8, 21, 500))}
+    prices = spark.createDataFrame([(t, d, float(v)) for t, x in wave.items() for d, v in enumerate(x)], "ticker string, d int, close double").selectExpr("ticker", "date_add(date'2018-01-01', d) AS ts", "close")
+    pairs = spark.createDataFrame([("A/C", "A", "C"), ("B/C", "B", "C")], "pair string, numerator string, denominator string")
+    preset = PL.PRESETS[name] | {"s1": "passthrough"}
+    out = PL.Pipeline(name=name, **preset).run(prices, pairs, {"min_is_sharpe": -9.0, "min_oos_sharpe": -9.0, "min_oos_trades": 0, "min_is_trades": 1, "bootstrap_iterations": 200, "mc_iterations": 200}, stop_after="s4")
+    methods = {r["val_method"] for r in PL.validate_interface(out.stages["s3"], "s3").select("val_method").distinct().collect()}
+    given = preset["s3"] if isinstance(preset["s3"], list) else [preset["s3"]]
+    assert methods <= set(given) and PL.validate_interface(out.stages["s4"], "s4").count() <= 2
+    out.release()
+
+
+def test_checkpoints_hold_each_unit_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/done"
+    rows = spark.createDataFrame([("a", 1.5), ("b", 2.5)], "pair string, x double")
+    assert PL.checkpoint_units(rows, folder).count() == 2
+    more = spark.createDataFrame([("b", 9.0), ("c", 3.5)], "pair string, x double")
+    got = PL.checkpoint_units(more, folder)
+    assert sorted(map(tuple, got.collect())) == [("a", 1.5), ("b", 2.5), ("c", 3.5)] and dict(got.dtypes)["x"] == "double"
+
+
 def test_weights_on_matrices():
     cov = np.diag([0.01, 0.04])
     assert WT.erc(cov) == pytest.approx([2 / 3, 1 / 3], abs=1e-6)

@@ -41,7 +41,7 @@ def settings(given: Sequence[str]) -> dict[str, Any]:
     out = {}
     for item in given:
         name, equals, value = item.partition("=")
-        if not equals or name not in PL.CONFIG:
+        if not equals or PL.SETTING.get(name, name) not in PL.CONFIG:
             raise ValueError(f"no setting {item!r}; there are {', '.join(sorted(PL.CONFIG))}")
         out[name] = json.loads(value)
     return out

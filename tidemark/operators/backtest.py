@@ -13,7 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from . import kernels as K
+from . import kernels as K, segments as SG
 
 YEAR = 252
 
@@ -76,22 +76,20 @@ def _product(entries: Sequence[float], exits: Sequence[float], stops: Sequence[f
     return [(e, x, s) for e in entries for x in exits for s in stops]
 
 
-def _advance(close: np.ndarray, grid: Sequence[Combo], rules: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], fee: float, least_trades: int, n_params: int) -> tuple[int, float, int, float] | None:
-    """(grid index, sharpe, trades, penalised) of the best entry, exit and stop; the first among equals.
+def advance(close: np.ndarray, stop: np.ndarray, wants: Callable[[int], tuple[np.ndarray, np.ndarray]], fee: float, least_trades: int, n_params: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(Sharpe, trades, penalised Sharpe) of many settings; -inf where there are too few trades.
 
-    All combinations advance together: one vector step per bar, not one bar loop per combination.
-    ``rules(i, entries, exits)`` says which of them want in and which want out at bar i.
+    All advance together: one vector step per bar, not one bar loop per setting. ``wants(i)`` says which of
+    them go in and which leave at bar i.
     """
-    if not grid or len(close) < 3:
-        return None
-    e, x, stop = (np.array(c) for c in zip(*grid))
-    n, k = len(close), len(grid)
-    held, at = np.zeros(k, dtype=bool), np.zeros(k)
+    n, k = len(close), len(stop)
+    held, at = np.zeros(k, dtype=bool), np.ones(k)
     trades, total, square = np.zeros(k, dtype=np.int64), np.zeros(k), np.zeros(k)
+    floor = np.where(stop > 0, -stop, -np.inf)
     for i in range(1, n):
-        go, leave = rules(i - 1, e, x)
+        go, leave = wants(i)
         r = close[i] / close[i - 1] - 1 if close[i - 1] > 0 else 0.0
-        out = held & (((stop > 0) & (close[i] / np.where(at > 0, at, 1.0) - 1 <= -stop)) | leave)
+        out = held & ((close[i] / at - 1 <= floor) | leave)
         enter = ~held & go
         ret = np.where(held, r, 0.0) - fee * (out | enter)
         total += ret
@@ -100,15 +98,21 @@ def _advance(close: np.ndarray, grid: Sequence[Combo], rules: Callable[[int, np.
         trades += enter
         held = (held & ~out) | enter
     mean = total / n
-    var = np.maximum(square - n * mean * mean, 0) / (n - 1)
-    sd = np.sqrt(var)
+    sd = np.sqrt(np.maximum(square - n * mean * mean, 0) / max(n - 1, 1))
     sr = np.where(sd > 1e-10, mean / np.where(sd > 0, sd, 1) * math.sqrt(YEAR), 0.0)
     ok = (trades >= least_trades) & (trades >= n_params)
-    if not ok.any():
+    return sr, trades, np.where(ok, sr * np.sqrt(np.maximum(1 - n_params / np.maximum(trades, 1), 0)), -np.inf)
+
+
+def _advance(close: np.ndarray, grid: Sequence[Combo], rules: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], fee: float, least_trades: int, n_params: int) -> tuple[int, float, int, float] | None:
+    """(grid index, sharpe, trades, penalised) of the best entry, exit and stop; the first among equals.
+    ``rules(i, entries, exits)`` says which of them want in and which want out after bar i."""
+    if not grid or len(close) < 3:
         return None
-    pen = np.where(ok, sr * np.sqrt(np.maximum(1 - n_params / np.maximum(trades, 1), 0)), -np.inf)
+    e, x, stop = (np.array(c) for c in zip(*grid))
+    sr, trades, pen = advance(close, stop, lambda i: rules(i - 1, e, x), fee, least_trades, n_params)
     best = int(np.argmax(pen))
-    return best, float(sr[best]), int(trades[best]), float(pen[best])
+    return (best, float(sr[best]), int(trades[best]), float(pen[best])) if np.isfinite(pen[best]) else None
 
 
 def threshold_rules(signal: np.ndarray, oversold: bool = True) -> Callable:
@@ -143,46 +147,132 @@ def sweep_regime(signal: np.ndarray, on: np.ndarray, adx: np.ndarray, close: np.
     return _advance(close, _product(entries, exits, stops), regime_rules(signal, on, adx, trending, ranging), fee, least_trades, n_params)
 
 
-def _search(series: DataFrame, trials: dict[int, list[Combo]], is_ratio: float, least_trades: int, least_oos: float, fee: float, regime: tuple[float, float] | None = None) -> DataFrame:
-    """Each window's combinations on the first part of each pair, the best one tried on the rest; a row
-    per pair that has one. A task holds one pair: the sweep runs on its bars in place."""
-    schema = T.StructType([T.StructField("pair", T.StringType())] + [T.StructField(n, T.DoubleType()) for n in ("window", "entry_thresh", "exit_thresh", "stop_pct", "is_sharpe", "is_penalized_sharpe", "is_trades", "oos_sharpe", "oos_trades")] + [T.StructField("passed", T.BooleanType())])
-    n_params = 5 if len(trials) > 1 else 4
+SEARCHED = "pair string, window double, entry_thresh double, exit_thresh double, stop_pct double, slope_min double, is_sharpe double, is_penalized_sharpe double, is_trades double, oos_sharpe double, oos_trades double, passed boolean"
+#: A set of settings: window, entry, exit, stop, slope.
+Trial = tuple[int, float, float, float, float]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
+
+class _Bars:
+    """One pair's bars, cut in two, and the best of the settings tried on the first part."""
+
+    def __init__(self, rows: pd.DataFrame, signal: SG.SegmentSignal, is_ratio: float, fee: float, extra: dict):
         rows = rows.sort_values("seq")
-        x, close = rows["ratio"], rows["num_close"].to_numpy(float)
-        cut = int(len(rows) * is_ratio)
-        adx = K.adx_close(x.to_numpy(float)) if regime else None
-        best = None
-        for w, grid in trials.items():
-            z = ((x - x.rolling(w).mean()) / x.rolling(w).std().replace(0.0, np.nan)).to_numpy()
-            rules = regime_rules(z, (x > x.rolling(w).mean()).to_numpy(), adx, *regime) if regime else threshold_rules(z)
-            got = _advance(close[:cut], grid, rules, fee, least_trades, n_params)
-            if got and (best is None or got[3] > best[1][3]):
-                best = (w, got, rules)
-        if best is None:
-            return pd.DataFrame([], columns=schema.names)
-        w, (index, sr, trades, pen), rules = best
-        e, out, stop = trials[w][index]
-        flags = [rules(i, np.array([e]), np.array([out])) for i in range(cut, len(rows))]
-        p = K.positions(close[cut:], K.shifted(np.array([bool(g[0]) for g, _ in flags], dtype=bool)), K.shifted(np.array([bool(v[0]) for _, v in flags], dtype=bool)), stop, fee)
-        sd = p["ret"].std(ddof=1) if len(p["ret"]) > 1 else 0.0
-        oos = p["ret"].mean() / sd * math.sqrt(YEAR) if sd > 1e-10 else 0.0
-        n = int(np.isfinite(p["trade_ret"]).sum())
-        return pd.DataFrame([(rows["pair"].iloc[0], float(w), e, out, stop, sr, pen, float(trades), oos, float(n), bool(oos >= least_oos and n > 0))], columns=schema.names)
+        self.x, self.close = rows["ratio"].to_numpy(float), rows["num_close"].to_numpy(float)
+        self.pair, self.cut, self.signal, self.fee, self.extra = rows["pair"].iloc[0], int(len(rows) * is_ratio), signal, fee, extra
+        self.window = int(rows["window"].iloc[0]) if "window" in rows and rows["window"].iloc[0] > 0 else 20
+
+    def settings(self, t: Trial) -> dict:
+        return self.extra | {"entry": t[1], "exit_": t[2], "slope_min": t[4]}
+
+    def scores(self, trials: Sequence[Trial], least_trades: int, n_params: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(Sharpe, trades, penalised) of each trial on the first part; all advance together. Too few trades: -inf."""
+        made: dict[tuple, SG.Flags] = {}
+        for t in trials:
+            key = (t[0], t[1], t[2], t[4])
+            if key not in made:
+                made[key] = SG.flags(self.signal, self.x[: self.cut], t[0], self.settings(t))
+        go, leave = (np.stack([made[t[0], t[1], t[2], t[4]][side] for t in trials], axis=1) for side in (0, 1))
+        return advance(self.close[: self.cut], np.array([t[3] for t in trials]), lambda i: (go[i], leave[i]), self.fee, least_trades, n_params)
+
+    def row(self, t: Trial, sr: float, pen: float, trades: int, least_oos: float, least_oos_trades: int) -> tuple:
+        p = K.positions(self.close[self.cut :], *SG.flags(self.signal, self.x[self.cut :], t[0], self.settings(t)), t[3], self.fee)
+        oos, n = SG.sharpe(p["ret"]), int(np.isfinite(p["trade_ret"]).sum())
+        return self.pair, float(t[0]), t[1], t[2], t[3], t[4], sr, pen, float(trades), oos, float(n), bool(oos >= least_oos and n >= least_oos_trades)
+
+
+def _search(series: DataFrame, choose: Callable[[_Bars], tuple[Trial, float, float, int] | None], signal: str | SG.SegmentSignal, is_ratio: float, least_is: float, least_oos: float, least_oos_trades: int, fee: float, extra: dict) -> DataFrame:
+    """What ``choose`` finds on the first part of each pair, tried on the rest; a row for each pair where it
+    reaches ``least_is``. A task holds one pair: all settings are tried on its bars in place."""
+    fn = SG.segment_signal(signal)
 
-    return series.groupBy("pair").applyInPandas(one, schema)
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        bars = _Bars(rows, fn, is_ratio, fee, extra)
+        got = choose(bars) if bars.cut >= 3 and len(rows) - bars.cut >= 3 else None
+        found = [bars.row(got[0], *got[1:], least_oos, least_oos_trades)] if got and got[1] >= least_is else []
+        return pd.DataFrame(found, columns=[c.split()[0] for c in SEARCHED.split(", ")])
+
+    columns = [c for c in ("pair", "seq", "ratio", "num_close", "window") if c in series.columns]
+    return series.select(*columns).groupBy("pair").applyInPandas(one, SEARCHED)
+
+
+# The published grids.
+ENTRIES, EXITS, STOPS, SLOPES = (-4.0, -3.5, -3.0, -2.5, -2.0, -1.5, -1.0), (0.0, 0.5, 1.0, 1.5, 2.0, 2.5, 3.0), (0.0, 0.1, 0.2), (0.0,)
+
+
+def grid_search(series: DataFrame, signal: str | SG.SegmentSignal = "zscore_standard", windows: Sequence[int] | None = None, entries: Sequence[float] = ENTRIES, exits: Sequence[float] = EXITS, stops: Sequence[float] = STOPS, slopes: Sequence[float] = SLOPES, is_ratio: float = 0.8, least_trades: int = 5, least_is: float = 0.5, least_oos: float = 0.0, least_oos_trades: int = 5, fee: float = 0.001, **extra) -> DataFrame:
+    """Every entry, exit, stop, slope and window; the best penalised Sharpe, the first in that order among
+    equals. Without ``windows`` the pair's own ``window`` column counts, or 20."""
 
+    def choose(b: _Bars) -> tuple[Trial, float, float, int] | None:
+        trials = [(w, float(e), float(x), float(s), float(m)) for e in entries for x in exits for s in stops for m in slopes for w in (windows or (b.window,))]
+        sr, n, pen = b.scores(trials, least_trades, 5 if windows and len(windows) > 1 else 4)
+        best = int(np.argmax(pen))
+        return (trials[best], float(sr[best]), float(pen[best]), int(n[best])) if np.isfinite(pen[best]) else None
 
-def grid_search(series: DataFrame, windows: Sequence[int] = (10, 20, 40), entries: Sequence[float] = (-2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5), stops: Sequence[float] = (0.0, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001) -> DataFrame:
-    """The z-score grid."""
-    return _search(series, {w: _product(entries, exits, stops) for w in windows}, is_ratio, least_trades, least_oos, fee)
+    return _search(series, choose, signal, is_ratio, least_is, least_oos, least_oos_trades, fee, extra)
 
 
-def grid_regime(series: DataFrame, windows: Sequence[int] = (10, 20, 40), entries: Sequence[float] = (-2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5), stops: Sequence[float] = (0.0, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001, trending: float = 25.0, ranging: float = 20.0) -> DataFrame:
-    """The z-score grid with the rules of the ADX regime."""
-    return _search(series, {w: _product(entries, exits, stops) for w in windows}, is_ratio, least_trades, least_oos, fee, (trending, ranging))
+def grid_regime(series: DataFrame, trending: float = 25.0, ranging: float = 20.0, **options) -> DataFrame:
+    """The grid with the rules of the ADX regime: thresholds while the ADX is below ``ranging``; above
+    ``trending`` the average's state turning on or off; between them neither."""
+    return grid_search(series, "regime_switch", trending=trending, ranging=ranging, **options)
+
+
+def _parzen(rng: np.random.Generator, values: Sequence, good: list[int], bad: list[int], draws: int) -> np.ndarray:
+    """Of ``draws`` values from the good trials' smoothed frequencies, by place, their odds against the bad ones."""
+    weight = lambda seen: (np.bincount(seen, minlength=len(values)) + 1.0) / (len(seen) + len(values))
+    p, q = weight(good), weight(bad)
+    at = rng.choice(len(values), size=draws, p=p / p.sum())
+    return np.stack([at, np.log(p[at] / q[at])])
+
+
+def tpe(rng: np.random.Generator, grids: Sequence[Sequence], score: Callable[[tuple], float], trials: int, start: int = 10, draws: int = 24) -> tuple[tuple | None, float]:
+    """Tree-structured Parzen estimators over independent categorical settings: after ``start`` random
+    trials each is the draw with the best odds of belonging to the best tenth (25 at most)."""
+    seen: list[tuple[int, ...]] = []
+    values: list[float] = []
+    for k in range(trials):
+        if k < start:
+            at = tuple(int(rng.integers(len(g))) for g in grids)
+        else:
+            order = np.argsort([-v for v in values], kind="stable")
+            n = min(25, max(1, math.ceil(0.1 * k)))
+            parts = [_parzen(rng, g, [seen[i][d] for i in order[:n]], [seen[i][d] for i in order[n:]], draws) for d, g in enumerate(grids)]
+            best = int(np.argmax(sum(p[1] for p in parts)))
+            at = tuple(int(p[0][best]) for p in parts)
+        seen.append(at)
+        values.append(score(tuple(g[i] for g, i in zip(grids, at, strict=True))))
+    top = int(np.argmax(values))
+    return (tuple(g[i] for g, i in zip(grids, seen[top], strict=True)), values[top]) if np.isfinite(values[top]) else (None, -np.inf)
+
+
+def optuna_tpe(series: DataFrame, signal: str | SG.SegmentSignal = "zscore_standard", trials: int = 50, seed: int = 42, windows: Sequence[int] | None = None, entries: Sequence[float] = ENTRIES, exits: Sequence[float] = EXITS, stops: Sequence[float] = STOPS, slopes: Sequence[float] = SLOPES, is_ratio: float = 0.8, least_trades: int = 5, least_is: float = 0.5, least_oos: float = 0.0, least_oos_trades: int = 5, fee: float = 0.001, **extra) -> DataFrame:
+    """Seeded TPE trials over the same grids; each pair has a sampler of its own."""
+
+    def choose(b: _Bars) -> tuple[Trial, float, float, int] | None:
+        known: dict[tuple, tuple[float, int, float]] = {}
+
+        def score(t: tuple) -> float:
+            if t not in known:
+                sr, n, pen = b.scores([t], least_trades, 5)
+                known[t] = float(sr[0]), int(n[0]), float(pen[0])
+            return known[t][2]
+
+        grids = [windows or (b.window,), *([float(v) for v in g] for g in (entries, exits, stops, slopes))]
+        best, pen = tpe(np.random.default_rng(seed), grids, score, trials)
+        return (best, known[best][0], pen, known[best][1]) if best else None
+
+    return _search(series, choose, signal, is_ratio, least_is, least_oos, least_oos_trades, fee, extra)
+
+
+def optuna_ma(series: DataFrame, kind: str = "sma", trials: int = 50, seed: int = 42, low: int = 10, high: int = 270, is_ratio: float = 0.8) -> DataFrame:
+    """Seeded TPE trials over the look-back of a moving-average state."""
+
+    def choose(score: Callable[[int], float]) -> int | None:
+        found, _ = tpe(np.random.default_rng(seed), [range(low, high + 1)], lambda t: score(t[0]), trials)
+        return found[0] if found else None
+
+    return _ma_search(series, kind, choose, is_ratio)
 
 
 def _ma_signal(kind: str, x: pd.Series, w: int) -> np.ndarray:
@@ -201,9 +291,7 @@ def _ma_signal(kind: str, x: pd.Series, w: int) -> np.ndarray:
     return on.to_numpy()
 
 
-def grid_ma(series: DataFrame, kind: str = "sma", low: int = 10, high: int = 270, step: int = 1, is_ratio: float = 0.8) -> DataFrame:
-    """Every look-back of a moving-average state on the first part, the best one on the rest; pairs
-    are aligned by date before, never by position."""
+def _ma_search(series: DataFrame, kind: str, choose: Callable[[Callable[[int], float]], int | None], is_ratio: float) -> DataFrame:
     schema = "pair string, window long, is_sharpe double, oos_sharpe double, oos_cagr double, oos_max_dd double, oos_exposure double, lag5_autocorr double, passed boolean"
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
@@ -211,37 +299,23 @@ def grid_ma(series: DataFrame, kind: str = "sma", low: int = 10, high: int = 270
         x = rows["ratio"]
         r = x.pct_change().fillna(0.0).to_numpy()
         cut = int(len(rows) * is_ratio)
-
-        def score(v: np.ndarray) -> float:
-            sd = v.std(ddof=1) if len(v) > 1 else 0.0
-            return float(v.mean() / sd * math.sqrt(YEAR)) if sd > 1e-10 else 0.0
-
-        best = (-np.inf, 0, None)
-        for w in range(low, high + 1, step):
-            net = r * K.shifted(_ma_signal(kind, x, w))
-            s = score(net[:cut])
-            if s > best[0]:
-                best = (s, w, net)
-        net = best[2][cut:] if best[2] is not None else np.zeros(0)
-        if not len(net):
+        net = lambda w: r * K.shifted(_ma_signal(kind, x, w))
+        w = choose(lambda w: SG.sharpe(net(w)[:cut])) if cut < len(rows) else None
+        if w is None:
             return pd.DataFrame([], columns=[c.split()[0] for c in schema.split(", ")])
-        eq = np.cumprod(1 + net)
-        dd = (eq / np.maximum.accumulate(eq) - 1).min()
-        ac = np.corrcoef(net[5:], net[:-5])[0, 1] if len(net) > 10 and net.std() > 0 else 0.0
-        s = score(net)
-        return pd.DataFrame([(rows["pair"].iloc[0], best[1], best[0], s, float((1 + net.mean()) ** YEAR - 1), float(dd), float((net != 0).mean()), float(np.nan_to_num(ac)), s > 0)], columns=[c.split()[0] for c in schema.split(", ")])
+        whole = net(w)
+        out = whole[cut:]
+        ac = np.corrcoef(out[5:], out[:-5])[0, 1] if len(out) > 10 and out.std() > 0 else 0.0
+        s = SG.sharpe(out)
+        return pd.DataFrame([(rows["pair"].iloc[0], w, SG.sharpe(whole[:cut]), s, float((1 + out.mean()) ** YEAR - 1), SG.deepest(out), float((out != 0).mean()), float(np.nan_to_num(ac)), s > 0)], columns=[c.split()[0] for c in schema.split(", ")])
 
     return series.groupBy("pair").applyInPandas(one, schema)
 
 
-def random_search(series: DataFrame, trials: int = 50, seed: int = 42, windows: Sequence[int] = (10, 20, 30, 40, 60), entries: Sequence[float] = (-3.0, -2.5, -2.0, -1.5), exits: Sequence[float] = (0.0, 0.5, 1.0), stops: Sequence[float] = (0.0, 0.05, 0.1), is_ratio: float = 0.8, least_trades: int = 3, least_oos: float = 0.0, fee: float = 0.001) -> DataFrame:
-    """A seeded sampler over the categorical grids: the drawn sets are tried, and no others."""
-    rng = np.random.default_rng(seed)
-    chosen = {(int(rng.choice(windows)), float(rng.choice(entries)), float(rng.choice(exits)), float(rng.choice(stops))) for _ in range(trials)}
-    parts: dict[int, list[Combo]] = {}
-    for w, e, x, s in sorted(chosen):
-        parts.setdefault(w, []).append((e, x, s))
-    return _search(series, parts, is_ratio, least_trades, least_oos, fee)
+def grid_ma(series: DataFrame, kind: str = "sma", low: int = 10, high: int = 270, step: int = 1, is_ratio: float = 0.8) -> DataFrame:
+    """Every look-back of a moving-average state on the first part, the best one on the rest; pairs
+    are aligned by date before, never by position."""
+    return _ma_search(series, kind, lambda score: max(range(low, high + 1, step), key=score), is_ratio)
 
 
 def best_first(rows: DataFrame, key: str, score: str, index: str) -> DataFrame:

@@ -225,17 +225,31 @@ def positions(close: np.ndarray, entry: np.ndarray, exit_: np.ndarray, stop: flo
     return {"ret": ret, "position": pos, "trade_ret": trade}
 
 
-def double_bottom(x: np.ndarray, apart: int, tolerance: float) -> np.ndarray:
-    """True where a second trough comes within ``tolerance`` of an earlier one at least ``apart`` bars
-    before, with a higher price between them."""
+def double_bottom(x: np.ndarray, window: int, tolerance: float, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(entries, exits) of a second trough near the last one.
+
+    A trough is the bar before one that rises, if it is no higher than the ``window`` bars before it. It
+    opens a trade if it lies within ``tolerance`` of the trough before, at least ``window`` bars after it,
+    and the price has since stood above that trough by the tolerance. A trade ends at the highest of
+    ``window`` bars or after ``most`` bars, its first one counted.
+    """
     n = len(x)
-    out = np.zeros(n, dtype=bool)
-    troughs = [i for i in range(1, n - 1) if x[i] < x[i - 1] and x[i] <= x[i + 1]]
-    for at, j in enumerate(troughs):
-        for i in reversed(troughs[:at]):
-            if j - i < apart:
-                continue
-            if abs(x[j] / x[i] - 1) <= tolerance and x[i + 1 : j].max(initial=-np.inf) > max(x[i], x[j]) * (1 + tolerance):
-                out[j + 1 if j + 1 < n else j] = True  # known one bar after the trough
-            break
-    return out
+    go, leave = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+    if n <= window + 1:
+        return go, leave
+    views = np.lib.stride_tricks.sliding_window_view(x, window)
+    lowest, highest = views.min(axis=1), views.max(axis=1)
+    # A trough at bar i - 1 is known at bar i; lowest[k] is of the bars k .. k + window - 1.
+    i = np.arange(window + 1, n)
+    known = i[(x[i - 1] <= lowest[i - 1 - window]) & (x[i] > x[i - 1])]
+    pairs = [(a, b) for a, b in zip(known, known[1:]) if b - a >= window and abs(x[b - 1] / x[a - 1] - 1) <= tolerance and x[a : b + 1].max() >= x[a - 1] * (1 + tolerance)]
+    free = 0  # the first bar on which no trade is open
+    for _, b in pairs:
+        if b >= free:
+            ends = np.flatnonzero(x[b : b + most] == highest[b - window + 1 : b - window + 1 + len(x[b : b + most])])
+            end = b + (ends[0] if len(ends) else most - 1)
+            go[b] = True
+            if end < n:
+                leave[end] = True
+            free = end + 1
+    return go, leave

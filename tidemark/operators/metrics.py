@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions import stats
+
 YEAR = 252
 ROOT = math.sqrt(YEAR)
 
@@ -93,19 +95,71 @@ def fundamental_law(ic: Column, breadth: Column, tc: float = 1.0) -> Column:
     return ic * F.sqrt(breadth) * tc
 
 
-def extended(returns: DataFrame, key: str = "key") -> DataFrame:
-    """Distribution and trade-like statistics from published formulas."""
+def extended(returns: DataFrame, key: str = "key", bars: float = YEAR) -> DataFrame:
+    """Distribution and trade-like statistics from published formulas.
+
+    ``var`` is the quantile of the returns; ``parametric_var`` that of the normal with their mean and
+    deviation, and each ``cvar`` the mean of the returns beyond its own. The "smart" ratios are divided by
+    the penalty for autocorrelation, sqrt(1 + 2 sum over k of (n - k) / n x |rho| ^ k).
+    """
     r = F.col("r")
     q = lambda p: F.percentile(r, p)
-    quant = returns.groupBy(key).agg(q(0.05).alias("var_95"), q(0.01).alias("var_99"), q(0.95).alias("q95"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"))
-    j = returns.join(quant, key)
+    z95, z99 = stats.normal_quantile(0.95), stats.normal_quantile(0.99)
+    mu, sd = F.avg(r), F.stddev_samp(r)
+    quant = returns.groupBy(key).agg(
+        q(0.05).alias("var_95"), q(0.01).alias("var_99"), q(0.95).alias("q95"), q(0.99).alias("q99"), q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"),
+        (mu - z95 * sd).alias("parametric_var_95"), (mu - z99 * sd).alias("parametric_var_99"),
+    )
+    c = cumulative(returns, key)
+    lagged = c.withColumn("before", F.lag("r").over(W.partitionBy(key).orderBy("ts")))
+    j = lagged.join(quant, key)
+    win, loss = F.when(r > 0, r), F.when(r < 0, r)
+    cut = lambda level: F.avg(F.when(r < F.col(level), r))
+    n = F.count("*").cast("double")
     g = j.groupBy(key).agg(
-        F.first("var_95").alias("var_95"), F.first("var_99").alias("var_99"), F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"), F.abs(F.first("q95") / _null0(F.first("var_95"))).alias("tail_ratio"),
-        (F.sum(F.greatest(r, F.lit(0.0))) / _null0(F.sum(F.greatest(-r, F.lit(0.0))))).alias("omega"), F.avg(F.when(r > 0, r)).alias("avg_win"), F.avg(F.when(r < 0, r)).alias("avg_loss"), F.avg((r > 0).cast("int")).alias("win_rate"),
-        (F.sum(F.when(r > 0, r)) / _null0(F.abs(F.sum(F.when(r < 0, r))))).alias("profit_factor"), F.first("median").alias("median"), (F.first("q75") - F.first("q25")).alias("iqr"),
+        F.count("*").alias("n"), mu.alias("_mu"), sd.alias("_sd"), F.sum(r).alias("_sum"), F.min("dd").alias("_mdd"), F.sqrt(F.sum(F.col("dd") * F.col("dd")) / (n - 1)).alias("_ulcer"),
+        F.avg("dd").alias("_dmu"), F.stddev_samp("dd").alias("_dsd"), F.sqrt(F.sum(F.when(r < 0, r * r)) / n).alias("_down"), F.skewness("r").alias("_g1"), F.kurtosis("r").alias("_g2"),
+        F.exp(F.sum(F.ln(1 + r))).alias("_growth"), F.corr("r", "before").alias("autocorr_lag1"), F.count(F.when(r != 0, 1)).alias("_moved"), F.count(F.when(r >= 0, 1)).alias("_flat_up"), F.count(loss).alias("_downs"),
+        F.avg(F.when(r >= 0, r)).alias("_up_mean"), F.sum(F.when(r >= 0, r)).alias("_up_sum"), F.avg(F.when(r != 0, r)).alias("avg_return"), F.max(r).alias("best_day"), F.min(r).alias("worst_day"),
+        F.first("var_95").alias("var_95"), F.first("var_99").alias("var_99"), F.avg(F.when(r <= F.col("var_95"), r)).alias("cvar_95"), F.avg(F.when(r <= F.col("var_99"), r)).alias("cvar_99"),
+        F.first("parametric_var_95").alias("parametric_var_95"), F.first("parametric_var_99").alias("parametric_var_99"), cut("parametric_var_95").alias("parametric_cvar_95"), cut("parametric_var_99").alias("parametric_cvar_99"),
+        F.abs(F.first("q95") / _null0(F.first("var_95"))).alias("tail_ratio"), F.first("q99").alias("_q99"), (F.sum(F.greatest(r, F.lit(0.0))) / _null0(F.sum(F.greatest(-r, F.lit(0.0))))).alias("omega"),
+        F.avg(win).alias("avg_win"), F.avg(loss).alias("avg_loss"), F.avg((r > 0).cast("int")).alias("win_rate"), F.count(win).alias("_wins"), F.sum(loss).alias("_loss_sum"),
+        F.first("median").alias("median"), (F.first("q75") - F.first("q25")).alias("iqr"),
     )
-    g = g.withColumn("payoff", F.abs(F.col("avg_win") / _null0(F.col("avg_loss")))).withColumn("kelly", F.col("win_rate") - (1 - F.col("win_rate")) / _null0(F.col("payoff")))
-    return g.join(streak_lengths(returns, key), key)
+    c1 = lambda name: F.col(name)
+    # Worst drawdowns: the mean of those beyond their normal quantile.
+    beyond = j.select(key, "dd").join(g.select(key, (c1("_dmu") - z95 * c1("_dsd")).alias("_cut")), key).groupBy(key).agg(F.avg(F.when(F.col("dd") < F.col("_cut"), F.col("dd"))).alias("_pit"))
+    g = g.join(beyond, key)
+    total = c1("_growth") - 1
+    rho = F.abs(F.coalesce("autocorr_lag1", F.lit(0.0)))
+    # Sum over k of (n - k) / n rho ^ k for k = 1 .. n - 1, in closed form.
+    m = c1("n").cast("double")
+    power = F.pow(rho, m)
+    series = F.when(rho < 1, (rho - power) / (1 - rho) - (rho * (1 - m * F.pow(rho, m - 1) + (m - 1) * power) / ((1 - rho) * (1 - rho))) / m).otherwise((m - 1) / 2)
+    penalty = F.sqrt(1 + 2 * series)
+    sharpe = c1("_mu") / _null0(c1("_sd"))
+    sortino = c1("_mu") / _null0(c1("_down"))
+    skew = c1("_g1") * F.sqrt(m * (m - 1)) / (m - 2)
+    excess = (m - 1) / ((m - 2) * (m - 3)) * ((m + 1) * c1("_g2") + 6)
+    chance = lambda x: stats.normal_cdf(x / _null0(F.sqrt((1 + 0.5 * x * x - skew * x + (excess - 3) / 4 * x * x) / (m - 1))))
+    moved = c1("_wins") / F.nullif(c1("_moved").cast("double"), F.lit(0.0))
+    payoff = F.abs(c1("avg_win") / _null0(c1("avg_loss")))
+    factor = c1("_up_sum") / _null0(F.abs("_loss_sum"))
+    exposure = F.ceil(c1("_moved") / m * 100) / 100
+    cagr = F.pow(c1("_growth"), bars / m) - 1
+    pit = -c1("_pit") / _null0(c1("_sd"))
+    out = {
+        "total_return": total, "geometric_mean": F.pow(c1("_growth"), 1 / m) - 1, "rar": cagr / _null0(exposure), "smart_sharpe": sharpe / penalty * math.sqrt(bars), "smart_sortino": sortino / penalty * math.sqrt(bars),
+        "adjusted_sortino": sortino / math.sqrt(2) * math.sqrt(bars), "gain_to_pain": c1("_sum") / _null0(F.abs("_loss_sum")), "risk_return_ratio": sharpe, "payoff_ratio": payoff, "win_loss_ratio": payoff,
+        "serenity_index": c1("_sum") / _null0(c1("_ulcer") * pit), "upi": total / _null0(c1("_ulcer")), "probabilistic_sharpe": chance(sharpe), "probabilistic_sortino": chance(sortino), "probabilistic_adj_sortino": chance(sortino / math.sqrt(2)),
+        "outlier_win_ratio": c1("_q99") / _null0(c1("_up_mean")), "outlier_loss_ratio": c1("var_99") / _null0(c1("avg_loss")), "win_share": moved,
+        "profit_ratio": F.abs(c1("_up_mean") / c1("_flat_up")) / _null0(F.abs(c1("avg_loss") / _null0(c1("_downs").cast("double")))), "profit_factor": factor, "cpc_index": factor * moved * payoff, "common_sense_ratio": factor * c1("tail_ratio"),
+        "kelly_criterion": (payoff * moved - (1 - moved)) / _null0(payoff), "risk_of_ruin": F.pow((1 - moved) / (1 + moved), m), "recovery_factor": F.abs("_sum") / _null0(F.abs("_mdd")),
+    }
+    g = g.withColumns(out).withColumn("payoff", F.col("payoff_ratio")).withColumn("kelly", F.col("win_rate") - (1 - F.col("win_rate")) / _null0(F.col("payoff")))
+    g = g.drop(*[x for x in g.columns if x.startswith("_")], "n")
+    return g.join(stability(returns, key).withColumnRenamed("stability_r2", "stability_of_timeseries"), key).join(streak_lengths(returns, key).withColumnsRenamed({"longest_gain": "consecutive_wins", "longest_loss": "consecutive_losses"}), key)
 
 
 def streak_lengths(returns: DataFrame, key: str = "key") -> DataFrame:
@@ -203,6 +257,43 @@ def regime_metrics(returns: DataFrame, labels: DataFrame, least: int = 20, key:
     return out.select(F.substring_index("key", "|", 1).alias(key), F.substring_index("key", "|", -1).alias("regime"), "n", "sharpe", "cagr", "max_dd")
 
 
+# The published stress windows.
+STRESS = (
+    ("US_Housing_2003", "2003-01-08", "2003-02-08"),
+    ("Aug07_QuantQuake", "2007-08-01", "2007-09-01"),
+    ("Mar08_BearStearns", "2008-03-01", "2008-04-01"),
+    ("Sep08_Lehman", "2008-09-01", "2008-10-01"),
+    ("Lehman", "2008-08-01", "2008-10-01"),
+    ("2009Q1", "2009-01-01", "2009-03-01"),
+    ("2009Q2", "2009-03-01", "2009-06-01"),
+    ("Flash_Crash_May2010", "2010-05-05", "2010-05-10"),
+    ("Fukushima_Mar2011", "2011-03-16", "2011-04-16"),
+    ("US_Downgrade_Aug2011", "2011-08-05", "2011-09-05"),
+    ("EZB_Rate_Sep2012", "2012-09-10", "2012-10-10"),
+    ("Apr14", "2014-04-01", "2014-05-01"),
+    ("Oct14_Bund_Tantrum", "2014-10-01", "2014-11-01"),
+    ("Fall2015_Aug_Tantrum", "2015-08-15", "2015-09-30"),
+    ("Dotcom_2000", "2000-03-10", "2000-09-10"),
+    ("9_11", "2001-09-11", "2001-10-11"),
+    ("Low_Vol_Bull_05_07", "2005-01-01", "2007-08-01"),
+    ("GFC_Crash", "2007-08-01", "2009-04-01"),
+    ("Recovery_09_13", "2009-04-01", "2013-01-01"),
+    ("New_Normal", "2013-01-01", "2020-01-01"),
+    ("COVID_Crash_2020", "2020-02-19", "2020-03-23"),
+    ("COVID_Recovery_2020", "2020-03-24", "2020-12-31"),
+    ("Rate_Shock_2022", "2022-01-03", "2022-10-13"),
+    ("SVB_Mar2023", "2023-03-08", "2023-03-15"),
+    ("Yen_Unwind_Aug2024", "2024-07-31", "2024-08-09"),
+    ("Trump_Trade_Q4_2024", "2024-11-05", "2024-12-31"),
+)
+
+
+def stress_table(spark) -> DataFrame:
+    """(name, start, end) of the published windows."""
+    rows = spark.createDataFrame(list(STRESS), "name string, start string, end string")
+    return rows.select("name", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
+
+
 def stress_windows(returns: DataFrame, windows: DataFrame, bench: DataFrame | None = None, least: int = 5, key: str = "key") -> DataFrame:
     """Named date ranges (name, start, end): total return, Sharpe, drawdown. A small constant table of
     ranges is laid over the rows."""

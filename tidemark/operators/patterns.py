@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
 import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from . import kernels as K
+from . import kernels as K, segments as S
 
 
 def fractal_pivots(df: DataFrame, value: str = "obv", swing: int = 5, key: str = "ticker", seq: str = "ts") -> DataFrame:
@@ -51,45 +52,80 @@ def pivot_positions(bars: DataFrame, pivots: DataFrame, mapping: str = "A", key:
     return rows.join(at, [key, "seq"], "left").withColumn("position", F.coalesce(F.last("go", ignorenulls=True).over(w), F.lit(0))).drop("go")
 
 
+class Prominences:
+    """How far peaks stand out in growing parts of a series.
+
+    A peak's left base, and its right base once something higher has come, never change; until then its
+    right base is the lowest value so far. So each part costs one running minimum.
+    """
+
+    def __init__(self, x: np.ndarray):
+        n = len(x)
+        self.x = x
+        self.peaks = np.nonzero((x[1:-1] > x[:-2]) & (x[1:-1] >= x[2:]))[0] + 1 if n > 2 else np.empty(0, np.int64)
+        self.left, _ = self._bases(x)
+        right, gone = self._bases(x[::-1])
+        self.right, self.higher = right[::-1], n - 1 - gone[::-1]  # the next higher place, n without one
+
+    @staticmethod
+    def _bases(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lowest value from each place back to the last higher one, and where that is (-1: nowhere)."""
+        base, place, stack = np.empty(len(x)), np.empty(len(x), dtype=np.int64), []
+        for i, v in enumerate(x.tolist()):
+            low = v
+            while stack and stack[-1][0] <= v:
+                low = min(low, stack.pop()[1])
+            base[i], place[i] = low, stack[-1][2] if stack else -1
+            stack.append((v, low, i))
+        return base, place
+
+    def of(self, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The peaks of the part before ``end``, and their prominence there."""
+        at = self.peaks[self.peaks < end - 1]
+        so_far = np.minimum.accumulate(self.x[:end][::-1])[::-1]
+        right = np.where(self.higher[at] < end, self.right[at], so_far[at])
+        return at, self.x[at] - np.maximum(self.left[at], right)
+
+
 def prominence(x: np.ndarray, peaks: np.ndarray) -> np.ndarray:
-    out = np.empty(len(peaks))
-    for k, i in enumerate(peaks):
-        left = i
-        while left > 0 and x[left - 1] <= x[i]:
-            left -= 1
-        right = i
-        while right < len(x) - 1 and x[right + 1] <= x[i]:
-            right += 1
-        out[k] = x[i] - max(x[left : i + 1].min(), x[i : right + 1].min())
-    return out
+    held = Prominences(x)
+    at, found = held.of(len(x))
+    return found[np.searchsorted(at, peaks)]
+
+
+def _most(at: np.ndarray, weight: np.ndarray, top: int) -> np.ndarray:
+    return np.sort(at[np.argsort(-weight, kind="stable")[:top]])
 
 
 def topological(x: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
     """The most prominent peaks and troughs."""
+    return tuple(_most(*Prominences(v).of(len(v)), top) for v in (x, -x))
+
 
-    def some(v: np.ndarray) -> np.ndarray:
-        peaks = np.nonzero((v[1:-1] > v[:-2]) & (v[1:-1] >= v[2:]))[0] + 1
-        return np.sort(peaks[np.argsort(-prominence(v, peaks), kind="stable")[:top]])
+def important_order(x: np.ndarray, k: int) -> list[int]:
+    """Greedy: the point farthest from the line between its chosen neighbours, until there are k with both ends."""
+    found: list[int] = []
+    heap: list[tuple[float, int, int, int]] = []
 
-    return some(x), some(-x)
+    def open_up(a: int, b: int) -> None:
+        if b - a > 1:
+            i = np.arange(a + 1, b)
+            d = np.abs(x[i] - (x[a] + (x[b] - x[a]) * (i - a) / (b - a)))
+            j = int(np.argmax(d))
+            heapq.heappush(heap, (-float(d[j]), int(i[j]), a, b))
+
+    open_up(0, len(x) - 1)
+    while heap and len(found) < k - 2:
+        _, i, a, b = heapq.heappop(heap)
+        found.append(i)
+        open_up(a, i)
+        open_up(i, b)
+    return found
 
 
 def important_points(x: np.ndarray, k: int) -> np.ndarray:
-    """Greedy: the point farthest from the line between its chosen neighbours, until there are k."""
-    held = [0, len(x) - 1]
-    while len(held) < min(k, len(x)):
-        best = (-1.0, -1)
-        for a, b in zip(held, held[1:]):
-            if b - a > 1:
-                i = np.arange(a + 1, b)
-                d = np.abs(x[i] - (x[a] + (x[b] - x[a]) * (i - a) / (b - a)))
-                j = int(np.argmax(d))
-                if d[j] > best[0]:
-                    best = (float(d[j]), int(i[j]))
-        if best[1] < 0:
-            break
-        held = sorted([*held, best[1]])
-    return np.array([i for i in held[1:-1] if (x[i] - x[i - 1]) * (x[i] - x[i + 1]) >= 0])
+    """Of the first k points those that turn the series."""
+    return np.array(sorted(i for i in important_order(x, k) if (x[i] - x[i - 1]) * (x[i] - x[i + 1]) >= 0), dtype=np.int64)
 
 
 def expanding_detection(x: np.ndarray, detect, warmup: int = 120, step: int = 5) -> dict[int, int]:
@@ -125,13 +161,23 @@ def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: in
         reach = (sign * (x[bars] - x[i]) - error) / (bars - i)
         most = np.maximum.accumulate(reach)
         ok &= sign * slope >= most[j - i - 1] - 1e-15
-        for e, s in zip(j[ok], slope[ok]):
-            k = np.arange(i, e + 1)
-            off = np.abs(x[k] - (x[i] + s * (k - i)))
-            touch = off <= error
-            points = int(touch.sum())
-            if points >= least_points:
-                out.append((kind, int(i), int(e), float(s), float(x[i] - s * i), points, float(-math.log(off[touch].mean() + 0.001) + points * math.log(2.5))))
+        ends, steep = j[ok], slope[ok]
+        if not len(ends):
+            continue
+        # No bar lies beyond by more than the error, so a bar touches if it is near enough from the other side.
+        bars = np.arange(i + 1, ends[-1] + 1)
+        near = (sign * (x[bars] - x[i]) + error) / (bars - i)
+        for lo in range(0, len(ends), 256):
+            e, s = ends[lo : lo + 256], steep[lo : lo + 256]
+            touch = (near >= (sign * s)[:, None]) & (bars <= e[:, None])
+            many = touch.sum(axis=1) + 1 >= least_points
+            if not many.any():
+                continue
+            e, s, touch = e[many], s[many], touch[many]
+            off = np.where(touch, np.abs(x[bars] - (x[i] + s[:, None] * (bars - i))), 0.0)
+            points = touch.sum(axis=1) + 1
+            score = -np.log(off.sum(axis=1) / points + 0.001) + points * math.log(2.5)
+            out += zip([kind] * len(e), [i] * len(e), e.tolist(), s.tolist(), (x[i] - s * i).tolist(), points.tolist(), score.tolist())
     return sorted(out, key=lambda r: (-r[6], r[1], r[2]))
 
 
@@ -147,69 +193,287 @@ def trendlines(ohlc: DataFrame, top: int | None = None, **options) -> DataFrame:
     return ohlc.groupBy("pair").applyInPandas(one, LINES)
 
 
-def live_lines(bars: DataFrame, lines: DataFrame, bucket: int = 256) -> DataFrame:
-    """Bars beside every line that is live then (after its end): how many are broken, by kind.
+def breakout(bars: DataFrame, entry_conf: int = 1, exit_conf: int = 1, atr_k: float = 3.0, **lines) -> DataFrame:
+    """Enter after so many bars in a row over some live resistance; leave under support or at the trailing
+    stop. From (pair, ts, seq, high, low, close of the ratio, num_close); flags act one bar later."""
+
+    def run(c: K.Columns) -> K.Columns:
+        close, num = c["close"], c["num_close"]
+        over, under = streak_events(close, [x for kind in ("resistance", "support") for x in trendlines_of(c["high"], c["low"], kind, **lines)], (entry_conf, exit_conf))
+        atr = K.atr_close(num)
+        floor = np.where(np.isnan(atr), -np.inf, num - atr_k * atr)
+        into, out, t = np.zeros(len(close), bool), np.zeros(len(close), bool), 0
+        while t < len(close):
+            ahead = np.flatnonzero(over[t:, 0])
+            if not len(ahead):
+                break
+            t += int(ahead[0])
+            into[t] = True
+            later = slice(t + 1, len(close))
+            gone = np.flatnonzero(under[later, 1] | (num[later] <= np.maximum.accumulate(floor[later])))
+            if not len(gone):
+                break
+            t += 1 + int(gone[0])
+            out[t] = True
+            t += 1
+        return {"entry": K.shifted(into), "exit": K.shifted(out)}
+
+    return K.per_key(bars, run, {"entry": "boolean", "exit": "boolean"}, ["high", "low", "close", "num_close"])
+
+
+CONFIRMATIONS = (3, 4, 5, 6, 7)
+BREAK_STOPS = (0.0, 0.1, 0.15, 0.2)
 
-    A line is live in all later buckets; the bucket makes the range join an equality join.
+
+def streak_events(close: np.ndarray, lines: list[tuple], confirmations: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """(over, under): for each bar and confirmation, whether some live resistance has just been closed over,
+    or support under, that many bars in a row. A line (kind, start, end, slope, intercept, ...) is live after its end."""
+    n, want = len(close), np.array(confirmations)
+    out = []
+    for kind, sign in (("resistance", 1.0), ("support", -1.0)):
+        mine = sorted((x for x in lines if x[0] == kind), key=lambda x: x[2])
+        ends, slope, level = (np.array([x[i] for x in mine], dtype=float) for i in (2, 3, 4))
+        streak, hit = np.zeros(len(mine), dtype=np.int64), np.zeros((n, len(want)), dtype=bool)
+        for t in range(n):
+            live = int(np.searchsorted(ends, t, side="left"))  # lines that ended before this bar
+            if live:
+                beyond = sign * (close[t] - (slope[:live] * t + level[:live])) > 0
+                streak[:live] = np.where(beyond, streak[:live] + 1, 0)
+                hit[t] = np.isin(want, streak[:live])
+        out.append(hit)
+    return out[0], out[1]
+
+
+def breakout_trades(close: np.ndarray, into: np.ndarray, out: np.ndarray, stop: float, cost: float = 0.001, slip: float = 0.0005) -> tuple[np.ndarray, list[tuple]]:
+    """(returns, trades) of one walk: in at the close of a bar that confirms, out at the stop or at the close
+    of a bar that confirms the other way; both sides' costs are taken on the way out, a bar's return is the
+    move up to its close. A trade is (entry bar, exit bar, entry price, exit price, return, reason)."""
+    n = len(close)
+    ret, trades, at, t = np.zeros(n), [], -1, 0
+    while t < n:
+        if at < 0:
+            ahead = np.flatnonzero(into[t:])
+            if not len(ahead) or t + ahead[0] >= n - 1:
+                break
+            at = t + int(ahead[0])
+            t = at + 1
+            continue
+        low = np.flatnonzero(close[t:] <= close[at] * (1 - stop)) if stop > 0 else np.empty(0, np.int64)
+        leave = np.flatnonzero(out[t:])
+        first = min((t + int(v[0]) for v in (low, leave) if len(v)), default=n - 1)
+        reason = "stop" if len(low) and t + int(low[0]) == first else "signal" if len(leave) and t + int(leave[0]) == first else "eod"
+        price = close[at] * (1 - stop) * (1 - slip) if reason == "stop" else close[first]
+        ret[at + 1 : first + 1] = close[at + 1 : first + 1] / close[at:first] - 1
+        ret[first] = price / close[first - 1] - 1 - 2 * cost
+        trades.append((at, first, float(close[at]), float(price), float(price / close[at] - 1 - 2 * cost), reason))
+        at, t = -1, first + 1
+    return ret, trades
+
+
+BREAKOUT = "pair string, entry_conf int, exit_conf int, stop_pct double, is_sharpe double, is_penalized_sharpe double, is_trades long, oos_sharpe double, oos_cagr double, oos_max_dd double, oos_trades long, oos_hit_rate double, n_lines long, best boolean, passed boolean, fail_reason string"
+BREAKOUT_TRADES = "pair string, entry_conf int, exit_conf int, stop_pct double, entry_ts date, exit_ts date, entry_price double, exit_price double, pnl double, exit_reason string"
+
+
+def _breakout_pairs(bars: DataFrame, make, schema: str) -> DataFrame:
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(make(rows.sort_values("ts")), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return bars.select("pair", "ts", "high", "low", "close", "num_close").groupBy("pair").applyInPandas(one, schema)
+
+
+def grid_breakout(bars: DataFrame, entry_confs: tuple[int, ...] = CONFIRMATIONS, exit_confs: tuple[int, ...] = CONFIRMATIONS, stops: tuple[float, ...] = BREAK_STOPS, is_ratio: float = 0.7, least_is: float = 0.5, least_oos: float = 0.0, least_trades: int = 5, n_params: int = 3, cost: float = 0.001, slip: float = 0.0005, full: bool = True, **lines) -> DataFrame:
+    """Every entry and exit confirmation and stop over the lines of each pair (pair, ts, high, low, close of
+    the ratio, num_close): a row for each combination, or the best alone, and a reason where none passes.
+
+    Lines are detected once on all bars and live after their end, so a line is never known before it ends.
     """
-    last = bars.groupBy("pair").agg(F.max("seq").alias("_last"))
-    spread = lines.join(last, "pair").withColumn("_b", F.explode(F.sequence(((F.col("end_idx") + 1) / bucket).cast("long"), (F.col("_last") / bucket).cast("long"))))
-    j = bars.withColumn("_b", (F.col("seq") / bucket).cast("long")).join(spread, ["pair", "_b"]).filter(F.col("seq") - 1 > F.col("end_idx"))
-    line = (F.col("slope") * (F.col("seq") - 1) + F.col("intercept")).cast("float")
-    over = F.when(F.col("kind") == "resistance", F.col("close") > line).otherwise(F.col("close") < line)
-    return j.groupBy("pair", "seq").agg(F.sum((over & (F.col("kind") == "resistance")).cast("int")).alias("broken_up"), F.sum((over & (F.col("kind") == "support")).cast("int")).alias("broken_down"))
 
+    def make(rows: pd.DataFrame) -> list[tuple]:
+        high, low, close, num = (rows[c].to_numpy(float) for c in ("high", "low", "close", "num_close"))
+        found = [x for kind in ("resistance", "support") for x in trendlines_of(high, low, kind, **lines)]
+        confs = tuple(sorted({*entry_confs, *exit_confs}))
+        over, under = streak_events(close, found, confs)
+        cut, pair, out = int(len(close) * is_ratio), rows["pair"].iloc[0], []
+        for e in entry_confs:
+            for x in exit_confs:
+                go, leave = over[:, confs.index(e)], under[:, confs.index(x)]
+                for stop in stops:
+                    r, trades = breakout_trades(num[:cut], go[:cut], leave[:cut], stop, cost, slip)
+                    sr, n = S.sharpe(r), len(trades)
+                    pen = sr * math.sqrt(1 - n_params / n) if n > n_params else 0.0
+                    q, later = breakout_trades(num[cut:], go[cut:], leave[cut:], stop, cost, slip)
+                    hits = float(np.mean([t[4] > 0 for t in later])) if later else 0.0
+                    why = "no lines" if not found else "too few trades" if n < least_trades else "in-sample Sharpe" if sr < least_is else "too few trades out of sample" if len(later) < least_trades else "out-of-sample Sharpe" if S.sharpe(q) < least_oos else None
+                    out.append([pair, e, x, float(stop), sr, pen, n, S.sharpe(q), S.cagr(q), S.deepest(q), len(later), hits, len(found), False, why is None, why])
+        if out:
+            out[int(np.argmax([o[5] if o[6] >= least_trades else -np.inf for o in out]))][13] = True
+        return [tuple(o) for o in out if full or o[13]]
+
+    return _breakout_pairs(bars, make, BREAKOUT)
+
+
+def breakout_trace(bars: DataFrame, entry_conf: int = 3, exit_conf: int = 3, stop: float = 0.1, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
+    """A row for each trade of one combination."""
+
+    def make(rows: pd.DataFrame) -> list[tuple]:
+        high, low, close, num = (rows[c].to_numpy(float) for c in ("high", "low", "close", "num_close"))
+        over, under = streak_events(close, [x for kind in ("resistance", "support") for x in trendlines_of(high, low, kind, **lines)], (entry_conf, exit_conf))
+        ts, pair = rows["ts"].to_numpy(), rows["pair"].iloc[0]
+        return [(pair, entry_conf, exit_conf, float(stop), ts[a], ts[b], p, q, r, why) for a, b, p, q, r, why in breakout_trades(num, over[:, 0], under[:, 1], stop, cost, slip)[1]]
+
+    return _breakout_pairs(bars, make, BREAKOUT_TRADES)
+
+
+def _classified(tops: np.ndarray, bottoms: np.ndarray, x: np.ndarray, n: int = 1) -> dict[int, str]:
+    """Each pivot's type against the n pivots of its kind before it; the first ones have none."""
+    out = {}
+    for kind, at in (("top", tops), ("bottom", bottoms)):
+        for k in range(n, len(at)):
+            before = x[at[k - n : k]]
+            out[int(at[k])] = ("HH" if x[at[k]] > before.max() else "LH") if kind == "top" else ("LL" if x[at[k]] < before.min() else "HL")
+    return out
 
-def breakout(bars: DataFrame, lines: DataFrame, entry_conf: int = 1, exit_conf: int = 1, atr_k: float = 3.0) -> DataFrame:
-    """Enter after so many bars in a row over some live resistance; leave under support or at the
-    trailing stop. Columns pair, ts, seq, close, num_close."""
-    b = bars.join(live_lines(bars, lines), ["pair", "seq"], "left").fillna({"broken_up": 0, "broken_down": 0})
 
-    def run(c: K.Columns) -> K.Columns:
-        up = np.zeros(len(c["close"]), dtype=int)
-        down = up.copy()
-        for i in range(len(up)):
-            up[i] = (up[i - 1] if i else 0) + 1 if c["broken_up"][i] > 0 else 0
-            down[i] = (down[i - 1] if i else 0) + 1 if c["broken_down"][i] > 0 else 0
-        atr = K.atr_close(c["num_close"])
-        into, out, held, trail = np.zeros(len(up), bool), np.zeros(len(up), bool), False, -np.inf
-        for i in range(len(up)):
-            if not held:
-                if up[i] >= entry_conf:
-                    into[i], held, trail = True, True, -np.inf
+def _fractal(x: np.ndarray, swing: int) -> tuple[np.ndarray, np.ndarray]:
+    n = max(swing, 3)
+    if len(x) < n:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    views = np.lib.stride_tricks.sliding_window_view(x, n)
+    centre = np.arange(n // 2, n // 2 + len(views))
+    return centre[x[centre] == views.max(axis=1)], centre[x[centre] == views.min(axis=1)]
+
+
+def _sides(x: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    up = x[at] >= x[at - 1] if len(at) else np.empty(0, bool)
+    return at[up], at[~up]
+
+
+#: The settings of each detector, and the stops.
+DETECTORS = {"fractal": (25, 50, 100), "topological": (15, 30, 60), "pip": (30, 60, 120)}
+OBV_STOPS = (("none", "none", 0.0), ("fixed_10%", "pct", 0.10), ("fixed_15%", "pct", 0.15), ("fixed_20%", "pct", 0.20), ("atr_2x", "atr", 2.0), ("atr_3x", "atr", 3.0))
+
+
+def _growing(x: np.ndarray, method: str, params: tuple[int, ...], ends: range):
+    """(end, pivots by setting) for growing parts; what all settings share is found once."""
+    if method == "topological":
+        up, down = Prominences(x), Prominences(-x)
+        for end in ends:
+            a, b = up.of(end), down.of(end)
+            yield end, {p: (_most(*a, p), _most(*b, p)) for p in params}
+    elif method == "pip":
+        for end in ends:
+            part = x[:end]
+            order = np.array(important_order(part, max(params)), dtype=np.int64)
+            turns = (part[order] - part[order - 1]) * (part[order] - part[order + 1]) >= 0
+            yield end, {p: _sides(part, np.sort(order[: max(p - 2, 0)][turns[: max(p - 2, 0)]])) for p in params}
+    else:
+        raise KeyError(f"no pivots {method!r}; there are fractal, topological, pip")
+
+
+def pivot_timelines(x: np.ndarray, method: str, params: tuple[int, ...], n: int = 1, warmup: int = 120, step: int = 5) -> dict[int, list[tuple[int, str]]]:
+    """By setting the (bar, type) of each pivot on the bar it is known: a fractal when its window has closed,
+    others when the detector, run again every ``step`` bars on all bars so far, first shows them."""
+    if method == "fractal":
+        found = {p: _classified(*_fractal(x, p), x, n) for p in params}
+        return {p: sorted((i + p // 2, t) for i, t in f.items() if i + p // 2 < len(x)) for p, f in found.items()}
+    seen: dict[int, dict[int, tuple[int, str]]] = {p: {} for p in params}
+    for end, pivots in _growing(x, method, params, range(warmup + 1, len(x) + 1, step)):
+        for p, sides in pivots.items():
+            for i, kind in _classified(*sides, x, n).items():
+                seen[p].setdefault(i, (end - 1, kind))
+    return {p: sorted(s.values()) for p, s in seen.items()}
+
+
+def timeline_position(timeline: list[tuple[int, str]], n: int, mapping: str) -> np.ndarray:
+    """0/1 from the events: A opens on HL and closes on LH, B on HH and LL; C opens on HL if the last
+    extreme was LL, and closes on LH if it was HH, each extreme counting once."""
+    state, last = 0, None
+    moves = np.zeros(n, dtype=np.int64)
+    for at, kind in timeline:
+        if mapping == "C":
+            if kind in ("LL", "HH"):
+                last = kind
                 continue
-            if atr[i] == atr[i]:
-                trail = max(trail, c["num_close"][i] - atr_k * atr[i])
-            if down[i] >= exit_conf or c["num_close"][i] <= trail:
-                out[i], held = True, False
-        return {"entry": K.shifted(into), "exit": K.shifted(out)}
+            new = 1 if kind == "HL" and last == "LL" and state == 0 else 0 if kind == "LH" and last == "HH" and state == 1 else None
+            last = last if new is None else None
+        else:
+            into, out = MAPPINGS[mapping]
+            new = 1 if kind in into else 0 if kind in out else None
+        if new is not None:
+            moves[at] += new - state
+            state = new
+    return np.cumsum(moves)
+
+
+def walk_position(close: np.ndarray, low: np.ndarray, atr: np.ndarray, position: np.ndarray, stop: str, param: float, cost: float = 0.001, slip: float = 0.0005) -> tuple[np.ndarray, int, int, int]:
+    """(returns, trades, wins, bars in) of a 0/1 position with a stop.
+
+    In at the close of the first bar with a 1 while flat, also after a stop; out at a 0 or on the last bar at
+    the close, before that at a percent stop by the low or an ATR trail by the close. A side's cost is taken
+    on its bar, slippage on the prices; a trade wins if it sells above what it paid.
+    """
+    n = len(close)
+    ret, trades, wins, inside, t = np.zeros(n), 0, 0, 0, 0
+    while t < n:
+        ones = np.flatnonzero(position[t:] == 1)
+        if not len(ones):
+            break
+        t += int(ones[0])
+        paid = close[t] * (1 + slip)
+        zeros = np.flatnonzero(position[t + 1 :] == 0)
+        end, price = (t + 1 + int(zeros[0]) if len(zeros) else n - 1), None
+        span = slice(t + 1, end + 1)
+        if stop == "pct":
+            hit = np.flatnonzero(low[span] <= paid * (1 - param))
+            price = paid * (1 - param) if len(hit) else None
+        elif stop == "atr":
+            trail = np.maximum.accumulate(close[t : end + 1] - param * atr[t : end + 1])
+            hit = np.flatnonzero(close[span] <= trail[1:])
+            price = trail[1 + hit[0]] if len(hit) else None
+        if price is not None:
+            end = t + 1 + int(hit[0])
+        sold = (close[end] if price is None else price) * (1 - slip)
+        marks = np.concatenate([[paid], close[t + 1 : end], [sold]]) if end > t else np.array([paid, sold])
+        ret[t] -= cost
+        ret[end - len(marks) + 2 : end + 1] += marks[1:] / marks[:-1] - 1
+        ret[end] -= cost
+        trades, wins, inside, t = trades + 1, wins + int(sold > paid), inside + end - t, end + 1
+    return ret, trades, wins, inside
+
+
+OBV_GRID = "ticker string, method string, method_param int, mapping string, stop_type string, is_sharpe double, is_cagr double, is_maxdd double, is_trades long, is_hit_rate double, is_time_in_market double, oos_sharpe double, oos_cagr double, oos_maxdd double, oos_calmar double, oos_trades long, oos_hit_rate double, oos_time_in_market double, bh_is_sharpe double, bh_is_cagr double, bh_oos_sharpe double, bh_oos_cagr double, oos_excess_sr_vs_bh double, oos_excess_cagr_vs_bh double, n_bars long, passed boolean"
+
+
+def grid_obv_pivot(bars: DataFrame, is_ratio: float = 0.7, cost: float = 0.001, slip: float = 0.0005, least_bars: int = 504, n_compare: int = 1, warmup: int = 120, step: int = 5) -> DataFrame:
+    """On-balance volume pivots: 3 detectors x 3 settings x 3 mappings x 6 stops, 162 rows for each ticker
+    of (ticker, ts, high, low, close, volume), beside buying and holding."""
 
-    return K.per_key(b, run, {"entry": "boolean", "exit": "boolean"}, ["close", "num_close", "broken_up", "broken_down"])
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ts")
+        close, high, low, volume = (rows[c].to_numpy(float) for c in ("close", "high", "low", "volume"))
+        n, cut, out = len(close), int(len(close) * is_ratio), []
+        if n >= least_bars and cut >= 100 and n - cut >= 50:
+            x = np.cumsum(np.concatenate([[0.0], np.sign(np.diff(close))]) * volume)
+            atr = K.atr_wilder(high, low, close)
+            hold = np.diff(close) / close[:-1]
+            base = [f(part) for part in (hold[: cut - 1], hold[cut - 1 :]) for f in (lambda r: S.sharpe(r, 0), S.cagr)]
+            for method, params in DETECTORS.items():
+                for param, timeline in pivot_timelines(x, method, params, n_compare, warmup, step).items():
+                    for mapping in "ABC":
+                        position = timeline_position(timeline, n, mapping)
+                        for label, stop, p in OBV_STOPS:
+                            sides = []
+                            for part in (slice(0, cut), slice(cut, n)):
+                                r, trades, wins, inside = walk_position(close[part], low[part], atr[part], position[part], stop, p, cost, slip)
+                                sides.append((S.sharpe(r, 0), S.cagr(r), S.deepest(r), trades, wins / trades if trades else 0.0, inside / len(r)))
+                            a, b = sides
+                            calmar = b[1] / abs(b[2]) if b[2] else None
+                            out.append((rows["ticker"].iloc[0], method, param, mapping, label, *a, *b[:3], calmar, *b[3:], *base, b[0] - base[2], b[1] - base[3], n, bool(b[0] > 0 and b[3] >= 5)))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in OBV_GRID.split(", ")])
+
+    return bars.select("ticker", "ts", "high", "low", "close", "volume").groupBy("ticker").applyInPandas(one, OBV_GRID)
 
 
 def obv_walk(bars: DataFrame, stop: str = "none", param: float = 0.0, cost: float = 0.001, slip: float = 0.0005, key: str = "ticker", seq: str = "ts") -> DataFrame:
-    """A 0/1 position with a stop: percent below entry by the low, or an ATR trail by the close."""
-
-    def run(c: K.Columns) -> K.Columns:
-        close, low, pos = c["close"], c["low"], c["position"]
-        atr = K.atr_wilder(c["high"], low, close)
-        n = len(close)
-        ret, held, at, trail, was = np.zeros(n), False, 0.0, -np.inf, 0
-        for i in range(n):
-            if held:
-                price, done = close[i], pos[i] == 0 or i == n - 1
-                if stop == "pct" and low[i] <= at * (1 - param):
-                    price, done = at * (1 - param), True
-                elif stop == "atr" and atr[i] > 0:
-                    trail = max(trail, close[i] - param * atr[i])
-                    if close[i] <= trail:
-                        price, done = trail, True
-                ret[i] = price * (1 - slip if done else 1) / close[i - 1] - 1 - (cost if done else 0)
-                held = not done
-            elif pos[i] == 1 and was == 0 and i < n - 1:
-                held, at, trail = True, close[i] * (1 + slip), -np.inf
-                ret[i] = close[i] / at - 1 - cost
-            was = pos[i]
-        return {"ret": ret}
-
-    return K.per_key(bars, run, {"ret": "double"}, ["close", "high", "low", "position"], key, seq)
+    """``bars`` with the return of a 0/1 ``position`` with a stop (none, pct or atr)."""
+    return K.per_key(bars, lambda c: {"ret": walk_position(c["close"], c["low"], K.atr_wilder(c["high"], c["low"], c["close"]), c["position"], stop, param, cost, slip)[0]}, {"ret": "double"}, ["close", "high", "low", "position"], key, seq)

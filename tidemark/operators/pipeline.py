@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources import panel as P
-from . import backtest as B, metrics as M, screens, signals, significance as S, validation as V, weights as WT
+from . import backtest as B, metrics as M, patterns as PT, screens, segments as SG, signals, significance as S, validation as V, weights as WT
 
 STAGES = ("s0", "s1", "s2", "s3", "s4", "s5")
 REGISTRY: dict[str, dict[str, Callable]] = {s: {} for s in STAGES}
@@ -55,9 +55,12 @@ def method(stage: str, name: str) -> Callable:
 
 for _f in (screens.chan_halflife, screens.chan_hurst, screens.kaufman_er, screens.variance_ratio, screens.kpss, screens.cadf, screens.cadf_rolling, screens.johansen, screens.vol_cone, screens.passthrough, screens.chan_combined, screens.trend_combined, screens.regime_aware):
     register_stage("s1")(_f)
-for _f in (B.grid_search, B.grid_regime, B.grid_ma, B.random_search):
+for _f in (screens.kaufman_kama, screens.cadf_rolling_kalman):
+    register_stage("s1")(_f)
+REGISTRY["s1"] |= {"chan_hurst_trend": lambda series: screens.chan_hurst(series, trend=True), "kaufman_er_trend": lambda series: screens.kaufman_er(series, trend=True)}
+for _f in (B.grid_search, B.grid_regime, B.grid_ma, B.optuna_tpe, B.optuna_ma, PT.grid_breakout, PT.grid_obv_pivot):
     register_stage("s2")(_f)
-for _f in (V.walk_forward, V.is_oos, V.cpcv, V.bootstrap_ci, V.monte_carlo, V.sensitivity):
+for _f in (V.wfa_expanding, V.wfa_rolling, V.chan_is_oos, V.cpcv, V.bootstrap_ci, V.monte_carlo, V.sensitivity):
     register_stage("s3")(_f)
 for _f in (S.t_test, S.carver_2sigma, S.psr, S.dsr, S.min_trl, S.permutation, S.drawdown, S.wfe):
     register_stage("s4")(_f)
@@ -112,6 +115,21 @@ def read_stage(spark, path: str, stage: str, schema=None, validate: bool = True)
     return validate_interface(df, stage) if validate else df
 
 
+def checkpoint_units(rows: DataFrame, folder: str, key: str = "pair") -> DataFrame:
+    """``rows`` appended to a typed Parquet table of finished units, but for those it holds already."""
+    held = finished_units(rows.sparkSession, folder)
+    fresh = rows if held is None else rows.join(held.select(key).distinct(), key, "left_anti")
+    fresh.write.mode("append").parquet(folder)
+    return rows.sparkSession.read.parquet(folder)
+
+
+def finished_units(spark, folder: str) -> DataFrame | None:
+    """The table of finished units, or None before the first."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    there = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+    return spark.read.parquet(folder) if there else None
+
+
 def unfinished(units: DataFrame, done: DataFrame, key: str = "pair") -> DataFrame:
     """Resume: the units that no checkpoint row names yet."""
     return units.join(done, key, "left_anti")
@@ -129,10 +147,17 @@ CHECKS = {
 }
 
 
+# Checks that are strict by themselves.
+STRICT = ("s4_pass_rate",)
+
+
 def resolve_severity(check: str, policy: str = "warn", strict_on: tuple[str, ...] = ()) -> str:
+    """A check named in ``strict_on`` is strict; else the policy off or strict holds; else the check's own default."""
     if check in strict_on:
         return "strict"
-    return policy if policy in ("off", "strict") else "warn"
+    if policy in ("off", "strict"):
+        return policy
+    return "strict" if check in STRICT else "warn"
 
 
 def anomalies(df: DataFrame, stage: str, policy: str = "warn", strict_on: tuple[str, ...] = ()) -> DataFrame:
@@ -180,22 +205,50 @@ def record_anomalies(df: DataFrame, path: str) -> None:
     df.filter("not ok").write.mode("append").json(path)
 
 
-# Named combinations of stage methods.
+# The published combinations of stage methods, and their settings.
+_ALL_S3 = ["wfa_expanding", "wfa_rolling", "cpcv", "bootstrap_ci", "monte_carlo", "sensitivity"]
+_TIGHT = {"stop_grid": [0.0, 0.05, 0.08, 0.1, 0.15], "slope_grid": [0.0]}
+_RSI = {"default_window": 14, "window_grid": [3, 5, 7, 10, 14, 21], "entry_grid": [15, 20, 25, 30, 35, 40, 45, 50], "exit_grid": [40, 45, 50, 55, 60, 65, 70, 75, 80], **_TIGHT}
+_BREAK = {"use_s2_window": True, "entry_confs": [3, 4, 5, 6, 7], "exit_confs": [3, 4, 5, 6, 7], "stop_pcts": [0.0, 0.05, 0.1], "tx_cost_per_side": 0.001, "stop_slippage_bps": 5.0, "is_ratio": 0.7, "min_points": 4, "max_error_pct": 2.0, "min_period_days": 21, "atr_period": 14}
+_OBV = {"use_s2_window": True, "tx_cost_per_side": 0.001, "stop_slippage_bps": 5.0, "is_ratio": 0.7, "atr_period": 14, "n_compare": 1}
+
+
+def _preset(s1: str, signal: str, s2: str, s3: Any, s4: Any, s5: str | None, **config: Any) -> dict[str, Any]:
+    return {"s1": s1, "signal": signal, "s2": s2, "s3": s3, "s4": s4, "s5": s5, "config": config}
+
+
 PRESETS: dict[str, dict[str, Any]] = {
-    f"P-{i + 1}": {"s1": s1, "signal": sig, "s2": "grid_search", "s3": s3, "s4": s4, "s5": s5}
-    for i, (s1, sig, s3, s4, s5) in enumerate(
-        (
-            ("chan_halflife", "zscore_robust_mad", "wfa_expanding", "t_test", "equal_weight"),
-            ("chan_hurst", "zscore_standard", "wfa_rolling", "psr", "inverse_vol"),
-            ("kaufman_er", "bollinger", "cpcv", "carver_2sigma", "sharpe_weighted"),
-            ("variance_ratio", "rsi_simple", "chan_is_oos", "t_test", "half_kelly"),
-            ("kpss", "kalman_hedge", "wfa_expanding", "psr", "risk_parity"),
-            ("cadf", "zscore_robust_mad", "bootstrap_ci", "permutation", "hrp"),
-            ("johansen", "cointegration_spread", "monte_carlo", "drawdown", "dynamic_1k"),
-            ("passthrough", "ma_crossover", "wfa_expanding", "wfe", "tier_based"),
-        )
-    )
+    "P-1": _preset("chan_halflife", "zscore_robust_mad", "grid_search", "chan_is_oos", "t_test", "equal_weight"),
+    "P-3": _preset("chan_halflife", "zscore_robust_mad", "grid_search", "wfa_expanding", "wfe", "equal_weight"),
+    "P-4": _preset("chan_halflife", "zscore_robust_mad", "grid_search", "bootstrap_ci", "carver_2sigma", "handcraft_carver"),
+    "P-5": _preset("chan_halflife", "zscore_robust_mad", "grid_search", "monte_carlo", "carver_2sigma", "equal_weight"),
+    "X-1": _preset("chan_combined", "zscore_robust_mad", "grid_search", "cpcv", "dsr", "handcraft_carver"),
+    "X-2": _preset("chan_combined", "zscore_robust_mad", "grid_search", "wfa_expanding", "dsr", "hrp"),
+    "X-4": _preset("chan_combined", "zscore_robust_mad", "grid_search", "monte_carlo", "carver_2sigma", "handcraft_carver"),
+    "X-7": _preset("chan_combined", "zscore_robust_mad", "grid_search", "cpcv", "dsr", "half_kelly"),
+    "X-11": _preset("chan_combined", "zscore_robust_mad", "grid_search", ["wfa_expanding", "cpcv"], ["dsr", "wfe"], "handcraft_carver"),
+    "SIG-A": _preset("chan_combined", "zscore_robust_mad", "grid_search", "cpcv", "dsr", "handcraft_carver"),
+    "SIG-B": _preset("chan_combined", "zscore_standard", "grid_search", "cpcv", "dsr", "handcraft_carver"),
+    "SIG-C": _preset("chan_combined", "kalman_hedge", "grid_search", "cpcv", "dsr", "handcraft_carver"),
+    "SIG-D": _preset("chan_combined", "bollinger", "grid_search", "wfa_rolling", "dsr", "handcraft_carver"),
+    "TRE-1": _preset("passthrough", "ma_crossover", "grid_ma", "chan_is_oos", "t_test", "equal_weight"),
+    "TRE-2": _preset("passthrough", "ma_crossover", "grid_ma", "wfa_expanding", "wfe", "equal_weight"),
+    "TRE-3": _preset("passthrough", "ma_crossover", "grid_ma", "cpcv", "dsr", "handcraft_carver"),
+    "ALT-RSI-S": _preset("passthrough", "rsi_simple", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_RSI),
+    "ALT-RSI-W": _preset("passthrough", "rsi_wilder", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_RSI),
+    "ALT-VAZ": _preset("chan_halflife", "vol_adaptive_zscore", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_TIGHT),
+    "ALT-ADX": _preset("chan_halflife", "adx_regime_gate", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_TIGHT),
+    "ALT-DON": _preset("passthrough", "donchian", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", entry_grid=[15.0, 20.0, 30.0, 40.0, 55.0], exit_grid=[5.0, 10.0, 15.0, 20.0], stop_grid=[0.0], slope_grid=[0.0]),
+    "ALT-ATR": _preset("passthrough", "atr_pullback", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", entry_grid=[1.0, 1.5, 2.0, 2.5, 3.0], exit_grid=[0.0, 0.25, 0.5, 0.75], **_TIGHT),
+    "ALT-VFG": _preset("chan_halflife", "vol_forecast_gate", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_TIGHT),
+    "ALT-HTD": _preset("chan_halflife", "halflife_time_decay", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_TIGHT),
+    "ALT-COINT": _preset("chan_halflife", "cointegration_spread", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_TIGHT),
+    "ALT-REG": _preset("passthrough", "regime_switch", "grid_search", _ALL_S3, ["psr", "wfe", "t_test"], "dynamic_1k", **_TIGHT),
+    "RB-PROD": _preset("passthrough", "trendline_breakout", "grid_breakout", ["neighborhood", "bootstrap"], ["psr", "t_test", "dsr"], "dynamic_1k", **_BREAK),
+    "OBV-PROD": _preset("passthrough", "obv_pivot", "grid_obv_pivot", None, None, None, **_OBV),
 }
+#: Published names of methods that go by another name here.
+SAME = {"handcraft_carver": "handcraft", "neighborhood": "sensitivity", "bootstrap": "bootstrap_ci", "random_search": "optuna_tpe", "is_oos": "chan_is_oos"}
 
 
 @dataclass
@@ -205,101 +258,200 @@ class Result:
     final: dict[str, DataFrame] = field(default_factory=dict)
     config: dict[str, Any] = field(default_factory=dict)
     seconds: float = 0.0
+    held: list[DataFrame] = field(default_factory=list)
 
+    def release(self) -> None:
+        """Drops the stages' cached rows; the stages can still be read, from their sources."""
+        for df in self.held:
+            df.unpersist()
 
-#: Signals whose window and thresholds mean what the optimisers' grids mean.
-ZSCORES = ("zscore_standard", "zscore_robust_mad", "bollinger")
-CONFIG = {"fee": 0.001, "stop": 0.0, "n_folds": 8, "is_days": 504, "oos_days": 180, "n_trials": 46.0, "window": 20, "entry": -2.0, "exit_": 0.0}
+
+# The published defaults, and this library's own below them.
+CONFIG = {
+    "is_ratio": 0.8, "cost_per_side": 0.001, "slope_window": 2, "entry_grid": list(B.ENTRIES), "exit_grid": list(B.EXITS), "stop_grid": list(B.STOPS), "slope_grid": list(B.SLOPES), "cpcv_n_folds": 10, "cpcv_purge": 20, "cpcv_embargo": 5,
+    "wfa_n_folds": 8, "wfa_rolling_is": 504, "wfa_rolling_oos": 180, "min_is_sharpe": 0.5, "min_oos_sharpe": 0.0, "min_is_trades": 5, "min_oos_trades": 5, "s3_min_oos_sharpe": 0.0, "sensitivity_pct": 0.2, "mc_iterations": 10_000, "bootstrap_iterations": 10_000,
+    "t_stat_threshold": 2.0, "wfe_threshold": 0.5, "random_state": 42, "use_s2_window": False, "default_window": 20, "window_grid": None,
+    "entry_confs": list(PT.CONFIRMATIONS), "exit_confs": list(PT.CONFIRMATIONS), "stop_pcts": list(PT.BREAK_STOPS), "tx_cost_per_side": 0.001, "stop_slippage_bps": 5.0, "min_points": 3, "max_error_pct": 0.1, "min_period_days": 30, "atr_period": 14, "n_compare": 1,
+    "n_trials": 46.0, "optuna_trials": 50, "entry": None, "exit_": None, "stop": 0.0,
+}
+#: Other names of settings.
+SETTING = {"fee": "cost_per_side", "window": "default_window", "n_folds": "wfa_n_folds", "is_days": "wfa_rolling_is", "oos_days": "wfa_rolling_oos"}
+_S2_EMPTY = ("entry_thresh", "exit_thresh", "stop_pct", "slope_min", "is_sharpe", "is_penalized_sharpe", "is_trades", "oos_sharpe", "oos_trades")
+
+
+def _list(x: str | list[str] | None) -> list[str]:
+    return [] if x is None else [SAME.get(x, x)] if isinstance(x, str) else [SAME.get(v, v) for v in x]
+
+
+def settings_of(given: dict[str, Any] | None) -> dict[str, Any]:
+    """All settings; other names are brought to the published ones, unknown ones are an error."""
+    named = {SETTING.get(k, k): v for k, v in (given or {}).items()}
+    unknown = set(named) - set(CONFIG)
+    if unknown:
+        raise KeyError(f"unknown settings: {', '.join(sorted(unknown))}")
+    return CONFIG | named
 
 
 class Pipeline:
-    """Lazy stages: screens, optimiser, validator, significance tests, weights."""
+    """Lazy stages: screens, optimiser, validators, significance tests, weights."""
 
-    def __init__(self, s1: str = "chan_halflife", signal: str = "zscore_standard", s2: str = "grid_search", s3: str = "wfa_expanding", s4: str | list[str] = "t_test", s5: str = "equal_weight", name: str = "pipeline"):
-        self.s1, self.signal, self.s2, self.s3, self.s5, self.name = s1, signal, s2, s3, s5, name
-        self.s4 = [s4] if isinstance(s4, str) else list(s4)
-        for stage, chosen in (("s1", [s1]), ("s2", [s2]), ("s4", self.s4), ("s5", [s5])):
+    def __init__(self, s1: str = "chan_halflife", signal: str = "zscore_standard", s2: str = "grid_search", s3: str | list[str] | None = "wfa_expanding", s4: str | list[str] | None = "t_test", s5: str | None = "equal_weight", name: str = "pipeline", config: dict[str, Any] | None = None):
+        self.s1, self.signal, self.s2, self.name, self.config = SAME.get(s1, s1), signal, SAME.get(s2, s2), name, config or {}
+        self.s3, self.s4, self.s5 = _list(s3), _list(s4), SAME.get(s5, s5)
+        for stage, chosen in (("s1", [self.s1]), ("s2", [self.s2]), ("s3", self.s3), ("s4", self.s4), ("s5", [self.s5] if self.s5 else [])):
             for m in chosen:
                 method(stage, m)
-        if signal not in signals.SIGNALS:
+        if signal not in signals.SIGNALS and signal not in ("trendline_breakout", "obv_pivot"):
             raise KeyError(f"no signal {signal!r}; there are {', '.join(sorted(signals.SIGNALS))}")
-        if "wfe" in self.s4 and not s3.startswith("wfa"):
+        if "wfe" in self.s4 and not any(v.startswith("wfa") for v in self.s3):
             raise ValueError("wfe needs a walk-forward validator")
-
-    def run(self, prices: DataFrame, pairs: DataFrame, config: dict[str, Any] | None = None, stop_after: str | None = None) -> Result:
-        unknown = set(config or {}) - set(CONFIG)
-        if unknown:
-            raise KeyError(f"unknown settings: {', '.join(sorted(unknown))}")
-        began, c = time.time(), CONFIG | (config or {})
-        out = Result(self.name, config=c)
+        if (self.s2 == "grid_breakout") != (signal == "trendline_breakout") or (self.s2 == "grid_obv_pivot") != (signal == "obv_pivot"):
+            raise ValueError(f"{self.s2} and {signal} don't go together")
+        settings_of(self.config)
+
+    def run(self, prices: DataFrame, pairs: DataFrame, config: dict[str, Any] | None = None, stop_after: str | None = None, benchmark: DataFrame | None = None, sectors: DataFrame | None = None, bars: DataFrame | None = None) -> Result:
+        """``benchmark`` (ticker, ts, close) is needed by regime_aware; ``sectors`` (ticker, sector) groups the
+        weights of handcraft; ``bars`` (ticker, ts, open, high, low, close, volume) feed break-outs and volume pivots."""
+        began, c = time.time(), settings_of(self.config | (config or {}))
+        if self.s1 == "regime_aware" and benchmark is None:
+            raise ValueError("regime_aware needs a benchmark")
+        if self.s2 in ("grid_breakout", "grid_obv_pivot") and bars is None:
+            raise ValueError(f"{self.s2} needs bars")
+        out, held = Result(self.name, config=c), []
         fire("pipeline_start", name=self.name)
-        series = P.compute_ratio(prices, pairs)
-        s1 = method("s1", self.s1)(series).join(pairs.select("pair", "numerator", "denominator"), "pair").withColumn("method", F.lit(self.s1))
-        out.stages["s1"] = s1.persist()
-        fire("stage_end", stage="s1")
-        if stop_after != "s1":
-            kept = series.join(s1.filter("passed"), "pair", "left_semi")
-            s2 = self._optimise(kept, c).join(pairs.select("pair", "numerator", "denominator"), "pair").withColumn("signal_method", F.lit(self.signal)).withColumn("optim_method", F.lit(self.s2))
-            half = s1.select("pair", (F.col("halflife") if "halflife" in s1.columns else F.lit(None)).cast("double").alias("halflife"))
-            s2 = s2.join(half, "pair").withColumn("slope_min", F.lit(0.0))
-            out.stages["s2"] = s2.persist()
-            fire("stage_end", stage="s2")
-        if stop_after not in ("s1", "s2"):
-            live = kept.join(s2.filter("passed"), "pair", "left_semi")
-            rets = self._trade(live, s2.filter("passed"), c)
-            s3 = self._validate(rets, c).join(pairs.select("pair", "numerator", "denominator"), "pair")
-            out.stages["s3"] = s3
-            fire("stage_end", stage="s3")
-        if stop_after not in ("s1", "s2", "s3"):
-            tests = {m: method("s4", m)(s3, **({"n_trials": c["n_trials"]} if m == "dsr" else {})) for m in self.s4}
-            s4 = S.best_tier(tests).join(pairs.select("pair", "numerator", "denominator"), "pair")
-            out.stages["s4"] = s4
-        if stop_after is None or stop_after == "s5":
-            members = s4.filter("passed").select(F.col("numerator").alias("ticker"), "tier", F.lit("all").alias("sector")).dropDuplicates(["ticker"])
-            returns = M.simple_returns(prices.filter("close is not null").select(F.col("ticker").alias("key"), "ts", F.col("close").alias("equity")))
-            returns = returns.join(members.select(F.col("ticker").alias("key")), "key", "left_semi")
-            fn = method("s5", self.s5)
-            w = fn(members) if self.s5 in ("equal_weight", "tier_based", "dynamic_1k") else fn(returns) if self.s5 in ("risk_parity", "hrp") else fn(members, returns)
-            out.final[self.s5] = w
-            out.stages["s5"] = M.core(WT.combine(w, returns))
+        try:
+            self._stages(out, held, prices, pairs, c, stop_after, benchmark, sectors, bars)
+        except Exception as e:
+            for df in held:
+                df.unpersist()
+            fire("stage_error", name=self.name, error=e)
+            raise
+        out.held = held
         out.seconds = time.time() - began
         fire("pipeline_end", name=self.name)
         return out
 
-    def _optimise(self, series: DataFrame, c: dict[str, Any]) -> DataFrame:
+    def _stages(self, out: Result, held: list[DataFrame], prices: DataFrame, pairs: DataFrame, c: dict[str, Any], stop_after: str | None, benchmark: DataFrame | None, sectors: DataFrame | None, bars: DataFrame | None) -> None:
+        legs = pairs.select("pair", "numerator", "denominator")
+
+        def keep(stage: str, df: DataFrame) -> DataFrame:
+            out.stages[stage] = df.persist()
+            held.append(df)
+            fire("stage_end", stage=stage)
+            return df
+
+        series = P.compute_ratio(prices, pairs)
+        screen = method("s1", self.s1)
+        s1 = screen(series, benchmark) if self.s1 == "regime_aware" else screen(series)
+        for lacking in ("halflife", "window"):
+            if lacking not in s1.columns:
+                s1 = s1.withColumn(lacking, F.lit(None).cast("double"))
+        s1 = keep("s1", s1.join(legs, "pair").withColumn("method", F.lit(self.s1)))
+        if stop_after == "s1":
+            return
+        kept = series.join(s1.filter("passed").select("pair", F.when(F.col("window") > 0, F.col("window")).otherwise(F.lit(c["default_window"])).cast("double").alias("window")), "pair")
+        s2 = keep("s2", self._optimise(kept, s1, legs, c, bars))
+        if stop_after == "s2" or not self.s3:
+            return
+        best = s2.filter("passed").select("pair", "window", "entry_thresh", "exit_thresh", "stop_pct", "slope_min", "is_sharpe")
+        live = kept.drop("window").join(best, "pair")
+        parts = [self._validate(v, self._traded(v, live, c, bars), c) for v in self.s3]
+        s3 = keep("s3", reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).join(legs, "pair"))
+        if stop_after == "s3" or not self.s4:
+            return
+        tests = {m: method("s4", m)(s3, **{"dsr": {"n_trials": c["n_trials"]}, "t_test": {"threshold": c["t_stat_threshold"]}, "wfe": {"threshold": c["wfe_threshold"]}}.get(m, {})) for m in self.s4}
+        s4 = keep("s4", S.best_tier(tests).join(legs, "pair"))
+        if stop_after == "s4" or not self.s5:
+            return
+        members = s4.filter("passed").select(F.col("numerator").alias("ticker"), "tier").dropDuplicates(["ticker"])
+        members = members.withColumn("sector", F.lit("all")) if sectors is None else members.join(sectors.select("ticker", "sector"), "ticker", "left").fillna("none", ["sector"])
+        returns = M.simple_returns(prices.filter("close is not null").select(F.col("ticker").alias("key"), "ts", F.col("close").alias("equity")))
+        returns = returns.join(members.select(F.col("ticker").alias("key")), "key", "left_semi")
+        fn = method("s5", self.s5)
+        w = fn(members) if self.s5 in ("equal_weight", "tier_based", "dynamic_1k") else fn(returns) if self.s5 in ("risk_parity", "hrp") else fn(members, returns)
+        out.final[self.s5] = w
+        out.stages["s5"] = M.core(WT.combine(w, returns))
+
+    def _segment(self) -> str | None:
+        return self.signal if self.signal in SG.SEGMENT_SIGNALS else None
+
+    def _optimise(self, series: DataFrame, s1: DataFrame, legs: DataFrame, c: dict[str, Any], bars: DataFrame | None) -> DataFrame:
         """The named optimiser's row per pair; settings it doesn't have are null."""
-        if self.s2 != "grid_ma":
-            return method("s2", self.s2)(series, fee=c["fee"])
-        found = B.grid_ma(series)
-        lacking = ("entry_thresh", "exit_thresh", "stop_pct", "is_penalized_sharpe", "is_trades", "oos_trades")
-        return found.select("pair", F.col("window").cast("double").alias("window"), "is_sharpe", "oos_sharpe", "passed", *[F.lit(None).cast("double").alias(n) for n in lacking])
-
-    def _trade(self, live: DataFrame, best: DataFrame, c: dict[str, Any]) -> DataFrame:
-        """Returns of the signal: with each pair's optimised settings where the signal is a z-score and
-        the optimiser's thresholds therefore its own, else with the configured ones."""
+        half = s1.select("pair", F.col("halflife").cast("double").alias("halflife"))
+        gate = {"least_is": c["min_is_sharpe"], "least_oos": c["min_oos_sharpe"], "least_trades": c["min_is_trades"]}
+        if self.s2 == "grid_breakout":
+            rows = _breakout_rows(bars, legs.join(series.select("pair").distinct(), "pair", "left_semi"))
+            found = PT.grid_breakout(rows, tuple(c["entry_confs"]), tuple(c["exit_confs"]), tuple(c["stop_pcts"]), c["is_ratio"], cost=c["tx_cost_per_side"], slip=c["stop_slippage_bps"] / 1e4, full=False, least_points=c["min_points"], error_pct=c["max_error_pct"], least_period=c["min_period_days"], **gate)
+            found = found.select("pair", F.col("entry_conf").cast("double").alias("entry_thresh"), F.col("exit_conf").cast("double").alias("exit_thresh"), "stop_pct", "is_sharpe", "is_penalized_sharpe", F.col("is_trades").cast("double").alias("is_trades"), "oos_sharpe", F.col("oos_trades").cast("double").alias("oos_trades"), "passed")
+        elif self.s2 == "grid_obv_pivot":
+            names = series.select("pair").distinct().join(legs, "pair").select("pair", F.col("numerator").alias("ticker"))
+            grid = PT.grid_obv_pivot(bars.join(names.select("ticker").distinct(), "ticker", "left_semi"), c["is_ratio"], c["tx_cost_per_side"], c["stop_slippage_bps"] / 1e4, n_compare=c["n_compare"])
+            order = W.partitionBy("ticker").orderBy(F.col("is_sharpe").desc(), "method", "method_param", "mapping", "stop_type")
+            top = grid.withColumn("_r", F.row_number().over(order)).filter("_r = 1")
+            found = names.join(top, "ticker").select("pair", "is_sharpe", F.col("is_trades").cast("double").alias("is_trades"), "oos_sharpe", F.col("oos_trades").cast("double").alias("oos_trades"), "passed")
+        elif self.s2 in ("grid_ma", "optuna_ma"):
+            kind = {"ema_crossover": "ema", "dual_ma_crossover": "dual", "kama_crossover": "kama", "momentum": "momentum"}.get(self.signal, "sma")
+            found = (B.grid_ma(series, kind, is_ratio=c["is_ratio"]) if self.s2 == "grid_ma" else B.optuna_ma(series, kind, c["optuna_trials"], c["random_state"], is_ratio=c["is_ratio"]))
+            found = found.select("pair", F.col("window").cast("double").alias("window"), "is_sharpe", "oos_sharpe", "passed")
+        else:
+            # Signals without a function of one stretch are optimised as z-scores.
+            options = {"signal": self._segment() or "zscore_standard", "entries": c["entry_grid"], "exits": c["exit_grid"], "stops": c["stop_grid"], "slopes": c["slope_grid"], "windows": c["window_grid"], "is_ratio": c["is_ratio"], "fee": c["cost_per_side"], "least_oos_trades": c["min_oos_trades"], **gate}
+            if self.s2 == "grid_regime":
+                options.pop("signal")
+            if self.s2 == "optuna_tpe":
+                options |= {"trials": c["optuna_trials"], "seed": c["random_state"]}
+            found = method("s2", self.s2)(series, **options)
+        for lacking in ("window", *_S2_EMPTY):
+            if lacking not in found.columns:
+                found = found.withColumn(lacking, F.lit(None).cast("double"))
+        found = found.select("pair", "window", *_S2_EMPTY, "passed")
+        return found.join(half, "pair").join(legs, "pair").withColumn("signal_method", F.lit(self.signal)).withColumn("optim_method", F.lit(self.s2))
+
+    def _traded(self, validator: str, live: DataFrame, c: dict[str, Any], bars: DataFrame | None) -> DataFrame:
+        """What a validator works on: the bars themselves where the signal can trade a stretch of them by
+        itself, else the returns of the signal over all bars, in ``ret``, which it cuts into parts."""
+        if self._segment():
+            return live
+        if self.signal == "trendline_breakout":
+            rows = _breakout_rows(bars, live.select("pair").distinct().join(bars_pairs(bars), "pair"))
+            numbered = rows.withColumn("seq", F.row_number().over(W.partitionBy("pair").orderBy("ts")))
+            traced = PT.breakout(numbered, min(c["entry_confs"]), min(c["exit_confs"]), least_points=c["min_points"], error_pct=c["max_error_pct"], least_period=c["min_period_days"])
+            return B.run(traced, c["stop"], c["cost_per_side"]).select("pair", "seq", "ret")
+        given = {k: c[k] for k in ("entry", "exit_") if c[k] is not None}
         signal = signals.SIGNALS[self.signal]
-        if self.signal in ZSCORES and self.s2 in ("grid_search", "random_search"):
-            chosen = best.select("pair", "window", "stop_pct", F.col("entry_thresh").alias("_at_entry"), F.col("exit_thresh").alias("_at_exit"))
-            parts = []
-            for w, stop in sorted(tuple(r) for r in chosen.select("window", "stop_pct").distinct().collect()):  # at most the grid's sets
-                mine = live.join(chosen.filter((F.col("window") == w) & (F.col("stop_pct") == stop)).drop("window", "stop_pct"), "pair")
-                parts.append(B.run(signal(mine, window=int(w), entry=F.col("_at_entry"), exit_=F.col("_at_exit")), stop, c["fee"]))
-            if parts:
-                return reduce(DataFrame.unionByName, parts)
-        return B.run(signal(live, window=c["window"]), c["stop"], c["fee"])
-
-    def _validate(self, rets: DataFrame, c: dict[str, Any]) -> DataFrame:
-        n = V.lengths(rets)
-        if self.s3 == "wfa_expanding":
-            return V.walk_forward(rets, V.expanding_folds(n, c["n_folds"]))
-        if self.s3 == "wfa_rolling":
-            return V.walk_forward(rets, V.rolling_folds(n, c["is_days"], c["oos_days"]), name="wfa_rolling")
-        got = {"chan_is_oos": V.is_oos, "cpcv": V.cpcv, "bootstrap_ci": V.bootstrap_ci, "monte_carlo": V.monte_carlo}[self.s3](rets)
-        extra = {"std_test_sharpe": 0.0, "n_test_periods": 1, "baseline_sharpe": None, "degradation": None, "val_method": self.s3}
-        for k, v in extra.items():
-            if k not in got.columns:
-                got = got.withColumn(k, F.lit(v) if v is not None else F.lit(None).cast("double"))
-        return got
+        made = signal(live.select("pair", "ts", "seq", "ratio", "num_close", "den_close"), **({"window": int(c["default_window"])} if self.signal != "donchian" else {}), **given)
+        return B.run(made, c["stop"], c["cost_per_side"]).join(live.select("pair", "seq", "is_sharpe"), ["pair", "seq"])
+
+    def _validate(self, name: str, rows: DataFrame, c: dict[str, Any]) -> DataFrame:
+        signal = self._segment()
+        defaults = {k: c[k] for k in ("entry", "exit_") if c[k] is not None} | {"window": c["default_window"], "slope_window": c["slope_window"]}
+        common = {"signal": signal, "fee": c["cost_per_side"], **defaults}
+        least = {"least": c["s3_min_oos_sharpe"]}
+        fixed = {"fixed": c["use_s2_window"] or self.s2 in ("grid_ma", "optuna_ma")}
+        if name == "wfa_expanding":
+            return V.wfa_expanding(rows, n_folds=c["wfa_n_folds"], **common, **least, **fixed)
+        if name == "wfa_rolling":
+            return V.wfa_rolling(rows, is_days=c["wfa_rolling_is"], oos_days=c["wfa_rolling_oos"], **common, **least, **fixed)
+        if name == "chan_is_oos":
+            return V.chan_is_oos(rows, is_ratio=c["is_ratio"], **common, **least, **fixed)
+        if name == "cpcv":
+            return V.cpcv(rows, n_folds=c["cpcv_n_folds"], purge=c["cpcv_purge"], embargo=c["cpcv_embargo"], **common, **least, **fixed)
+        if name == "sensitivity":
+            return V.sensitivity(rows, is_ratio=c["is_ratio"], shift=c["sensitivity_pct"], **common, **least)
+        later = V.out_of_sample(rows, is_ratio=c["is_ratio"], **common)
+        got = V.bootstrap_ci(later, iterations=c["bootstrap_iterations"], seed=c["random_state"]) if name == "bootstrap_ci" else V.monte_carlo(later, iterations=c["mc_iterations"], seed=c["random_state"])
+        spread = {"std_test_sharpe": F.coalesce((F.col("ci_upper") - F.col("ci_lower")) / 3.92, F.lit(0.0)) if name == "bootstrap_ci" else F.lit(0.0), "n_test_periods": F.lit(1).cast("long"), "baseline_sharpe": F.lit(None).cast("double"), "degradation": F.lit(None).cast("double"), "wfe": F.lit(None).cast("double"), "val_method": F.lit(name)}
+        return got.withColumns({k: v for k, v in spread.items() if k not in got.columns})
+
+
+def bars_pairs(bars: DataFrame) -> DataFrame:
+    return P.universe(bars)
+
+
+def _breakout_rows(bars: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(pair, ts, high, low, close, num_close) of the ratio's bars."""
+    num = bars.select(F.col("ticker").alias("numerator"), "ts", F.col("close").alias("num_close"))
+    return P.ratio_ohlc(bars, pairs).join(pairs.select("pair", "numerator"), "pair").join(num, ["numerator", "ts"]).select("pair", "ts", "high", "low", "close", "num_close")
 
 
 def compare(pipelines: list[Pipeline], prices: DataFrame, pairs: DataFrame, config: dict[str, Any] | None = None) -> dict[str, Result]:

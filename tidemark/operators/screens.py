@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rolling as R, stats
+from . import kernels as K
 
 LEAST_ROWS = 252
 
@@ -270,3 +271,25 @@ def chan_combined(series: DataFrame, mode: str = "intersect") -> DataFrame:
 
 def trend_combined(series: DataFrame) -> DataFrame:
     return combined(kaufman_er(series, trend=True), {"hurst": chan_hurst(series, trend=True)})
+
+
+def kaufman_kama(series: DataFrame, most_er: float = 0.15, least_crossings: float = 4.0, slope_bars: int = 10) -> DataFrame:
+    """Mean efficiency, crossings of the adaptive mean a year, and its mean relative slope."""
+    s = K.per_key(with_efficiency(series, still=0.0), lambda c: {"kama": K.kama(c["ratio"])}, {"kama": "double"}, ["ratio"])
+    s = s.withColumn("above", (F.col("ratio") > F.col("kama")).cast("int")).withColumn("crossed", (F.col("above") != R.lag(F.col("above"))).cast("int"))
+    s = s.withColumn("slope", F.col("kama") / F.nullif(R.lag(F.col("kama"), slope_bars), F.lit(0.0)) - 1)
+    g = s.groupBy("pair").agg(F.avg("er").alias("mean_er"), F.sum("crossed").alias("crossings"), (F.sum("crossed") / F.count("kama") * 252).alias("per_year"), F.avg("slope").alias("kama_slope"))
+    return g.withColumn("passed", F.coalesce((F.col("mean_er") < most_er) & (F.col("per_year") >= least_crossings), F.lit(False)))
+
+
+def cadf_rolling_kalman(series: DataFrame, window: int = 252, step: int = 60, alpha: float = 0.05, least_windows: int = 4, least_rate: float = 0.5) -> DataFrame:
+    """Unit-root tests in rolling windows of the filter's innovations, and statistics of its slope."""
+
+    def run(c):
+        slope, _, e = K.kalman_hedge(c["num_close"], c["den_close"])
+        return {"ratio": e, "beta": slope}
+
+    s = K.per_key(series.drop("ratio"), run, {"ratio": "double", "beta": "double"}, ["num_close", "den_close"])
+    g = adf(anchored(s, window, step), "ratio", ("pair", "anchor"), "_i").groupBy("pair").agg(F.count("*").alias("n_windows"), F.avg((F.col("adf_p") < alpha).cast("int")).alias("pass_rate"))
+    beta = s.groupBy("pair").agg(F.avg("beta").alias("beta_mean"), F.stddev_samp("beta").alias("beta_std"), F.max_by("beta", "seq").alias("beta_last"))
+    return g.join(halflives(s).select("pair", "halflife"), "pair").join(beta, "pair").withColumn("passed", (F.col("n_windows") >= least_windows) & (F.col("pass_rate") >= least_rate))

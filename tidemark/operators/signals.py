@@ -306,9 +306,12 @@ def nday_low(s: DataFrame, window: int = 7, entry: float = 200, exit_: float = 1
 
 @register_signal
 def double_bottom(s: DataFrame, window: int = 10, entry: float = 0.02, exit_: float = 20, **_) -> DataFrame:
-    x = F.col("ratio")
-    s = K.per_key(s.withColumn("_hi", R.highest(x, window)), lambda c: {"_in": K.double_bottom(c["ratio"], window, entry)}, {"_in": "boolean"}, ["ratio"])
-    return _held(s, F.col("_in"), x >= F.col("_hi"), int(exit_))
+    def run(c):
+        go, leave = K.double_bottom(c["ratio"], window, entry, int(exit_))
+        return {"_in": go, "_out": leave}
+
+    s = K.per_key(s, run, {"_in": "boolean", "_out": "boolean"}, ["ratio"])
+    return _out(s, F.col("_in"), F.col("_out"))
 
 
 @register_signal

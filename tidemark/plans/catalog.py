@@ -156,34 +156,10 @@ def _(spark, d):
     return S1.chan_hurst(P.series(spark, d), trend=True)
 
 
-@query("s1_kaufman_kama")
-def _(spark, d):
-    from ..operators import kernels as K
-
-    s = K.per_key(S1.with_efficiency(P.series(spark, d), still=0.0), lambda c: {"kama": K.kama(c["ratio"])}, {"kama": "double"}, ["ratio"])
-    s = s.withColumn("above", (F.col("ratio") > F.col("kama")).cast("int")).withColumn("crossed", (F.col("above") != R.lag(F.col("above"))).cast("int"))
-    g = s.groupBy("pair").agg(F.avg("er").alias("mean_er"), F.sum("crossed").alias("crossings"), (F.sum("crossed") / F.count("kama") * 252).alias("per_year"))
-    return g.withColumn("passed", (F.col("mean_er") < 0.15) & (F.col("per_year") >= 4))
-
-
-for _name, _fn in {"s1_chan_halflife": S1.chan_halflife, "s1_kpss": S1.kpss, "s1_cadf": S1.cadf, "s1_cadf_rolling": S1.cadf_rolling, "s1_johansen": S1.johansen, "s1_chan_combined": S1.chan_combined, "s1_trend_combined": S1.trend_combined}.items():
+for _name, _fn in {"s1_chan_halflife": S1.chan_halflife, "s1_kpss": S1.kpss, "s1_cadf": S1.cadf, "s1_cadf_rolling": S1.cadf_rolling, "s1_johansen": S1.johansen, "s1_chan_combined": S1.chan_combined, "s1_trend_combined": S1.trend_combined, "s1_kaufman_kama": S1.kaufman_kama, "s1_cadf_rolling_kalman": S1.cadf_rolling_kalman}.items():
     query(_name)(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
 
 
-@query("s1_cadf_rolling_kalman")
-def _(spark, d):
-    from ..operators import kernels as K
-
-    def run(c):
-        slope, level, e = K.kalman_hedge(c["num_close"], c["den_close"])
-        return {"ratio": e, "beta": slope}
-
-    s = K.per_key(P.series(spark, d).drop("ratio"), run, {"ratio": "double", "beta": "double"}, ["num_close", "den_close"])
-    rows = S1.anchored(s, 252, 60)
-    g = S1.adf(rows, "ratio", ("pair", "anchor"), "_i").groupBy("pair").agg(F.count("*").alias("n_windows"), F.avg((F.col("adf_p") < 0.05).cast("int")).alias("pass_rate"))
-    return g.join(S1.halflives(s).select("pair", "halflife"), "pair").withColumn("passed", (F.col("n_windows") >= 4) & (F.col("pass_rate") >= 0.5))
-
-
 @query("s1_regime_aware")
 def _(spark, d):
     return S1.regime_aware(P.series(spark, d), P.benchmark_px(spark, d))
@@ -221,23 +197,26 @@ def _(spark, d):
     return PT.fractal_pivots(SG.obv(P.bars(spark, d))).select("ticker", "ts", "kind")
 
 
+_LINES = {"least_points": 4, "error_pct": 0.5, "least_period": 21}
+
+
+def _breakout_bars(spark, d):
+    """Bars around the smoothed ratio: the raw bars range too widely from day to day for lines to mean anything."""
+    x = F.col("ratio")
+    return P.series(spark, d).select("pair", "ts", (x * 1.005).alias("high"), (x * 0.995).alias("low"), x.alias("close"), "num_close")
+
+
 @query("pat_trendlines")
 def _(spark, d):
-    bars = P.bars(spark, d)
-    return PT.trendlines(P.ratio_ohlc(bars, P.universe(bars)))
+    return PT.trendlines(_breakout_bars(spark, d), **_LINES)
 
 
 @query("sig_trendline_breakout")
 def _(spark, d):
-    bars = P.bars(spark, d)
-    pairs = P.universe(bars)
-    ohlc = P.ratio_ohlc(bars, pairs)
-    lines = PT.trendlines(ohlc)
     from pyspark.sql import Window as W
 
-    num = bars.select(F.col("ticker").alias("numerator"), "ts", F.col("close").alias("num_close"))
-    rows = ohlc.join(pairs, "pair").join(num, ["numerator", "ts"]).withColumn("seq", F.row_number().over(W.partitionBy("pair").orderBy("ts")))
-    return PT.breakout(rows.select("pair", "ts", "seq", "close", "num_close"), lines).select("pair", "ts", "entry", "exit")
+    rows = _breakout_bars(spark, d).withColumn("seq", F.row_number().over(W.partitionBy("pair").orderBy("ts")))
+    return PT.breakout(rows, **_LINES).select("pair", "ts", "entry", "exit")
 
 
 # Backtests and optimisers -----------------------------------------------------------------------
@@ -255,15 +234,30 @@ def _(spark, d):
     bars = SG.obv(P.bars(spark, d))
     pos = PT.pivot_positions(bars, PT.classify_pivots(PT.fractal_pivots(bars)))
     out = None
-    for stop, p in (("none", 0.0), ("pct", 0.05), ("pct", 0.1), ("atr", 2.0), ("atr", 3.0), ("atr", 4.0)):
-        got = PT.obv_walk(pos, stop, p).groupBy("ticker").agg(B.sharpe(F.col("ret"), 0).alias("sharpe")).withColumn("stop", F.lit(f"{stop}{p}"))
+    for label, stop, p in PT.OBV_STOPS:
+        got = PT.obv_walk(pos, stop, p).groupBy("ticker").agg(B.sharpe(F.col("ret"), 0).alias("sharpe"), B.cagr(F.col("ret")).alias("cagr")).withColumn("stop", F.lit(label))
         out = got if out is None else out.unionByName(got)
     return out
 
 
+@query("opt_grid_obv_pivot")
+def _(spark, d):
+    return PT.grid_obv_pivot(P.bars(spark, d))
+
+
+@query("opt_grid_breakout")
+def _(spark, d):
+    return PT.grid_breakout(_breakout_bars(spark, d), **_LINES)
+
+
+@query("bt_breakout_trace")
+def _(spark, d):
+    return PT.breakout_trace(_breakout_bars(spark, d), **_LINES)
+
+
 @query("opt_grid_search")
 def _(spark, d):
-    return B.grid_search(P.series(spark, d))
+    return B.grid_search(P.series(spark, d), windows=(10, 20, 40), slopes=(0.0, 0.05), least_is=-10.0)
 
 
 for _kind in ("sma", "ema", "dual", "kama", "momentum"):
@@ -272,19 +266,20 @@ for _kind in ("sma", "ema", "dual", "kama", "momentum"):
 
 @query("opt_grid_regime")
 def _(spark, d):
-    return B.grid_regime(P.series(spark, d))
+    return B.grid_regime(P.series(spark, d), least_is=-10.0)
 
 
-@query("opt_random_search")
+@query("opt_optuna_tpe")
 def _(spark, d):
-    return B.random_search(P.series(spark, d))
+    return B.optuna_tpe(P.series(spark, d), windows=(10, 20, 30, 40, 60), least_is=-10.0)
 
 
-# Validation -------------------------------------------------------------------------------------
+@query("opt_optuna_ma")
+def _(spark, d):
+    return B.optuna_ma(P.series(spark, d))
 
 
-def _rets(spark, d):
-    return B.run(SG.zscore_standard(P.series(spark, d))).select("pair", "seq", "ret")
+# Validation -------------------------------------------------------------------------------------
 
 
 @query("fold_expanding", Q.S + "SELECT pair, fold, 0::BIGINT AS is_lo, (fold+1)*c AS is_hi, (fold+1)*c AS oos_lo, least((fold+2)*c, n) AS oos_hi FROM (SELECT pair, n, n//9 AS c, unnest(range(0,8))::INTEGER AS fold FROM (SELECT pair, count(*) AS n FROM s GROUP BY 1)) WHERE c >= 20 AND (fold+1)*c >= 50 AND least((fold+2)*c, n) - (fold+1)*c >= 10")
@@ -307,16 +302,38 @@ def _(spark, d):
     return spark.createDataFrame([(p, *e) for p, edges in enumerate(V.factorisation()) for e in edges], "path long, a long, b long")
 
 
-for _name, _fn in {
-    "s3_wfa_expanding": lambda r: V.walk_forward(r, V.expanding_folds(V.lengths(r))), "s3_wfa_rolling": lambda r: V.walk_forward(r, V.rolling_folds(V.lengths(r)), name="wfa_rolling"),
-    "s3_is_oos": V.is_oos, "s3_cpcv": V.cpcv, "s3_bootstrap_ci": V.bootstrap_ci, "s3_monte_carlo": V.monte_carlo,
-}.items():
-    query(_name)(lambda spark, d, fn=_fn: fn(_rets(spark, d)))
+for _name, _fn in {"wfa_expanding": V.wfa_expanding, "wfa_rolling": V.wfa_rolling, "is_oos": V.chan_is_oos, "cpcv": V.cpcv}.items():
+    query(f"s3_{_name}", Q.validated(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)).withColumn("n_test_periods", F.col("n_test_periods").cast("long")))
+
+
+@query("s3_wfa_fixed")
+def _(spark, d):
+    return V.wfa_expanding(P.series(spark, d), "zscore_robust_mad", fixed=True, window=40, entry=-1.5, stop=0.1, slope_min=0.01)
+
+
+@query("s3_cpcv_fixed")
+def _(spark, d):
+    return V.cpcv(P.series(spark, d), "ma_crossover", fixed=True, window=50)
+
+
+@query("s3_out_of_sample", Q.validated("out_of_sample"))
+def _(spark, d):
+    return V.out_of_sample(P.series(spark, d))
+
+
+@query("s3_bootstrap_ci")
+def _(spark, d):
+    return V.bootstrap_ci(V.out_of_sample(P.series(spark, d)))
+
+
+@query("s3_monte_carlo")
+def _(spark, d):
+    return V.monte_carlo(V.out_of_sample(P.series(spark, d)))
 
 
 @query("s3_sensitivity")
 def _(spark, d):
-    return V.sensitivity(P.series(spark, d), SG.zscore_standard, {"window": 20, "entry": -2.0, "exit_": 0.5, "stop": 0.1})
+    return V.sensitivity(P.series(spark, d), entry=-2.0, exit_=0.5, stop=0.1)
 
 
 # Significance (the rows are a literal table) -------------------------------------------------------
@@ -404,7 +421,7 @@ query("met_simple_returns", Q.RET + "SELECT key, ts, round(r,6) AS r FROM ret")(
 query("met_core", Q.RET + Q.CORE)(lambda s, d: M.core(_returns(s, d)))
 query("met_equity_metrics", Q.RET + Q.EQUITY)(lambda s, d: M.equity_metrics(_returns(s, d)).select("key", "ulcer", "skew", "kurtosis", "pct_invested", "win_rate", "best_day", "worst_day", "max_dd_run"))
 query("met_vs_benchmark", Q.RET + Q.VS)(lambda s, d: M.vs_benchmark(_returns(s, d), _bench(s, d)))
-query("met_extended", Q.RET + Q.EXTENDED)(lambda s, d: M.extended(_returns(s, d)).drop("longest_gain", "longest_loss"))
+query("met_extended", Q.RET + Q.EXTENDED)(lambda s, d: M.extended(_returns(s, d)).drop("consecutive_wins", "consecutive_losses"))
 query("met_streaks", Q.RET + Q.STREAKS)(lambda s, d: M.streak_lengths(_returns(s, d)))
 query("met_stability", Q.RET + "SELECT key, round(regr_r2(lc, seq),6) AS stability_r2 FROM (SELECT key, sum(ln(1+r)) OVER w AS lc, row_number() OVER w AS seq FROM ret WINDOW w AS (PARTITION BY key ORDER BY ts)) GROUP BY 1")(lambda s, d: M.stability(_returns(s, d)))
 query("met_monthly_table", Q.RET + Q.MONTHLY)(lambda s, d: M.monthly_table(_curve(s, d)))
@@ -485,22 +502,61 @@ def replay_input(spark: SparkSession, d: str) -> DataFrame:
     return b.select(F.col("pair").alias("ticker"), "ts", F.col("num_close").alias("close"), (F.col("num_close") * 0.995).alias("low"), (F.col("num_close") * 0.01).alias("atr"), F.col("position").alias("pos_raw"), F.lit(1).alias("stop_code"), F.lit(0.1).alias("stop_param"))
 
 
+SCHEMES = [*RP.scheme_names(), *(f"{tag}__{s}" for tag in RP.RULE_TAGS for s in ("equal_weight", "flat_1k_cap10", "roll_sr_cap10"))]
+
+
+@query("rp_schemes", Q.SCHEMES)
+def _(spark, d):
+    rows = [RP.parse_scheme(n) for n in RP.scheme_names()]
+    return spark.createDataFrame([(r.name, r.family, r.base, r.cap, r.rule) for r in rows], "scheme string, family string, base string, cap double, rule string")
+
+
 @query("rp_days")
 def _(spark, d):
-    return RP.run_schemes(replay_input(spark, d), ["equal", "invvol", "roll_sr_cap10", "cf__equal", "plg__roll_sr"], seed=10_000_000.0)
+    return RP.run_schemes(replay_input(spark, d), SCHEMES, seed=10_000_000.0)
 
 
 @query("rp_trades")
 def _(spark, d):
-    return RP.run_schemes(replay_input(spark, d), ["equal", "hrp"], seed=10_000_000.0, output="trades")
+    return RP.run_schemes(replay_input(spark, d), SCHEMES, seed=10_000_000.0, output="trades")
+
+
+@query("rp_counts")
+def _(spark, d):
+    return RP.run_schemes(replay_input(spark, d), SCHEMES, seed=10_000_000.0, output="counts")
 
 
 @query("rp_concentration")
 def _(spark, d):
-    return RP.concentration(RP.run_schemes(replay_input(spark, d), ["equal", "invvol"], seed=10_000_000.0))
+    return RP.concentration(RP.run_schemes(replay_input(spark, d), SCHEMES, seed=10_000_000.0))
+
+
+def _summary(spark, d):
+    rows = replay_input(spark, d)
+    # Several statistics read the days: they are replayed once.
+    days, counts = (RP.run_schemes(rows, SCHEMES, seed=10_000_000.0, output=o).persist() for o in ("days", "counts"))
+    bench = P.benchmark_px(spark, d).filter("close is not null").select("ts", F.col("close").alias("equity"))
+    return RP.summary_rows(days, counts, bench, "1998-01-01", 10_000_000.0, "BENCH")
+
+
+@query("rp_summary")
+def _(spark, d):
+    return _summary(spark, d)
+
+
+@query("rp_beat_benchmark")
+def _(spark, d):
+    return RP.beat_benchmark(_summary(spark, d).persist(), "BENCH")
+
+
+@query("rp_collapsed")
+def _(spark, d):
+    days = RP.run_schemes(replay_input(spark, d), SCHEMES, seed=10_000_000.0)
+    hashes = M.curve_hash(days.filter("ts >= date'1998-01-01'").select(F.col("scheme").alias("key"), "ts", F.col("nav").alias("equity"))).withColumnsRenamed({"key": "scheme", "curve_sha1": "curve_hash"})
+    return RP.collapse_equal(hashes, "equal_weight")
 
 
-@query("rp_live_shares", Q.PX + "SELECT ticker, ts, CAST(floor(0.1*100000*0.98/(close*1.0005*1.001)) AS BIGINT) AS shares FROM px WHERE close IS NOT NULL")
+@query("rp_live_shares", Q.PX + "SELECT ticker, ts, CAST(floor(0.1*100000*0.95/(close*1.0005*1.001)) AS BIGINT) AS shares FROM px WHERE close IS NOT NULL")
 def _(spark, d):
     return P.px(spark, d).filter("close is not null").select("ticker", "ts", RP.live_shares(F.lit(0.1), F.col("close"), F.lit(100000.0), F.lit("enter")).alias("shares"))
 

@@ -9,7 +9,7 @@ def _px(name: str, ticker: str, table: str, ts: str, price: str) -> str:
     return (
         f"{name}_d AS (SELECT CAST({ts} AS DATE) AS ts, {ticker} AS ticker, avg({price}) AS p FROM {table} GROUP BY 1,2), "
         f"{name}_g AS (SELECT t.ts, k.ticker, d.p FROM (SELECT DISTINCT ts FROM {name}_d) t CROSS JOIN (SELECT DISTINCT ticker FROM {name}_d) k LEFT JOIN {name}_d d ON d.ts=t.ts AND d.ticker=k.ticker), "
-        f"{name} AS (SELECT ticker, ts, CASE WHEN count(p) OVER {_W63} >= 10 THEN avg(p) OVER {_W63} END AS close FROM {name}_g) "
+        f"{name} AS (SELECT ticker, ts, CASE WHEN count(p) OVER {_W63} >= 10 THEN round(avg(p) OVER {_W63}, 6) END AS close FROM {name}_g) "
     )
 
 
@@ -152,3 +152,72 @@ ROLLING_BETA = f"SELECT key, ts, round(CASE WHEN count(*) OVER w=252 THEN covar_
 DRAWDOWNS = _CUM + f"SELECT key, valley_date, round(depth,6) AS depth, bars_under, row_number() OVER (PARTITION BY key ORDER BY depth, valley_date) AS rank FROM (SELECT key, g, arg_min(ts,(dd,ts)) AS valley_date, min(dd) AS depth, count(*) FILTER (dd<0) AS bars_under FROM (SELECT *, sum((dd>=0)::INTEGER) OVER {_K} AS g FROM cd) GROUP BY 1,2 HAVING min(dd)<0) QUALIFY rank<=10"
 DECILE = ", j AS (SELECT key, r, b FROM ret JOIN br USING (ts)), e AS (SELECT key, list_distinct(quantile_cont(b,[0,0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9,1])) AS ed FROM j GROUP BY 1) SELECT key, greatest(1, len(list_filter(ed, lambda v: v < b)))::BIGINT AS bin, round(avg(r),6) AS mean_return, round(avg(b),6) AS mean_bench, count(*) AS n FROM j JOIN e USING (key) GROUP BY 1,2"
 W6 = "WITH " + _px("p6", "l_returnflag || l_linestatus", "lineitem", "l_shipdate", "l_extendedprice") + ", ret6 AS (SELECT * FROM (SELECT ticker, ts, close/nullif(lag(close) OVER (PARTITION BY ticker ORDER BY ts),0)-1 AS r FROM p6 WHERE close IS NOT NULL) WHERE r IS NOT NULL), st AS (SELECT ticker, avg(r) AS mu, stddev_samp(r) AS sd FROM ret6 GROUP BY 1) "
+
+# The published scheme names.
+SCHEMES = (
+    "WITH caps(c) AS (VALUES ('05'),('10'),('20'),('30'),('50')), plain(scheme,family,base) AS (VALUES ('equal_weight','static','equal'),('sharpe_weighted','static','sharpe'),('inverse_vol','static','invvol'),('hrp','static','hrp')), "
+    "kinds(kind,family,base) AS (VALUES ('flat_1k','flat','equal'),('equal_dyn','dynamic','equal'),('sharpe_wt_dyn','dynamic','sharpe'),('inv_vol_dyn','dynamic','invvol'),('hrp','dynamic','hrp'),('roll_sr','rolling','sr'),('roll_iv','rolling','iv'),('roll_sortino','rolling','sortino'),('roll_calmar','rolling','calmar'),('roll_mom','rolling','mom'),('roll_er','rolling','er')) "
+    "SELECT scheme, family, base, NULL::DOUBLE AS cap, 'cash_fraction_seq_capped' AS rule FROM plain UNION ALL SELECT kind || '_cap' || c, family, base, c::DOUBLE/100, 'cash_fraction_seq_capped' FROM kinds, caps"
+)
+
+_HALF = "CASE WHEN count(*)>=29 AND regr_slope(dx,px)<0 AND regr_slope(dx,px)>-1 THEN -ln(2)/ln(1+regr_slope(dx,px)) END"
+
+
+def validated(name: str) -> str:
+    """Validators that trade each part by itself: parts with their look-backs, then rolling z-scores with a
+    frame of that length, then positions (entry and exit exclude each other, so the last flag decides)."""
+    n = ", n AS (SELECT pair, count(*) AS n FROM s GROUP BY 1)"
+    folds = {
+        "wfa_expanding": "SELECT pair, k AS fold, 0 AS a, (k+1)*(n//9) AS b, (k+1)*(n//9) AS c, least((k+2)*(n//9), n) AS d FROM n, range(8) t(k) WHERE n//9 >= 20 AND (k+1)*(n//9) >= 50 AND least((k+2)*(n//9), n)-(k+1)*(n//9) >= 10",
+        "wfa_rolling": "SELECT pair, k AS fold, k*180 AS a, k*180+504 AS b, k*180+504 AS c, k*180+684 AS d FROM n, range(30) t(k) WHERE k*180+684 <= n",
+        "is_oos": "SELECT pair, 0 AS fold, 0 AS a, CAST(floor(n*0.8::DOUBLE) AS BIGINT) AS b, CAST(floor(n*0.8::DOUBLE) AS BIGINT) AS c, n AS d FROM n",
+        "out_of_sample": "SELECT pair, 0 AS fold, 0 AS a, CAST(floor(n*0.8::DOUBLE) AS BIGINT) AS b, CAST(floor(n*0.8::DOUBLE) AS BIGINT) AS c, n AS d FROM n",
+        "cpcv": "SELECT pair, k AS fold, k*(n//10) AS a, CASE WHEN k=9 THEN n ELSE (k+1)*(n//10) END AS b, 0 AS c, 0 AS d FROM n, range(10) t(k) WHERE n//10 >= 20",
+    }[name]
+    head = S + n + f", f AS ({folds})"
+    if name == "cpcv":
+        out = "s.seq-1 >= {0}.a AND s.seq-1 < {0}.b"
+        near = "(s.seq-1 >= {0}.a-20 AND s.seq-1 < {0}.a+20) OR (s.seq-1 >= {0}.b-20 AND s.seq-1 < {0}.b+20)"
+        head += (
+            ", combos AS (SELECT x.pair, x.fold AS f1, y.fold AS f2, x.a AS a1, x.b AS b1, y.a AS a2, y.b AS b2 FROM f x JOIN f y ON x.pair=y.pair AND x.fold<y.fold)"
+            f", tr AS (SELECT s.pair, f1, f2, seq, ratio FROM s JOIN f x USING (pair) JOIN f y USING (pair) JOIN combos c ON c.pair=s.pair AND c.f1=x.fold AND c.f2=y.fold WHERE NOT ({out.format('x')} OR {out.format('y')} OR {near.format('x')} OR {near.format('y')}))"
+            ", hl AS (SELECT pair, f1, f2, count(*)+1 AS m, " + _HALF + " AS h FROM (SELECT pair, f1, f2, ratio-lag(ratio) OVER w AS dx, lag(ratio) OVER w AS px FROM tr WINDOW w AS (PARTITION BY pair, f1, f2 ORDER BY seq)) WHERE px IS NOT NULL GROUP BY 1,2,3)"
+            ", seg AS (SELECT c.pair, f1*100+f2*10+k AS seg, f1, f2, k AS fold, CASE k WHEN f1 THEN a1 ELSE a2 END AS lo, CASE k WHEN f1 THEN b1 ELSE b2 END AS hi, coalesce(least(greatest(CAST(floor(h*0.5) AS BIGINT),10),252),20) AS w FROM combos c JOIN hl USING (pair, f1, f2), range(10) t(k) WHERE k IN (f1, f2) AND m >= 100)"
+        )
+    else:
+        head += (
+            ", hl AS (SELECT pair, fold, " + _HALF + " AS h FROM (SELECT f.pair, f.fold, ratio-lag(ratio) OVER w AS dx, lag(ratio) OVER w AS px FROM s JOIN f ON f.pair=s.pair AND s.seq-1 >= a AND s.seq-1 < b WINDOW w AS (PARTITION BY f.pair, f.fold ORDER BY seq)) WHERE px IS NOT NULL GROUP BY 1,2)"
+            ", win AS (SELECT f.*, " + ("20" if name == "out_of_sample" else "coalesce(least(greatest(CAST(floor(h*0.5) AS BIGINT),10),252),20)") + " AS w FROM f LEFT JOIN hl USING (pair, fold))"
+            ", seg AS (SELECT pair, fold*2 AS seg, fold, a AS lo, b AS hi, w FROM win UNION ALL SELECT pair, fold*2+1, fold, c, d, w FROM win)"
+        )
+    head += (
+        ", bar AS (SELECT g.pair, g.seg, g.fold, s.seq, ratio, num_close, w FROM s JOIN seg g ON g.pair=s.pair AND s.seq-1 >= lo AND s.seq-1 < hi)"
+        ", zz AS (SELECT *, CASE WHEN count(*) OVER v >= w AND stddev_samp(ratio) OVER v > 1e-10 THEN (ratio-avg(ratio) OVER v)/stddev_samp(ratio) OVER v END AS z FROM bar WINDOW v AS (PARTITION BY pair, seg ORDER BY seq ROWS BETWEEN w-1 PRECEDING AND CURRENT ROW))"
+        ", fl AS (SELECT *, CASE WHEN lag(z) OVER o <= -2 THEN 1 WHEN lag(z) OVER o >= 0 THEN 0 END AS flag FROM zz WINDOW o AS (PARTITION BY pair, seg ORDER BY seq))"
+        ", po AS (SELECT *, coalesce(last_value(flag IGNORE NULLS) OVER (PARTITION BY pair, seg ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS pos FROM fl)"
+        ", re AS (SELECT *, CASE WHEN coalesce(lag(pos) OVER o,0)=1 THEN num_close/lag(num_close) OVER o-1-CASE WHEN pos=0 THEN 0.001 ELSE 0 END WHEN pos=1 THEN -0.001 ELSE 0.0 END AS ret FROM po WINDOW o AS (PARTITION BY pair, seg ORDER BY seq))"
+    )
+    if name == "out_of_sample":
+        return head + " SELECT pair, seq, round(ret,6) AS ret FROM re WHERE seg=1"
+    sharpe = "CASE WHEN stddev_samp(ret)>1e-10 THEN avg(ret)/stddev_samp(ret)*sqrt(252) ELSE 0 END"
+    if name == "cpcv":
+        # Matching r: the pairs of 0 .. 8 with sum 2 r (mod 9), and {r, 9}.
+        head += (
+            ", paths AS (SELECT r AS path, x.f1, x.f2 FROM range(9) p(r), (SELECT DISTINCT f1, f2 FROM combos) x WHERE (x.f2=9 AND x.f1=r) OR (x.f2<9 AND (x.f1+x.f2-2*r)%9=0))"
+            ", st AS (SELECT pair, path, re.fold, re.seq, ret FROM re JOIN seg USING (pair, seg) JOIN paths USING (f1, f2))"
+            f", te AS (SELECT pair, path AS fold, {sharpe} AS sr, count(*) AS nb FROM st GROUP BY 1,2 HAVING count(DISTINCT st.fold)>=3)"
+            ", oos AS (SELECT pair, seq, ret FROM st WHERE path=0), base AS (SELECT pair, 0.0 AS base FROM te GROUP BY 1)"
+        )
+    else:
+        head += (
+            f", sh AS (SELECT pair, seg, any_value(fold) AS fold, {sharpe} AS sr FROM re GROUP BY 1,2), te AS (SELECT pair, fold, sr FROM sh WHERE seg%2=1), base AS (SELECT pair, avg(sr) AS base FROM sh WHERE seg%2=0 GROUP BY 1)"
+            ", oos AS (SELECT pair, seq, ret FROM re WHERE seg%2=1)"
+        )
+    method, positive = {"is_oos": "chan_is_oos"}.get(name, name), "true" if name == "is_oos" else "avg((sr>0)::INTEGER) >= 0.5"
+    return head + (
+        f", g AS (SELECT pair, avg(sr) AS m, coalesce(stddev_samp(sr),0) AS sd, count(*) AS n, avg((sr>0)::INTEGER) AS pp, avg(sr) >= 0 AND {positive} AS ok FROM te GROUP BY 1)"
+        ", cv AS (SELECT pair, seq, ret, exp(sum(ln(1+ret)) OVER (PARTITION BY pair ORDER BY seq)) AS eq FROM oos), dd AS (SELECT *, eq/max(eq) OVER (PARTITION BY pair ORDER BY seq)-1 AS dd FROM cv)"
+        ", o AS (SELECT pair, count(*) AS nb, pow(max_by(eq,seq),252.0/count(*))-1 AS cagr, min(dd) AS mdd FROM dd GROUP BY 1) "
+        "SELECT g.pair, round(m,6) AS mean_test_sharpe, round(sd,6) AS std_test_sharpe, n AS n_test_periods, nb AS n_oos_bars, round(base,6) AS baseline_sharpe, round(CASE WHEN base>1e-6 THEN 1-m/base END,6) AS degradation, round(cagr,6) AS oos_cagr, round(mdd,6) AS oos_max_dd, round(pp,6) AS pct_positive, round(CASE WHEN base>0 AND m>0 THEN m/base ELSE 0 END,6) AS wfe, ok AS passed, "
+        f"'{method}' AS val_method FROM g JOIN base USING (pair) JOIN o USING (pair)"
+    )

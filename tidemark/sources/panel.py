@@ -17,12 +17,16 @@ def daily(spark: SparkSession, sf_dir: str, ticker: Column | None = None) -> Dat
 
 
 def smoothed(cells: DataFrame) -> DataFrame:
-    """(ticker, ts, close): the trailing mean on the full date and ticker grid."""
+    """(ticker, ts, close): the trailing mean on the full date and ticker grid, quoted to six places.
+
+    An average that doesn't change is then the same number on both days, whatever order it was summed
+    in, so such days have a return of exactly 0.
+    """
     # Both sides of the grid are small: the distinct dates and the distinct tickers.
     grid = cells.select("ts").distinct().crossJoin(cells.select("ticker").distinct())
     w = W.partitionBy("ticker").orderBy("ts").rowsBetween(-(SMOOTH - 1), 0)
     laid = grid.join(cells, ["ts", "ticker"], "left")
-    return laid.select("ticker", "ts", F.when(F.count("p").over(w) >= LEAST, F.avg("p").over(w)).alias("close"))
+    return laid.select("ticker", "ts", F.when(F.count("p").over(w) >= LEAST, F.round(F.avg("p").over(w), 6)).alias("close"))
 
 
 def px(spark: SparkSession, sf_dir: str) -> DataFrame:
