@@ -240,7 +240,7 @@ def test_equal_curves_collapse(spark):
 def _noise_pair(spark, n=700, seed=8):
     x, step = np.ones(n), np.random.default_rng(seed).normal(0, 0.02, n)
     for i in range(1, n):
-        x[i] = 1 + 0.95 * (x[i - 1] - 1) + step[i]
+        x[i] = 1 + 0.985 * (x[i - 1] - 1) + step[i]
     return x, spark.createDataFrame([("P", i + 1, float(v), float(100 * v)) for i, v in enumerate(x)], "pair string, seq long, ratio double, num_close double")
 
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import rolling as R, stats
@@ -127,26 +129,27 @@ def variance_ratio(series: DataFrame, lags: tuple[int, ...] = (2, 5, 10, 20), th
     return g.select("pair", *[v.alias(f"vr_{q}") for v, q in zip(vrs, lags)], median.alias("median_vr")).withColumn("passed", F.coalesce(F.col("median_vr") < threshold, F.lit(False)))
 
 
-def kpss(series: DataFrame, alpha: float = 0.05, most_lags: int = 40) -> DataFrame:
-    """Level stationarity with the automatic bandwidth of Hobijn and others; passes if not rejected."""
-    whole = W.partitionBy("pair")
-    e = series.withColumn("_n", F.count("*").over(whole)).filter(F.col("_n") >= LEAST_ROWS).withColumn("_e", F.col("ratio") - F.avg("ratio").over(whole))
-    cum = e.withColumn("_c", F.sum("_e").over(R.ordered().rowsBetween(W.unboundedPreceding, 0)))
-    # Autocovariances by one pass each: products with the k-th row before, k in 0 .. most_lags.
-    products = cum.select("pair", "_n", "_c", "_e", *[(F.col("_e") * F.lag("_e", k).over(R.ordered())).alias(f"p{k}") for k in range(most_lags + 1)])
-    g = products.groupBy("pair").agg(F.max("_n").alias("n"), F.sum(F.col("_c") * F.col("_c")).alias("eta"), *[F.sum(f"p{k}").alias(f"s{k}") for k in range(most_lags + 1)])
-    n = F.col("n").cast("double")
-    m = F.floor(F.pow(n, 2.0 / 9.0)).cast("int")
-    sums = F.array(*[F.coalesce(F.col(f"s{k}"), F.lit(0.0)) for k in range(most_lags + 1)])
-    g = g.withColumn("_s", sums).withColumn("_m", m)
-    s0 = F.element_at("_s", 1) / n + 2 * F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0.0), lambda a, k: a + F.element_at("_s", k + 1) / n)
-    s1 = 2 * F.aggregate(F.sequence(F.lit(1), F.col("_m")), F.lit(0.0), lambda a, k: a + k * F.element_at("_s", k + 1) / n)
-    gamma = 1.1447 * F.pow(F.pow(s1 / F.nullif(s0, F.lit(0.0)), 2.0), 1.0 / 3.0)
-    lags = F.least((gamma * F.pow(n, 1.0 / 3.0)).cast("int"), F.lit(most_lags))
-    g = g.withColumn("lags", lags)
-    longrun = F.element_at("_s", 1) + 2 * F.when(F.col("lags") >= 1, F.aggregate(F.sequence(F.lit(1), F.col("lags")), F.lit(0.0), lambda a, k: a + F.element_at("_s", k + 1) * (1 - k / (F.col("lags") + 1.0)))).otherwise(F.lit(0.0))
-    stat = F.col("eta") / (n * n) / F.nullif(longrun / n, F.lit(0.0))
-    return g.select("pair", "lags", stat.alias("kpss_stat")).withColumn("kpss_p", stats.kpss_pvalue(F.col("kpss_stat"))).withColumn("passed", F.col("kpss_p") >= alpha)
+def kpss(series: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Level stationarity with the automatic bandwidth of Hobijn and others; passes if not rejected.
+
+    The bandwidth follows from the pair's own autocovariances, so they are summed in the pair's task.
+    """
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows.sort_values("seq")["ratio"].to_numpy(float)
+        n, e = len(x), x - x.mean()
+        if n < LEAST_ROWS:
+            return pd.DataFrame([], columns=["pair", "lags", "kpss_stat"])
+        s = lambda k: float(e[k:] @ e[: n - k]) / n
+        first = [s(k) for k in range(int(n ** (2 / 9)) + 1)]
+        s0, s1 = first[0] + 2 * sum(first[1:]), 2 * sum(k * v for k, v in enumerate(first))
+        lags = min(int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3)), n - 1) if s0 else 0
+        longrun = first[0] + 2 * sum(s(k) * (1 - k / (lags + 1)) for k in range(1, lags + 1))
+        stat = float((np.cumsum(e) ** 2).sum()) / n**2 / longrun if longrun else None
+        return pd.DataFrame([(rows["pair"].iloc[0], lags, stat)], columns=["pair", "lags", "kpss_stat"])
+
+    g = series.select("pair", "seq", "ratio").groupBy("pair").applyInPandas(one, "pair string, lags int, kpss_stat double")
+    return g.withColumn("kpss_p", stats.kpss_pvalue(F.col("kpss_stat"))).withColumn("passed", F.col("kpss_p") >= alpha)
 
 
 def cadf(series: DataFrame, alpha: float = 0.05) -> DataFrame:

@@ -157,7 +157,7 @@ def _(spark, d):
 
 
 for _name, _fn in {"s1_chan_halflife": S1.chan_halflife, "s1_kpss": S1.kpss, "s1_cadf": S1.cadf, "s1_cadf_rolling": S1.cadf_rolling, "s1_johansen": S1.johansen, "s1_chan_combined": S1.chan_combined, "s1_trend_combined": S1.trend_combined, "s1_kaufman_kama": S1.kaufman_kama, "s1_cadf_rolling_kalman": S1.cadf_rolling_kalman}.items():
-    query(_name)(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
+    query(_name, {"s1_chan_halflife": Q.CHAN_HALFLIFE, "s1_kpss": Q.KPSS, "s1_cadf": Q.CADF}.get(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
 
 
 @query("s1_regime_aware")
@@ -371,17 +371,17 @@ def _(spark, d):
     return S4.wfe(_s3(spark)).select(*_KEEP)
 
 
-@query("s4_psr")
+@query("s4_psr", Q.PSR)
 def _(spark, d):
     return S4.psr(_s3(spark)).select("psr", *_KEEP)
 
 
-@query("s4_dsr")
+@query("s4_dsr", Q.dsr(46))
 def _(spark, d):
     return S4.dsr(_s3(spark), 46).select("dsr", "sr_star", *_KEEP)
 
 
-@query("s4_min_trl")
+@query("s4_min_trl", Q.MIN_TRL)
 def _(spark, d):
     return S4.min_trl(_s3(spark)).select(F.when(F.col("min_trl_years") < float("inf"), F.col("min_trl_years")).alias("min_trl_years"), *_KEEP)
 
@@ -392,7 +392,7 @@ def _(spark, d):
     return S4.best_tier({"t_test": S4.t_test(s), "carver": S4.carver_2sigma(s)})
 
 
-@query("s4_dsr_inputs")
+@query("s4_dsr_inputs", Q.DSR_INPUTS)
 def _(spark, d):
     s = P.series(spark, d).withColumn("r", R.change(F.col("num_close")))
     out = None
@@ -436,13 +436,16 @@ query("met_decile_returns", Q.RET + Q.DECILE)(lambda s, d: M.decile_returns(_ret
 query("met_period_returns", Q.RET + "SELECT key, period, round(last/lag(last) OVER (PARTITION BY key ORDER BY period)-1,6) AS r FROM (SELECT ticker AS key, CAST(date_trunc('week',ts) AS DATE) AS period, max_by(close,ts) AS last FROM px WHERE close IS NOT NULL GROUP BY 1,2) QUALIFY lag(last) OVER (PARTITION BY key ORDER BY period) IS NOT NULL")(lambda s, d: M.period_returns(_curve(s, d), "week"))
 query("met_bars_per_year", Q.RET + "SELECT ticker AS key, round(count(*)/((max(ts)-min(ts))/365.25),6) AS bars_per_year FROM px WHERE close IS NOT NULL GROUP BY 1")(lambda s, d: M.bars_per_year(_curve(s, d)))
 query("met_kde")(lambda s, d: M.kde(_returns(s, d)))
-query("met_curve_hash")(lambda s, d: M.curve_hash(_curve(s, d)))
+query("met_curve_hash", Q.CURVE_HASH)(lambda s, d: M.curve_hash(_curve(s, d)))
 query("met_bootstrap")(lambda s, d: M.bootstrap_stats(_returns(s, d)))
 query("met_forecast_cone")(lambda s, d: M.forecast_cone(_returns(s, d)))
-query("met_regime_metrics")(lambda s, d: M.regime_metrics(_returns(s, d), M.sma_regime(P.benchmark_px(s, d))))
+query("met_regime_metrics", Q.REGIMES)(lambda s, d: M.regime_metrics(_returns(s, d), M.sma_regime(P.benchmark_px(s, d))))
 query("met_rebase", Q.PX + "SELECT ticker AS key, ts, round(close*100/first(close) OVER (PARTITION BY ticker ORDER BY ts),6) AS equity FROM px WHERE close IS NOT NULL AND ts >= DATE '1997-01-01'")(lambda s, d: M.rebase(_curve(s, d), "1997-01-01"))
 
 
+query("met_stress_published", Q.RET + "SELECT key, name, count(*) AS n, round(exp(sum(ln(1+r)))-1,6) AS total_return FROM ret JOIN " + Q.STRESS_ROWS + " ON ts BETWEEN a AND b GROUP BY 1,2 HAVING count(*)>=5")(lambda s, d: M.stress_windows(_returns(s, d), M.stress_table(s)).select("key", "name", "n", "total_return"))
+
+
 @query("met_stress_windows", Q.RET + "SELECT key, name, count(*) AS n, round(exp(sum(ln(1+r)))-1,6) AS total_return FROM ret JOIN (VALUES ('w96',DATE '1996-01-01',DATE '1996-06-30'),('w98',DATE '1998-07-01',DATE '1998-10-31'),('w00',DATE '2000-03-01',DATE '2001-03-31')) v(name,a,b) ON ts BETWEEN a AND b GROUP BY 1,2 HAVING count(*)>=5")
 def _(spark, d):
     w = spark.sql("SELECT * FROM VALUES ('w96',DATE '1996-01-01',DATE '1996-06-30'),('w98',DATE '1998-07-01',DATE '1998-10-31'),('w00',DATE '2000-03-01',DATE '2001-03-31') AS v(name,start,end)")
@@ -471,11 +474,11 @@ query("w_dynamic_1k", Q.W6 + "SELECT ticker, round(x/sum(x) OVER (),6) AS w FROM
 query("w_cap", Q.W6 + "SELECT ticker, round(x/sum(x) OVER (),6) AS w FROM (SELECT ticker, least((1/sd)/sum(1/sd) OVER (),0.2) AS x FROM st)")(lambda s, d: WT.cap_weights(WT.inverse_vol(_members(s, d), _ret6(s, d)), 0.2))
 query("w_risk_parity")(lambda s, d: WT.risk_parity(_ret6(s, d)))
 query("w_hrp")(lambda s, d: WT.hrp(_ret6(s, d)))
-query("w_diversification")(lambda s, d: WT.M.diversification(WT.equal_weight(_members(s, d)).withColumnRenamed("ticker", "key"), _ret6(s, d)))
+query("w_diversification", Q.DIVERSIFICATION)(lambda s, d: WT.M.diversification(WT.equal_weight(_members(s, d)).withColumnRenamed("ticker", "key"), _ret6(s, d)))
 query("w_combine", Q.W6 + "SELECT ts, round(sum(r)/(SELECT count(*) FROM st),6) AS r FROM ret6 GROUP BY 1")(lambda s, d: WT.combine(WT.equal_weight(_members(s, d)), _ret6(s, d)).select("ts", "r"))
 
 
-@query("w_narrow_sector")
+@query("w_narrow_sector", Q.W6 + "SELECT ticker, left(ticker,1) AS sector, CASE left(ticker,1) WHEN 'A' THEN 'TOP_TIER' WHEN 'N' THEN 'SECOND_TIER' ELSE 'REJECT' END AS tier, round(mu/sd,6) AS sharpe FROM st QUALIFY row_number() OVER (PARTITION BY left(ticker,1) ORDER BY mu/sd DESC, ticker) <= greatest(2, floor(count(*) OVER ()*0.25))")
 def _(spark, d):
     sh = WT.stats_of(_ret6(spark, d)).select("ticker", (F.col("mu") / F.col("sd")).alias("sharpe"))
     return WT.narrow_sector(_members(spark, d).join(sh, "ticker"))
@@ -580,7 +583,7 @@ def _(spark, d):
     return PL.Pipeline(s1="passthrough", s4=["t_test", "min_trl"]).run(prices, P.universe(prices), stop_after="s4").stages["s4"].select("pair", "tier", "passed", "sig_method")
 
 
-@query("ql_anomalies")
+@query("ql_anomalies", Q.S + "SELECT 's1_pass_rate' AS \"check\", avg(1.0::DOUBLE) AS value, 0.01::DOUBLE AS low, 0.9::DOUBLE AS high, 'warn' AS severity, avg(1.0::DOUBLE) BETWEEN 0.01 AND 0.9 AS ok FROM (SELECT pair FROM s GROUP BY 1 HAVING count(*)>=252)")
 def _(spark, d):
     return PL.anomalies(S1.passthrough(P.series(spark, d)), "s1")
 

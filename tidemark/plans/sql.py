@@ -221,3 +221,136 @@ def validated(name: str) -> str:
         "SELECT g.pair, round(m,6) AS mean_test_sharpe, round(sd,6) AS std_test_sharpe, n AS n_test_periods, nb AS n_oos_bars, round(base,6) AS baseline_sharpe, round(CASE WHEN base>1e-6 THEN 1-m/base END,6) AS degradation, round(cagr,6) AS oos_cagr, round(mdd,6) AS oos_max_dd, round(pp,6) AS pct_positive, round(CASE WHEN base>0 AND m>0 THEN m/base ELSE 0 END,6) AS wfe, ok AS passed, "
         f"'{method}' AS val_method FROM g JOIN base USING (pair) JOIN o USING (pair)"
     )
+
+
+def phi(x: str) -> str:
+    """The normal distribution function by its series, cut off at eight deviations."""
+    return (
+        f"(CASE WHEN ({x}) > 8 THEN 1.0 WHEN ({x}) < -8 THEN 0.0 ELSE 0.5 + exp(-({x})*({x})/2)/sqrt(2*pi()) * "
+        f"list_sum(list_transform(range(0, 120), lambda k: ({x}) * pow(({x})*({x})/2, k::DOUBLE) * sqrt(pi()) / (2 * gamma(k + 1.5)))) END)"
+    )
+
+
+def adf_p(t: str) -> str:
+    poly = f"CASE WHEN {t} <= -1.61 THEN 2.1659+1.4412*{t}+0.038269*{t}*{t} ELSE 1.7339+0.93202*{t}-0.12745*{t}*{t}-0.010368*{t}*{t}*{t} END"
+    return f"CASE WHEN {t} = 0 OR {t} > 2.74 THEN 1.0 WHEN {t} < -18.83 THEN 0.0 ELSE {phi(poly)} END"
+
+
+_N = "CASE WHEN nb > 0 THEN nb ELSE n END"
+_ZPSR = "(m-({b}))*sqrt(nn-1.0)/sqrt(1+0.5*m*m)"
+_TIERED = ", p > 0.95 AS passed, CASE WHEN p > 0.95 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier"
+
+
+def psr(star: str = "0.0") -> str:
+    return f"(SELECT *, {star} AS star, CASE WHEN nn > 1 THEN {phi(_ZPSR.format(b=star))} ELSE 0 END AS p FROM (SELECT *, ({_N})::DOUBLE AS nn FROM s3 WHERE passed))"
+
+
+PSR = S3 + f"SELECT pair, round(p,6) AS psr{_TIERED} FROM {psr()}"
+
+
+def dsr(n_trials: float) -> str:
+    from ..functions import stats
+
+    unit = stats.expected_max_sharpe(stats.effective_trials(0.0, n_trials), 1.0)
+    return S3 + f"SELECT pair, round(p,6) AS dsr, round(star,6) AS sr_star{_TIERED} FROM {psr(f'sqrt(CASE WHEN sd > 0 THEN sd*sd ELSE 0.25 END)*{unit!r}::DOUBLE')}"
+
+
+MIN_TRL = S3 + "SELECT pair, round(CASE WHEN m > 0 THEN (1+(1+0.5*m*m)*pow(1.959963984540054/m,2))/252 END,6) AS min_trl_years, true AS passed, 'TOP_TIER' AS tier FROM s3 WHERE passed"
+KPSS = (
+    S + ", e AS (SELECT pair, seq, ratio-avg(ratio) OVER (PARTITION BY pair) AS e FROM s), l AS (SELECT pair, count(*) AS n, list(e ORDER BY seq) AS el FROM e GROUP BY 1 HAVING count(*)>=252), "
+    "et AS (SELECT pair, sum(c*c) AS eta FROM (SELECT pair, sum(e) OVER (PARTITION BY pair ORDER BY seq) AS c FROM e) GROUP BY 1), "
+    "a AS (SELECT *, list_transform(range(0, CAST(floor(pow(n,2.0/9)) AS BIGINT)+1), lambda k: list_dot_product(el[:n-k], el[k+1:])/n) AS f FROM l), "
+    "b AS (SELECT *, f[1]+2*list_sum(f[2:]) AS s0, 2*list_sum(list_transform(range(1, len(f)), lambda k: k*f[k+1])) AS s1 FROM a), c AS (SELECT *, CAST(floor(1.1447*pow(pow(s1/s0,2),1.0/3)*pow(n,1.0/3)) AS INTEGER) AS lags FROM b), "
+    "d AS (SELECT c.pair, lags, eta/(n::DOUBLE*n)/(f[1]+2*coalesce(list_sum(list_transform(range(1, lags+1), lambda k: list_dot_product(el[:n-k], el[k+1:])/n*(1-k/(lags+1.0)))),0)) AS st FROM c JOIN et USING (pair)), "
+    "p AS (SELECT *, CASE WHEN st <= 0.347 THEN 0.10 WHEN st <= 0.463 THEN 0.10+(st-0.347)*((0.05-0.10)/(0.463-0.347)) WHEN st <= 0.574 THEN 0.05+(st-0.463)*((0.025-0.05)/(0.574-0.463)) WHEN st <= 0.739 THEN 0.025+(st-0.574)*((0.01-0.025)/(0.739-0.574)) ELSE 0.01 END AS p FROM d) "
+    "SELECT pair, lags, round(st,6) AS kpss_stat, round(p,6) AS kpss_p, p >= 0.05 AS passed FROM p"
+)
+_ADF_OF = (
+    "a{k} AS (SELECT {g}, seq, lag({v}) OVER w{k} AS x, {v}-lag({v}) OVER w{k} AS y FROM {src} WINDOW w{k} AS (PARTITION BY {g} ORDER BY seq)), b{k} AS (SELECT *, lag(y) OVER (PARTITION BY {g} ORDER BY seq) AS z FROM a{k}), "
+    "g{k} AS (SELECT {g}, count(*)::DOUBLE AS n, covar_pop(x,x) xx, covar_pop(z,z) zz, covar_pop(x,z) xz, covar_pop(x,y) xy, covar_pop(z,y) zy, covar_pop(y,y) yy FROM b{k} WHERE z IS NOT NULL GROUP BY ALL), "
+    "h{k} AS (SELECT *, xx*zz-xz*xz AS det, (zz*xy-xz*zy)/(xx*zz-xz*xz) AS b1, (xx*zy-xz*xy)/(xx*zz-xz*xz) AS b2 FROM g{k}), t{k} AS (SELECT {g}, b1/sqrt(greatest(n*(yy-b1*xy-b2*zy),0)/(n-3)*zz/(n*det)) AS t FROM h{k})"
+)
+_HL_OF = "l{k} AS (SELECT {g}, count(*) AS n, CASE WHEN count(*)>=30 AND regr_slope(dx,px)<0 AND regr_slope(dx,px)>-1 THEN -ln(2)/ln(1+regr_slope(dx,px)) END AS hl FROM (SELECT {g}, {v}-lag({v}) OVER w AS dx, lag({v}) OVER w AS px FROM {src} WINDOW w AS (PARTITION BY {g} ORDER BY seq)) GROUP BY ALL)"
+CADF = (
+    S + ", bb AS (SELECT pair, regr_slope(num_close, den_close) AS beta FROM s GROUP BY 1), e AS (SELECT s.pair, seq, num_close-beta*den_close AS e FROM s JOIN bb USING (pair)), " + _ADF_OF.format(k=1, g="pair", v="e", src="e") + ", " + _HL_OF.format(k=1, g="pair", v="e", src="e")
+    + f" SELECT pair, round(beta,6) AS beta, round(t,6) AS adf_t, round({adf_p('t')},6) AS adf_p, round(hl,6) AS halflife, {_WIN} AS \"window\", coalesce({adf_p('t')} < 0.05, false) AS passed FROM bb JOIN t1 USING (pair) JOIN l1 USING (pair) WHERE n >= 252"
+)
+CHAN_HALFLIFE = (
+    S + ", " + _ADF_OF.format(k=1, g="pair", v="ratio", src="s") + ", " + _HL_OF.format(k=1, g="pair", v="ratio", src="s")
+    + f" SELECT pair, round(hl,6) AS halflife, {_WIN} AS \"window\", round(t,6) AS adf_t, round({adf_p('t')},6) AS adf_p, coalesce(hl BETWEEN 2 AND 756 AND {adf_p('t')} < 0.05, false) AS passed FROM t1 JOIN l1 USING (pair) WHERE n >= 252"
+)
+DSR_INPUTS = (
+    S + ", p AS (SELECT s.pair AS unit, w AS combo, seq, coalesce((ratio > CASE w WHEN 10 THEN " + roll("avg", "ratio", 10) + " WHEN 20 THEN " + roll("avg", "ratio", 20) + " ELSE " + roll("avg", "ratio", 40)
+    + " END)::INTEGER, 0) AS pos, coalesce(num_close/lag(num_close) OVER (PARTITION BY pair, w ORDER BY seq)-1, 0) AS r FROM (SELECT * FROM s, (VALUES (10),(20),(40)) v(w)) s), "
+).replace("PARTITION BY pair ORDER BY seq ROWS", "PARTITION BY pair, w ORDER BY seq ROWS") + (
+    "n AS (SELECT unit, combo, seq, coalesce(lag(pos) OVER o,0)*r-0.001*abs(pos-coalesce(lag(pos) OVER o,0)) AS net, count(*) OVER (PARTITION BY unit, combo) AS nn FROM p WINDOW o AS (PARTITION BY unit, combo ORDER BY seq)), "
+    "c AS (SELECT x.unit, corr(x.net, y.net) AS c FROM n x JOIN n y ON x.unit=y.unit AND x.seq=y.seq AND x.combo<y.combo GROUP BY x.unit, x.combo, y.combo), "
+    "i AS (SELECT unit, combo, avg(net)/stddev_pop(net)*sqrt(252) AS sr FROM n WHERE seq <= floor(nn*0.8::DOUBLE) GROUP BY 1,2) "
+    "SELECT unit, 3::BIGINT AS n_combos, round(avg(c),6) AS mean_correlation, round(any_value(v),6) AS sr_variance, round(any_value(mx),6) AS max_sharpe FROM c JOIN (SELECT unit, var_samp(sr) AS v, max(sr) AS mx FROM i GROUP BY 1) USING (unit) GROUP BY 1"
+)
+CURVE_HASH = PX + "SELECT key, sha1(string_agg(v, ',' ORDER BY v)) AS curve_sha1 FROM (SELECT ticker AS key, printf('%s:%.6f', ts::VARCHAR, close/first(close) OVER (PARTITION BY ticker ORDER BY ts)) AS v FROM px WHERE close IS NOT NULL) GROUP BY 1"
+DIVERSIFICATION = W6 + (
+    ", w AS (SELECT ticker, 1.0::DOUBLE/count(*) OVER () AS w, sd FROM st), d AS (SELECT ts, sum(w*r) AS p, sum(w*r/sd) AS z, count(*) AS k FROM ret6 JOIN w USING (ticker) GROUP BY 1) "
+    "SELECT round((SELECT sum(w*sd) FROM w)/stddev_samp(p),6) AS diversification_ratio, round(1/stddev_samp(z),6) AS diversification_multiplier FROM d WHERE k=(SELECT count(*) FROM st)"
+)
+REGIMES = (
+    RET + ", lb AS (SELECT ts, coalesce((CASE WHEN count(*) OVER f=50 THEN avg(close) OVER f END > CASE WHEN count(*) OVER l=200 THEN avg(close) OVER l END)::INTEGER,0) AS regime FROM bp WHERE close IS NOT NULL WINDOW f AS (ORDER BY ts ROWS 49 PRECEDING), l AS (ORDER BY ts ROWS 199 PRECEDING)), "
+    "j AS (SELECT key, regime, ts, r FROM ret JOIN lb USING (ts)), cu AS (SELECT *, exp(sum(ln(1+r)) OVER (PARTITION BY key, regime ORDER BY ts)) AS cum FROM j), cd AS (SELECT *, cum/max(cum) OVER (PARTITION BY key, regime ORDER BY ts)-1 AS dd FROM cu) "
+    "SELECT key, regime::VARCHAR AS regime, count(*) AS n, round(avg(r)/stddev_samp(r)*sqrt(252),6) AS sharpe, round(pow(exp(sum(ln(1+r))),252.0/count(*))-1,6) AS cagr, round(min(dd),6) AS max_dd FROM cd GROUP BY 1,2 HAVING count(*)>=20"
+)
+
+
+def ewm(x: str, alpha: str, least: int, part: str = "pair") -> str:
+    """Exponential weights from the first row on, brought to one scale by the row's number; missing values count as nothing."""
+    w = f"(PARTITION BY {part} ORDER BY seq)"
+    return f"CASE WHEN count({x}) OVER {w} >= {least} THEN sum({x}*pow(1-{alpha},-seq::DOUBLE)) OVER {w}/sum(CASE WHEN {x} IS NOT NULL THEN pow(1-{alpha},-seq::DOUBLE) END) OVER {w} END"
+
+
+_D = f", d AS (SELECT *, ratio-{lag('ratio')} AS dx FROM s)"
+_A14 = "1.0::DOUBLE/14"
+_ADX = (
+    _D + ", ax AS (SELECT *, CASE WHEN dx IS NOT NULL THEN greatest(dx,0) END AS up, CASE WHEN dx IS NOT NULL THEN greatest(-dx,0) END AS dn, abs(dx) AS tr FROM d)"
+    + f", ay AS (SELECT *, nullif({ewm('tr', _A14, 14)},0) AS base, {ewm('up', _A14, 14)} AS u, {ewm('dn', _A14, 14)} AS v FROM ax), az AS (SELECT *, 100*abs(100*u/base-100*v/base)/nullif(100*u/base+100*v/base,0) AS dxi FROM ay), "
+    + f"aa AS (SELECT *, {ewm('dxi', _A14, 14)} AS adx, (ratio-{_M20})/nullif({_SD20},0) AS z FROM az)"
+)
+_E21 = "2.0::DOUBLE/21"
+_MORE_SIGNALS = {
+    "ema_crossover": lambda: _signal(f", a AS (SELECT *, coalesce(ratio > {ewm('ratio', _E21, 20)}, false) AS o FROM s)", "a", "o", "NOT o"),
+    "rsi_wilder": lambda: _signal(_D + ", c AS (SELECT *, CASE WHEN dx IS NOT NULL THEN greatest(dx,0) END AS gn, CASE WHEN dx IS NOT NULL THEN greatest(-dx,0) END AS ls FROM d)" + f", e AS (SELECT *, 100-100/(1+{ewm('gn', _A14, 14)}/nullif({ewm('ls', _A14, 14)},0)) AS rsi FROM c)", "e", "rsi<=30", "rsi>=60"),
+    "adx_regime_gate": lambda: _signal(_ADX, "aa", "z<=-2", "z>=0.5*CASE WHEN coalesce(adx,30)>40 THEN 1.5 WHEN coalesce(adx,30)<20 THEN 0.5 ELSE 1 END"),
+    "regime_switch": lambda: _signal(_ADX + f", rs AS (SELECT *, coalesce((ratio>{_M20})::INTEGER,0) AS o, coalesce(adx,22.5) AS g FROM aa), rt AS (SELECT *, coalesce({lag('o')},0) AS was FROM rs)", "rt", "(g<20 AND coalesce(z<=-2,false)) OR (g>25 AND o>was)", "(g<20 AND coalesce(z>=0,false)) OR (g>25 AND o<was)"),
+    "atr_pullback": lambda: _signal(_D + f", e AS (SELECT *, abs(dx) AS ad FROM d), f AS (SELECT *, ({roll('max', 'ratio', 20)}-ratio)/nullif({ewm('ad', _A14, 14)},0) AS dp FROM e)".replace(" f AS", " ff AS"), "ff", "dp>=2", "dp<=0.5"),
+    "keltner": lambda: _signal(
+        _D + ", e AS (SELECT *, abs(dx) AS ad FROM d), ke AS (SELECT *, (ratio-CASE WHEN count(*) OVER o >= 20 THEN pow(1-2.0::DOUBLE/21,seq::DOUBLE)*sum(ratio*CASE WHEN seq=1 THEN pow(1-2.0::DOUBLE/21,-1.0) ELSE 2.0::DOUBLE/21*pow(1-2.0::DOUBLE/21,-seq::DOUBLE) END) OVER o END)"
+        + f"/nullif({ewm('ad', _A14, 14)},0) AS z FROM e WINDOW o AS (PARTITION BY pair ORDER BY seq))", "ke", "z<=-2", "z>=0"),
+    "vol_adaptive_zscore": lambda: _signal(
+        f", a AS (SELECT *, ratio/{lag('ratio')}-1 AS r, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s), b AS (SELECT *, {roll('stddev_samp', 'r', 20)} AS vol FROM a), c AS (SELECT *, count(vol) OVER h AS cv, list(vol) FILTER (vol IS NOT NULL) OVER h AS held FROM b WINDOW h AS (PARTITION BY pair ORDER BY seq ROWS 251 PRECEDING)), "
+        "dd AS (SELECT *, 1+0.5*(coalesce(CASE WHEN cv>=20 AND vol IS NOT NULL THEN (len(list_filter(held, lambda v: v<vol))+(len(list_filter(held, lambda v: v=vol))+1)/2.0)/len(held) END,0.5)-0.5) AS sc FROM c)", "dd", "z<=-2*sc", "z>=0*sc"),
+    "cointegration_spread": lambda: (
+        _signal(f", a AS (SELECT *, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s)", "a", "z<=-2", "z>=0").replace("SELECT pair, ts, coalesce(", ", " + _ADF_OF.format(k=1, g="pair", v="ratio", src="s") + f", ok AS (SELECT pair, {adf_p('t')} <= 0.05 AS ok FROM t1) SELECT f.pair, ts, ok AND coalesce(", 1).replace(' AS entry, coalesce(', ' AS entry, ok AND coalesce(').replace('AS "exit" FROM f', 'AS "exit" FROM f JOIN ok USING (pair)')
+    ),
+}
+_plain_signal = signal
+
+
+def signal(name: str) -> str | None:  # noqa: F811
+    return _MORE_SIGNALS[name]() if name in _MORE_SIGNALS else _plain_signal(name)
+
+
+EXTENDED = (
+    _CUM + f", lg AS (SELECT *, lag(r) OVER {_K} AS bf FROM cd), q AS (SELECT key, quantile_cont(r,0.05) AS v5, quantile_cont(r,0.01) AS v1, quantile_cont(r,0.95) AS q95, quantile_cont(r,0.99) AS q99, quantile_cont(r,0.25) AS q25, quantile_cont(r,0.5) AS md, quantile_cont(r,0.75) AS q75, avg(r)-1.6448536269514715*stddev_samp(r) AS pv5, avg(r)-2.3263478740408408*stddev_samp(r) AS pv1, avg(r) AS mu FROM ret GROUP BY 1), "
+    "pit AS (SELECT key, avg(dd) AS pit FROM cd JOIN (SELECT key, avg(dd)-1.6448536269514715*stddev_samp(dd) AS cut FROM cd GROUP BY 1) USING (key) WHERE dd < cut GROUP BY 1), "
+    "st AS (SELECT key, regr_r2(ln(cum), seq) AS stab FROM (SELECT key, cum, row_number() OVER (PARTITION BY key ORDER BY ts) AS seq FROM cd) GROUP BY 1), "
+    "g AS (SELECT key, count(*)::DOUBLE AS n, any_value(mu) AS mu, stddev_samp(r) AS sd, sum(r) AS sm, min(dd) AS mdd, sqrt(sum(dd*dd)/(count(*)-1)) AS ul, sqrt(sum(r*r) FILTER (r<0)/count(*)) AS dn, avg(pow(r-mu,2)) AS m2, avg(pow(r-mu,3)) AS m3, avg(pow(r-mu,4)) AS m4, exp(sum(ln(1+r))) AS gr, corr(r,bf) AS ac, "
+    "count(*) FILTER (r<>0) AS mv, count(*) FILTER (r>=0) AS fu, count(*) FILTER (r<0) AS nl, avg(r) FILTER (r>=0) AS um, sum(r) FILTER (r>=0) AS us, avg(r) FILTER (r<>0) AS ar, max(r) AS bd, min(r) AS wd, any_value(v5) AS v5, any_value(v1) AS v1, avg(r) FILTER (r<=v5) AS c5, avg(r) FILTER (r<=v1) AS c1, any_value(pv5) AS pv5, any_value(pv1) AS pv1, avg(r) FILTER (r<pv5) AS pc5, avg(r) FILTER (r<pv1) AS pc1, "
+    "abs(any_value(q95/v5)) AS tr, any_value(q99) AS q99, sum(greatest(r,0))/sum(greatest(-r,0)) AS om, avg(r) FILTER (r>0) AS aw, avg(r) FILTER (r<0) AS al, avg((r>0)::INTEGER) AS wr, count(*) FILTER (r>0) AS nw, sum(r) FILTER (r<0) AS ls, any_value(md) AS md, any_value(q75-q25) AS iqr FROM lg JOIN q USING (key) GROUP BY 1), "
+    "h AS (SELECT *, mu/sd AS sh, mu/dn AS so, nw/mv::DOUBLE AS ws, abs(aw/al) AS po, us/abs(ls) AS pf, m3/pow(m2,1.5)*sqrt(n*(n-1))/(n-2) AS sk, (n-1)/((n-2)*(n-3))*((n+1)*(m4/pow(m2,2)-3)+6) AS ku, sqrt(1+2*list_sum(list_transform(range(1,n::BIGINT), lambda k: (n-k)/n*pow(abs(ac),k::DOUBLE)))) AS pe FROM g JOIN pit USING (key) JOIN st USING (key)), "
+    "z AS (SELECT *, sh/sqrt((1+0.5*sh*sh-sk*sh+(ku-3)/4*sh*sh)/(n-1)) AS z1, so/sqrt((1+0.5*so*so-sk*so+(ku-3)/4*so*so)/(n-1)) AS z2, so/sqrt(2)/sqrt((1+0.5*so*so/2-sk*so/sqrt(2)+(ku-3)/4*so*so/2)/(n-1)) AS z3 FROM h) "
+    "SELECT key, " + ", ".join(f"round({v},6) AS {k}" for k, v in {
+        "avg_return": "ar", "best_day": "bd", "worst_day": "wd", "var_95": "v5", "var_99": "v1", "cvar_95": "c5", "cvar_99": "c1", "parametric_var_95": "pv5", "parametric_var_99": "pv1", "parametric_cvar_95": "pc5", "parametric_cvar_99": "pc1", "tail_ratio": "tr", "omega": "om", "avg_win": "aw", "avg_loss": "al", "win_rate": "wr", "median": "md", "iqr": "iqr", "autocorr_lag1": "ac",
+        "total_return": "gr-1", "geometric_mean": "pow(gr,1/n)-1", "rar": "(pow(gr,252/n)-1)/(ceil(mv/n*100)/100)", "smart_sharpe": "sh/pe*sqrt(252)", "smart_sortino": "so/pe*sqrt(252)", "adjusted_sortino": "so/sqrt(2)*sqrt(252)", "gain_to_pain": "sm/abs(ls)", "risk_return_ratio": "sh", "payoff_ratio": "po", "win_loss_ratio": "po", "payoff": "po", "kelly": "wr-(1-wr)/po",
+        "serenity_index": "sm/(ul*(-pit/sd))", "upi": "(gr-1)/ul", "probabilistic_sharpe": phi("z1"), "probabilistic_sortino": phi("z2"), "probabilistic_adj_sortino": phi("z3"), "outlier_win_ratio": "q99/um", "outlier_loss_ratio": "v1/al", "win_share": "ws", "profit_ratio": "abs(um/fu)/abs(al/nl)", "profit_factor": "pf", "cpc_index": "pf*ws*po", "common_sense_ratio": "pf*tr",
+        "kelly_criterion": "(po*ws-(1-ws))/po", "risk_of_ruin": "pow((1-ws)/(1+ws),n)", "recovery_factor": "abs(sm)/abs(mdd)", "stability_of_timeseries": "stab",
+    }.items()) + " FROM z"
+)
+STRESS_ROWS = "(VALUES ('Dotcom_2000',DATE '2000-03-10',DATE '2000-09-10'),('9_11',DATE '2001-09-11',DATE '2001-10-11')) v(name,a,b)"
