@@ -336,11 +336,16 @@ def _(spark, d):
     return V.sensitivity(P.series(spark, d), entry=-2.0, exit_=0.5, stop=0.1)
 
 
-# Significance (the rows are a literal table) -------------------------------------------------------
+# Significance -------------------------------------------------------------------------------------
 
 
-def _s3(spark):
-    return spark.createDataFrame(Q.S3_ROWS, "pair string, mean_test_sharpe double, std_test_sharpe double, n_test_periods long, n_oos_bars long, passed boolean, wfe double, val_method string")
+def _s3(spark, d):
+    """Walk-forward and cross-validation rows of the tables, and a few that reach every guard."""
+    series = P.series(spark, d)
+    columns = ["mean_test_sharpe", "std_test_sharpe", "n_test_periods", "n_oos_bars", F.lit(True).alias("passed"), "wfe", "val_method"]
+    real = [rounded(fn(series)).select(F.concat_ws(" ", "pair", "val_method").alias("pair"), *columns) for fn in (V.wfa_expanding, V.cpcv)]
+    held = spark.createDataFrame(Q.S3_ROWS, "pair string, mean_test_sharpe double, std_test_sharpe double, n_test_periods long, n_oos_bars long, passed boolean, wfe double, val_method string")
+    return real[0].unionByName(real[1]).unionByName(held)
 
 
 _KEEP = ("pair", "passed", "tier")
@@ -348,47 +353,47 @@ _KEEP = ("pair", "passed", "tier")
 
 @query("s4_t_test", Q.S3 + "SELECT pair, round(t,6) AS t_stat, t > 2 AS passed, CASE WHEN t > 2 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM (SELECT pair, CASE WHEN sd > 0 AND n >= 2 THEN m/(sd/sqrt(n)) ELSE 0 END AS t FROM s3 WHERE passed)")
 def _(spark, d):
-    return S4.t_test(_s3(spark)).select("t_stat", *_KEEP)
+    return S4.t_test(_s3(spark, d)).select("t_stat", *_KEEP)
 
 
 @query("s4_carver_2sigma", Q.S3 + "SELECT pair, round(l,6) AS lower, l > 0 AS passed, CASE WHEN l > 0 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM (SELECT pair, m - 2*sd/sqrt(n) AS l FROM s3 WHERE passed)")
 def _(spark, d):
-    return S4.carver_2sigma(_s3(spark)).select("lower", *_KEEP)
+    return S4.carver_2sigma(_s3(spark, d)).select("lower", *_KEEP)
 
 
 @query("s4_drawdown", Q.S3 + "SELECT pair, round(-1/greatest(m,0.01)*sqrt(2*coalesce(CASE WHEN nb>0 THEN nb END, n)/252.0),6) AS expected_dd, true AS passed, 'TOP_TIER' AS tier FROM s3 WHERE passed")
 def _(spark, d):
-    return S4.drawdown(_s3(spark)).select("expected_dd", *_KEEP)
+    return S4.drawdown(_s3(spark, d)).select("expected_dd", *_KEEP)
 
 
 @query("s4_permutation", Q.S3 + "SELECT pair, round(q,6) AS null_quantile, m > q AS passed, CASE WHEN m > q THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM (SELECT pair, m, 1.6448536269514715*greatest(sd,0.1) AS q FROM s3 WHERE passed)")
 def _(spark, d):
-    return S4.permutation(_s3(spark)).select("null_quantile", *_KEEP)
+    return S4.permutation(_s3(spark, d)).select("null_quantile", *_KEEP)
 
 
 @query("s4_wfe", Q.S3 + "SELECT pair, wfe > 0.5 AS passed, CASE WHEN wfe > 0.5 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier FROM s3 WHERE passed AND vm LIKE 'wfa%'")
 def _(spark, d):
-    return S4.wfe(_s3(spark)).select(*_KEEP)
+    return S4.wfe(_s3(spark, d)).select(*_KEEP)
 
 
 @query("s4_psr", Q.PSR)
 def _(spark, d):
-    return S4.psr(_s3(spark)).select("psr", *_KEEP)
+    return S4.psr(_s3(spark, d)).select("psr", *_KEEP)
 
 
 @query("s4_dsr", Q.dsr(46))
 def _(spark, d):
-    return S4.dsr(_s3(spark), 46).select("dsr", "sr_star", *_KEEP)
+    return S4.dsr(_s3(spark, d), 46).select("dsr", "sr_star", *_KEEP)
 
 
 @query("s4_min_trl", Q.MIN_TRL)
 def _(spark, d):
-    return S4.min_trl(_s3(spark)).select(F.when(F.col("min_trl_years") < float("inf"), F.col("min_trl_years")).alias("min_trl_years"), *_KEEP)
+    return S4.min_trl(_s3(spark, d)).select(F.when(F.col("min_trl_years") < float("inf"), F.col("min_trl_years")).alias("min_trl_years"), *_KEEP)
 
 
 @query("s4_best_tier", Q.S3 + "SELECT pair, CASE WHEN t>2 OR l>0 THEN 'TOP_TIER' ELSE 'REJECT' END AS tier, t>2 OR l>0 AS passed, CASE WHEN t<=2 AND l>0 THEN 'carver' ELSE 't_test' END AS sig_method FROM (SELECT pair, CASE WHEN sd > 0 AND n >= 2 THEN m/(sd/sqrt(n)) ELSE 0 END AS t, m - 2*sd/sqrt(n) AS l FROM s3 WHERE passed)")
 def _(spark, d):
-    s = _s3(spark)
+    s = _s3(spark, d)
     return S4.best_tier({"t_test": S4.t_test(s), "carver": S4.carver_2sigma(s)})
 
 

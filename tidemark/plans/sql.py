@@ -119,7 +119,13 @@ S3_ROWS = [
     ("I/J", 1.1, 0.5, 1, 500, True, 0.55, "wfa_rolling"),
     ("K/L", 2.0, 0.4, 9, 800, False, 0.9, "cpcv"),
 ]
-S3 = "WITH s3(pair,m,sd,n,nb,passed,wfe,vm) AS (VALUES " + ",".join(f"('{p}',{m}::DOUBLE,{sd}::DOUBLE,{n},{'NULL' if nb is None else nb},{str(ok).lower()},{wf}::DOUBLE,'{vm}')" for p, m, sd, n, nb, ok, wf, vm in S3_ROWS) + ") "
+_S3_LITERAL = "SELECT * FROM (VALUES " + ",".join(f"('{p}',{m}::DOUBLE,{sd}::DOUBLE,{n}::BIGINT,{'NULL' if nb is None else nb}::BIGINT,{str(ok).lower()},{wf}::DOUBLE,'{vm}')" for p, m, sd, n, nb, ok, wf, vm in S3_ROWS) + ")"
+
+
+def _s3() -> str:
+    real = " UNION ALL ".join(f"SELECT pair || ' ' || val_method, mean_test_sharpe, std_test_sharpe, n_test_periods, n_oos_bars, true, wfe, val_method FROM ({validated(name)})" for name in ("wfa_expanding", "cpcv"))
+    return f"WITH s3(pair,m,sd,n,nb,passed,wfe,vm) AS ({real} UNION ALL {_S3_LITERAL}) "
+
 
 RET = (
     PX + ", " + _px("bp", "'BENCH'", "orders", "o_orderdate", "o_totalprice")
@@ -223,6 +229,9 @@ def validated(name: str) -> str:
     )
 
 
+S3 = _s3()
+
+
 def phi(x: str) -> str:
     """The normal distribution function by its series, cut off at eight deviations."""
     return (
