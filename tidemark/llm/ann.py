@@ -16,7 +16,8 @@ ids, as many as it returns plus one for its own row. That is exact, since ties g
 Execution: every class is sent to its bucket of each table, every query to the buckets it probes, and
 only what meets in a bucket is scored. A bucket of more than ``BLOCK`` classes is split into blocks,
 its queries go to each of them. A task keeps the best rows of each query it has seen and returns those
-alone; a window merges the tasks' rows.
+alone, and of them none below what the query's last row is known to reach (from ``SOME`` vectors with the
+smallest hashes); a window merges the tasks' rows.
 
 Two numbers follow the data. The projections of a table grow with the logarithm of the number of
 classes, so buckets stay small. The number of probes is fitted: for ``SAMPLE`` queries (those with the
@@ -52,6 +53,8 @@ SEED = 7
 SAMPLE = 64
 GOAL = 0.95
 MOST_PROBES = 1_024
+#: Vectors, a sixteenth of the classes at most, whose scores say from below what a query's last row reaches.
+SOME = 2_048
 #: Scored pairs that a task holds before it drops all but the best.
 _HELD = 1_000_000
 FOUND = "query_id long, rep long, score double"
@@ -121,12 +124,12 @@ def probe_keys(hashing: Hashing, spots: np.ndarray, sets: list[tuple[int, ...]])
 
 
 class Search:
-    """What every task needs to know: projections, probing order and the longest norm."""
+    """What every task needs to know: projections, probing order, the longest norm, and some vectors."""
 
-    def __init__(self, dimension: int, tables: int, hashes: int, width: float, seed: int, norm: float):
+    def __init__(self, dimension: int, tables: int, hashes: int, width: float, seed: int, norm: float, some: np.ndarray):
         self.hashing = Hashing(dimension + 1, tables, hashes, width, seed)
         self.sets = steps(hashes, MOST_PROBES)
-        self.norm = norm
+        self.norm, self.some = norm, some
         self.spread = np.random.default_rng(seed + 1).integers(1, 2**63, tables, dtype=np.int64).astype(np.uint64) | np.uint64(1)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
@@ -167,11 +170,11 @@ class Best:
         self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         self.size = 0
 
-    def floors(self, queries: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    def floors(self, queries: list[int], given: np.ndarray | float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
         at = np.fromiter((self.number.setdefault(q, len(self.number)) for q in queries), dtype=np.int64, count=len(queries))
         if len(self.number) > len(self.floor):
             self.floor = np.concatenate([self.floor, np.full(max(1024, len(self.number)), -np.inf)])
-        return at, self.floor[at]
+        return at, np.maximum(self.floor[at], given)
 
     def offer(self, at: np.ndarray, reps: np.ndarray, scores: np.ndarray) -> None:
         self.parts.append((at, reps, scores))
@@ -206,11 +209,11 @@ class Best:
                 yield pa.RecordBatch.from_arrays([pa.array(names[at[part]]), pa.array(reps[part]), pa.array(scores[part])], names=["query_id", "rep", "score"])
 
 
-def _score(best: Best, reps: np.ndarray, x: np.ndarray, queries: list[int], q: np.ndarray) -> None:
+def _score(best: Best, reps: np.ndarray, x: np.ndarray, queries: list[int], q: np.ndarray, given: np.ndarray | float = -np.inf) -> None:
     most, step = np.sqrt((x * x).sum(axis=1).max()), max(1, 1_000_000 // len(x))
     for first in range(0, len(q), step):
         part = q[first : first + step]
-        at, floor = best.floors(queries[first : first + step])
+        at, floor = best.floors(queries[first : first + step], given if np.isscalar(given) else given[first : first + step])
         # One product finds what may be among the best, then each score is summed up by itself.
         slack = 1e-9 * np.linalg.norm(part, axis=1) * most
         i, j = np.nonzero(part @ x.T >= (floor - slack)[:, None])
@@ -220,8 +223,9 @@ def _score(best: Best, reps: np.ndarray, x: np.ndarray, queries: list[int], q: n
 
 
 def meet(top: int):
-    """The best classes of each query from rows (bucket, block, query_id, id, vector) sorted by bucket and
-    block, the classes (null query_id, their smallest id) before the queries. A block's classes are held."""
+    """The best classes of each query from rows (bucket, block, query_id, id, vector, least) sorted by bucket
+    and block, the classes (null query_id, their smallest id) before the queries. A block's classes are held.
+    ``least`` is a score that the last of a query's best reaches."""
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = Best(top)
@@ -232,7 +236,7 @@ def meet(top: int):
                 continue
             bucket, block = (batch.column(i).to_numpy() for i in (0, 1))
             asks = batch.column(2).is_valid().to_numpy(zero_copy_only=False)
-            ids, x = batch.column(3).to_numpy(), _vectors(batch.column(4))
+            ids, x, least = batch.column(3).to_numpy(), _vectors(batch.column(4)), batch.column(5).to_numpy()
             new = (np.diff(bucket) != 0) | (np.diff(block) != 0) | (np.diff(asks.astype(np.int8)) != 0)
             cuts = [0, *(np.nonzero(new)[0] + 1).tolist(), len(bucket)]
             for lo, hi in zip(cuts, cuts[1:]):
@@ -245,7 +249,7 @@ def meet(top: int):
                 elif held:
                     if ready is None:
                         ready = np.concatenate(reps), np.concatenate(held)
-                    _score(best, *ready, ids[lo:hi].tolist(), x[lo:hi])
+                    _score(best, *ready, ids[lo:hi].tolist(), x[lo:hi], least[lo:hi])
         yield from best.batches()
 
     return walk
@@ -321,18 +325,24 @@ def _dealt_classes(classes: DataFrame, search: Broadcast, whole: bool = True) ->
     return classes.select("rep", "vector").mapInArrow(deal, f"bucket long, id long, vector {kind}" if whole else "bucket long")
 
 
-def _dealt_queries(asked: DataFrame, search: Broadcast, first: int, last: int) -> DataFrame:
-    """(bucket, id, vector): a row for each bucket a query visits."""
+def _dealt_queries(asked: DataFrame, search: Broadcast, first: int, last: int, top: int) -> DataFrame:
+    """(bucket, id, vector, least): a row for each bucket a query visits."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = search.value.some
         for batch in batches:
             for part in (batch.slice(lo, 500) for lo in range(0, batch.num_rows, 500)):
-                buckets = [np.unique(b) for b in search.value.probes(_vectors(part.column(1)), first, last)]
+                q = _vectors(part.column(1))
+                buckets = [np.unique(b) for b in search.value.probes(q, first, last)]
+                least = np.full(len(q), -np.inf)
+                if len(some) > top:
+                    slack = 1e-9 * np.linalg.norm(q, axis=1) * search.value.norm
+                    least = np.partition(q @ some.T, len(some) - top - 1, axis=1)[:, len(some) - top - 1] - slack
                 at = pa.array(np.repeat(np.arange(len(buckets)), [len(b) for b in buckets]))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), part.column(0).take(at), part.column(1).take(at)], names=["bucket", "id", "vector"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(buckets)), part.column(0).take(at), part.column(1).take(at), pa.array(least).take(at)], names=["bucket", "id", "vector", "least"])
 
     kind = dict(asked.dtypes)["vector"]
-    return asked.select("vec_id", "vector").mapInArrow(deal, f"bucket long, id long, vector {kind}")
+    return asked.select("vec_id", "vector").mapInArrow(deal, f"bucket long, id long, vector {kind}, least double")
 
 
 def _large(buckets: DataFrame, block: int) -> DataFrame:
@@ -345,8 +355,8 @@ def _round(dealt: DataFrame, large: DataFrame, asked: DataFrame, top: int) -> Da
     """(query_id, rep, score) of what meets."""
     n = partitions(dealt.sparkSession)
     one = F.coalesce(F.col("blocks"), F.lit(1))
-    base = dealt.join(large, "bucket", "left").select("bucket", F.pmod(F.xxhash64("id"), one).alias("block"), F.lit(None).cast("long").alias("query_id"), "id", "vector")
-    spread = asked.join(large, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("block"), F.col("id").alias("query_id"), "id", "vector")
+    base = dealt.join(large, "bucket", "left").select("bucket", F.pmod(F.xxhash64("id"), one).alias("block"), F.lit(None).cast("long").alias("query_id"), "id", "vector", F.lit(0.0).alias("least"))
+    spread = asked.join(large, "bucket", "left").select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), one - 1)).alias("block"), F.col("id").alias("query_id"), "id", "vector", "least")
     rows = base.unionByName(spread).repartition(n, "bucket", "block").sortWithinPartitions("bucket", "block", F.col("query_id").asc_nulls_first())
     return rows.mapInArrow(meet(top + 1), FOUND)
 
@@ -379,20 +389,23 @@ def search(
     length = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     stats = classes.agg(F.count("*").alias("n"), F.max(length).alias("norm"), F.first(F.size("vector")).alias("d")).first()
     asked = durable(rows.filter(F.col("vec_id") % every == 0).distinct(), "asked")
-    held = spark.sparkContext.broadcast(Search(stats["d"] or 1, tables, hashes or hashes_for(stats["n"]), width, seed, stats["norm"] or 1.0))
+    n_some = min(SOME, stats["n"] // 16)
+    some = classes.orderBy(F.xxhash64("rep", F.lit("some")), "rep").limit(n_some).select("vector").toArrow().column(0).combine_chunks()
+    some = _vectors(some) if n_some else np.empty((0, stats["d"] or 1))
+    held = spark.sparkContext.broadcast(Search(stats["d"] or 1, tables, hashes or hashes_for(stats["n"]), width, seed, stats["norm"] or 1.0, some))
     probes = probes or fitted_probes(classes, asked, held, top)
     dealt, large = _dealt_classes(classes, held), _large(_dealt_classes(classes, held, False), block)
     order = W.partitionBy("query_id").orderBy(F.col("score").desc(), "rep")
     found, left, first, last = None, asked, 0, min(probes, MOST_PROBES)
     while True:
         if first < MOST_PROBES:
-            more = _round(dealt, large, _dealt_queries(left, held, first, last), top)
+            more = _round(dealt, large, _dealt_queries(left, held, first, last, top), top)
         else:
             # Every block of the index, as buckets of their own.
             n_blocks = max(1, -(-stats["n"] // block))
             base = classes.select(F.pmod(F.xxhash64("rep"), F.lit(n_blocks)).alias("bucket"), F.col("rep").alias("id"), "vector")
             every_block = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_blocks - 1).cast("long")))
-            more = _round(base, large.limit(0), left.select(every_block.alias("bucket"), F.col("vec_id").alias("id"), "vector"), top)
+            more = _round(base, large.limit(0), left.select(every_block.alias("bucket"), F.col("vec_id").alias("id"), "vector", F.lit(float("-inf")).alias("least")), top)
         more = more if found is None else more.unionByName(found)
         # Equal rows of several tasks have one rank.
         best = more.withColumn("r", F.dense_rank().over(order)).filter(F.col("r") <= top + 1)
