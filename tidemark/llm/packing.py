@@ -159,32 +159,39 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, limits: Limi
     total = sum(s * n for s, n in counts.items())
     budget = [float("inf") if limits.nodes is None else max(limits.nodes, limits.nodes_a_length * len(counts))]
 
-    def search(left: dict[int, int], plan: Plan, bins: int, waste: int) -> None:
+    # One table of what is left and one list of fillings, changed on the way down and restored on the way up.
+    order, left, plan = sorted(counts, reverse=True), counts.copy(), []
+
+    def search(at: int, rest: int, bins: int, waste: int) -> None:
         nonlocal best, used
         budget[0] -= 1
-        if not left:
+        if not rest:
             if bins < used:
-                best, used = plan, bins
+                best, used = plan.copy(), bins
             return
         if used == bound or budget[0] <= 0:
             return
         # With one bin less than the incumbent, so much may be wasted in all.
-        if waste > (used - 1) * capacity - total:
-            return
-        rest = sum(s * n for s, n in left.items())
-        if bins + -(-rest // capacity) >= used:
+        if waste > (used - 1) * capacity - total or bins + -(-rest // capacity) >= used:
             return
-        large = max(left)
-        one = left.copy()
-        one[large] -= 1
-        sizes = sorted((s for s, n in one.items() if n and s <= capacity - large), reverse=True)
-        for filling in fillings(capacity - large, sizes, one, limits.fillings, limits.steps):
+        while not left[order[at]]:
+            at += 1
+        large = order[at]
+        left[large] -= 1
+        tried = fillings(capacity - large, [s for s in order[at:] if left[s] and s <= capacity - large], left, limits.fillings, limits.steps)
+        left[large] += 1
+        for filling in tried:
             whole = (large, *filling)
-            most = min(left[s] // whole.count(s) for s in set(whole))
+            each = {s: whole.count(s) for s in whole}
+            most = min(left[s] // n for s, n in each.items())
             for times in range(most, 0 if limits.fewer else most - 1, -1):
-                after = {s: n - times * whole.count(s) for s, n in left.items()}
-                lost = waste + times * (capacity - sum(whole))
-                search({s: n for s, n in after.items() if n}, [*plan, (whole, times)], bins + times, lost)
+                for s, n in each.items():
+                    left[s] -= times * n
+                plan.append((whole, times))
+                search(at, rest - times * sum(whole), bins + times, waste + times * (capacity - sum(whole)))
+                plan.pop()
+                for s, n in each.items():
+                    left[s] += times * n
                 if used == bound or budget[0] <= 0:
                     return
 
@@ -194,7 +201,7 @@ def complete_bins(counts: dict[int, int], capacity: int = CAPACITY, limits: Limi
         deep = sys.getrecursionlimit()
         sys.setrecursionlimit(max(deep, 20_000))
         try:
-            search(counts, [], 0, 0)
+            search(0, total, 0, 0)
         finally:
             sys.setrecursionlimit(deep)
     return best, bound
