@@ -1,6 +1,7 @@
 """Command line: list what there is, or run a pipeline from files to files.
 
     python -m tidemark.cli list-methods s1
+    python -m tidemark.cli replay --cache rows.parquet --out results --schemes equal_weight roll_sr_cap10
     python -m tidemark.cli run --preset P-1 --prices prices.parquet --pairs pairs.parquet --out results --set fee=0.0005
 
 Exit codes: 0 done, 1 a strict anomaly check failed, 2 wrong arguments.
@@ -33,9 +34,35 @@ def parser() -> argparse.ArgumentParser:
     run.add_argument("--stop-after", choices=PL.STAGES[1:])
     run.add_argument("--set", action="append", default=[], metavar="NAME=VALUE")
     run.add_argument("--policy", choices=("off", "warn", "strict"), default="warn")
+    replay = sub.add_parser("replay")
+    replay.add_argument("--cache", required=True, help="Parquet: ticker, ts, close, low, atr, pos_raw, stop_code, stop_param")
+    replay.add_argument("--out", required=True)
+    replay.add_argument("--schemes", nargs="*", help="all 59 without")
+    replay.add_argument("--cap", choices=RP.CAPS, help="of the schemes with caps only these")
+    replay.add_argument("--seed", type=float, default=100_000.0)
+    replay.add_argument("--rule", choices=RP.SIZING)
+    replay.add_argument("--commission", default=RP.COMMISSION)
+    replay.add_argument("--bench", help="Parquet: ts, equity")
+    replay.add_argument("--start", help="first out-of-sample day, with --bench")
     return top
 
 
+def replay(args: argparse.Namespace) -> int:
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.builder.appName("tidemark").getOrCreate()
+    names = RP.filter_schemes(args.schemes or RP.scheme_names(), args.cap)
+    for name in names:
+        RP.parse_scheme(name)
+    rules = {"model": args.commission} | ({"rule": args.rule} if args.rule else {})
+    RP.save_replay(spark.read.parquet(args.cache), names, args.out, args.seed, **rules)
+    if args.bench:
+        days, counts = (RP.load_replay(spark, args.out, o) for o in ("days", "counts"))
+        rows = RP.summary_rows(days, counts, spark.read.parquet(args.bench), args.start, args.seed)
+        rows.write.mode("overwrite").parquet(f"{args.out.rstrip('/')}/summary")
+    return 0
+
+
 def settings(given: Sequence[str]) -> dict[str, Any]:
     """NAME=VALUE settings; values are JSON."""
     out = {}
@@ -52,6 +79,9 @@ def run(args: argparse.Namespace, config: dict[str, Any]) -> int:
 
     spark = SparkSession.builder.appName("tidemark").getOrCreate()
     made = PL.Pipeline(name=args.preset, **PL.PRESETS[args.preset])
+    if made.s2 in ("grid_breakout", "grid_obv_pivot"):
+        print(f"{args.preset} needs bars; run it from Python", file=sys.stderr)
+        return 2
     result = made.run(spark.read.parquet(args.prices), spark.read.parquet(args.pairs), config, args.stop_after)
     tag, failed = PL.build_tag(config), False
     for stage, df in result.stages.items():
@@ -69,6 +99,15 @@ def run(args: argparse.Namespace, config: dict[str, Any]) -> int:
 
 def main(argv: Sequence[str] | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "replay":
+        if args.bench and not args.start:
+            print("--bench needs --start", file=sys.stderr)
+            return 2
+        try:
+            return replay(args)
+        except ValueError as e:
+            print(e, file=sys.stderr)
+            return 2
     if args.command == "run":
         try:
             config = settings(args.set)

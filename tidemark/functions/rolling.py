@@ -74,12 +74,3 @@ def change(x: Column, n: int = 1, key: str = KEY, seq: str = SEQ) -> Column:
 def next_bar(x: Column, key: str = KEY, seq: str = SEQ) -> Column:
     """A signal acts one bar after it shows; the first bar has none."""
     return F.coalesce(F.lag(F.coalesce(x, F.lit(False))).over(ordered(key, seq)), F.lit(False))
-
-
-def percent_rank_in(x: Column, n: int, key: str = KEY, seq: str = SEQ, need: int | None = None) -> Column:
-    """Average-tie rank of the current value among the last n, divided by their number."""
-    w = trailing(n, key, seq)
-    held = F.collect_list(x).over(w)
-    below = F.size(F.filter(held, lambda v: v < x))
-    ties = F.size(F.filter(held, lambda v: v == x))
-    return F.when((F.count(x).over(w) >= (n if need is None else need)) & x.isNotNull(), (below + (ties + 1) / 2.0) / F.size(held))

@@ -5,6 +5,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable
 
 import numpy as np
@@ -120,6 +121,22 @@ def rsi_wilder(x: np.ndarray, n: int) -> np.ndarray:
         return 100 - 100 / (1 + gain / np.where(loss == 0, np.nan, loss))
 
 
+def percent_rank(x: np.ndarray, n: int, need: int) -> np.ndarray:
+    """Average-tie rank of each value among the last n, divided by their number, once there are ``need``.
+
+    The window is kept sorted: one value goes in and one out a bar."""
+    out, held = np.full(len(x), np.nan), []
+    for i, v in enumerate(x.tolist()):
+        if i >= n and (old := x[i - n]) == old:
+            held.pop(bisect.bisect_left(held, old))
+        if v == v:
+            bisect.insort(held, v)
+            if len(held) >= need:
+                below = bisect.bisect_left(held, v)
+                out[i] = (below + (bisect.bisect_right(held, v) - below + 1) / 2) / len(held)
+    return out
+
+
 def kama(x: np.ndarray, period: int = 10, fast: int = 2, slow: int = 30) -> np.ndarray:
     """Adaptive mean seeded with the price at index ``period``; a still market counts as efficiency 0."""
     out = np.full(len(x), np.nan)

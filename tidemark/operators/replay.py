@@ -414,6 +414,33 @@ def collapse_equal(hashes: DataFrame, deployed: str | None = None) -> DataFrame:
     return g.select(F.col("all")[0]["e"].alias("scheme"), F.size(others).alias("n_aliases"), F.array_join(others, ", ").alias("aliases"))
 
 
+OUTPUTS = ("days", "trades", "counts")
+
+
+def save_replay(cache: DataFrame, schemes: list[str], folder: str, seed: float = 100_000.0, **rules) -> dict[str, str]:
+    """Replays into ``folder``: a Parquet table for each output, split by scheme. A scheme whose replay is there
+    already is not walked again, so a stopped run goes on where it ended."""
+    spark, out = cache.sparkSession, {}
+    for name in OUTPUTS:
+        path = f"{folder.rstrip('/')}/{name}"
+        held = load_replay(spark, folder, name)
+        done = set() if held is None else {r["scheme"] for r in held.select("scheme").distinct().collect()}  # names of schemes
+        left = [s for s in schemes if s not in done]
+        if left:
+            run_schemes(cache, left, seed, name, **rules).write.mode("append").partitionBy("scheme").parquet(path)
+        out[name] = path
+    return out
+
+
+def load_replay(spark, folder: str, output: str = "days") -> DataFrame | None:
+    """The saved table of an output, or None if there is none."""
+    path = f"{folder.rstrip('/')}/{output}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.option("basePath", path).parquet(path)
+
+
 def concentration(days: DataFrame) -> DataFrame:
     """Herfindahl index and effective number of bets by scheme."""
     h = F.when(F.col("hhi") > 0, F.col("hhi"))

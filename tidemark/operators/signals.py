@@ -161,7 +161,8 @@ def cum_rsi(s: DataFrame, window: int = 2, entry: float = 35.0, exit_: float = 6
 def vol_adaptive_zscore(s: DataFrame, window: int = 20, entry: float = -2.0, exit_: float = 0.0, slope_min: float = 0.0, slope_window: int = 2, lookback: int = 252) -> DataFrame:
     x = F.col("ratio")
     s = _sloped(s.withColumn("_r", R.change(x)), R.zscore(x, window), slope_window).withColumn("_vol", R.std(F.col("_r"), window))
-    s = s.withColumn("_pct", F.coalesce(R.percent_rank_in(F.col("_vol"), lookback, need=window), F.lit(0.5)))
+    s = K.per_key(s, lambda c: {"_pct": K.percent_rank(c["_vol"], lookback, window)}, {"_pct": "double"}, ["_vol"])
+    s = s.withColumn("_pct", F.coalesce("_pct", F.lit(0.5)))
     scale = 1 + 0.5 * (F.col("_pct") - 0.5)
     steep = (F.col("_s") >= slope_min) if slope_min else F.lit(True)
     return _out(s, (F.col("_z") <= entry * scale) & steep, F.col("_z") >= exit_ * scale)
@@ -216,7 +217,8 @@ def vol_forecast_gate(s: DataFrame, window: int = 20, entry: float = -2.0, exit_
     s = s.withColumn("_r", R.change(x)).withColumn("_vol", R.std(F.col("_r"), window)).withColumn("_z", R.zscore(x, window))
     s = K.per_key(s, lambda c: {"_ew": K.ema(c["_vol"], window, least=1)}, {"_ew": "double"}, ["_vol"])
     s = s.withColumn("_f", 0.7 * F.col("_ew") + 0.3 * R.mean(F.col("_vol"), lookback, need=window))
-    s = s.withColumn("_pct", F.coalesce(R.percent_rank_in(F.col("_f"), lookback, need=window), F.lit(0.5)))
+    s = K.per_key(s, lambda c: {"_pct": K.percent_rank(c["_f"], lookback, window)}, {"_pct": "double"}, ["_f"])
+    s = s.withColumn("_pct", F.coalesce("_pct", F.lit(0.5)))
     return _out(s, (F.col("_z") <= entry) & (F.col("_pct") <= calm), F.coalesce(F.col("_z") >= exit_, F.lit(False)) | (F.col("_pct") >= wild))
 
 
