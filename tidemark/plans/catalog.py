@@ -146,18 +146,18 @@ def _(spark, d):
     return S1.passthrough(P.series(spark, d)).withColumn("window", F.col("window").cast("long"))
 
 
-@query("s1_chan_hurst")
+@query("s1_chan_hurst", Q.HURST)
 def _(spark, d):
     return S1.chan_hurst(P.series(spark, d))
 
 
-@query("s1_chan_hurst_trend")
+@query("s1_chan_hurst_trend", Q.HURST_TREND)
 def _(spark, d):
     return S1.chan_hurst(P.series(spark, d), trend=True)
 
 
 for _name, _fn in {"s1_chan_halflife": S1.chan_halflife, "s1_kpss": S1.kpss, "s1_cadf": S1.cadf, "s1_cadf_rolling": S1.cadf_rolling, "s1_johansen": S1.johansen, "s1_chan_combined": S1.chan_combined, "s1_trend_combined": S1.trend_combined, "s1_kaufman_kama": S1.kaufman_kama, "s1_cadf_rolling_kalman": S1.cadf_rolling_kalman}.items():
-    query(_name, {"s1_chan_halflife": Q.CHAN_HALFLIFE, "s1_kpss": Q.KPSS, "s1_cadf": Q.CADF}.get(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
+    query(_name, {"s1_chan_halflife": Q.CHAN_HALFLIFE, "s1_kpss": Q.KPSS, "s1_cadf": Q.CADF, "s1_cadf_rolling": Q.CADF_ROLLING, "s1_kaufman_kama": Q.KAUFMAN_KAMA, "s1_chan_combined": Q.CHAN_COMBINED, "s1_trend_combined": Q.TREND_COMBINED}.get(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
 
 
 @query("s1_regime_aware")
@@ -261,7 +261,7 @@ def _(spark, d):
 
 
 for _kind in ("sma", "ema", "dual", "kama", "momentum"):
-    query(f"opt_grid_ma_{_kind}")(lambda spark, d, kind=_kind: B.grid_ma(P.series(spark, d), kind))
+    query(f"opt_grid_ma_{_kind}", None if _kind == "kama" else Q.grid_ma(_kind))(lambda spark, d, kind=_kind: B.grid_ma(P.series(spark, d), kind))
 
 
 @query("opt_grid_regime")

@@ -363,3 +363,86 @@ EXTENDED = (
     }.items()) + " FROM z"
 )
 STRESS_ROWS = "(VALUES ('Dotcom_2000',DATE '2000-03-10',DATE '2000-09-10'),('9_11',DATE '2001-09-11',DATE '2001-10-11')) v(name,a,b)"
+
+CADF_ROLLING = (
+    S + ", n AS (SELECT pair, count(*) AS n FROM s GROUP BY 1), an AS (SELECT pair, unnest(range(252, n+1, 60)) AS anchor FROM n WHERE n >= 756), rw AS (SELECT an.pair, anchor, seq, num_close, den_close FROM s JOIN an ON an.pair=s.pair AND seq-1 >= anchor-252 AND seq-1 < anchor), "
+    "bb AS (SELECT pair, anchor, regr_slope(num_close, den_close) AS beta FROM rw GROUP BY 1,2), e AS (SELECT rw.pair, rw.anchor, seq, num_close-beta*den_close AS e FROM rw JOIN bb USING (pair, anchor)), " + _ADF_OF.format(k=1, g="pair, anchor", v="e", src="e")
+    + f" SELECT pair, count(*) AS n_windows, round(avg(({adf_p('t')} < 0.05)::INTEGER),6) AS pass_rate, round(avg(beta),6) AS mean_beta, round(stddev_pop(beta),6) AS std_beta, count(*) >= 4 AND avg(({adf_p('t')} < 0.05)::INTEGER) >= 0.5 AS passed FROM t1 JOIN bb USING (pair, anchor) WHERE beta IS NOT NULL GROUP BY 1"
+)
+_HURST = (
+    ", hr AS (SELECT pair, row_number() OVER (PARTITION BY pair ORDER BY seq)-1 AS i, r FROM (SELECT pair, seq, ln(ratio/lag(ratio) OVER (PARTITION BY pair ORDER BY seq)) AS r FROM s) WHERE r IS NOT NULL), hn AS (SELECT pair, count(*) AS n FROM hr GROUP BY 1 HAVING count(*) >= 50), "
+    "hl0 AS (SELECT DISTINCT pair, n, CAST(floor(pow(10.0, 0.5+k*(log10(n/2.0)-0.5)/49)) AS BIGINT) AS lg FROM hn, range(50) t(k)), hc AS (SELECT hr.pair, lg, i//lg AS ch, i, r FROM hr JOIN hl0 ON hl0.pair=hr.pair AND lg >= 2 WHERE (i//lg+1)*lg <= n), "
+    "hd AS (SELECT *, avg(r) OVER c AS m, stddev_samp(r) OVER c AS sd FROM hc WINDOW c AS (PARTITION BY pair, lg, ch)), hu AS (SELECT pair, lg, ch, sd, sum(r-m) OVER (PARTITION BY pair, lg, ch ORDER BY i) AS cu FROM hd), "
+    "hs AS (SELECT pair, lg, avg(rs) AS rs FROM (SELECT pair, lg, ch, (max(cu)-min(cu))/nullif(max(sd),0) AS rs FROM hu GROUP BY 1,2,3) WHERE rs > 0 GROUP BY 1,2), hh AS (SELECT pair, CASE WHEN count(*) >= 5 THEN regr_slope(log10(rs), log10(lg)) END AS hurst FROM hs GROUP BY 1)"
+)
+HURST = S + _HURST + f" SELECT pair, round(hurst,6) AS hurst, round(hl,6) AS halflife, {_WIN} AS \"window\", coalesce(hurst < 0.5, false) AS passed FROM hh JOIN {_HL} h USING (pair) WHERE n >= 252"
+HURST_TREND = S + _HURST + f" SELECT pair, round(hurst,6) AS hurst, round(hl,6) AS halflife, 0 AS \"window\", coalesce(hurst > 0.5, false) AS passed FROM hh JOIN {_HL} h USING (pair) WHERE n >= 252"
+
+
+def grid_ma(kind: str) -> str:
+    """All look-backs at once: rows times windows, each with a frame of its own length."""
+    frame = "ROWS BETWEEN w-1 PRECEDING AND CURRENT ROW"
+    mean = "CASE WHEN count(*) OVER v >= w THEN avg(ratio) OVER v END"
+    short = "CASE WHEN count(*) OVER u >= greatest(w//3,2) THEN avg(ratio) OVER u END"
+    ema = "CASE WHEN seq >= w THEN sum(ratio*pow(1-2.0::DOUBLE/(w+1),-seq::DOUBLE)) OVER o/sum(pow(1-2.0::DOUBLE/(w+1),-seq::DOUBLE)) OVER o END"
+    on = {"sma": f"ratio > {mean}", "dual": f"{short} > {mean}", "ema": f"ratio > {ema}", "momentum": "ratio/lag(ratio, w) OVER o-1 > 0"}[kind]
+    sharpe = "CASE WHEN stddev_samp(net) > 1e-10 THEN avg(net)/stddev_samp(net)*sqrt(252) ELSE 0 END"
+    return S + (
+        ", n AS (SELECT pair, count(*) AS n, CAST(floor(count(*)*0.8::DOUBLE) AS BIGINT) AS cut FROM s GROUP BY 1), g AS (SELECT s.pair, seq, ratio, t.w FROM s, range(10,271) t(w)), "
+        f"f AS (SELECT pair, w, seq, coalesce(ratio/lag(ratio) OVER o-1,0) AS r, coalesce({on}, false)::INTEGER AS o1 FROM g WINDOW o AS (PARTITION BY pair, w ORDER BY seq), v AS (PARTITION BY pair, w ORDER BY seq {frame}), u AS (PARTITION BY pair, w ORDER BY seq ROWS BETWEEN greatest(w//3,2)-1 PRECEDING AND CURRENT ROW)), "
+        "p AS (SELECT f.pair, w, seq, cut, r*coalesce(lag(o1) OVER (PARTITION BY f.pair, w ORDER BY seq),0) AS net FROM f JOIN n ON n.pair=f.pair), "
+        f"b AS (SELECT pair, w, round({sharpe},12) AS sr FROM p WHERE seq <= cut GROUP BY 1,2 QUALIFY row_number() OVER (PARTITION BY pair ORDER BY sr DESC, w)=1), "
+        "x AS (SELECT p.pair, p.w, b.sr, seq, net FROM p JOIN b ON b.pair=p.pair AND b.w=p.w WHERE seq > cut), y AS (SELECT *, lag(net,5) OVER (PARTITION BY pair ORDER BY seq) AS l5, exp(sum(ln(1+net)) OVER (PARTITION BY pair ORDER BY seq)) AS eq FROM x), z AS (SELECT *, eq/max(eq) OVER (PARTITION BY pair ORDER BY seq)-1 AS dd FROM y) "
+        f"SELECT pair, any_value(w) AS \"window\", round(any_value(sr),6) AS is_sharpe, round({sharpe},6) AS oos_sharpe, round(pow(1+avg(net),252)-1,6) AS oos_cagr, round(min(dd),6) AS oos_max_dd, round(avg((net<>0)::INTEGER),6) AS oos_exposure, round(coalesce(corr(net,l5),0),6) AS lag5_autocorr, {sharpe} > 0 AS passed FROM z GROUP BY 1"
+    )
+
+
+_REC = "WITH RECURSIVE " + _PX + PAIRS.format(src="px")
+
+
+def _held_signal(ctes: str, source: str, entry: str, natural: str, most: int) -> str:
+    """Flags one bar later, and an exit ``most`` bars after an entry without a natural one, bar by bar."""
+    return _REC + ctes + (
+        f", g AS (SELECT pair, ts, seq, coalesce({entry},false) AS e0, coalesce({natural},false) AS x0 FROM {source}), f AS (SELECT pair, ts, seq, coalesce({lag('e0')},false) AS e, coalesce({lag('x0')},false) AS x FROM g), "
+        "m AS (SELECT pair, seq, CASE WHEN e THEN 0 ELSE -1 END AS held, false AS forced FROM f WHERE seq=1 UNION ALL SELECT f.pair, f.seq, CASE WHEN m.held < 0 THEN CASE WHEN f.e THEN 0 ELSE -1 END WHEN f.x THEN -1 "
+        f"WHEN m.held+1 >= {most} THEN -1 ELSE m.held+1 END, m.held >= 0 AND NOT f.x AND m.held+1 >= {most} FROM m JOIN f ON f.pair=m.pair AND f.seq=m.seq+1) "
+        'SELECT f.pair, f.ts, e AS entry, x OR forced AS "exit" FROM f JOIN m ON m.pair=f.pair AND m.seq=f.seq'
+    )
+
+
+# The adaptive mean from its seed at index 10: efficiency over ten bars, then one bar after the other.
+_KAMA = (
+    ", kd AS (SELECT *, abs(ratio-{l1}) AS st FROM s), ke AS (SELECT *, CASE WHEN sum(st) OVER (PARTITION BY pair ORDER BY seq ROWS {b} PRECEDING) > 0 THEN abs(ratio-lag(ratio,{n}) OVER (PARTITION BY pair ORDER BY seq))/sum(st) OVER (PARTITION BY pair ORDER BY seq ROWS {b} PRECEDING) ELSE 0 END AS er FROM kd), "
+    "km AS (SELECT pair, seq, ratio AS kama FROM ke WHERE seq={n}+1 UNION ALL SELECT k.pair, k.seq, m.kama+pow(k.er*(2.0::DOUBLE/3-2.0::DOUBLE/31)+2.0::DOUBLE/31,2)*(k.ratio-m.kama) FROM km m JOIN ke k ON k.pair=m.pair AND k.seq=m.seq+1)"
+)
+
+
+def _kama(n: int) -> str:
+    return _KAMA.format(l1=lag("ratio"), n=n, b=n - 1)
+
+
+# The level filter's gain settles by itself: p, then p + q before each update.
+_LEVEL = (
+    ", lv AS (SELECT pair, seq, ratio AS level, 0.5::DOUBLE AS p FROM s WHERE seq=1 UNION ALL SELECT s.pair, s.seq, lv.level+(lv.p+0.01)/(lv.p+1.01)*(s.ratio-lv.level), (lv.p+0.01)*(1-(lv.p+0.01)/(lv.p+1.01)) FROM lv JOIN s ON s.pair=lv.pair AND s.seq=lv.seq+1), "
+    "rz AS (SELECT s.pair, s.ts, s.seq, s.ratio-level AS v FROM s JOIN lv ON lv.pair=s.pair AND lv.seq=s.seq), "
+)
+_MORE_SIGNALS |= {
+    "nday_low": lambda: _held_signal(f", a AS (SELECT *, {roll('min', 'ratio', 7)} AS lo, {roll('max', 'ratio', 7)} AS hi, {roll('avg', 'ratio', 200)} AS sm FROM s)", "a", "ratio<=lo AND ratio>sm", "ratio>=hi", 10),
+    "kama_crossover": lambda: (_REC + _kama(20) + ", a AS (SELECT s.pair, s.ts, s.seq, coalesce(s.ratio > kama, false) AS o FROM s LEFT JOIN km ON km.pair=s.pair AND km.seq=s.seq) " + f"SELECT pair, ts, coalesce({lag('o')},false) AS entry, coalesce({lag('NOT o')},false) AS \"exit\" FROM a"),
+    "kalman_hedge": lambda: (
+        _REC + _LEVEL + f"m1 AS (SELECT *, {roll('median', 'v', 20)} AS md FROM rz), m2 AS (SELECT *, abs(v-md) AS ad FROM m1), a AS (SELECT *, (v-md)/nullif(1.4826*({roll('median', 'ad', 20)}),0) AS z FROM m2), f AS (SELECT pair, ts, seq, coalesce(z<=-2,false) AS e, coalesce(z>=0,false) AS x FROM a) "
+        f"SELECT pair, ts, coalesce({lag('e')},false) AS entry, coalesce({lag('x')},false) AS \"exit\" FROM f"
+    ),
+}
+KAUFMAN_KAMA = (
+    _REC + _kama(10) + f", a AS (SELECT ke.pair, ke.seq, er, (ke.ratio > kama)::INTEGER AS ab, kama, CASE WHEN ke.seq > 10 THEN er END AS e10 FROM ke LEFT JOIN km ON km.pair=ke.pair AND km.seq=ke.seq), b AS (SELECT *, (ab <> {lag('ab')})::INTEGER AS cr, kama/nullif({lag('kama', 10)},0)-1 AS sl FROM a) "
+    "SELECT pair, round(avg(e10),6) AS mean_er, CAST(sum(cr) AS BIGINT) AS crossings, round(sum(cr)/count(kama)::DOUBLE*252,6) AS per_year, round(avg(sl),6) AS kama_slope, coalesce(avg(e10) < 0.15 AND sum(cr)/count(kama)::DOUBLE*252 >= 4, false) AS passed FROM b GROUP BY 1"
+)
+
+CHAN_COMBINED = (
+    f"SELECT c.pair, c.halflife, c.\"window\", c.passed AS passed_base, coalesce(h.passed,false) AS passed_hurst, coalesce(e.passed,false) AS passed_er, c.passed AND coalesce(h.passed,false) AND coalesce(e.passed,false) AS passed "
+    f"FROM ({CHAN_HALFLIFE}) c LEFT JOIN ({HURST}) h USING (pair) LEFT JOIN ({S + ER}) e USING (pair)"
+)
+TREND_COMBINED = (
+    f"SELECT e.pair, median_er, e.passed AS passed_base, coalesce(h.passed,false) AS passed_hurst, e.passed AND coalesce(h.passed,false) AS passed FROM ({S + ER.replace('< 0.3', '> 0.3')}) e LEFT JOIN ({HURST_TREND}) h USING (pair)"
+)
