@@ -253,7 +253,7 @@ def revisions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Da
     mapped = own.withColumn("at", F.when(sent_to.isNull(), F.array("bucket")).otherwise(F.array(F.col("bucket"), sent_to)))
     sent = mapped.select("doc_id", "key", "text", F.posexplode("at").alias("copy", "bucket"))
     # In a bucket: its own rows in falling order, then the next bucket's first row.
-    to = F.element_at(F.array(*[F.lit(k) for k in partition_keys(spark, n)]), F.pmod("bucket", F.lit(n)) + 1)
+    to = F.element_at(F.array(*[F.lit(k).cast("long") for k in partition_keys(spark, n)]), F.pmod("bucket", F.lit(n)) + 1)
     dealt = sent.withColumn("to", to).repartition(n, "to").sortWithinPartitions("bucket", "copy", F.col("doc_id").desc_nulls_last(), "key", "text")
     return dealt.select("doc_id", "text", "copy", "bucket").mapInArrow(_compare_batches, REVISIONS)
 
