@@ -33,7 +33,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -
     pairs = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(f"{a} is not null and {b} is not null and {a} <> {b}").distinct()
     held = durable(pairs, "edges")
     before = None
-    for _ in range(rounds):
+    for done in range(rounds):
+        if done == 1:  # nothing has settled after one round but graphs that were stars already
+            held = durable(_star(_star(held, True), False), "edges")
+            continue
         mark = held.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark["n"] == 0 or mark == before:
             return held.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(held.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()

@@ -15,9 +15,8 @@ union; classes are the connected components of the links.
    sort, cut into ranges of about equal size whatever prefixes are frequent. This finds most links early;
    step 5 finds all others, so neither the window, nor ``forests`` (the candidates of a stretch that are
    kept for a start), nor the border of a range or batch decides what is linked.
-4. Confirmation on the full sets: each document's best candidate first, then all candidates between
-   different classes so far. Texts of candidates alone are fetched (a bitmap of bounded size keeps the
-   others out of the shuffle), and a block of candidates shares them.
+4. Confirmation of the candidates on the full sets. Texts of candidates alone are fetched (a bitmap of
+   bounded size keeps the others out of the shuffle), and a block of candidates shares them.
 5. The rest: a region is all rows that share the first ``least`` values of a tree. In every region that
    holds more than one class so far, rows of different classes are compared: pair by pair in regions of
    up to ``region`` rows, where signatures that agree well enough (``MARGIN``) are confirmed; rows of
@@ -689,14 +688,7 @@ def classes(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: str =
     named = reps.filter("doc_id is not null")
     pairs = durable(candidates(named, percent, window), "candidates")
     texts = durable(texts_of(docs, _ends(pairs), doc_id, text), "texts")
-    both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "likeness"))
-    best = both.groupBy("a").agg(F.max_by("b", F.struct("likeness", -F.col("b"))).alias("b"))
-    first = durable(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first")
-    linked = durable(confirm(first, texts, shingle, percent), "links")
-    so_far = components(linked)
-    left, right = (so_far.select(F.col("node").alias(s), F.col("component").alias(f"c{s}")) for s in "ab")
-    rest = durable(pairs.join(left, "a", "left").join(right, "b", "left").filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b").join(first, ["a", "b"], "left_anti"), "rest")
-    links = durable(linked.unionByName(confirm(rest, texts, shingle, percent)), "links")
+    links = durable(confirm(pairs, texts, shingle, percent), "links")
     joined = components(links)
     last, more = across(named, joined, docs, shingle, percent, doc_id, text, region)
     last = durable(last, "candidates")
