@@ -43,6 +43,25 @@ def docs(spark):
     return table(spark, SF, "documents")
 
 
+def test_shared_folder(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from tidemark.llm import common
+
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+    def session(master, warehouse):
+        none = SimpleNamespace(isDefined=lambda: False)
+        context = SimpleNamespace(master=master, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)), setCheckpointDir=lambda folder: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: warehouse if "warehouse" in k else None), sparkContext=context)
+
+    assert common.shared_dir(session("local[2]", "/tmp/w")) == "/tmp/w/_checkpoints"
+    assert common.shared_dir(session("yarn", "hdfs://n/w")) == "hdfs://n/w/_checkpoints"
+    for wrong in ("/tmp/w", "file:///tmp/w", "file:/tmp/w"):
+        with pytest.raises(RuntimeError):
+            common.shared_dir(session("yarn", wrong))
+
+
 # 1 fingerprints
 
 

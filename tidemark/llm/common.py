@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -17,24 +18,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as the session names it; set here only where it is unset."""
+    """The folder all executors share, as the session names it in spark.checkpoint.dir or has set it.
+
+    Where neither is there it is set beside the warehouse; on a cluster that must not be a machine's own folder.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        context = spark.sparkContext
+        held = context._jsc.sc().getCheckpointDir()
         if held.isDefined():
             return held.get()
         found = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
-        spark.sparkContext.setCheckpointDir(found)
+        one_machine = context.master.startswith("local") and not context.master.startswith("local-cluster")
+        if not one_machine and found.partition(":")[0] in ("file", found):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
+@lru_cache(maxsize=8)
+def _application_dir(spark: SparkSession, shared: str, application: str) -> str:
+    """The application's own folder in the shared one; it goes when the driver's JVM ends."""
+    place = f"{shared}/tidemark/{application}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(path)
+    system.deleteOnExit(path)
+    return place
+
+
 def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back.
 
     The lineage ends at that table, so a lost executor costs only the tasks that were running.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
+    path = f"{_application_dir(spark, shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
