@@ -585,7 +585,7 @@ def _(spark, d):
 @query("pl_funnel")
 def _(spark, d):
     prices = P.px(spark, d)
-    return PL.Pipeline(s1="passthrough", s4=["t_test", "min_trl"]).run(prices, P.universe(prices), stop_after="s4").stages["s4"].select("pair", "tier", "passed", "sig_method")
+    return PL.Pipeline(s1="passthrough", s4=["t_test", "min_trl"], config={"min_is_sharpe": -9.0, "min_oos_sharpe": -9.0, "min_is_trades": 1, "min_oos_trades": 0, "s3_min_oos_sharpe": -9.0}).run(prices, P.universe(prices), stop_after="s4").stages["s4"].select("pair", "tier", "passed", "sig_method")
 
 
 @query("ql_anomalies", Q.S + "SELECT 's1_pass_rate' AS \"check\", avg(1.0::DOUBLE) AS value, 0.01::DOUBLE AS low, 0.9::DOUBLE AS high, 'warn' AS severity, avg(1.0::DOUBLE) BETWEEN 0.01 AND 0.9 AS ok FROM (SELECT pair FROM s GROUP BY 1 HAVING count(*)>=252)")
