@@ -63,7 +63,7 @@ ROW = "region long, doc_id long, class long, n long, signature binary"
 _GROUP_DOCS = 256
 _GROUP_TEXT = 1 << 22
 _GROUP_SHINGLES = 1 << 19
-_WORDS_HELD = 400_000
+_WORDS_HELD = 150_000
 
 
 class Shingler:
