@@ -2,10 +2,13 @@
 
 import hashlib
 import itertools
+import os
 import zlib
 
 import numpy as np
 import pytest
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -631,3 +634,26 @@ def test_pipeline(spark, docs, odd, none):
                 assert held.count() == before.count()
         assert held.columns[:2] == ["doc_id", "piece"]
     assert corpus_pipeline.run(spark, SF).count() > 0
+
+
+# intermediate tables
+
+
+def test_durable_writes_parts_only_and_verifies_them(spark):
+    wanted = [(i, str(i * 7)) for i in range(2000)]
+    held = durable(spark.createDataFrame(wanted, "id long, t string").repartition(3), "parts")
+    files = [f.removeprefix("file://") for f in held.inputFiles()]
+    assert sorted(os.listdir(os.path.dirname(files[0]))) == sorted(map(os.path.basename, files))
+    assert sorted(map(tuple, held.collect())) == wanted
+    whole = open(files[0], "rb").read()
+    caught = 0
+    for at in range(64, len(whole) // 2, len(whole) // 12):  # no changed byte is read as other data
+        with open(files[0], "wb") as f:
+            f.write(whole[:at] + bytes([whole[at] ^ 1]) + whole[at + 1 :])
+        try:
+            got = held.collect()
+        except (Py4JError, PySparkException):
+            caught += 1
+        else:
+            assert sorted(map(tuple, got)) == wanted
+    assert caught > 0
