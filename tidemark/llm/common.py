@@ -67,7 +67,16 @@ def durable(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{_application_dir(spark, shared_dir(spark), spark.sparkContext.applicationId)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**_WRITE, compression=codec).parquet(path)
-    return spark.read.schema(df.schema).options(**_READ).parquet(path)
+    held = spark.read.schema(df.schema).options(**_READ).parquet(path)
+    held._written = path
+    return held
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a table that ``durable`` returned, once what reads it has been written."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df._written)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession) -> int:

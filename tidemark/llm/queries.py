@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, fingerprints, langid, mixing, near_dedup, packing, pii, sharding, sql, training_order, url_filter
+from . import ann, fingerprints, infill, langid, mixing, near_dedup, packing, pii, sharding, sql, training_order, url_filter, vector_codes
 from .common import durable, table
 
 
@@ -58,6 +58,17 @@ def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), shingle=2)
 
 
+def op11_fim_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.rearranged(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "infill.*")
+    back = infill.restored(F.col("output"), F.col("form"))
+    return made.select("doc_id", "n", "form", F.col("prefix").alias("prefix_chars"), F.col("middle").alias("middle_chars"), F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+def op12_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -72,6 +83,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_pii,
             op9_bounded_ring,
             op10_lsh_forest,
+            op11_fim_scan,
+            op12_exponion_codes,
         )
     }
 
