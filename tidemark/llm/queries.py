@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, fingerprints, infill, langid, mixing, near_dedup, packing, pii, sharding, sql, training_order, url_filter, vector_codes
+from . import ann, fingerprints, infill, langid, mixing, near_dedup, packing, pii, quality, sharding, sql, training_order, url_filter, vector_codes
 from .common import durable, table
 
 
@@ -69,6 +69,13 @@ def op12_exponion_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"))
+    found = quality.scored(docs.select("doc_id", "text"), model, to="score")
+    return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -85,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_lsh_forest,
             op11_fim_scan,
             op12_exponion_codes,
+            op13_quality,
         )
     }
 
