@@ -8,8 +8,8 @@ componentwise floor of its parts' mean; an entry without parts stays.
 Exponion search: a part starts at its previous entry ``a``, at distance d. Every entry keeps the others in
 order of distance from itself. An entry nearer than the best one so far, at distance b, lies within d + b of
 ``a`` by the triangle inequality, so ``a``'s list is scanned only that far, and the radius shrinks as b does.
-The radius is compared in squared integers, rounded up; distances are exact integers throughout (float64
-products of integers below 2**53, or Python integers beyond), so the result is that of a full search.
+The squared radius is rounded up; distances are exact integers throughout (float64 where all sums of products
+stay below 2**53, 64-bit integers beyond), so the result is that of a full search.
 
 A round reads one written table of integer vectors with their entries and writes the next; its tasks also
 write their sums for each entry, and only those (``PARTS`` x ``ENTRIES`` x (width + 1) numbers) go to the
@@ -36,10 +36,10 @@ from .common import discard, durable, partitions
 
 SCALE = 1024
 PARTS, ENTRIES, ROUNDS = 4, 256, 4
-#: Neighbours compared in one step of a scan.
-STEP = 16
-#: Rows compared in one step.
-ROWS = 8192
+#: Distances computed in one step of a scan: few rows take more neighbours at a time.
+STEP = 1 << 14
+#: Rows assigned together.
+ROWS = 1 << 16
 
 
 class Codebook:
@@ -51,48 +51,55 @@ class Codebook:
         apart = ((e[:, None, :] - e[None, :, :]) ** 2).sum(axis=2)
         self.order = np.argsort(apart, axis=1, kind="stable")
         self.apart = np.take_along_axis(apart, self.order, axis=1)
-        self.square = (e * e).sum(axis=1)
-        #: Products of integers are exact in float64 while their sums stay below 2**53.
-        self.exact = bool(len(e) == 0 or np.abs(e).max() < 1 << 23)
-
-    def distances(self, rows: np.ndarray, squares: np.ndarray, some: np.ndarray) -> np.ndarray:
-        """Squared distances of ``rows`` to some entries."""
-        e = self.entries[some]
-        if self.exact and (not len(rows) or np.abs(rows).max() < 1 << 23):
-            dot = (rows.astype(np.float64) @ e.T.astype(np.float64)).astype(np.int64)
-            return squares[:, None] - 2 * dot + self.square[some]
-        return np.stack([((rows - c) ** 2).sum(axis=1) for c in e], axis=1)
+        #: Products of integers and their sums are exact in float64 below 2**53.
+        self.small = bool(len(e) == 0 or np.abs(e).max() < 1 << 22)
+        self.real, self.square = e.astype(np.float64), (e * e).sum(axis=1).astype(np.float64)
+
+    def distances(self, rows: np.ndarray, squares: np.ndarray | None, some: np.ndarray) -> np.ndarray:
+        """Squared distances of ``rows`` to some entries; ``squares``: the rows' own, where float64 is exact."""
+        if squares is not None:
+            return rows @ self.real[some].T * -2 + squares[:, None] + self.square[some]
+        return np.stack([((rows - c) ** 2).sum(axis=1) for c in self.entries[some]], axis=1)
 
     def nearest(self, rows: np.ndarray, previous: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(entry, squared distance) of each row, started at the previous entries."""
-        rows = rows.astype(np.int64)
-        best = previous.astype(np.int64)
-        squares = (rows * rows).sum(axis=1)
-        start = ((rows - self.entries[best]) ** 2).sum(axis=1)
-        least = start.copy()
+        rows, best = rows.astype(np.int64), previous.astype(np.int64)
+        least = ((rows - self.entries[best]) ** 2).sum(axis=1)
+        squares = None
+        if self.small and (not len(rows) or np.abs(rows).max() < 1 << 22):
+            rows, least = rows.astype(np.float64), least.astype(np.float64)
+            squares = np.einsum("ij,ij->i", rows, rows)
         by_entry = np.argsort(best, kind="stable")
-        groups = np.flatnonzero(np.diff(best[by_entry], prepend=-1))
-        for lo, hi in zip(groups, [*groups[1:], len(by_entry)], strict=True):
-            at = int(best[by_entry[lo]])
-            for cut in range(lo, hi, ROWS):
-                self._scan(at, by_entry[cut : min(cut + ROWS, hi)], rows, squares, start, least, best)
-        return best, least
-
-    def _scan(self, at: int, todo: np.ndarray, rows: np.ndarray, squares: np.ndarray, start: np.ndarray, least: np.ndarray, best: np.ndarray) -> None:
+        borders = np.flatnonzero(np.diff(best[by_entry], prepend=-1, append=-1))
+        for lo, hi in zip(borders[:-1], borders[1:], strict=True):
+            todo = by_entry[lo:hi]
+            found, low = self._scan(int(best[todo[0]]), rows[todo], None if squares is None else squares[todo], least[todo])
+            best[todo], least[todo] = found, low
+        return best, least.astype(np.int64)
+
+    def _scan(self, at: int, rows: np.ndarray, squares: np.ndarray | None, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order, apart = self.order[at], self.apart[at]
-        for lo in range(0, len(order), STEP):
-            # (d + b)**2 = d**2 + b**2 + 2 d b, its root rounded up.
-            reach = start[todo] + least[todo] + np.ceil(2 * np.sqrt(start[todo].astype(np.float64) * least[todo]) * (1 + 1e-12)).astype(np.int64) + 1
-            todo = todo[apart[lo] <= reach]
+        best, least = np.full(len(rows), at), least.copy()
+        start, todo, lo = np.sqrt(least.astype(np.float64)), np.arange(len(rows)), 0
+        while lo < len(order):
+            # The squared radius (d + b)**2, rounded up.
+            reach = (start[todo] + np.sqrt(least[todo].astype(np.float64))) ** 2 * (1 + 1e-12) + 1
+            inside = apart[lo] <= reach
+            todo = todo[inside]
             if not len(todo):
-                return
-            some = order[lo : lo + STEP]
-            found = self.distances(rows[todo], squares[todo], some)
-            low = found.min(axis=1)
-            # Of equal distances the lowest index.
-            index = np.where(found == low[:, None], some, len(order)).min(axis=1)
+                break
+            end = int(np.searchsorted(apart, reach[inside].max(), side="right"))
+            step = min(max(16, STEP // len(todo)), end - lo)
+            # In order of the index, so that the first of equal distances is the lowest one.
+            some = np.sort(order[lo : lo + step])
+            whole = len(todo) == len(rows)
+            found = self.distances(rows if whole else rows[todo], squares if whole or squares is None else squares[todo], some)
+            k = found.argmin(axis=1)
+            low, index = found[np.arange(len(k)), k], some[k]
             nearer = (low < least[todo]) | ((low == least[todo]) & (index < best[todo]))
             best[todo[nearer]], least[todo[nearer]] = index[nearer], low[nearer]
+            lo += step
+        return best, least
 
 
 def integers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,6 +124,24 @@ def integers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return kept, out[kept]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows in tables of about ``ROWS``."""
+    held, n = [], 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, ROWS):
+            held.append(batch.slice(lo, ROWS))
+            n += held[-1].num_rows
+            if n >= ROWS:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _column(table: pa.Table, i: int) -> pa.Array:
+    return table.column(i).chunk(0) if table.column(i).num_chunks else pa.array([], table.schema.field(i).type)
+
+
 def _packed(q: np.ndarray) -> pa.Array:
     """Each row of a matrix as bytes."""
     held = np.ascontiguousarray(q)
@@ -169,24 +194,22 @@ def _round(rows: DataFrame, state: Rounds, schema: str, first: bool) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = [np.zeros((len(b.entries), state.part + 1), np.int64) for b in state.books]
         kinds = None
-        for batch in batches:
-            kinds = batch.schema
-            for lo in range(0, batch.num_rows, ROWS):
-                some = batch.slice(lo, ROWS)
-                if first:
-                    kept, q = integers(some.column(2), state.width)
-                    some, codes = some.take(pa.array(kept)), np.zeros((len(kept), PARTS), np.int64)
-                else:
-                    q, codes = _matrix(some.column(2), state.kind, state.width).astype(np.int64), _matrix(some.column(3), "u1", PARTS)
-                if not len(q):
-                    continue
-                codes, _ = state.assign(q, codes)
-                for j, held in enumerate(sums):
-                    for c in range(state.part):
-                        held[:, c] += np.bincount(codes[:, j], weights=q[:, j * state.part + c], minlength=len(held)).astype(np.int64)
-                    held[:, -1] += np.bincount(codes[:, j], minlength=len(held))
-                n = len(q)
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), _packed(q.astype(state.kind)), _packed(codes.astype("u1")), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=["vec_id", "label", "q", "code", "slot", "sums"])
+        for some in _gathered(batches):
+            kinds = some.schema
+            if first:
+                kept, q = integers(_column(some, 2), state.width)
+                some, codes = some.take(pa.array(kept)).combine_chunks(), np.zeros((len(kept), PARTS), np.int64)
+            else:
+                q, codes = _matrix(_column(some, 2), state.kind, state.width).astype(np.int64), _matrix(_column(some, 3), "u1", PARTS)
+            if not len(q):
+                continue
+            codes, _ = state.assign(q, codes)
+            for j, held in enumerate(sums):
+                for c in range(state.part):
+                    held[:, c] += np.bincount(codes[:, j], weights=q[:, j * state.part + c], minlength=len(held)).astype(np.int64)
+                held[:, -1] += np.bincount(codes[:, j], minlength=len(held))
+            n = len(q)
+            yield pa.RecordBatch.from_arrays([_column(some, 0), _column(some, 1), _packed(q.astype(state.kind)), _packed(codes.astype("u1")), pa.nulls(n, pa.int32()), pa.nulls(n, pa.list_(pa.int64()))], names=["vec_id", "label", "q", "code", "slot", "sums"])
         if kinds is not None:
             used = [(j * ENTRIES + e, held[e]) for j, held in enumerate(sums) for e in np.flatnonzero(held[:, -1])]
             n = len(used)
@@ -239,13 +262,11 @@ def coded(table: DataFrame, state: Rounds) -> DataFrame:
     """(vec_id, label, code, error): hex digits of each part's entry, and the squared distance over all parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, ROWS):
-                some = batch.slice(lo, ROWS)
-                q = _matrix(some.column(2), state.kind, state.width).astype(np.int64)
-                codes, error = state.assign(q, _matrix(some.column(3), "u1", PARTS))
-                digits = [bytes(c).hex() for c in codes.astype("u1")]
-                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(digits, pa.string()), pa.array(error)], names=["vec_id", "label", "code", "error"])
+        for some in _gathered(batches):
+            q = _matrix(_column(some, 2), state.kind, state.width).astype(np.int64)
+            codes, error = state.assign(q, _matrix(_column(some, 3), "u1", PARTS))
+            digits = [bytes(c).hex() for c in codes.astype("u1")]
+            yield pa.RecordBatch.from_arrays([_column(some, 0), _column(some, 1), pa.array(digits, pa.string()), pa.array(error)], names=["vec_id", "label", "code", "error"])
 
     return table.mapInArrow(run, f"vec_id long, label {table.schema['label'].dataType.simpleString()}, code string, error long")
 
