@@ -6,13 +6,15 @@ SQL it is checked by tests instead. Doubles are rounded to six places on both si
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rolling as R
 from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, screens as S1, signals as SG, significance as S4, validation as V, weights as WT
-from ..sources import panel as P
+from ..sources import bar_cache as BC, feed as FD, panel as P
+from ..sources.shared import Files, shared_folder
 from ..streaming import events as EV
 from . import sql as Q
 
@@ -107,6 +109,37 @@ def _(spark, d):
     return P.ratio_ohlc(bars, P.universe(bars)).select("pair", "ts", "open", "high", "low", "close")
 
 
+def _feed_folder(spark, d) -> str:
+    """The tables' bars as a feed: a folder of its own in the shared one, that goes with the driver."""
+    root = f"{shared_folder(spark)}/tidemark-feed/{uuid.uuid4().hex}"
+    files = Files(spark, root)
+    files.make()
+    files.delete_on_exit()
+    P.bars(spark, d).repartition("ticker").write.partitionBy("ticker").parquet(f"{root}/feed")
+    return root
+
+
+_FOLDER = "tidemark.sources.feed:folder"
+
+
+@query("src_bars_feed", Q.BARS + "SELECT ticker, CAST(ts AS VARCHAR) AS day, round(open,6) AS open, round(high,6) AS high, round(low,6) AS low, round(close,6) AS close, round(volume,6) AS volume, 'feed' AS source, 3 AS requests FROM bars UNION ALL SELECT 'Z', 'none', NULL, NULL, NULL, NULL, NULL, 'missing', 4")
+def _(spark, d):
+    """The feed fails twice, and never has Z."""
+    rows = FD.read_bars(spark, ["A", "N", "R", "Z"], _FOLDER, path=f"{_feed_folder(spark, d)}/feed", batch=2, failing=2, backoff=0)
+    return rows.select("ticker", F.coalesce(F.col("ts").cast("string"), F.lit("none")).alias("day"), *FD.FIELDS, "source", "requests")
+
+
+@query("src_bar_cache", Q.BARS + "SELECT ticker, ts, round(close,6) AS close FROM bars WHERE ts <= (SELECT min(t) FROM (SELECT max(ts) AS t FROM bars GROUP BY ticker))")
+def _(spark, d):
+    """Two tickers are cached, then three wanted: the third is fetched, and all are read from the cache."""
+    root = _feed_folder(spark, d)
+    cache, options = BC.BarCache(spark, f"{root}/cache"), {"path": f"{root}/feed", "backoff": 0, "failing": 1}
+    reached = P.bars(spark, d).groupBy("ticker").agg(F.max("ts").alias("t")).agg(F.min("t").cast("string")).first()[0]
+    for wanted in (["A", "R"], ["A", "N", "R"]):
+        cache.load(wanted, _FOLDER, reached, **options)
+    return cache.close().filter(F.col("ts") <= F.lit(reached).cast("date"))
+
+
 # Screens ----------------------------------------------------------------------------------------
 
 
