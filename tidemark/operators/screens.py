@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions import rolling as R, stats
+from ..functions import rolling as R, stats, unitroot
 from . import kernels as K
 
 LEAST_ROWS = 252
@@ -36,9 +36,9 @@ def halflives(series: DataFrame, value: str = "ratio", by: tuple[str, ...] = ("p
 
 
 def chan_halflife(series: DataFrame, low: float = 2, high: float = 756, alpha: float = 0.05, least: int = LEAST_ROWS) -> DataFrame:
-    """Half-life in range and a unit root rejected at ``alpha``."""
+    """Half-life in range and a unit root rejected at ``alpha``, with no lag or one, whichever has the lower AIC."""
     hl = halflives(series)
-    both = hl.join(adf(series), "pair").filter(F.col("n_rows") >= least)
+    both = hl.join(adf_auto(series, most=1), "pair").filter(F.col("n_rows") >= least)
     ok = F.col("halflife").between(low, high) & (F.col("adf_p") < alpha)
     return both.select("pair", "halflife", window_of(F.col("halflife")).alias("window"), "adf_t", "adf_p", F.coalesce(ok, F.lit(False)).alias("passed"))
 
@@ -71,6 +71,41 @@ def _adf_from(steps: DataFrame, by: tuple[str, ...]) -> DataFrame:
     return out.select(*by, "adf_t", stats.adf_pvalue(F.col("adf_t")).alias("adf_p"))
 
 
+def adf_auto(series: DataFrame, value: str = "ratio", by: tuple[str, ...] = ("pair",), order: str = "seq", most: int | None = None) -> DataFrame:
+    """(by, adf_t, adf_p, lag) with a constant and the lag of least AIC, up to ``most`` or the usual bound.
+
+    One aggregate a key sums the lagged products; no row is multiplied, and what goes to Python is one row a
+    key with a few numbers for each lag. Without ``most`` the longest key decides how many lags are summed.
+    """
+    given = series.select(*by, F.col(order).alias("_o"), F.col(value).cast("double").alias("_v")).filter("_v is not null")
+    if most is None:
+        longest = given.groupBy(*by).count().agg(F.max("count")).first()[0]
+        lags = max(unitroot.most_lags(longest or 0), 0)
+    else:
+        lags = most
+    keys, k = W.partitionBy(*by), 2 * lags + 3
+    w = keys.orderBy("_o")
+    # Differences don't change, and sums stay small, when the first value is taken off.
+    rows = given.withColumn("_x", F.col("_v") - F.first("_v").over(w)).withColumn("_i", F.row_number().over(w)).withColumn("_n", F.count("*").over(keys))
+    rows = rows.withColumn("_p", F.lag("_x").over(w)).withColumn("_d0", F.col("_x") - F.col("_p"))
+    rows = rows.withColumns({f"_d{h}": F.lag("_d0", h).over(w) for h in range(1, lags + 1)})
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0.0))
+    ends = lambda c: F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("_i", "_x")))), lambda r: r["_x"])
+    sums = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.sum("_x").alias("x"), F.sum(F.col("_x") * F.col("_x")).alias("xx"),
+        F.array(*[total(F.col("_d0") * F.col(f"_d{h}")) for h in range(lags + 1)]).alias("dd"),
+        F.array(total(F.col("_p") * F.col("_d0")), *[total(F.col("_x") * F.col(f"_d{h}")) for h in range(lags)]).alias("xd"),
+        ends(F.col("_i") <= k).alias("head"), ends(F.col("_i") > F.col("_n") - k).alias("tail"),
+    )
+
+    @F.pandas_udf("adf_t double, lag int")
+    def test(n: pd.Series, x: pd.Series, xx: pd.Series, dd: pd.Series, xd: pd.Series, head: pd.Series, tail: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([unitroot.adf(unitroot.Sums(*r), most) for r in zip(n, x, xx, dd, xd, head, tail, strict=True)], columns=["adf_t", "lag"])
+
+    found = sums.withColumn("_t", test("n", "x", "xx", "dd", "xd", "head", "tail"))
+    return found.select(*by, "_t.adf_t", stats.adf_pvalue(F.col("_t.adf_t")).alias("adf_p"), "_t.lag")
+
+
 def hurst(series: DataFrame, num_lags: int = 50, least: int = 50) -> DataFrame:
     """Rescaled-range exponent: mean range / deviation over chunks of each lag, slope in logs.
 
@@ -157,7 +192,7 @@ def cadf(series: DataFrame, alpha: float = 0.05) -> DataFrame:
     whole = W.partitionBy("pair")
     e = series.withColumn("_b", F.regr_slope("num_close", "den_close").over(whole)).withColumn("resid", F.col("num_close") - F.col("_b") * F.col("den_close"))
     beta = e.groupBy("pair").agg(F.max("_b").alias("beta"), F.count("*").alias("n_rows"))
-    out = adf(e, "resid").join(beta, "pair").join(halflives(e, "resid").select("pair", "halflife"), "pair").filter(F.col("n_rows") >= LEAST_ROWS)
+    out = adf_auto(e, "resid", most=1).join(beta, "pair").join(halflives(e, "resid").select("pair", "halflife"), "pair").filter(F.col("n_rows") >= LEAST_ROWS)
     return out.select("pair", "beta", "adf_t", "adf_p", "halflife", window_of(F.col("halflife")).alias("window"), F.coalesce(F.col("adf_p") < alpha, F.lit(False)).alias("passed"))
 
 

@@ -245,7 +245,7 @@ def cointegration_spread(s: DataFrame, window: int = 20, entry: float = -2.0, ex
     """The z signal of pairs whose unit root is rejected; other pairs never trade."""
     from . import screens
 
-    p = screens.adf(s).select("pair", (F.col("adf_p") <= alpha).alias("_ok"))
+    p = screens.adf_auto(s).select("pair", (F.col("adf_p") <= alpha).alias("_ok"))
     out = _level(s, R.zscore(F.col("ratio"), window), entry, exit_, slope_min, slope_window)
     return out.join(p, "pair", "left").select(*s.columns, (F.col("entry") & F.coalesce("_ok", F.lit(False))).alias("entry"), (F.col("exit") & F.coalesce("_ok", F.lit(False))).alias("exit"))
 

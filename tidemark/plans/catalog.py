@@ -154,6 +154,11 @@ def _(spark, d):
     return S1.adf(P.series(spark, d)).select("pair", "adf_t")
 
 
+@query("s1_adf_auto", Q.ADF_AUTO)
+def _(spark, d):
+    return S1.adf_auto(P.series(spark, d))
+
+
 @query("s1_kaufman_er", Q.S + Q.ER)
 def _(spark, d):
     return S1.kaufman_er(P.series(spark, d))

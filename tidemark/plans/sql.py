@@ -279,15 +279,32 @@ _ADF_OF = (
     "g{k} AS (SELECT {g}, count(*)::DOUBLE AS n, covar_pop(x,x) xx, covar_pop(z,z) zz, covar_pop(x,z) xz, covar_pop(x,y) xy, covar_pop(z,y) zy, covar_pop(y,y) yy FROM b{k} WHERE z IS NOT NULL GROUP BY ALL), "
     "h{k} AS (SELECT *, xx*zz-xz*xz AS det, (zz*xy-xz*zy)/(xx*zz-xz*xz) AS b1, (xx*zy-xz*xy)/(xx*zz-xz*xz) AS b2 FROM g{k}), t{k} AS (SELECT {g}, b1/sqrt(greatest(n*(yy-b1*xy-b2*zy),0)/(n-3)*zz/(n*det)) AS t FROM h{k})"
 )
+_GRAM = "(SELECT {g}, list(r ORDER BY i) AS m FROM (SELECT {g}, i, list(s ORDER BY j) AS r FROM (SELECT {g}, i, j, sum(v[i]*v[j]) AS s FROM (SELECT *, unnest(range(1, len(v)+1)) AS i FROM {src}) q, range(1, 80) t(j) WHERE j <= len(v) GROUP BY ALL) GROUP BY ALL) GROUP BY ALL)"
+#: Gaussian elimination of a list of lists, all columns but the last; a row stays as it was when its turn came.
+_ELIMINATED = "list_reduce(list_transform(range(1, len(m)), lambda k: [[k::DOUBLE]]), lambda h, k: list_transform(range(1, len(h)+1), lambda i: list_transform(range(1, len(h)+1), lambda j: CASE WHEN i > k[1][1] THEN h[i][j]-h[i][k[1][1]::BIGINT]*h[k[1][1]::BIGINT][j]/h[k[1][1]::BIGINT][k[1][1]::BIGINT] ELSE h[i][j] END)), m)"
+#: t{k}({g}, t, lag): the lag of least AIC up to {most} of n; all lags on one sample, the test on its own.
+_ADF_AUTO = (
+    "ra{k} AS (SELECT {g}, seq, {v} AS v0, count(*) OVER (PARTITION BY {g}) AS n, {v}-avg({v}) OVER (PARTITION BY {g}) AS c FROM {src} WHERE {v} IS NOT NULL), rb{k} AS (SELECT *, lag(c) OVER w AS x, c-lag(c) OVER w AS y FROM ra{k} WINDOW w AS (PARTITION BY {g} ORDER BY seq)), "
+    "rc{k} AS (SELECT *, least({most}, n//2-2) AS most, row_number() OVER (PARTITION BY {g} ORDER BY seq) AS i, list(y) OVER (PARTITION BY {g} ORDER BY seq ROWS 80 PRECEDING) AS ys FROM rb{k}), "
+    "rd{k} AS (SELECT {g}, n, most, [1.0, x] || list_reverse(ys[len(ys)-most:len(ys)-1]) || [y] AS v FROM rc{k} WHERE i >= most+2), "
+    "re{k} AS (SELECT *, " + _ELIMINATED + " AS h FROM " + _GRAM.format(g="{g}", src="rd{k}") + "), "
+    "rf{k} AS (SELECT {g}, list_transform(range(2, len(h)), lambda p: m[1][1]*ln((m[len(m)][len(m)]-list_sum(list_transform(range(1, p+1), lambda i: h[i][len(h)]*h[i][len(h)]/h[i][i])))/m[1][1])+2*p) AS aic FROM re{k}), "
+    "rg{k} AS (SELECT {g}, list_position(aic, list_min(aic))-1 AS lag FROM rf{k}), "
+    "rh{k} AS (SELECT {g}, lag, [1.0] || list_reverse(ys[len(ys)-lag:len(ys)-1]) || [x, y] AS v FROM rc{k} JOIN rg{k} USING ({g}) WHERE i >= lag+2), "
+    "ri{k} AS (SELECT *, len(m) AS p, " + _ELIMINATED + " AS h FROM " + _GRAM.format(g="{g}", src="rh{k}") + "), "
+    "t{k} AS (SELECT {g}, lag, h[p-1][p]/h[p-1][p-1]/sqrt(h[p][p]/(m[1][1]-lag-2)/h[p-1][p-1]) AS t FROM ri{k} JOIN rg{k} USING ({g}))"
+)
+_USUAL_LAGS = "ceil(12*pow(n/100.0, 0.25))::BIGINT"
 _HL_OF = "l{k} AS (SELECT {g}, count(*) AS n, CASE WHEN count(*)>=30 AND regr_slope(dx,px)<0 AND regr_slope(dx,px)>-1 THEN -ln(2)/ln(1+regr_slope(dx,px)) END AS hl FROM (SELECT {g}, {v}-lag({v}) OVER w AS dx, lag({v}) OVER w AS px FROM {src} WINDOW w AS (PARTITION BY {g} ORDER BY seq)) GROUP BY ALL)"
 CADF = (
-    S + ", bb AS (SELECT pair, regr_slope(num_close, den_close) AS beta FROM s GROUP BY 1), e AS (SELECT s.pair, seq, num_close-beta*den_close AS e FROM s JOIN bb USING (pair)), " + _ADF_OF.format(k=1, g="pair", v="e", src="e") + ", " + _HL_OF.format(k=1, g="pair", v="e", src="e")
+    S + ", bb AS (SELECT pair, regr_slope(num_close, den_close) AS beta FROM s GROUP BY 1), e AS (SELECT s.pair, seq, num_close-beta*den_close AS e FROM s JOIN bb USING (pair)), " + _ADF_AUTO.format(k=1, g="pair", v="e", src="e", most=1) + ", " + _HL_OF.format(k=1, g="pair", v="e", src="e")
     + f" SELECT pair, round(beta,6) AS beta, round(t,6) AS adf_t, round({adf_p('t')},6) AS adf_p, round(hl,6) AS halflife, {_WIN} AS \"window\", coalesce({adf_p('t')} < 0.05, false) AS passed FROM bb JOIN t1 USING (pair) JOIN l1 USING (pair) WHERE n >= 252"
 )
 CHAN_HALFLIFE = (
-    S + ", " + _ADF_OF.format(k=1, g="pair", v="ratio", src="s") + ", " + _HL_OF.format(k=1, g="pair", v="ratio", src="s")
+    S + ", " + _ADF_AUTO.format(k=1, g="pair", v="ratio", src="s", most=1) + ", " + _HL_OF.format(k=1, g="pair", v="ratio", src="s")
     + f" SELECT pair, round(hl,6) AS halflife, {_WIN} AS \"window\", round(t,6) AS adf_t, round({adf_p('t')},6) AS adf_p, coalesce(hl BETWEEN 2 AND 756 AND {adf_p('t')} < 0.05, false) AS passed FROM t1 JOIN l1 USING (pair) WHERE n >= 252"
 )
+ADF_AUTO = S + ", " + _ADF_AUTO.format(k=1, g="pair", v="ratio", src="s", most=_USUAL_LAGS) + f" SELECT pair, round(t,6) AS adf_t, round({adf_p('t')},6) AS adf_p, lag::INTEGER AS lag FROM t1"
 DSR_INPUTS = (
     S + ", p AS (SELECT s.pair AS unit, w AS combo, seq, coalesce((ratio > CASE w WHEN 10 THEN " + roll("avg", "ratio", 10) + " WHEN 20 THEN " + roll("avg", "ratio", 20) + " ELSE " + roll("avg", "ratio", 40)
     + " END)::INTEGER, 0) AS pos, coalesce(num_close/lag(num_close) OVER (PARTITION BY pair, w ORDER BY seq)-1, 0) AS r FROM (SELECT * FROM s, (VALUES (10),(20),(40)) v(w)) s), "
@@ -336,7 +353,7 @@ _MORE_SIGNALS = {
         f", a AS (SELECT *, ratio/{lag('ratio')}-1 AS r, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s), b AS (SELECT *, {roll('stddev_samp', 'r', 20)} AS vol FROM a), c AS (SELECT *, count(vol) OVER h AS cv, list(vol) FILTER (vol IS NOT NULL) OVER h AS held FROM b WINDOW h AS (PARTITION BY pair ORDER BY seq ROWS 251 PRECEDING)), "
         "dd AS (SELECT *, 1+0.5*(coalesce(CASE WHEN cv>=20 AND vol IS NOT NULL THEN (len(list_filter(held, lambda v: v<vol))+(len(list_filter(held, lambda v: v=vol))+1)/2.0)/len(held) END,0.5)-0.5) AS sc FROM c)", "dd", "z<=-2*sc", "z>=0*sc"),
     "cointegration_spread": lambda: (
-        _signal(f", a AS (SELECT *, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s)", "a", "z<=-2", "z>=0").replace("SELECT pair, ts, coalesce(", ", " + _ADF_OF.format(k=1, g="pair", v="ratio", src="s") + f", ok AS (SELECT pair, {adf_p('t')} <= 0.05 AS ok FROM t1) SELECT f.pair, ts, ok AND coalesce(", 1).replace(' AS entry, coalesce(', ' AS entry, ok AND coalesce(').replace('AS "exit" FROM f', 'AS "exit" FROM f JOIN ok USING (pair)')
+        _signal(f", a AS (SELECT *, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s)", "a", "z<=-2", "z>=0").replace("SELECT pair, ts, coalesce(", ", " + _ADF_AUTO.format(k=1, g="pair", v="ratio", src="s", most=_USUAL_LAGS) + f", ok AS (SELECT pair, {adf_p('t')} <= 0.05 AS ok FROM t1) SELECT f.pair, ts, ok AND coalesce(", 1).replace(' AS entry, coalesce(', ' AS entry, ok AND coalesce(').replace('AS "exit" FROM f', 'AS "exit" FROM f JOIN ok USING (pair)')
     ),
 }
 _plain_signal = signal
