@@ -404,8 +404,9 @@ def test_registry_and_gates(spark):
         PL.validate_interface(spark.range(1), "s4")
     with pytest.raises(ValueError):
         PL.Pipeline(s3="cpcv", s4="wfe")
-    rows = spark.createDataFrame([(True,)] * 2 + [(False,)] * 98, "passed boolean")
-    assert PL.anomalies(rows, "s1").first()["ok"]
+    for passing, ok in ((2, False), (40, True)):  # the published band is 5 to 95 %
+        rows = spark.createDataFrame([(True,)] * passing + [(False,)] * (100 - passing), "passed boolean")
+        assert PL.anomalies(rows, "s1").first()["ok"] is ok
     assert PL.resolve_severity("x", "off", ("x",)) == "strict"
     assert len(PL.build_tag({"a_long_name": 0.25, "flag": True})) <= 40
 

@@ -13,7 +13,7 @@ from typing import Any
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..sources import panel as P
-from . import backtest as B, metrics as M, patterns as PT, screens, segments as SG, signals, significance as S, validation as V, weights as WT
+from . import backtest as B, metrics as M, patterns as PT, rules as RL, screens, segments as SG, signals, significance as S, validation as V, weights as WT
 
 STAGES = ("s0", "s1", "s2", "s3", "s4", "s5")
 REGISTRY: dict[str, dict[str, Callable]] = {s: {} for s in STAGES}
@@ -26,13 +26,6 @@ REQUIRED = {
     "s4": ("pair", "numerator", "denominator", "passed", "tier"),
     "s5": ("scheme_name", "cohort", "oos_sr_full", "oos_cagr", "oos_max_dd", "n_units"),
 }
-RULES = {
-    "s1": {"window": "window is null or window >= 0"},
-    "s2": {"stop_pct": "stop_pct >= 0", "is_trades": "is_trades >= 0", "oos_trades": "oos_trades >= 0"},
-    "s3": {"std_test_sharpe": "std_test_sharpe >= 0", "n_test_periods": "n_test_periods >= 1"},
-    "s4": {"tier": "tier in ('TOP_TIER','SECOND_TIER','REJECT','GOOD','MARGINAL')"},
-    "s5": {"oos_max_dd": "oos_max_dd <= 0", "n_units": "n_units >= 1", "cohort": "cohort in ('singles','ratios','combined')"},
-}
 
 
 def register_stage(stage: str) -> Callable[[Callable], Callable]:
@@ -77,9 +70,7 @@ def validate_interface(df: DataFrame, stage: str) -> DataFrame:
 
 def violations(df: DataFrame, stage: str) -> DataFrame:
     """Rows that break each rule of the stage, counted in one pass: (rule, n)."""
-    rules = {k: v for k, v in RULES[stage].items() if k in df.columns}
-    g = df.agg(*[F.count_if(~F.coalesce(F.expr(v), F.lit(False))).alias(k) for k, v in rules.items()])
-    return g.unpivot([], list(rules), "rule", "n")
+    return RL.rule_counts(RL.check_rows(df, stage))
 
 
 def build_tag(overrides: dict[str, Any], most: int = 40) -> str:
@@ -96,12 +87,18 @@ def stage_name(stage: str, cohort: str | None = None, tag: str = "") -> str:
     return "_".join(x for x in (stage, cohort, tag, "metrics") if x)
 
 
-def write_stage(df: DataFrame, stage: str, folder: str, cohort: str | None = None, tag: str = "", fmt: str = "parquet", validate: bool = True) -> str:
+def write_stage(df: DataFrame, stage: str, folder: str, cohort: str | None = None, tag: str = "", fmt: str = "parquet", validate: bool = True, rows: str = "off") -> str:
+    """``rows``: off; split (good rows are written here, all rows and examples of bad ones go to ``quarantine`` beside
+    it); strict (bad rows raise SchemaError and no stage table is written)."""
+    if rows not in ("off", "split", "strict"):
+        raise ValueError(f"no row check {rows!r}; there are off, split, strict")
     if fmt not in ("parquet", "csv"):
         raise ValueError(f"no format {fmt!r}; there are parquet and csv")
     if validate:
         validate_interface(df, stage)
     path = f"{folder.rstrip('/')}/{stage_name(stage, cohort, tag)}.{fmt}"
+    if rows != "off":
+        df = RL.split_rows(df, stage, f"{folder.rstrip('/')}/quarantine/{stage_name(stage, cohort, tag)}", rows == "strict").good
     df.write.mode("overwrite").option("header", True).format(fmt).save(path)
     return path
 
@@ -135,20 +132,17 @@ def unfinished(units: DataFrame, done: DataFrame, key: str = "pair") -> DataFram
     return units.join(done, key, "left_anti")
 
 
-# Bands of the anomaly checks (stage, statistic, low, high).
+# The published checks (stage, statistic, columns it needs, low, high) and those strict by themselves.
 CHECKS = {
-    "s1_pass_rate": ("s1", "avg(cast(passed as int))", 0.01, 0.90),
-    "s2_median_is_sharpe": ("s2", "percentile(is_sharpe, 0.5)", 0.0, 3.0),
-    "s3_mean_degradation": ("s3", "avg(degradation)", -1.0, 0.9),
-    "s3_pass_rate": ("s3", "avg(cast(passed as int))", 0.01, 0.95),
-    "s4_pass_rate": ("s4", "avg(cast(passed as int))", 0.02, 0.80),
-    "s5_max_sharpe": ("s5", "max(oos_sr_full)", 0.0, 4.0),
-    "s5_n_schemes": ("s5", "count(*)", 1, 10_000),
+    "s1_pass_rate": ("s1", "avg(cast({0} as int))", ("passed",), 0.05, 0.95),
+    "s2_oos_sr": ("s2", "percentile({0}, 0.5)", ("oos_sharpe",), None, 2.0),
+    "s3_fold_win_rate": ("s3", "percentile({0}, 0.5)", ("fold_win_rate",), 0.5, None),
+    "s3_cohort_size": ("s3", "coalesce(sum(cast({0} as int)), 0)", ("passed",), 50.0, None),
+    "s4_pass_rate": ("s4", "avg(cast({0} as int))", ("psr_pass", "passed"), 0.05, 0.90),
+    "s5_ir_vs_spy": ("s5", "max({0})", ("ir_vs_spy",), 0.0, None),
+    "s5_locked_sr": ("s5", "max({0})", ("oos_sr_haircut",), 0.5, None),
 }
-
-
-# Checks that are strict by themselves.
-STRICT = ("s4_pass_rate",)
+STRICT = ("s2_oos_sr", "s4_pass_rate")
 
 
 def resolve_severity(check: str, policy: str = "warn", strict_on: tuple[str, ...] = ()) -> str:
@@ -160,13 +154,28 @@ def resolve_severity(check: str, policy: str = "warn", strict_on: tuple[str, ...
     return "strict" if check in STRICT else "warn"
 
 
-def anomalies(df: DataFrame, stage: str, policy: str = "warn", strict_on: tuple[str, ...] = ()) -> DataFrame:
-    """(check, value, low, high, severity, ok): all checks of the stage in one aggregate."""
-    mine = {k: v for k, v in CHECKS.items() if v[0] == stage}
-    g = df.agg(*[F.expr(v[1]).cast("double").alias(k) for k, v in mine.items()]).unpivot([], list(mine), "check", "value")
-    bands = F.create_map(*[x for k, v in mine.items() for x in (F.lit(k), F.struct(F.lit(float(v[2])).alias("low"), F.lit(float(v[3])).alias("high"), F.lit(resolve_severity(k, policy, strict_on)).alias("severity")))])
-    g = g.withColumn("b", bands[F.col("check")])
-    return g.select("check", "value", "b.low", "b.high", "b.severity", F.coalesce(F.col("value").between(F.col("b.low"), F.col("b.high")), F.lit(False)).alias("ok"))
+def anomalies(df: DataFrame, stage: str, policy: str = "warn", strict_on: tuple[str, ...] = (), bands: dict[str, tuple[float | None, float | None]] | None = None) -> DataFrame:
+    """(check, value, low, high, severity, ok): all checks of the stage in one aggregate.
+
+    A check reads the first of its columns that there is; without one, and with severity off, it has no row. Where
+    there is nothing to measure (no rows, only nulls) a check is ok. ``bands`` changes published bounds.
+    """
+    if stage not in STAGES:
+        raise KeyError(f"no stage {stage!r}; there are {', '.join(STAGES)}")
+    mine = {}
+    for name, (at, statistic, columns, low, high) in CHECKS.items():
+        there = [c for c in columns if c in df.columns]
+        severity = resolve_severity(name, policy, strict_on)
+        if at == stage and there and severity != "off":
+            mine[name] = (statistic.format(there[0]), *(bands or {}).get(name, (low, high)), severity)
+    schema = "check string, value double, low double, high double, severity string, ok boolean"
+    if not mine:
+        return df.sparkSession.createDataFrame([], schema)
+    g = df.agg(*[F.expr(v[0]).cast("double").alias(k) for k, v in mine.items()]).unpivot([], list(mine), "check", "value")
+    about = F.create_map(*[x for k, v in mine.items() for x in (F.lit(k), F.struct(F.lit(v[1]).cast("double").alias("low"), F.lit(v[2]).cast("double").alias("high"), F.lit(v[3]).alias("severity")))])
+    g = g.withColumn("b", about[F.col("check")])
+    outside = F.coalesce(F.col("value") < F.col("b.low"), F.lit(False)) | F.coalesce(F.col("value") > F.col("b.high"), F.lit(False))
+    return g.select("check", "value", "b.low", "b.high", "b.severity", (~outside).alias("ok"))
 
 
 EVENTS = ("pipeline_start", "pipeline_end", "stage_start", "stage_end", "stage_error", "anomaly", "write")

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rolling as R
-from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, screens as S1, signals as SG, significance as S4, validation as V, weights as WT
+from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, validation as V, weights as WT
 from ..sources import bar_cache as BC, feed as FD, panel as P
 from ..sources.shared import Files, shared_folder
 from ..streaming import events as EV
@@ -626,11 +626,45 @@ def _(spark, d):
     return PL.Pipeline(s1="passthrough", s4=["t_test", "min_trl"], config={"min_is_sharpe": -9.0, "min_oos_sharpe": -9.0, "min_is_trades": 1, "min_oos_trades": 0, "s3_min_oos_sharpe": -9.0}).run(prices, P.universe(prices), stop_after="s4").stages["s4"].select("pair", "tier", "passed", "sig_method")
 
 
-@query("ql_anomalies", Q.S + "SELECT 's1_pass_rate' AS \"check\", avg(1.0::DOUBLE) AS value, 0.01::DOUBLE AS low, 0.9::DOUBLE AS high, 'warn' AS severity, avg(1.0::DOUBLE) BETWEEN 0.01 AND 0.9 AS ok FROM (SELECT pair FROM s GROUP BY 1 HAVING count(*)>=252)")
+@query("ql_anomalies", Q.S + "SELECT 's1_pass_rate' AS \"check\", avg(1.0::DOUBLE) AS value, 0.05::DOUBLE AS low, 0.95::DOUBLE AS high, 'warn' AS severity, avg(1.0::DOUBLE) BETWEEN 0.05 AND 0.95 AS ok FROM (SELECT pair FROM s GROUP BY 1 HAVING count(*)>=252)")
 def _(spark, d):
     return PL.anomalies(S1.passthrough(P.series(spark, d)), "s1")
 
 
+@query("ql_checks", Q.CHECKS)
+def _(spark, d):
+    """All seven checks on monthly statistics of the pairs, which stand in for the stages' rows."""
+    s = P.series(spark, d).withColumn("r", R.change(F.col("ratio"))).withColumn("month", F.trunc("ts", "month"))
+    g = s.groupBy("pair", "month").agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("mu"), F.coalesce(F.avg((F.col("r") > 0).cast("int")), F.lit(0.0)).alias("fold_win_rate"))
+    rows = g.select("pair", "month", (F.col("mu") * 1000).alias("oos_sharpe"), (F.col("mu") > 0).alias("passed"), "fold_win_rate", (F.col("mu") > 0.01).alias("psr_pass"), (F.col("mu") - 1).alias("ir_vs_spy"), (F.col("mu") * 10).alias("oos_sr_haircut"))
+    out = None
+    for stage in ("s1", "s2", "s3", "s4", "s5"):
+        got = PL.anomalies(rows, stage, strict_on=("s5_ir_vs_spy",))
+        out = got if out is None else out.unionByName(got)
+    return out
+
+
+def _monthly_s1(spark, d):
+    """Screens of each pair and month: some have no half-life, so a window of 0, and some lack a value."""
+    s = P.series(spark, d).withColumn("month", F.month("ts").cast("string"))
+    h = S1.halflives(s.withColumn("ratio", F.col("ratio")), by=("pair", "month"))
+    parts = F.split("pair", "/")
+    return h.select("pair", F.when(F.col("month") != "1", parts[0]).alias("numerator"), parts[1].alias("denominator"), F.when(F.col("month") == "2", F.lit("maybe")).otherwise(F.lit("true")).alias("passed"), "halflife", S1.window_of(F.col("halflife")).cast("double").alias("window"), F.when(F.col("month") != "3", F.lit("monthly")).alias("method"), "month")
+
+
+@query("ql_rows", Q.ROWS)
+def _(spark, d):
+    """Counts of broken rules, of examples and of good rows, from one pass over the table."""
+    root = f"{shared_folder(spark)}/tidemark-rows/{uuid.uuid4().hex}"
+    files = Files(spark, root)
+    files.make()
+    files.delete_on_exit()
+    got = RL.split_rows(_monthly_s1(spark, d), "s1", f"{root}/s1")
+    shown = got.examples.groupBy("rule").agg(F.count("*").alias("examples"))
+    good = got.good.agg(F.lit("good").alias("rule"), F.count("*").alias("n")).withColumn("examples", F.lit(0).cast("long"))
+    return got.counts.join(shown, "rule").unionByName(good)
+
+
 _EV = "SELECT {a}, event_type, count(*) AS n, round({v},6) AS {name} FROM {src} GROUP BY 1,2"
 query("ev_tumbling", _EV.format(a="date_trunc('hour', ts) AS start", v="avg(value)", name="mean_value", src="events"))(lambda s, d: EV.tumbling(s.read.parquet(f"{d}/events.parquet")))
 query("ev_sliding", _EV.format(a="date_trunc('hour', ts) - INTERVAL 1 HOUR * k AS start", v="sum(value)", name="total", src="events, range(2) t(k)"))(lambda s, d: EV.sliding(s.read.parquet(f"{d}/events.parquet")))

@@ -463,3 +463,17 @@ CHAN_COMBINED = (
 TREND_COMBINED = (
     f"SELECT e.pair, median_er, e.passed AS passed_base, coalesce(h.passed,false) AS passed_hurst, e.passed AND coalesce(h.passed,false) AS passed FROM ({S + ER.replace('< 0.3', '> 0.3')}) e LEFT JOIN ({HURST_TREND}) h USING (pair)"
 )
+
+CHECKS = (
+    S + ", m AS (SELECT pair, date_trunc('month', ts) AS month, coalesce(avg(r),0) AS mu, coalesce(avg((r>0)::INTEGER),0) AS w FROM (SELECT pair, ts, ratio/nullif(lag(ratio) OVER (PARTITION BY pair ORDER BY seq),0)-1 AS r FROM s) GROUP BY 1,2), "
+    "v AS (SELECT 's1_pass_rate' AS c, avg((mu>0)::INTEGER)::DOUBLE AS x, 0.05::DOUBLE AS lo, 0.95::DOUBLE AS hi, 'warn' AS sev FROM m UNION ALL SELECT 's2_oos_sr', quantile_cont(mu*1000,0.5), NULL, 2.0, 'strict' FROM m UNION ALL SELECT 's3_fold_win_rate', quantile_cont(w,0.5), 0.5, NULL, 'warn' FROM m "
+    "UNION ALL SELECT 's3_cohort_size', sum((mu>0)::INTEGER)::DOUBLE, 50.0, NULL, 'warn' FROM m UNION ALL SELECT 's4_pass_rate', avg((mu>0.01)::INTEGER)::DOUBLE, 0.05, 0.9, 'strict' FROM m UNION ALL SELECT 's5_ir_vs_spy', max(mu-1), 0.0, NULL, 'strict' FROM m UNION ALL SELECT 's5_locked_sr', max(mu*10), 0.5, NULL, 'warn' FROM m) "
+    "SELECT c AS \"check\", round(x,6) AS value, lo AS low, hi AS high, sev AS severity, NOT (coalesce(x<lo,false) OR coalesce(x>hi,false)) AS ok FROM v"
+)
+ROWS = (
+    S + ", sm AS (SELECT *, month(ts) AS mo FROM s), st AS (SELECT pair, mo, ratio-lag(ratio) OVER w AS dx, lag(ratio) OVER w AS px FROM sm WINDOW w AS (PARTITION BY pair ORDER BY seq)), "
+    "h AS (SELECT pair, mo, CASE WHEN count(*)>=30 AND regr_slope(dx,px)<0 AND regr_slope(dx,px)>-1 THEN -ln(2)/ln(1+regr_slope(dx,px)) END AS hl FROM st GROUP BY 1,2), "
+    "r AS (SELECT *, mo=1 AS a, mo=2 AS b, coalesce(least(greatest(floor(hl*0.5),10),252),0)<1 AS c, mo=3 AS e FROM h), "
+    "n AS (SELECT 'numerator: null' AS rule, count(*) FILTER (a) AS n FROM r UNION ALL SELECT 'passed: type', count(*) FILTER (b) FROM r UNION ALL SELECT 'window: low', count(*) FILTER (c) FROM r UNION ALL SELECT 'method: null', count(*) FILTER (e) FROM r) "
+    "SELECT rule, n, least(n,5) AS examples FROM n WHERE n>0 UNION ALL SELECT 'good', count(*) FILTER (NOT (a OR b OR c OR e)), 0 FROM r"
+)
