@@ -14,6 +14,18 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from . import stats
+
+
+def pvalue(t: float) -> float:
+    """``stats.adf_pvalue`` of one number."""
+    if t == 0 or t > stats._ADF_MAX:
+        return 1.0
+    if t < stats._ADF_MIN:
+        return 0.0
+    terms = stats._ADF_SMALL if t <= stats._ADF_STAR else stats._ADF_LARGE
+    return 0.5 * math.erfc(-sum(a * t**i for i, a in enumerate(terms)) / math.sqrt(2))
+
 
 def most_lags(n: int, most: int | None = None) -> int:
     """The usual bound, 12 (n / 100) ** 0.25 rounded up, and never so many that the regression has no room."""

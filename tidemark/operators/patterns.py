@@ -324,6 +324,59 @@ def breakout_trace(bars: DataFrame, entry_conf: int = 3, exit_conf: int = 3, sto
     return _breakout_pairs(bars, make, BREAKOUT_TRADES)
 
 
+CHOSEN = ("entry_thresh", "exit_thresh", "stop_pct")
+
+
+class _Chosen:
+    """A pair's bars with the combination an optimiser chose for it, in the columns ``CHOSEN``."""
+
+    def __init__(self, rows: pd.DataFrame, cost: float, slip: float, lines: dict):
+        rows = rows.sort_values("ts")
+        high, low, self.close, self.num = (rows[c].to_numpy(float) for c in ("high", "low", "close", "num_close"))
+        self.found = [x for kind in ("resistance", "support") for x in trendlines_of(high, low, kind, **lines)]
+        self.entry, self.exit, self.stop = (float(rows[c].iloc[0]) for c in CHOSEN)
+        self.pair, self.cost, self.slip = rows["pair"].iloc[0], cost, slip
+
+    def returns(self, cut: int = 0, entry: float | None = None, exit_: float | None = None, stop: float | None = None) -> np.ndarray:
+        confs = tuple(max(1, int(a if b is None else b)) for a, b in ((self.entry, entry), (self.exit, exit_)))
+        over, under = streak_events(self.close, self.found, confs)
+        return breakout_trades(self.num[cut:], over[cut:, 0], under[cut:, 1], self.stop if stop is None else stop, self.cost, self.slip)[0]
+
+
+def breakout_returns(bars: DataFrame, chosen: DataFrame, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
+    """(pair, seq, ret): each pair walked with its own row of ``chosen`` (pair, entry_thresh, exit_thresh, stop_pct)."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        p = _Chosen(rows, cost, slip, lines)
+        return pd.DataFrame({"pair": p.pair, "seq": np.arange(1, len(rows) + 1), "ret": p.returns()})
+
+    return bars.join(chosen.select("pair", *CHOSEN), "pair").groupBy("pair").applyInPandas(one, "pair string, seq long, ret double")
+
+
+def breakout_sensitivity(bars: DataFrame, chosen: DataFrame, schema: str, is_ratio: float = 0.7, shift: float = 0.2, most: float = 0.5, least: float = 0.0, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
+    """The last part of each pair with each confirmation one bar fewer and more and the stop a fifth lower and
+    higher, against the chosen combination. Columns as ``schema`` names them."""
+
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        p = _Chosen(rows, cost, slip, lines)
+        cut = int(len(rows) * is_ratio)
+        whole = p.returns(cut)
+        base = S.sharpe(whole)
+        variants = [{"entry": p.entry + s} for s in (-1, 1) if p.entry + s >= 1] + [{"exit_": p.exit + s} for s in (-1, 1) if p.exit + s >= 1]
+        variants += [{"stop": p.stop * (1 + s * shift)} for s in (-1, 1) if p.stop > 0]
+        tried = [S.sharpe(p.returns(cut, **v)) for v in variants]
+        mean = float(np.mean(tried))
+        down = 1 - mean / base if base > 1e-6 else None
+        row = {
+            "pair": p.pair, "mean_test_sharpe": mean, "std_test_sharpe": float(np.std(tried, ddof=1)), "n_test_periods": len(tried), "n_oos_bars": len(whole), "baseline_sharpe": base, "degradation": down,
+            "oos_cagr": S.cagr(whole), "oos_max_dd": S.deepest(whole), "pct_positive": float(np.mean([t > 0 for t in tried])), "wfe": mean / base if base > 0 and mean > 0 else 0.0,
+            "passed": bool(base >= least and down is not None and down < most), "val_method": "sensitivity",
+        }
+        return pd.DataFrame([row])[[c.split()[0] for c in schema.split(", ")]]
+
+    return bars.join(chosen.select("pair", *CHOSEN), "pair").groupBy("pair").applyInPandas(one, schema)
+
+
 def _classified(tops: np.ndarray, bottoms: np.ndarray, x: np.ndarray, n: int = 1) -> dict[int, str]:
     """Each pivot's type against the n pivots of its kind before it; the first ones have none."""
     out = {}

@@ -260,6 +260,18 @@ PRESETS: dict[str, dict[str, Any]] = {
 SAME = {"handcraft_carver": "handcraft", "neighborhood": "sensitivity", "bootstrap": "bootstrap_ci", "random_search": "optuna_tpe", "is_oos": "chan_is_oos"}
 
 
+#: The signals of the optimisers that have their own.
+OWN = {"grid_ma": ("ma_crossover", "ema_crossover", "dual_ma_crossover", "kama_crossover", "momentum"), "grid_regime": ("regime_switch",), "grid_breakout": ("trendline_breakout",), "grid_obv_pivot": ("obv_pivot",)}
+OWN["optuna_ma"] = OWN["grid_ma"]
+#: Grids of entry and exit on the scale of signals that aren't z-scores; given grids win over these.
+GRIDS = {
+    "rsi_simple": (_RSI["entry_grid"], _RSI["exit_grid"]), "rsi_wilder": (_RSI["entry_grid"], _RSI["exit_grid"]), "rsi_connors": ([10.0, 15.0, 20.0, 25.0, 30.0], [50.0, 55.0, 60.0, 65.0, 70.0]), "cum_rsi": ([20.0, 35.0, 50.0, 65.0], [55.0, 65.0, 75.0]),
+    "donchian": ([15.0, 20.0, 30.0, 40.0, 55.0], [5.0, 10.0, 15.0, 20.0]), "donchian_midline": ([0.05, 0.1, 0.2, 0.3], [0.4, 0.5, 0.6, 0.8]), "atr_pullback": ([1.0, 1.5, 2.0, 2.5, 3.0], [0.0, 0.25, 0.5, 0.75]),
+    "keltner": ([1.0, 1.5, 2.0, 2.5, 3.0], [-0.5, 0.0, 0.5, 1.0]), "sma_distance": ([-0.05, -0.03, -0.02, -0.01], [0.0, 0.01, 0.02]), "stochastic_k": ([10.0, 20.0, 30.0], [70.0, 80.0, 90.0]), "williams_r": ([-95.0, -90.0, -80.0, -70.0], [-30.0, -20.0, -10.0]),
+    "consec_down": ([-0.01, -0.005, 0.0], [3.0, 5.0, 8.0, 10.0]), "nday_low": ([100.0, 150.0, 200.0], [5.0, 10.0, 15.0, 20.0]), "double_bottom": ([0.01, 0.02, 0.03, 0.05], [10.0, 20.0, 40.0]), "adx_ema_pullback": ([20.0, 25.0, 30.0, 35.0], [0.0]),
+}
+
+
 @dataclass
 class Result:
     name: str
@@ -304,8 +316,11 @@ def settings_of(given: dict[str, Any] | None) -> dict[str, Any]:
 class Pipeline:
     """Lazy stages: screens, optimiser, validators, significance tests, weights."""
 
-    def __init__(self, s1: str = "chan_halflife", signal: str = "zscore_standard", s2: str = "grid_search", s3: str | list[str] | None = "wfa_expanding", s4: str | list[str] | None = "t_test", s5: str | None = "equal_weight", name: str = "pipeline", config: dict[str, Any] | None = None):
-        self.s1, self.signal, self.s2, self.name, self.config = SAME.get(s1, s1), signal, SAME.get(s2, s2), name, config or {}
+    def __init__(self, s1: str = "chan_halflife", signal: str | None = None, s2: str = "grid_search", s3: str | list[str] | None = "wfa_expanding", s4: str | list[str] | None = "t_test", s5: str | None = "equal_weight", name: str = "pipeline", config: dict[str, Any] | None = None):
+        """Without a ``signal`` it is the optimiser's own, or zscore_standard."""
+        self.s1, self.s2, self.name, self.config = SAME.get(s1, s1), SAME.get(s2, s2), name, config or {}
+        self.signal = signal or OWN.get(self.s2, ("zscore_standard",))[0]
+        signal = self.signal
         self.s3, self.s4, self.s5 = _list(s3), _list(s4), SAME.get(s5, s5)
         for stage, chosen in (("s1", [self.s1]), ("s2", [self.s2]), ("s3", self.s3), ("s4", self.s4), ("s5", [self.s5] if self.s5 else [])):
             for m in chosen:
@@ -314,14 +329,20 @@ class Pipeline:
             raise KeyError(f"no signal {signal!r}; there are {', '.join(sorted(signals.SIGNALS))}")
         if "wfe" in self.s4 and not any(v.startswith("wfa") for v in self.s3):
             raise ValueError("wfe needs a walk-forward validator")
-        if (self.s2 == "grid_breakout") != (signal == "trendline_breakout") or (self.s2 == "grid_obv_pivot") != (signal == "obv_pivot"):
+        own = {v for names in OWN.values() for v in names} - {"regime_switch", *OWN["grid_ma"]}
+        if signal not in OWN.get(self.s2, (signal,)) or (signal in own and self.s2 not in OWN):
             raise ValueError(f"{self.s2} and {signal} don't go together")
+        if signal not in own and signal not in SG.SEGMENT_SIGNALS:
+            raise ValueError(f"{signal} has no function of one stretch of bars; put one into segments.SEGMENT_SIGNALS")
         settings_of(self.config)
 
     def run(self, prices: DataFrame, pairs: DataFrame, config: dict[str, Any] | None = None, stop_after: str | None = None, benchmark: DataFrame | None = None, sectors: DataFrame | None = None, bars: DataFrame | None = None) -> Result:
         """``benchmark`` (ticker, ts, close) is needed by regime_aware; ``sectors`` (ticker, sector) groups the
         weights of handcraft; ``bars`` (ticker, ts, open, high, low, close, volume) feed break-outs and volume pivots."""
-        began, c = time.time(), settings_of(self.config | (config or {}))
+        began = time.time()
+        given = self.config | (config or {})
+        entries, exits = GRIDS.get(self.signal, (CONFIG["entry_grid"], CONFIG["exit_grid"]))
+        c = settings_of({"entry_grid": entries, "exit_grid": exits} | given)
         if self.s1 == "regime_aware" and benchmark is None:
             raise ValueError("regime_aware needs a benchmark")
         if self.s2 in ("grid_breakout", "grid_obv_pivot") and bars is None:
@@ -364,7 +385,7 @@ class Pipeline:
             return
         best = s2.filter("passed").select("pair", "window", "entry_thresh", "exit_thresh", "stop_pct", "slope_min", "is_sharpe")
         live = kept.drop("window").join(best, "pair")
-        parts = [self._validate(v, self._traded(v, live, c, bars), c) for v in self.s3]
+        parts = [self._validate(v, live, c, bars) for v in self.s3]
         s3 = keep("s3", reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts).join(legs, "pair"))
         if stop_after == "s3" or not self.s4:
             return
@@ -381,9 +402,6 @@ class Pipeline:
         out.final[self.s5] = w
         out.stages["s5"] = M.core(WT.combine(w, returns))
 
-    def _segment(self) -> str | None:
-        return self.signal if self.signal in SG.SEGMENT_SIGNALS else None
-
     def _optimise(self, series: DataFrame, s1: DataFrame, legs: DataFrame, c: dict[str, Any], bars: DataFrame | None) -> DataFrame:
         """The named optimiser's row per pair; settings it doesn't have are null."""
         half = s1.select("pair", F.col("halflife").cast("double").alias("halflife"))
@@ -403,8 +421,7 @@ class Pipeline:
             found = (B.grid_ma(series, kind, is_ratio=c["is_ratio"]) if self.s2 == "grid_ma" else B.optuna_ma(series, kind, c["optuna_trials"], c["random_state"], is_ratio=c["is_ratio"]))
             found = found.select("pair", F.col("window").cast("double").alias("window"), "is_sharpe", "oos_sharpe", "passed")
         else:
-            # Signals without a function of one stretch are optimised as z-scores.
-            options = {"signal": self._segment() or "zscore_standard", "entries": c["entry_grid"], "exits": c["exit_grid"], "stops": c["stop_grid"], "slopes": c["slope_grid"], "windows": c["window_grid"], "is_ratio": c["is_ratio"], "fee": c["cost_per_side"], "least_oos_trades": c["min_oos_trades"], **gate}
+            options = {"signal": self.signal, "entries": c["entry_grid"], "exits": c["exit_grid"], "stops": c["stop_grid"], "slopes": c["slope_grid"], "windows": c["window_grid"], "is_ratio": c["is_ratio"], "fee": c["cost_per_side"], "least_oos_trades": c["min_oos_trades"], **gate}
             if self.s2 == "grid_regime":
                 options.pop("signal")
             if self.s2 == "optuna_tpe":
@@ -416,23 +433,17 @@ class Pipeline:
         found = found.select("pair", "window", *_S2_EMPTY, "passed")
         return found.join(half, "pair").join(legs, "pair").withColumn("signal_method", F.lit(self.signal)).withColumn("optim_method", F.lit(self.s2))
 
-    def _traded(self, validator: str, live: DataFrame, c: dict[str, Any], bars: DataFrame | None) -> DataFrame:
-        """What a validator works on: the bars themselves where the signal can trade a stretch of them by
-        itself, else the returns of the signal over all bars, in ``ret``, which it cuts into parts."""
-        if self._segment():
-            return live
-        if self.signal == "trendline_breakout":
-            rows = _breakout_rows(bars, live.select("pair").distinct().join(bars_pairs(bars), "pair"))
-            numbered = rows.withColumn("seq", F.row_number().over(W.partitionBy("pair").orderBy("ts")))
-            traced = PT.breakout(numbered, min(c["entry_confs"]), min(c["exit_confs"]), least_points=c["min_points"], error_pct=c["max_error_pct"], least_period=c["min_period_days"])
-            return B.run(traced, c["stop"], c["cost_per_side"]).select("pair", "seq", "ret")
-        given = {k: c[k] for k in ("entry", "exit_") if c[k] is not None}
-        signal = signals.SIGNALS[self.signal]
-        made = signal(live.select("pair", "ts", "seq", "ratio", "num_close", "den_close"), **({"window": int(c["default_window"])} if self.signal != "donchian" else {}), **given)
-        return B.run(made, c["stop"], c["cost_per_side"]).join(live.select("pair", "seq", "is_sharpe"), ["pair", "seq"])
-
-    def _validate(self, name: str, rows: DataFrame, c: dict[str, Any]) -> DataFrame:
-        signal = self._segment()
+    def _validate(self, name: str, live: DataFrame, c: dict[str, Any], bars: DataFrame | None) -> DataFrame:
+        """One validator over the settings that S2 chose for each pair: the bars themselves with the signal as a
+        function of a stretch, or for break-outs the returns of each pair's own combination, cut into parts."""
+        signal, rows = self.signal, live
+        if signal == "trendline_breakout":
+            chosen = live.select("pair", "entry_thresh", "exit_thresh", "stop_pct", "is_sharpe").distinct()
+            walked = _breakout_rows(bars, chosen.select("pair").join(bars_pairs(bars), "pair"))
+            lines = {"cost": c["tx_cost_per_side"], "slip": c["stop_slippage_bps"] / 1e4, "least_points": c["min_points"], "error_pct": c["max_error_pct"], "least_period": c["min_period_days"]}
+            if name == "sensitivity":
+                return PT.breakout_sensitivity(walked, chosen, V.VALIDATED, c["is_ratio"], c["sensitivity_pct"], least=c["s3_min_oos_sharpe"], **lines)
+            signal, rows = None, PT.breakout_returns(walked, chosen, **lines).join(chosen.select("pair", "is_sharpe"), "pair")
         defaults = {k: c[k] for k in ("entry", "exit_") if c[k] is not None} | {"window": c["default_window"], "slope_window": c["slope_window"]}
         common = {"signal": signal, "fee": c["cost_per_side"], **defaults}
         least = {"least": c["s3_min_oos_sharpe"]}

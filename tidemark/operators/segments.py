@@ -11,6 +11,9 @@ import math
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
+
+from ..functions import unitroot
 from . import kernels as K
 
 Flags = tuple[np.ndarray, np.ndarray]
@@ -109,6 +112,121 @@ def _decay(x: np.ndarray, w: int, p: dict) -> Flags:
     return go, K.time_decay_exits(z, go, leave, p.get("exit_", 0.5), int(2 * hl)) if hl >= 2 else leave
 
 
+def _change(x: np.ndarray) -> np.ndarray:
+    before = np.where(x[:-1] == 0, np.nan, x[:-1])
+    return np.concatenate([[np.nan], x[1:] / before - 1])
+
+
+def _lowest(x: np.ndarray, w: int) -> np.ndarray:
+    return rolled(x, w, lambda v: v.min(axis=1))
+
+
+def _highest(x: np.ndarray, w: int) -> np.ndarray:
+    return rolled(x, w, lambda v: v.max(axis=1))
+
+
+def _held(go: np.ndarray, leave: np.ndarray, most: int) -> Flags:
+    """Out at the latest ``most`` bars after an entry."""
+    return go, K.max_hold_exits(go, leave, most)
+
+
+def _known(v: np.ndarray) -> np.ndarray:
+    return np.where(v == 0, np.nan, v)
+
+
+def _connors(x: np.ndarray, w: int, p: dict) -> Flags:
+    up = x > mean(x, int(p.get("sma_long", 200))) if p.get("trend_filter", True) else np.ones(len(x), bool)
+    rsi = K.rsi_wilder(x, w)
+    return _held((rsi <= p.get("entry", 25.0)) & up, (x > mean(x, int(p.get("sma_short", 5)))) | (rsi >= p.get("exit_", 55.0)), int(p.get("max_hold", 10)))
+
+
+def _cumulated(x: np.ndarray, w: int, p: dict) -> Flags:
+    rsi = _rsi(x, w)
+    cum = rolled(rsi, 2, lambda v: v.sum(axis=1))
+    return (cum <= p.get("entry", 35.0)) & _steep(cum, p), (rsi >= p.get("exit_", 65.0)) | (x > mean(x, 5))
+
+
+def _ranked(v: np.ndarray, w: int, p: dict) -> np.ndarray:
+    return np.nan_to_num(K.percent_rank(v, int(p.get("lookback", 252)), w), nan=0.5)
+
+
+def _volatility(x: np.ndarray, w: int) -> np.ndarray:
+    return rolled(_change(x), w, lambda v: v.std(axis=1, ddof=1)) if w > 1 else np.full(len(x), np.nan)
+
+
+def _adaptive(x: np.ndarray, w: int, p: dict) -> Flags:
+    z, scale = zscore(x, w), 1 + 0.5 * (_ranked(_volatility(x, w), w, p) - 0.5)
+    return (z <= p.get("entry", -2.0) * scale) & _steep(z, p), z >= p.get("exit_", 0.0) * scale
+
+
+def _forecast(x: np.ndarray, w: int, p: dict) -> Flags:
+    vol, z = _volatility(x, w), zscore(x, w)
+    long = pd.Series(vol).rolling(int(p.get("lookback", 252)), min_periods=w).mean().to_numpy()
+    rank = _ranked(0.7 * K.ema(vol, w, least=1) + 0.3 * long, w, p)
+    return (z <= p.get("entry", -2.0)) & (rank <= p.get("calm", 0.30)), (z >= p.get("exit_", 0.0)) | (rank >= p.get("wild", 0.75))
+
+
+def _midline(x: np.ndarray, w: int, p: dict) -> Flags:
+    low, width = _lowest(x, w), _highest(x, w) - _lowest(x, w)
+    return x < low + p.get("entry", 0.2) * width, x >= low + p.get("exit_", 0.5) * width
+
+
+def _keltner(x: np.ndarray, w: int, p: dict) -> Flags:
+    z = (x - K.ema(x, w, adjust=False)) / _known(K.atr_close(x, int(p.get("atr_lookback", 14))))
+    return _levels(z, p | {"entry": -p.get("entry", 2.0)})
+
+
+def _cointegrated(x: np.ndarray, w: int, p: dict) -> Flags:
+    if unitroot.pvalue(unitroot.adf(unitroot.sums_of(x))[0]) > p.get("alpha", 0.05):
+        return np.zeros(len(x), bool), np.zeros(len(x), bool)
+    return _levels(zscore(x, w), p)
+
+
+def _distance(x: np.ndarray, w: int, p: dict) -> Flags:
+    d = x / _known(mean(x, w)) - 1
+    return d < p.get("entry", -0.02), d > p.get("exit_", 0.0)
+
+
+def _stochastic(x: np.ndarray, w: int, p: dict) -> Flags:
+    low = _lowest(x, w)
+    k = mean(100 * (x - low) / _known(_highest(x, w) - low), int(p.get("smooth", 3)))
+    return k < p.get("entry", 20.0), k > p.get("exit_", 80.0)
+
+
+def _williams(x: np.ndarray, w: int, p: dict) -> Flags:
+    high = _highest(x, w)
+    r = -100 * (high - x) / _known(high - _lowest(x, w))
+    return r < p.get("entry", -80.0), r > p.get("exit_", -20.0)
+
+
+def _falling(x: np.ndarray, w: int, p: dict) -> Flags:
+    r = _change(x)
+    down = r < p.get("entry", 0.0)
+    rows = np.arange(len(x))
+    streak = rows - np.maximum.accumulate(np.where(down, -1, rows))
+    return _held((streak >= w) & (x > mean(x, int(p.get("sma_long", 200)))), r > 0, int(p.get("exit_", 5)))
+
+
+def _nday(x: np.ndarray, w: int, p: dict) -> Flags:
+    return _held((x <= _lowest(x, w)) & (x > mean(x, int(p.get("entry", 200)))), x >= _highest(x, w), int(p.get("exit_", 10)))
+
+
+def _ema_pullback(x: np.ndarray, w: int, p: dict) -> Flags:
+    e, n, swing = K.ema(x, w, adjust=False), int(p.get("lookback", 5)), int(p.get("swing", 3))
+    touch = x <= e
+    recent = pd.Series(touch.astype(float)).rolling(n, min_periods=1).max().to_numpy() == 1
+    before = np.concatenate([[np.nan], x[:-1]])
+    ups = pd.Series((x > before).astype(float)).rolling(swing - 1).sum().shift(1).to_numpy()
+    return (K.adx_close(x) > p.get("entry", 25.0)) & (x > e) & K.shifted(touch) & recent, (x < before) & (ups == swing - 1)
+
+
+#: Each signal's own thresholds (entry, exit), for what varies them without a row of an optimiser.
+THRESHOLDS: dict[str, tuple[float, float]] = {
+    "rsi_simple": (30.0, 60.0), "rsi_wilder": (30.0, 60.0), "rsi_connors": (25.0, 55.0), "cum_rsi": (35.0, 65.0), "donchian": (20.0, 10.0), "donchian_midline": (0.2, 0.5),
+    "adx_regime_gate": (-2.0, 0.5), "atr_pullback": (2.0, 0.5), "halflife_time_decay": (-2.0, 0.5), "keltner": (2.0, 0.0), "sma_distance": (-0.02, 0.0), "stochastic_k": (20.0, 80.0),
+    "williams_r": (-80.0, -20.0), "consec_down": (0.0, 5.0), "nday_low": (200.0, 10.0), "double_bottom": (0.02, 20.0), "adx_ema_pullback": (25.0, 0.0),
+    "ma_crossover": (0.0, 0.0), "ema_crossover": (0.0, 0.0), "dual_ma_crossover": (0.0, 0.0), "kama_crossover": (0.0, 0.0), "momentum": (0.0, 0.0),
+}
 #: Users add their own under a name.
 SEGMENT_SIGNALS: dict[str, SegmentSignal] = {
     "zscore_standard": lambda x, w, p: _levels(zscore(x, w), p),
@@ -127,6 +245,20 @@ SEGMENT_SIGNALS: dict[str, SegmentSignal] = {
     "atr_pullback": _pullback,
     "regime_switch": _regime,
     "halflife_time_decay": _decay,
+    "vol_adaptive_zscore": _adaptive,
+    "vol_forecast_gate": _forecast,
+    "rsi_connors": _connors,
+    "cum_rsi": _cumulated,
+    "donchian_midline": _midline,
+    "keltner": _keltner,
+    "cointegration_spread": _cointegrated,
+    "sma_distance": _distance,
+    "stochastic_k": _stochastic,
+    "williams_r": _williams,
+    "consec_down": _falling,
+    "nday_low": _nday,
+    "double_bottom": lambda x, w, p: K.double_bottom(x, w, p.get("entry", 0.02), int(p.get("exit_", 20))),
+    "adx_ema_pullback": _ema_pullback,
 }
 
 

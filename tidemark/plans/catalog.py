@@ -626,6 +626,17 @@ def _(spark, d):
     return PL.Pipeline(s1="passthrough", s4=["t_test", "min_trl"], config={"min_is_sharpe": -9.0, "min_oos_sharpe": -9.0, "min_is_trades": 1, "min_oos_trades": 0, "s3_min_oos_sharpe": -9.0}).run(prices, P.universe(prices), stop_after="s4").stages["s4"].select("pair", "tier", "passed", "sig_method")
 
 
+@query("pl_gates")
+def _(spark, d):
+    """A signal on a scale of its own through optimiser and validators, with gates that some pairs fail: what each pair's
+    chosen settings do out of sample, by the optimiser and by the validators, and what passes."""
+    prices = P.px(spark, d)
+    made = PL.Pipeline(s1="passthrough", signal="stochastic_k", s3=["chan_is_oos", "sensitivity"], s4="t_test", config={"use_s2_window": True, "min_is_sharpe": 0.0, "min_oos_sharpe": -1.0})
+    out = made.run(prices, P.universe(prices), stop_after="s3").stages
+    chosen = out["s2"].select("pair", "window", "entry_thresh", "exit_thresh", "stop_pct", "is_sharpe", "oos_sharpe", F.col("passed").alias("optimised"))
+    return chosen.join(out["s3"].select("pair", "val_method", "mean_test_sharpe", "baseline_sharpe", "n_test_periods", "passed"), "pair", "left")
+
+
 @query("ql_anomalies", Q.S + "SELECT 's1_pass_rate' AS \"check\", avg(1.0::DOUBLE) AS value, 0.05::DOUBLE AS low, 0.95::DOUBLE AS high, 'warn' AS severity, avg(1.0::DOUBLE) BETWEEN 0.05 AND 0.95 AS ok FROM (SELECT pair FROM s GROUP BY 1 HAVING count(*)>=252)")
 def _(spark, d):
     return PL.anomalies(S1.passthrough(P.series(spark, d)), "s1")
