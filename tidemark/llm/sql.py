@@ -18,32 +18,39 @@ _RULE = """CASE WHEN (host = 'example.net' OR ends_with(host, '.example.net')) A
 _SAID = "CASE WHEN rule IN ('example.net/en/', 'org/fr/') THEN 'allow' WHEN rule IN ('net/', 'example.com/de/') THEN 'block' END"
 _KEY = "CASE WHEN regexp_extract({0}, '^([^/?#]*://)', 1) = '' THEN {0} ELSE regexp_extract({0}, '^([^/?#]*://)', 1) || " + _HOST + " || regexp_extract({0}, '^[^/?#]*://[^/?#]*([^#]*)', 1) END"
 
-_VALUE = """(?:"([^"]*)"|''([^'']*)''|([^\\x20\\t\\n\\r\\f"''>]+))"""
+_WS = "\\x20\\t\\n\\r\\f"
+_TEXT = ("script", "style", "title", "textarea", "template", "iframe", "noembed", "noframes", "xmp")
+_HIDDEN = "(?is)<!--.*?(?:-->|\\z)|" + "|".join(f"<{t}[{_WS}/>].*?(?:</{t}[{_WS}/>]|\\z)" for t in _TEXT)
+_TAG = f"""<[A-Za-z][^>=]*(?:=[{_WS}]*(?:"[^"]*"|''[^'']*'')?[^>=]*)*>"""
+_ATTRIBUTES = f"""([^{_WS}"''<>/=]+)[{_WS}]*=[{_WS}]*("[^"]*"|''[^'']*''|[^{_WS}"''>]+)"""
 
 
-def _attribute(name: str) -> str:
-    pattern = f"""(?i)[\\x20\\t\\n\\r\\f"''/]{name}[\\x20\\t\\n\\r\\f]*=[\\x20\\t\\n\\r\\f]*{_VALUE}"""
-    return "(" + " || ".join(f"regexp_extract(tag, '{pattern}', {i})" for i in (1, 2, 3)) + ")"
+def _attribute(tag: str, name: str) -> str:
+    value = f"regexp_extract_all({tag}, '{_ATTRIBUTES}', 2)[nullif(coalesce(list_position(list_transform(regexp_extract_all({tag}, '{_ATTRIBUTES}', 1), lambda n: lower(n)), '{name}'), 0), 0)]"
+    return f"regexp_replace({value}, '^[\"''](.*)[\"'']$', '\\1', 's')"
+
+
+def _resolved(base: str, t: str) -> str:
+    root, path, own, tail = (f"regexp_extract({x}, '{p}', 1)" for x, p in ((base, "^([^/?#]*://[^/?#]*)"), (base, "^[^/?#]*://[^/?#]*([^?#]*)"), (t, "^([^?#]*)"), (t, "^[^?#]*(.*)$")))
+    under = f"(CASE WHEN {path} = '' THEN '/' ELSE regexp_replace({path}, '[^/]*$', '') END || {own})"
+    return f"""CASE WHEN regexp_matches({t}, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN {t} WHEN {root} = '' THEN NULL WHEN starts_with({t}, '//') THEN regexp_extract({base}, '^([^/?#]*:)//', 1) || {t}
+        WHEN starts_with({t}, '/') THEN {root} || {_NO_DOTS.format(own)} || {tail} WHEN starts_with({t}, '?') THEN {root} || {path} || {t} WHEN starts_with({t}, '#') OR {t} = '' THEN {base}
+        ELSE {root} || {_NO_DOTS.format(under)} || {tail} END"""
 
 
 _NO_DOTS = """(list_reduce(str_split({0}, '/')[2:], lambda held, x: CASE x WHEN '.' THEN held WHEN '..' THEN regexp_replace(held, '/[^/]*$', '') ELSE held || '/' || x END, '')
         || CASE WHEN str_split({0}, '/')[-1] IN ('.', '..') THEN '/' ELSE '' END)"""
 
 OP3 = f"""
-WITH RECURSIVE tags AS (
-    SELECT url AS a, unnest(regexp_extract_all(html, '(?i)<link\\b[^>]*>') || regexp_extract_all(html, '(?i)<meta\\b[^>]*>')) AS tag
+WITH RECURSIVE pages_tags AS (
+    SELECT url AS a, list_filter(regexp_extract_all(regexp_replace(html, '{_HIDDEN}', ' ', 'g'), '{_TAG}'), lambda t: regexp_matches(t, '(?i)^<(?:link|meta|base)[{_WS}/]')) AS tags
     FROM pages WHERE url IS NOT NULL AND html IS NOT NULL),
+firsts AS (SELECT a, tags, list_filter(list_transform(list_filter(tags, lambda t: regexp_matches(t, '(?i)^<base[{_WS}/]')), lambda t: trim(replace({_attribute("t", "href")}, '&amp;', '&'))), lambda h: h IS NOT NULL)[1] AS f FROM pages_tags),
+based AS (SELECT a, CASE WHEN coalesce(f, '') = '' THEN a ELSE coalesce({_resolved("a", "f")}, a) END AS base, unnest(tags) AS tag FROM firsts),
 named AS (
-    SELECT a, trim(replace(CASE WHEN regexp_matches(tag, '(?i)^<link') AND list_contains(regexp_split_to_array(lower({_attribute("rel")}), '[\\x20\\t\\n\\r\\f]+'), 'canonical') THEN {_attribute("href")}
-        WHEN regexp_matches(tag, '(?i)^<meta') AND lower({_attribute("http-equiv")}) = 'refresh' THEN regexp_extract(tag, '(?i)\\burl[\\x20\\t\\n\\r\\f]*=[\\x20\\t\\n\\r\\f]*[''"]?([^"''>\\x20\\t\\n\\r\\f]+)', 1) END, '&amp;', '&')) AS t FROM tags),
-parts AS (
-    SELECT a, t, regexp_extract(a, '^([^/?#]*:)//', 1) AS scheme, regexp_extract(a, '^([^/?#]*://[^/?#]*)', 1) AS root, regexp_extract(a, '^[^/?#]*://[^/?#]*([^?#]*)', 1) AS p,
-        regexp_extract(t, '^([^?#]*)', 1) AS own, regexp_extract(t, '^[^?#]*(.*)$', 1) AS tail FROM named WHERE t <> ''),
-folders AS (SELECT *, CASE WHEN p = '' THEN '/' ELSE regexp_replace(p, '[^/]*$', '') END || own AS under FROM parts),
-full_url AS (
-    SELECT a, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t WHEN root = '' THEN NULL WHEN starts_with(t, '//') THEN scheme || t
-        WHEN starts_with(t, '/') THEN root || {_NO_DOTS.format("own")} || tail WHEN starts_with(t, '?') THEN root || p || t WHEN starts_with(t, '#') THEN a
-        ELSE root || {_NO_DOTS.format("under")} || tail END AS b FROM folders),
+    SELECT a, base, trim(replace(CASE WHEN regexp_matches(tag, '(?i)^<link[{_WS}/]') AND list_contains(regexp_split_to_array(lower({_attribute("tag", "rel")}), '[{_WS}]+'), 'canonical') THEN {_attribute("tag", "href")}
+        WHEN regexp_matches(tag, '(?i)^<meta[{_WS}/]') AND lower({_attribute("tag", "http-equiv")}) = 'refresh' THEN regexp_extract({_attribute("tag", "content")}, '(?i)\\burl[{_WS}]*=[{_WS}]*[''"]?([^"''>{_WS}]+)', 1) END, '&amp;', '&')) AS t FROM based),
+full_url AS (SELECT a, {_resolved("base", "t")} AS b FROM named WHERE t <> ''),
 edges AS (SELECT DISTINCT {_KEY.format("a")} AS a, {_KEY.format("b")} AS b FROM full_url WHERE b IS NOT NULL),
 links AS (SELECT a, b FROM edges WHERE a <> b UNION SELECT b, a FROM edges WHERE a <> b),
 reach(node, other) AS (SELECT a, a FROM links UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.other),

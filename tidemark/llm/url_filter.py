@@ -8,8 +8,11 @@ is allowed by one, its members without a rule are blocked too. An explicit allow
 over shorter block rules of its own url, and over decisions that would arrive through aliases.
 
 Links are ``<link>`` tags with the word canonical in ``rel`` and ``<meta>`` tags with ``http-equiv``
-refresh, anywhere in a page. Targets are resolved against the page's url as RFC 3986 says (scheme at the
-start, ``//``, ``/``, ``?``, relative paths with ``.`` and ``..``); ``<base>`` is not followed.
+refresh, anywhere in a page but in comments and in elements whose content is text (``TEXT``: scripts, styles,
+titles and the like, open ones up to the page's end). A tag ends at the first ``>`` outside a quoted value, so what
+looks like a tag or an attribute inside a quoted value is part of that value. Targets are resolved as RFC 3986
+says (scheme at the start, ``//``, ``/``, ``?``, relative paths with ``.`` and ``..``) against the first ``<base>`` with
+an ``href``, itself resolved against the page's url, or else against the page's url.
 
 Up to ``COMPILED`` rules are part of the plan. More are a table: a url's host gives all its suffixes, and
 those are joined with the rules' hosts.
@@ -32,10 +35,14 @@ Rule = tuple[str, str, str]
 #: (host, path, action)
 RULES: tuple[Rule, ...] = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 COMPILED = 200
-_LINK, _META = r"(?i)<link\b[^>]*>", r"(?i)<meta\b[^>]*>"
-_VALUE = r"""(?:"([^"]*)"|'([^']*)'|([^\x20\t\n\r\f"'>]+))"""
-_ATTRIBUTE = r"""(?i)[\x20\t\n\r\f"'/]{}[\x20\t\n\r\f]*=[\x20\t\n\r\f]*""" + _VALUE
-_TARGET = r"""(?i)\burl[\x20\t\n\r\f]*=[\x20\t\n\r\f]*['"]?([^"'>\x20\t\n\r\f]+)"""
+#: Elements whose content holds no tags.
+TEXT = ("script", "style", "title", "textarea", "template", "iframe", "noembed", "noframes", "xmp")
+_WS = r"\x20\t\n\r\f"
+_HIDDEN = "|".join(["(?is)<!--.*?(?:-->|\\z)", *(rf"<{t}[{_WS}/>].*?(?:</{t}[{_WS}/>]|\z)" for t in TEXT)])
+#: A tag; after an equals sign a quoted value is taken whole. Possessive, as long tags must not cost a stack.
+_TAG = rf"""<[A-Za-z][^>=]*+(?:=[{_WS}]*+(?:"[^"]*+"|'[^']*+')?+[^>=]*+)*+>"""
+_ATTRIBUTES = rf"""([^{_WS}"'<>/=]+)[{_WS}]*=[{_WS}]*("[^"]*"|'[^']*'|[^{_WS}"'>]+)"""
+_TARGET = rf"""(?i)\burl[{_WS}]*=[{_WS}]*['"]?([^"'>{_WS}]+)"""
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -75,7 +82,10 @@ def with_rule(rows: DataFrame, rules: Sequence[Rule], compiled: int = COMPILED)
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    return F.concat(*[F.regexp_extract(tag, _ATTRIBUTE.format(name), i) for i in (1, 2, 3)])
+    """The value of the first attribute of that name, without its quotes; null where there is none."""
+    names = F.transform(F.regexp_extract_all(tag, F.lit(_ATTRIBUTES), F.lit(1)), F.lower)
+    value = F.try_element_at(F.regexp_extract_all(tag, F.lit(_ATTRIBUTES), F.lit(2)), F.nullif(F.array_position(names, name), F.lit(0)).cast("int"))
+    return F.when(value.startswith('"') | value.startswith("'"), value.substr(F.lit(2), F.length(value) - 2)).otherwise(value)
 
 
 def _without_dots(path: Column) -> Column:
@@ -107,16 +117,25 @@ def resolved(base: Column, target: Column) -> Column:
     )
 
 
+def _address(value: Column) -> Column:
+    return F.trim(F.replace(value, F.lit("&amp;"), F.lit("&")))
+
+
 def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
     """(a, b): a page's url and each url its canonical links and refreshes name."""
-    tags = F.concat(F.regexp_extract_all(F.col(html), F.lit(_LINK), F.lit(0)), F.regexp_extract_all(F.col(html), F.lit(_META), F.lit(0)))
-    found = pages.filter(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("a"), F.explode(tags).alias("tag"))
-    words = F.split(F.lower(_attribute(F.col("tag"), "rel")), r"[\x20\t\n\r\f]+")
-    canonical = F.col("tag").rlike("(?i)^<link") & F.array_contains(words, "canonical")
-    refresh = F.col("tag").rlike("(?i)^<meta") & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
-    named = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract("tag", _TARGET, 1))
-    target = F.trim(F.replace(named, F.lit("&amp;"), F.lit("&")))
-    return found.select("a", target.alias("t")).filter("t <> ''").select("a", resolved(F.col("a"), F.col("t")).alias("b")).filter("b is not null")
+    called = lambda tag, *names: tag.rlike(f"(?i)^<(?:{'|'.join(names)})[{_WS}/]")
+    shown = F.regexp_replace(F.col(html), _HIDDEN, " ")
+    tags = F.filter(F.regexp_extract_all(shown, F.lit(_TAG), F.lit(0)), lambda t: called(t, "link", "meta", "base"))
+    found = pages.filter(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("a"), tags.alias("tags")).filter(F.size("tags") > 0)
+    bases = F.filter(F.transform(F.filter("tags", lambda t: called(t, "base")), lambda t: _address(_attribute(t, "href"))), lambda h: h.isNotNull())
+    based = found.withColumn("first", F.try_element_at(bases, F.lit(1)))
+    base = F.when(F.coalesce(F.col("first"), F.lit("")) == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), F.col("first")), F.col("a")))
+    each = based.select("a", base.alias("base"), F.explode("tags").alias("tag"))
+    words = F.split(F.lower(_attribute(F.col("tag"), "rel")), rf"[{_WS}]+")
+    canonical = called(F.col("tag"), "link") & F.array_contains(words, "canonical")
+    refresh = called(F.col("tag"), "meta") & (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh")
+    named = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.regexp_extract(_attribute(F.col("tag"), "content"), _TARGET, 1))
+    return each.select("a", "base", _address(named).alias("t")).filter("t <> ''").select("a", resolved(F.col("base"), F.col("t")).alias("b")).filter("b is not null")
 
 
 def url_key(url: Column) -> Column:
