@@ -5,7 +5,9 @@ email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (10 to 15 dig
 
 Scored kinds, added where their score reaches ``THRESHOLD``:
 
-* iban: a country code, two check digits and 11 to 30 letters or digits, confirmed by mod 97;
+* iban: a country code, two check digits and 11 to 30 letters or digits, in one run or in groups of four, confirmed
+  by mod 97; it has its country's length (``IBAN_LENGTH``), and for other codes the longest length that the
+  check confirms and a border follows, so what stands behind it is never read as part of it;
 * card: an unbroken run of 14 to 19 digits that passes Luhn within a longer failed match;
 * phone: what stands before a card in a failed phone match, if it has a phone's digits (a number and a
   card written side by side);
@@ -50,7 +52,16 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
 _RUN = re.compile(r"[0-9]++")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+#: Characters of an account number by country.
+IBAN_LENGTH = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28,
+    "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28, "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27,
+    "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18,
+    "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24, "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28,
+    "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 _GROUPS = re.compile(r"(?<![A-Za-z0-9.+-])[0-9]{3}[-.\x20][0-9]{2,3}[-.\x20][0-9]{4}(?![A-Za-z0-9-])")
 
 
@@ -69,6 +80,23 @@ def mod97(code: str) -> bool:
     return int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
 
 
+def iban_end(text: str, start: int) -> int | None:
+    """Where the account number that starts here ends, if there is one."""
+    wanted, ends = IBAN_LENGTH.get(text[start : start + 2]), []
+    at = start
+    for count in range(1, 35):
+        # One blank may stand after each four characters.
+        if count > 1 and (count - 1) % 4 == 0 and text[at : at + 1] == " ":
+            at += 1
+        if text[at : at + 1] not in _IBAN_CHARS:
+            break
+        at += 1
+        border = not (text[at : at + 1].isascii() and text[at : at + 1].isalnum())
+        if count >= 15 and border and (wanted is None or count == wanted):
+            ends.append(at)
+    return next((e for e in reversed(ends) if mod97(text[start:e])), None)
+
+
 def _digits(text: str) -> str:
     return "".join(c for c in text if "0" <= c <= "9")
 
@@ -133,8 +161,9 @@ def scored_spans(text: str, base: list[Span], failed: list[tuple[int, int]]) ->
                 out.append((("phone", start, start + len(head)), 0.7))
                 break
     for m in _IBAN.finditer(text):
-        if mod97(m.group()):
-            out.append((("iban", m.start(), m.end()), 0.9))
+        end = iban_end(text, m.start())
+        if end is not None:
+            out.append((("iban", m.start(), end), 0.9))
     for m in _CARD.finditer(text):
         digits = _digits(m.group())
         if len(digits) == 13 and luhn(digits):
