@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -94,6 +94,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def columns_of(df: DataFrame) -> list[Column]:
+    """All columns, also those whose names hold dots or backticks."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
 def unused_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, lengthened until it clashes with no column of ``df`` in any letter case."""
     taken = {c.lower() for c in df.columns}

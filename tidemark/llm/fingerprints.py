@@ -28,7 +28,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partition_keys, partitions
+from .common import partition_keys, partitions, unused_name
 
 LONG = 160
 LEAF_HEX = 8
@@ -159,13 +159,13 @@ def differing_branches(a: str, b: str) -> list[tuple[int, int]]:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", to: str = "fingerprint") -> DataFrame:
-    """``docs`` with the Merkle fingerprint of each row's whole text in column ``to``."""
+    """``docs`` with the Merkle fingerprint of each row's whole text in a new last column, named ``to`` or longer."""
 
     @F.pandas_udf("string")
     def printed(column):
         return column.map(lambda t: fingerprint(t if isinstance(t, str) else ""))
 
-    return docs.withColumn(to, printed(F.col(text)))
+    return docs.withColumn(unused_name(docs, to), printed(F.col(text)))
 
 
 def edited(text: str, following: str) -> str:

@@ -13,7 +13,7 @@ smallest hash of their id; documents in the held-out fold are never learned from
 Odd cases: a null text, or one without a letter, is ``und`` with score 0; so is every text when there
 is nothing to learn from; equal distances go to the language first in order; rows with a null id are
 predicted but not learned from, and are not held out; repeated rows are predicted alike; an empty
-table gives no rows.
+table gives no rows; very long texts are counted whole; new columns are named so that they clash with none.
 """
 
 from __future__ import annotations
@@ -154,7 +154,9 @@ def learn(docs: DataFrame, ranks: int = RANKS, per_language: int = PER_LANGUAGE,
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", to: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its score."""
+    """``docs`` with two new last columns, the predicted language and its score, named ``to`` and ``score`` or longer."""
+    to = unused_name(docs, to)
+    score = unused_name(docs.withColumn(to, F.lit(None)), score)
     held = docs.sparkSession.sparkContext.broadcast(profiles)
 
     @F.pandas_udf("lang string, score double")

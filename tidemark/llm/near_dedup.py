@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from .common import durable, partitions, unused_name
+from .common import columns_of, durable, partitions, unused_name
 from .components import components
 
 TREES, DEPTH = 16, 6
@@ -608,11 +608,12 @@ def one_of_each(docs: DataFrame, shingle: int = 5, percent: int = 80, doc_id: st
     both = docs.withColumn(suspect, F.coalesce(marked(docs, suspects.select(F.col(known).alias("id")), doc_id), F.lit(False)))
     unclear = both.filter(F.col(suspect)).drop(suspect)
     judged = unclear.join(suspects, unclear[doc_id].cast("long") == suspects[known], "left")
-    clear = judged.filter(F.col(known).isNull()).select(docs.columns)
+    own = columns_of(docs)
+    clear = judged.filter(F.col(known).isNull()).select(own)
     # Of rows that repeat an id the one with the smallest text, by a partial aggregate.
-    first = judged.filter(F.col(stays)).groupBy(known).agg(F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text), F.lit(""))).alias(whole))
+    first = judged.filter(F.col(stays)).groupBy(known).agg(F.min_by(F.struct(*own), F.coalesce(F.col(text), F.lit(""))).alias(whole))
     one = first.select(*[F.col(whole)[c].alias(c) for c in docs.columns])
-    return both.filter(~F.col(suspect)).select(docs.columns).unionByName(clear).unionByName(one)
+    return both.filter(~F.col(suspect)).select(own).unionByName(clear).unionByName(one)
 
 
 def texts_of(docs: DataFrame, ids: DataFrame, doc_id: str, text: str) -> DataFrame:
