@@ -11,14 +11,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tidemark.llm import langid, mixing, near_dedup, packing, pii
-from tidemark.llm.common import durable, table, unused_name
+from tidemark.llm.common import columns_of, durable, table, unused_name
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in which some language is recognised; texts without letters, and null texts, go."""
     to, score = unused_name(docs, "lang_pred"), unused_name(docs, "lang_score")
     found = langid.identify(docs, langid.learn(docs), to=to, score=score)
-    return found.filter(F.col(to) != langid.UNKNOWN).select(docs.columns)
+    return found.filter(F.col(to) != langid.UNKNOWN).select(columns_of(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,13 +28,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document stays; personal data in its text is replaced by its kind, n_chars follows."""
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(columns_of(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target weights of their sources say."""
     mixed = mixing.mix(docs)
-    return mixing.emit(mixed, mixed.columns[-1]).select(docs.columns)
+    return mixing.emit(mixed, mixed.columns[-1]).select(columns_of(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
