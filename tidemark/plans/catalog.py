@@ -9,10 +9,11 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rolling as R
-from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, validation as V, weights as WT
+from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, table_functions as TF, validation as V, weights as WT
 from ..sources import bar_cache as BC, feed as FD, panel as P
 from ..sources.shared import Files, shared_folder
 from ..streaming import events as EV
@@ -317,6 +318,35 @@ def _(spark, d):
     return B.optuna_ma(P.series(spark, d))
 
 
+@query("sql_zscore_summary", Q.BACKTEST)
+def _(spark, d):
+    """Signals and positions by table functions, in SQL, with a built-in signal and the position kernel."""
+    TF.register(spark)
+    P.series(spark, d).createOrReplaceTempView("tidemark_series")
+    rets = spark.sql("""
+        WITH flags AS (SELECT * FROM signal(TABLE(SELECT pair, seq, ratio FROM tidemark_series) PARTITION BY pair ORDER BY seq, name => 'zscore_standard', window => 20)),
+        priced AS (SELECT f.*, s.num_close FROM flags f JOIN tidemark_series s USING (pair, seq))
+        SELECT * FROM positions(TABLE(priced) PARTITION BY pair ORDER BY seq, stop => 0.0D)""")
+    return B.summary(rets, "pair")
+
+
+@query("sql_user_signal", Q.signal("donchian"))
+def _(spark, d):
+    """A user's function of a stretch of bars, called in SQL: a new high enters, a new low leaves."""
+
+    def channel(x, window, settings):
+        n, m = window, int(settings["back"])
+        high = np.array([x[i - n : i].max() if i >= n else np.nan for i in range(len(x))])
+        low = np.array([x[i - m : i].min() if i >= m else np.nan for i in range(len(x))])
+        return x >= high, x <= low
+
+    TF.register_signal(spark, "channel", channel)
+    P.series(spark, d).createOrReplaceTempView("tidemark_series")
+    return spark.sql("""
+        SELECT pair, ts, entry, exit FROM channel(TABLE(SELECT pair, seq, ratio FROM tidemark_series) PARTITION BY pair ORDER BY seq, window => 20, back => 10)
+        JOIN tidemark_series USING (pair, seq)""")
+
+
 # Validation -------------------------------------------------------------------------------------
 
 
