@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rolling as R
-from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, table_functions as TF, validation as V, weights as WT
+from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, position_blocks as PB, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, table_functions as TF, validation as V, weights as WT
 from ..sources import bar_cache as BC, feed as FD, panel as P
 from ..sources.shared import Files, shared_folder
 from ..streaming import events as EV
@@ -475,6 +475,34 @@ def _(spark, d):
     return S4.dsr_inputs(out)
 
 
+@query("s4_dsr_inputs_blocks", Q.DSR_INPUTS)
+def _(spark, d):
+    """The same positions and returns as ``s4_dsr_inputs``, as blocks."""
+
+    def over_mean(ratio, window):
+        total = np.concatenate([[0.0], np.cumsum(ratio)])
+        out = np.zeros(len(ratio))
+        out[window - 1 :] = ratio[window - 1 :] > (total[window:] - total[:-window]) / window
+        return out
+
+    rows = P.series(spark, d).withColumnRenamed("pair", "unit")
+    return PB.dsr_inputs(PB.position_blocks(rows, over_mean, [{"window": w} for w in (10, 20, 40)], ("ratio",), "num_close", order="seq"))
+
+
+@query("s4_dsr_inputs_ohlc", Q.DSR_INPUTS_OHLC)
+def _(spark, d):
+    """A hundred combinations a ticker on its whole bars: bought low in the bar's range, above a mean of closes."""
+
+    def low_in_range(close, high, low, share, window):
+        total = np.concatenate([[0.0], np.cumsum(close)])
+        over = np.zeros(len(close), bool)
+        over[window - 1 :] = close[window - 1 :] > (total[window:] - total[:-window]) / window
+        return ((close - low) < share * (high - low)) & over
+
+    combos = [{"share": a / 20, "window": w} for a in range(6, 16) for w in range(10, 110, 10)]
+    return PB.dsr_inputs(PB.position_blocks(P.bars(spark, d).withColumnRenamed("ticker", "unit"), low_in_range, combos))
+
+
 # Metrics ----------------------------------------------------------------------------------------
 
 

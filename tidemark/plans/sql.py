@@ -477,3 +477,14 @@ ROWS = (
     "n AS (SELECT 'numerator: null' AS rule, count(*) FILTER (a) AS n FROM r UNION ALL SELECT 'passed: type', count(*) FILTER (b) FROM r UNION ALL SELECT 'window: low', count(*) FILTER (c) FROM r UNION ALL SELECT 'method: null', count(*) FILTER (e) FROM r) "
     "SELECT rule, n, least(n,5) AS examples FROM n WHERE n>0 UNION ALL SELECT 'good', count(*) FILTER (NOT (a OR b OR c OR e)), 0 FROM r"
 )
+
+DSR_INPUTS_OHLC = (
+    BARS + ", q AS (SELECT *, row_number() OVER w AS seq, count(*) OVER (PARTITION BY ticker) AS nn, coalesce(close/nullif(lag(close) OVER w,0)-1,0) AS r FROM bars WINDOW w AS (PARTITION BY ticker ORDER BY ts)), "
+    "t AS (SELECT ticker, seq, sum(close) OVER (PARTITION BY ticker ORDER BY seq) AS c FROM q), a AS (SELECT q.*, v.w, CASE WHEN q.seq >= v.w THEN (t.c-coalesce(u.c,0))/v.w END AS mean FROM q JOIN t USING (ticker, seq) CROSS JOIN range(10,110,10) v(w) LEFT JOIN t u ON u.ticker=q.ticker AND u.seq=q.seq-v.w), "
+    "p AS (SELECT ticker AS unit, w*100+s AS combo, seq, nn, r, coalesce((close-low < s/20.0::DOUBLE*(high-low) AND close > mean)::INTEGER,0) AS pos FROM a CROSS JOIN range(6,16) x(s) WHERE nn >= 250), "
+    "n AS (SELECT unit, combo, seq, nn, coalesce(lag(pos) OVER o,0)*r-CASE WHEN seq=1 THEN 0 ELSE 0.001*abs(pos-coalesce(lag(pos) OVER o,0)) END AS net FROM p WINDOW o AS (PARTITION BY unit, combo ORDER BY seq)), "
+    "g AS (SELECT unit, combo, avg(net) AS mu, stddev_pop(net) AS sd, any_value(nn) AS nn FROM n GROUP BY 1,2 HAVING stddev_pop(net) > 1e-10), "
+    "z AS (SELECT n.unit, n.seq, sum((net-mu)/sd) AS z, count(*) AS k FROM n JOIN g USING (unit, combo) GROUP BY 1,2), c AS (SELECT unit, max(k) AS k, avg(z*z) AS v FROM z GROUP BY 1), "
+    "i AS (SELECT unit, combo, avg(net)/stddev_pop(net)*sqrt(252) AS sr FROM n JOIN g USING (unit, combo) WHERE seq <= floor(n.nn*0.8::DOUBLE) GROUP BY 1,2 HAVING stddev_pop(net) > 1e-10) "
+    "SELECT unit, k AS n_combos, round((v-k)/(k*(k-1)),6) AS mean_correlation, round(var,6) AS sr_variance, round(mx,6) AS max_sharpe FROM c JOIN (SELECT unit, var_samp(sr) AS var, max(sr) AS mx FROM i GROUP BY 1) USING (unit)"
+)
