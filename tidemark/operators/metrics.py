@@ -10,6 +10,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.intervals import day_number, range_join
+
 from ..functions import stats
 
 YEAR = 252
@@ -294,16 +296,19 @@ def stress_table(spark) -> DataFrame:
     return rows.select("name", F.col("start").cast("date").alias("start"), F.col("end").cast("date").alias("end"))
 
 
+def _within(rows: DataFrame, windows: DataFrame, width: int = 64) -> DataFrame:
+    return range_join(rows, windows, day_number(F.col("ts")), day_number(F.col("start")), day_number(F.col("end")), width)
+
+
 def stress_windows(returns: DataFrame, windows: DataFrame, bench: DataFrame | None = None, least: int = 5, key: str = "key") -> DataFrame:
-    """Named date ranges (name, start, end): total return, Sharpe, drawdown. A small constant table of
-    ranges is laid over the rows."""
-    rows = returns.join(windows, F.col("ts").between(F.col("start"), F.col("end"))).withColumn("_k", F.concat_ws("|", key, "name"))
+    """Named date ranges (name, start, end): total return, Sharpe, drawdown. Dates and ranges meet in bins."""
+    rows = _within(returns, windows).withColumn("_k", F.concat_ws("|", key, "name"))
     c = core(rows.select(F.col("_k").alias("key"), "ts", "r"), "key").filter(F.col("n") >= least)
     total = rows.groupBy(F.col("_k").alias("key")).agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("total_return"))
     out = c.join(total, "key").select(F.substring_index("key", "|", 1).alias(key), F.substring_index("key", "|", -1).alias("name"), "n", "total_return", "sharpe", "max_dd")
     if bench is None:
         return out
-    b = bench.join(windows, F.col("ts").between(F.col("start"), F.col("end"))).groupBy("name").agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("_b"))
+    b = _within(bench, windows).groupBy("name").agg((F.exp(F.sum(F.ln(1 + F.col("r")))) - 1).alias("_b"))
     return out.join(b, "name", "left").withColumn("excess", F.col("total_return") - F.col("_b")).drop("_b")
 
 

@@ -9,6 +9,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.intervals import range_join
+
 from . import kernels as K, segments as S
 
 
@@ -193,6 +195,20 @@ def trendlines(ohlc: DataFrame, top: int | None = None, **options) -> DataFrame:
     return ohlc.groupBy("pair").applyInPandas(one, LINES)
 
 
+def live_lines(bars: DataFrame, lines: DataFrame, width: int = 128) -> DataFrame:
+    """(pair, seq, kind, n_live, lowest, highest): for each bar (pair, seq from 0) the lines that are live, those that
+    ended before it (and not after ``last_idx``, where the table has it), and the bounds of their levels there.
+
+    Bars and lines meet in bins of bars, not in a loop over both.
+    """
+    last = F.col("last_idx") if "last_idx" in lines.columns else F.col("_most")
+    longest = bars.groupBy("pair").agg(F.max("seq").alias("_most"))
+    ranges = lines.select("pair", "kind", "end_idx", "slope", "intercept", *(["last_idx"] if "last_idx" in lines.columns else [])).join(longest, "pair")
+    met = range_join(bars.select("pair", "seq"), ranges, F.col("seq"), F.col("end_idx") + 1, F.least(last, F.col("_most")), width, ("pair",))
+    level = F.col("slope") * F.col("seq") + F.col("intercept")
+    return met.groupBy("pair", "seq", "kind").agg(F.count("*").alias("n_live"), F.min(level).alias("lowest"), F.max(level).alias("highest"))
+
+
 def breakout(bars: DataFrame, entry_conf: int = 1, exit_conf: int = 1, atr_k: float = 3.0, **lines) -> DataFrame:
     """Enter after so many bars in a row over some live resistance; leave under support or at the trailing
     stop. From (pair, ts, seq, high, low, close of the ratio, num_close); flags act one bar later."""

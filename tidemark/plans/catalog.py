@@ -10,7 +10,7 @@ import uuid
 from collections.abc import Callable
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import rolling as R
 from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, position_blocks as PB, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, table_functions as TF, validation as V, weights as WT
@@ -245,6 +245,18 @@ def _breakout_bars(spark, d):
     return P.series(spark, d).select("pair", "ts", (x * 1.005).alias("high"), (x * 0.995).alias("low"), x.alias("close"), "num_close")
 
 
+@query("pat_live_lines", Q.LIVE_LINES)
+def _(spark, d):
+    """A line through every 25th bar and the one 25 later, live for 120 bars after it: the live lines of each bar."""
+    bars = P.series(spark, d).select("pair", (F.col("seq") - 1).alias("seq"), "ratio")
+    w = W.partitionBy("pair").orderBy("seq")
+    ends = bars.withColumn("later", F.lead("ratio", 25).over(w)).filter("seq % 25 = 0 and later is not null")
+    slope = (F.col("later") - F.col("ratio")) / 25
+    kind = F.when(slope < 0, F.lit("resistance")).otherwise(F.lit("support"))
+    lines = ends.select("pair", kind.alias("kind"), (F.col("seq") + 25).alias("end_idx"), (F.col("seq") + 145).alias("last_idx"), slope.alias("slope"), (F.col("ratio") - slope * F.col("seq")).alias("intercept"))
+    return PT.live_lines(bars, lines)
+
+
 @query("pat_trendlines")
 def _(spark, d):
     return PT.trendlines(_breakout_bars(spark, d), **_LINES)

@@ -488,3 +488,8 @@ DSR_INPUTS_OHLC = (
     "i AS (SELECT unit, combo, avg(net)/stddev_pop(net)*sqrt(252) AS sr FROM n JOIN g USING (unit, combo) WHERE seq <= floor(n.nn*0.8::DOUBLE) GROUP BY 1,2 HAVING stddev_pop(net) > 1e-10) "
     "SELECT unit, k AS n_combos, round((v-k)/(k*(k-1)),6) AS mean_correlation, round(var,6) AS sr_variance, round(mx,6) AS max_sharpe FROM c JOIN (SELECT unit, var_samp(sr) AS var, max(sr) AS mx FROM i GROUP BY 1) USING (unit)"
 )
+
+LIVE_LINES = (
+    S + ", b AS (SELECT pair, seq-1 AS i, ratio, lead(ratio,25) OVER (PARTITION BY pair ORDER BY seq) AS later FROM s), l AS (SELECT pair, i, ratio, (later-ratio)/25 AS m FROM b WHERE i % 25 = 0 AND later IS NOT NULL) "
+    "SELECT b.pair, b.i::INTEGER AS seq, CASE WHEN m < 0 THEN 'resistance' ELSE 'support' END AS kind, count(*) AS n_live, round(min(l.ratio+m*(b.i-l.i)),6) AS lowest, round(max(l.ratio+m*(b.i-l.i)),6) AS highest FROM b JOIN l ON b.pair=l.pair AND b.i > l.i+25 AND b.i <= l.i+145 GROUP BY 1,2,3"
+)

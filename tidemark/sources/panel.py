@@ -22,10 +22,11 @@ def smoothed(cells: DataFrame) -> DataFrame:
     An average that doesn't change is then the same number on both days, whatever order it was summed
     in, so such days have a return of exactly 0.
     """
-    # Both sides of the grid are small: the distinct dates and the distinct tickers.
-    grid = cells.select("ts").distinct().crossJoin(cells.select("ticker").distinct())
+    # A row a date holds its cells; the tickers are one array, so the grid needs no join at all.
+    tickers = cells.agg(F.array_sort(F.collect_set("ticker")).alias("t")).scalar()
+    held = cells.groupBy("ts").agg(F.map_from_entries(F.collect_list(F.struct("ticker", "p"))).alias("held"))
+    laid = held.select("ts", "held", F.explode(tickers).alias("ticker")).select("ts", "ticker", F.try_element_at("held", F.col("ticker")).alias("p"))
     w = W.partitionBy("ticker").orderBy("ts").rowsBetween(-(SMOOTH - 1), 0)
-    laid = grid.join(cells, ["ts", "ticker"], "left")
     return laid.select("ticker", "ts", F.when(F.count("p").over(w) >= LEAST, F.round(F.avg("p").over(w), 6)).alias("close"))
 
 
@@ -58,7 +59,11 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 def universe(prices: DataFrame) -> DataFrame:
     """All ordered pairs of tickers: (pair, numerator, denominator)."""
     names = prices.select("ticker").distinct()
-    return names.alias("a").join(names.alias("b"), F.col("a.ticker") < F.col("b.ticker")).select(F.concat_ws("/", "a.ticker", "b.ticker").alias("pair"), F.col("a.ticker").alias("numerator"), F.col("b.ticker").alias("denominator"))
+    # Each task pairs its tickers with the array of all of them.
+    every = names.agg(F.array_sort(F.collect_list("ticker")).alias("t")).scalar()
+    each = names.select(F.col("ticker").alias("numerator"), every.alias("all"))
+    pairs = each.select("numerator", F.explode(F.filter("all", lambda b: b > F.col("numerator"))).alias("denominator"))
+    return pairs.select(F.concat_ws("/", "numerator", "denominator").alias("pair"), "numerator", "denominator")
 
 
 def compute_ratio(prices: DataFrame, pairs: DataFrame) -> DataFrame:
