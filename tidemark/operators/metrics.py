@@ -220,11 +220,53 @@ def rolling_beta(returns: DataFrame, bench: DataFrame, window: int = 252, key: s
     return j.select(key, "ts", F.when(F.count("r").over(w) == window, beta).alias("rolling_beta"), F.when(F.count("r").over(w) == window, F.corr("r", "b").over(w)).alias("rolling_corr"))
 
 
-def correlation(returns: DataFrame, key: str = "key") -> DataFrame:
-    """All pairs of keys on their common dates. The pairs are of keys, not of rows."""
-    a = returns.select(F.col(key).alias("a"), "ts", F.col("r").alias("ra"))
-    b = returns.select(F.col(key).alias("b"), "ts", F.col("r").alias("rb"))
-    return a.join(b, "ts").filter("a < b").groupBy("a", "b").agg(F.corr("ra", "rb").alias("corr"), F.covar_samp("ra", "rb").alias("cov"), F.count("*").alias("n"))
+NAMES, DATES = 64, 4096
+
+
+def correlation(returns: DataFrame, key: str = "key", names: int = NAMES, dates: int = DATES) -> DataFrame:
+    """(a, b, corr, cov, n) of all pairs of keys a < b on their common dates.
+
+    Keys are numbered and cut into blocks of ``names``, dates into stretches of ``dates``; a task holds two blocks of
+    one stretch as matrices, and products of matrices give the sums of all their pairs at once. What is shuffled is a
+    matrix for each pair of blocks, and a row of sums for each pair of keys and stretch, never dates x keys squared.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = returns.schema["ts"].dataType.typeName()
+    at = F.unix_date("ts") if kind == "date" else F.unix_micros("ts") if kind == "timestamp" else F.col("ts")
+    long = dates if kind != "timestamp" else dates * 86_400_000_000
+    given = returns.filter("r is not null").select(F.col(key).cast("string").alias("key"), at.cast("long").alias("day"), "r")
+    about = given.groupBy("key").agg(F.avg("r").alias("mu"))
+    numbered = about.withColumn("i", F.row_number().over(W.orderBy("key")) - 1).withColumn("block", F.expr(f"i div {names}"))
+    last = numbered.agg(F.max("block")).first()[0]
+    if last is None:
+        return returns.sparkSession.createDataFrame([], "a string, b string, corr double, cov double, n long")
+    # Sums of differences from each key's mean stay small.
+    rows = given.join(numbered, "key").select("key", "block", F.expr(f"day div {long}").alias("stretch"), "day", (F.col("r") - F.col("mu")).alias("r"))
+    partner = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(int(last)))))
+    dealt = partner.withColumn("lo", F.least("block", "o")).withColumn("hi", F.greatest("block", "o")).drop("o")
+    schema = "a string, b string, n long, x double, y double, xx double, yy double, xy double"
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        days, d = np.unique(rows["day"].to_numpy(), return_inverse=True)
+        sides = []
+        for block in (rows["lo"].iloc[0], rows["hi"].iloc[0]):
+            mine = (rows["block"] == block).to_numpy()
+            keys, k = np.unique(rows["key"].to_numpy(str)[mine], return_inverse=True)
+            value, there = np.zeros((len(days), len(keys))), np.zeros((len(days), len(keys)))
+            value[d[mine], k], there[d[mine], k] = rows["r"].to_numpy()[mine], 1.0
+            sides.append((keys, value, there))
+        (ka, va, ta), (kb, vb, tb) = sides
+        n = ta.T @ tb
+        parts = {"n": n, "x": va.T @ tb, "y": ta.T @ vb, "xx": (va * va).T @ tb, "yy": ta.T @ (vb * vb), "xy": va.T @ vb}
+        i, j = np.nonzero((ka[:, None] < kb[None, :]) & (n > 0))
+        return pd.DataFrame({"a": ka[i], "b": kb[j], **{c: v[i, j].astype(np.int64) if c == "n" else v[i, j] for c, v in parts.items()}})
+
+    g = dealt.groupBy("lo", "hi", "stretch").applyInPandas(sums, schema).groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n = F.col("n")
+    cov, vx, vy = (F.col(c) - F.col(p) * F.col(q) / n for c, p, q in (("xy", "x", "y"), ("xx", "x", "x"), ("yy", "y", "y")))
+    return g.select("a", "b", (cov / F.nullif(F.sqrt(F.greatest(vx, F.lit(0.0)) * F.greatest(vy, F.lit(0.0))), F.lit(0.0))).alias("corr"), F.when(n > 1, cov / (n - 1)).alias("cov"), "n")
 
 
 def tail_correlation(returns: DataFrame, low: float = 0.05, key: str = "key", least: int = 10) -> DataFrame:
@@ -347,41 +389,6 @@ def curve_hash(curve: DataFrame, key: str = "key") -> DataFrame:
     return rows.groupBy(key).agg(F.sha1(F.array_join(F.sort_array(F.collect_list("_v")), ",").cast("binary")).alias("curve_sha1"))
 
 
-def bootstrap_stats(returns: DataFrame, samples: int = 1000, seed: int = 42, key: str = "key") -> DataFrame:
-    """Quantiles of Sharpe, CAGR and drawdown over resampled returns of each key."""
-    import numpy as np
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values("ts")["r"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        out = []
-        for at in range(0, samples, 100):
-            p = r[rng.integers(0, len(r), (min(100, samples - at), len(r)))]
-            eq = np.cumprod(1 + p, axis=1)
-            sd = p.std(axis=1, ddof=1) if len(r) > 1 else np.zeros(len(p))
-            out.append(np.column_stack([np.where(sd > 0, p.mean(axis=1) / np.where(sd > 0, sd, 1) * ROOT, 0), np.maximum(eq[:, -1], 1e-12) ** (YEAR / len(r)) - 1, (eq / np.maximum.accumulate(eq, axis=1) - 1).min(axis=1)]))
-        q = np.percentile(np.vstack(out), [5, 50, 95], axis=0)
-        return pd.DataFrame({"key": rows[key].iloc[0], "metric": ["sharpe", "cagr", "max_dd"], "p05": q[0], "p50": q[1], "p95": q[2]})
-
-    return returns.groupBy(key).applyInPandas(one, "key string, metric string, p05 double, p50 double, p95 double")
-
-
-def forecast_cone(returns: DataFrame, forward: int = 252, samples: int = 1000, seed: int = 42, key: str = "key") -> DataFrame:
-    """Quantiles of resampled paths ``forward`` bars ahead, from 1."""
-    import numpy as np
-    import pandas as pd
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        r = rows.sort_values("ts")["r"].to_numpy(float)
-        rng = np.random.default_rng(seed)
-        paths = np.cumprod(1 + r[rng.integers(0, len(r), (samples, forward))], axis=1)
-        q = np.percentile(paths, [5, 25, 50, 75, 95], axis=0)
-        return pd.DataFrame({"key": rows[key].iloc[0], "step": np.arange(1, forward + 1), "p05": q[0], "p25": q[1], "p50": q[2], "p75": q[3], "p95": q[4]})
-
-    return returns.groupBy(key).applyInPandas(one, "key string, step long, p05 double, p25 double, p50 double, p75 double, p95 double")
-
-
 def trade_summary(trades: DataFrame, by: str) -> DataFrame:
     """Number, mean, total and win share of trades by exit reason, ticker or the like."""
     return trades.groupBy(by).agg(F.count("*").alias("n"), F.avg("pnl_pct").alias("mean_pnl_pct"), F.sum("pnl_dollars").alias("total_pnl"), F.avg((F.col("pnl_pct") > 0).cast("int")).alias("win_rate"))

@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions import rolling as R
-from ..operators import backtest as B, metrics as M, patterns as PT, pipeline as PL, position_blocks as PB, replay as RP, rules as RL, screens as S1, signals as SG, significance as S4, table_functions as TF, validation as V, weights as WT
+from ..operators import backtest as B, datasets as DS, metrics as M, patterns as PT, pipeline as PL, position_blocks as PB, replay as RP, resampling as RS, rules as RL, screens as S1, signals as SG, significance as S4, table_functions as TF, validation as V, weights as WT
 from ..sources import bar_cache as BC, feed as FD, panel as P
 from ..sources.shared import Files, shared_folder
 from ..streaming import events as EV
@@ -550,8 +550,12 @@ query("met_period_returns", Q.RET + "SELECT key, period, round(last/lag(last) OV
 query("met_bars_per_year", Q.RET + "SELECT ticker AS key, round(count(*)/((max(ts)-min(ts))/365.25),6) AS bars_per_year FROM px WHERE close IS NOT NULL GROUP BY 1")(lambda s, d: M.bars_per_year(_curve(s, d)))
 query("met_kde")(lambda s, d: M.kde(_returns(s, d)))
 query("met_curve_hash", Q.CURVE_HASH)(lambda s, d: M.curve_hash(_curve(s, d)))
-query("met_bootstrap")(lambda s, d: M.bootstrap_stats(_returns(s, d)))
-query("met_forecast_cone")(lambda s, d: M.forecast_cone(_returns(s, d)))
+query("met_bootstrap", Q.BOOTSTRAP)(lambda s, d: RS.bootstrap_stats(_returns(s, d), 200))
+query("met_forecast_cone", Q.CONE)(lambda s, d: RS.forecast_cone(_returns(s, d)))
+query("met_correlation_blocks", Q.W6 + "SELECT x.ticker AS a, y.ticker AS b, round(corr(x.r,y.r),6) AS corr, round(covar_samp(x.r,y.r),6) AS cov, count(*) AS n FROM ret6 x JOIN ret6 y ON x.ts=y.ts AND x.ticker<y.ticker GROUP BY 1,2")(lambda s, d: M.correlation(_ret6(s, d), names=2, dates=512))
+query("met_cumulative_excess", Q.RET + "SELECT key, ts, round(c,6) AS cum, round(e,6) AS cum_bench, round(c-e,6) AS excess FROM (SELECT key, ts, exp(sum(ln(1+r)) OVER w)-1 AS c, exp(sum(ln(1+b)) OVER w)-1 AS e FROM ret JOIN br USING (ts) WINDOW w AS (PARTITION BY key ORDER BY ts))")(lambda s, d: DS.cumulative_excess(_returns(s, d), _bench(s, d)))
+query("met_regression", Q.RET + "SELECT key, round(regr_slope(r,b),6) AS beta, round(regr_intercept(r,b)*252,6) AS alpha, round(regr_r2(r,b),6) AS r2, count(*) AS n FROM ret JOIN br USING (ts) GROUP BY 1")(lambda s, d: DS.regression(_returns(s, d), _bench(s, d)))
+query("met_period_histogram", Q.PERIOD_HISTOGRAM)(lambda s, d: DS.period_histogram(_curve(s, d), "week", -1.0, 1.0, 8))
 query("met_regime_metrics", Q.REGIMES)(lambda s, d: M.regime_metrics(_returns(s, d), M.sma_regime(P.benchmark_px(s, d))))
 query("met_rebase", Q.PX + "SELECT ticker AS key, ts, round(close*100/first(close) OVER (PARTITION BY ticker ORDER BY ts),6) AS equity FROM px WHERE close IS NOT NULL AND ts >= DATE '1997-01-01'")(lambda s, d: M.rebase(_curve(s, d), "1997-01-01"))
 
@@ -565,6 +569,17 @@ def _(spark, d):
     return M.stress_windows(_returns(spark, d), w).select("key", "name", "n", "total_return")
 
 
+def _trades(spark, d):
+    """Trades of the z-score backtest."""
+    return DS.trades_of(B.run(SG.zscore_standard(P.series(spark, d))))
+
+
+query("tr_trades", Q.TRADES + "SELECT pair, trade, entry_ts, exit_ts, bars, round(pnl,6) AS pnl FROM trades")(lambda s, d: _trades(s, d).withColumn("trade", F.col("trade").cast("long")))
+query("tr_kpis", Q.TRADES + "SELECT pair, count(*) AS n, round(avg((pnl>0)::INTEGER),6) AS win_rate, round(avg(pnl) FILTER (pnl>0),6) AS mean_win, round(avg(pnl) FILTER (pnl<0),6) AS mean_loss, round(sum(pnl) FILTER (pnl>0)/nullif(-sum(pnl) FILTER (pnl<0),0),6) AS profit_factor, round(avg(pnl),6) AS expectancy, round(avg(bars),6) AS mean_bars, round(max(pnl),6) AS best, round(min(pnl),6) AS worst FROM trades GROUP BY 1")(lambda s, d: DS.trade_kpis(_trades(s, d), ("pair",)))
+query("tr_open_positions", Q.TRADES + "SELECT ts, (SELECT count(*) FROM trades t WHERE t.entry_ts <= d.ts AND t.exit_ts > d.ts) AS n_open FROM (SELECT DISTINCT ts FROM s) d")(lambda s, d: DS.open_positions(_trades(s, d), P.series(s, d)))
+query("tr_histogram", Q.TRADES + "SELECT bin, CASE WHEN bin > 0 THEN round(-0.1+(bin-1)*0.02,6) END AS low, CASE WHEN bin <= 10 THEN round(-0.1+bin*0.02,6) END AS high, count(*) AS n FROM (SELECT (CASE WHEN pnl < -0.1::DOUBLE THEN 0 WHEN pnl > 0.1::DOUBLE THEN 11 ELSE least(floor((pnl+0.1::DOUBLE)/(0.2::DOUBLE/10))+1,10) END)::INTEGER AS bin FROM trades) GROUP BY 1")(lambda s, d: DS.histogram(_trades(s, d), "pnl", -0.1, 0.1, 10))
+query("tr_box", Q.TRADES + "SELECT pair, n, round(q1,6) AS q1, round(md,6) AS median, round(q3,6) AS q3, round(min(pnl) FILTER (ins),6) AS low, round(max(pnl) FILTER (ins),6) AS high, count(*) FILTER (NOT ins) AS outliers FROM (SELECT pair, pnl, n, q1, md, q3, pnl BETWEEN q1-1.5*(q3-q1) AND q3+1.5*(q3-q1) AS ins FROM trades JOIN (SELECT pair, count(*) AS n, quantile_cont(pnl,0.25) AS q1, quantile_cont(pnl,0.5) AS md, quantile_cont(pnl,0.75) AS q3 FROM trades GROUP BY 1) USING (pair)) GROUP BY ALL")(lambda s, d: DS.box(_trades(s, d), "pnl", ("pair",)))
+
 # Weights ----------------------------------------------------------------------------------------
 
 

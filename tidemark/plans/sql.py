@@ -493,3 +493,24 @@ LIVE_LINES = (
     S + ", b AS (SELECT pair, seq-1 AS i, ratio, lead(ratio,25) OVER (PARTITION BY pair ORDER BY seq) AS later FROM s), l AS (SELECT pair, i, ratio, (later-ratio)/25 AS m FROM b WHERE i % 25 = 0 AND later IS NOT NULL) "
     "SELECT b.pair, b.i::INTEGER AS seq, CASE WHEN m < 0 THEN 'resistance' ELSE 'support' END AS kind, count(*) AS n_live, round(min(l.ratio+m*(b.i-l.i)),6) AS lowest, round(max(l.ratio+m*(b.i-l.i)),6) AS highest FROM b JOIN l ON b.pair=l.pair AND b.i > l.i+25 AND b.i <= l.i+145 GROUP BY 1,2,3"
 )
+
+#: trades(pair, trade, entry_ts, exit_ts, bars, pnl) of the z-score backtest.
+TRADES = BACKTEST[: BACKTEST.index("SELECT pair, round(coalesce(avg(ret)")] + (
+    ", o AS (SELECT d.*, s.ts, (held AND NOT coalesce(lag(held) OVER w, false))::INTEGER AS op FROM d JOIN s USING (pair, seq) WINDOW w AS (PARTITION BY pair ORDER BY seq)), k AS (SELECT *, sum(op) OVER (PARTITION BY pair ORDER BY seq)::BIGINT AS trade FROM o), "
+    "trades AS (SELECT pair, trade, min(ts) FILTER (op=1) AS entry_ts, max(ts) FILTER (t2 IS NOT NULL) AS exit_ts, (max(seq) FILTER (t2 IS NOT NULL)-min(seq) FILTER (op=1))::BIGINT AS bars, sum(t2) AS pnl FROM k WHERE trade > 0 GROUP BY 1,2 HAVING max(ts) FILTER (t2 IS NOT NULL) IS NOT NULL) "
+)
+_DRAWN = (
+    RET + ", hv AS (SELECT key, list(r ORDER BY ts) AS v FROM ret GROUP BY 1), pq AS (SELECT key, v, p, unnest(range(0, (({steps})+3)//4)) AS q FROM hv, range(0,{samples}) t(p)), dg AS (SELECT *, md5('42|' || key || '|' || p || '|' || q) AS h FROM pq), "
+    "dr AS (SELECT key, p, q*4+j AS step, v[('0x' || substr(h, 1+8*j::INTEGER, 8))::BIGINT % len(v) + 1] AS r FROM dg, range(0,4) u(j) WHERE q*4+j < ({steps})), eq AS (SELECT *, exp(sum(ln(greatest(1+r,1e-12))) OVER (PARTITION BY key, p ORDER BY step)) AS e FROM dr) "
+)
+CONE = _DRAWN.format(steps="252", samples=1000) + "SELECT key, step+1 AS step, round(quantile_cont(e,0.05),6) AS p05, round(quantile_cont(e,0.25),6) AS p25, round(quantile_cont(e,0.5),6) AS p50, round(quantile_cont(e,0.75),6) AS p75, round(quantile_cont(e,0.95),6) AS p95 FROM eq GROUP BY 1,2"
+BOOTSTRAP = _DRAWN.format(steps="len(v)", samples=200) + (
+    ", ud AS (SELECT *, e/max(e) OVER (PARTITION BY key, p ORDER BY step)-1 AS dd FROM eq), mt AS (SELECT key, p, coalesce(CASE WHEN stddev_samp(r)>1e-10 THEN avg(r)/stddev_samp(r)*sqrt(252) END,0) AS sharpe, pow(max_by(e,step),252.0/count(*))-1 AS cagr, coalesce(stddev_samp(r)*sqrt(252),0) AS volatility, min(dd) AS max_dd FROM ud GROUP BY 1,2), "
+    "ml AS (UNPIVOT (SELECT key, p, sharpe, cagr, volatility, max_dd, coalesce(cagr/nullif(-max_dd,0),0) AS calmar FROM mt) ON sharpe, cagr, volatility, max_dd, calmar INTO NAME metric VALUE x) "
+    "SELECT key, metric, round(quantile_cont(x,0.05),6) AS p05, round(quantile_cont(x,0.5),6) AS p50, round(quantile_cont(x,0.95),6) AS p95 FROM ml GROUP BY 1,2"
+)
+PERIOD_HISTOGRAM = (
+    RET + ", pe AS (SELECT ticker AS key, date_trunc('week',ts) AS period, max_by(close,ts) AS e FROM px WHERE close IS NOT NULL GROUP BY 1,2), pr AS (SELECT key, 100*(e/nullif(lag(e) OVER (PARTITION BY key ORDER BY period),0)-1) AS x FROM pe), "
+    "pb AS (SELECT key, x, (CASE WHEN x < -1 THEN 0 WHEN x > 1 THEN 9 ELSE least(floor((x+1)/0.25::DOUBLE)+1,8) END)::INTEGER AS bin FROM pr WHERE x IS NOT NULL) "
+    "SELECT key, bin, CASE WHEN bin > 0 THEN round(-1+(bin-1)*0.25::DOUBLE,6) END AS low, CASE WHEN bin <= 8 THEN round(-1+bin*0.25::DOUBLE,6) END AS high, n, round(mu,6) AS mean_pct, round(sd,6) AS sd_pct FROM (SELECT key, bin, count(*) AS n FROM pb GROUP BY 1,2) JOIN (SELECT key, avg(x) AS mu, stddev_samp(x) AS sd FROM pb GROUP BY 1) USING (key)"
+)
