@@ -126,7 +126,9 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     called = lambda tag, *names: tag.rlike(f"(?i)^<(?:{'|'.join(names)})[{_WS}/]")
     shown = F.regexp_replace(F.col(html), _HIDDEN, " ")
     tags = F.filter(F.regexp_extract_all(shown, F.lit(_TAG), F.lit(0)), lambda t: called(t, "link", "meta", "base"))
-    found = pages.filter(F.col(url).isNotNull() & F.col(html).isNotNull()).select(F.col(url).alias("a"), tags.alias("tags")).filter(F.size("tags") > 0)
+    # A page without either word can't name another one; most pages' tags are then not listed.
+    may = F.col(url).isNotNull() & F.col(html).rlike("(?i)canonical|refresh")
+    found = pages.filter(may).select(F.col(url).alias("a"), tags.alias("tags")).filter(F.size("tags") > 0)
     bases = F.filter(F.transform(F.filter("tags", lambda t: called(t, "base")), lambda t: _address(_attribute(t, "href"))), lambda h: h.isNotNull())
     based = found.withColumn("first", F.try_element_at(bases, F.lit(1)))
     base = F.when(F.coalesce(F.col("first"), F.lit("")) == "", F.col("a")).otherwise(F.coalesce(resolved(F.col("a"), F.col("first")), F.col("a")))
