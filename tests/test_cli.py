@@ -1,5 +1,7 @@
 """The command line from files to files."""
 
+import json
+
 import numpy as np
 import pytest
 
@@ -29,6 +31,9 @@ def test_run(spark, tmp_path):
     assert cli.main(args) == 0
     tag = "f0"
     assert spark.read.parquet(f"{tmp_path}/out/s1_{tag}_metrics.parquet").count() == 2
+    held = [f for f in (tmp_path / "out").iterdir() if f.name.startswith("run_") and f.suffix == ".json"]
+    about = json.loads(held[0].read_text())
+    assert len(held) == 1 and about["meta"]["preset"] == "TRE-2" and about["config"]["cost_per_side"] == 0.0005 and about["config"]["cpcv_n_folds"] == 10
     assert "oos_sharpe" in spark.read.parquet(f"{tmp_path}/out/s2_{tag}_metrics.parquet").columns
 
 

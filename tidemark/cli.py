@@ -10,12 +10,14 @@ Exit codes: 0 done, 1 a strict anomaly check failed, 2 wrong arguments.
 from __future__ import annotations
 
 import argparse
+import datetime
 import json
 import sys
 from collections.abc import Sequence
 from typing import Any
 
 from .operators import pipeline as PL, replay as RP, signals
+from .sources.shared import Files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -84,6 +86,9 @@ def run(args: argparse.Namespace, config: dict[str, Any]) -> int:
         return 2
     result = made.run(spark.read.parquet(args.prices), spark.read.parquet(args.pairs), config, args.stop_after)
     tag, failed = PL.build_tag(config), False
+    # What ran, defaults included, for whoever repeats it.
+    at = datetime.datetime.now().strftime("%Y%m%dT%H%M%S")
+    Files(spark, args.out).write_json(f"{'_'.join(x for x in ('run', at, tag) if x)}.json", {"meta": {"timestamp": at, "tag": tag, "preset": args.preset}, "config": result.config})
     for stage, df in result.stages.items():
         path = f"{args.out.rstrip('/')}/{PL.stage_name(stage, None, tag)}.parquet"
         df.write.mode("overwrite").parquet(path)

@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..sources import panel as P
 from . import backtest as B, metrics as M, patterns as PT, rules as RL, screens, segments as SG, signals, significance as S, validation as V, weights as WT
@@ -475,30 +475,68 @@ def _breakout_rows(bars: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def compare(pipelines: list[Pipeline], prices: DataFrame, pairs: DataFrame, config: dict[str, Any] | None = None) -> dict[str, Result]:
-    """Several pipelines on one persisted panel."""
+    """Several pipelines on one persisted panel; the results release it with their own rows."""
     held = prices.persist()
-    return {p.name: p.run(held, pairs, config) for p in pipelines}
+    out = {p.name: p.run(held, pairs, config) for p in pipelines}
+    for result in out.values():
+        result.held.append(held)
+    return out
 
 
-def resolve_validators(s3: DataFrame, mode: str = "strictest") -> DataFrame:
-    """Several validation rows a pair to one. strictest: all must pass, the lowest Sharpe counts;
-    any_pass; agreement: CONFIRMED, FRAGILE_EDGE or REJECT."""
-    p = F.col("passed").cast("int")
-    g = s3.groupBy("pair").agg(F.min(p).alias("every"), F.max(p).alias("some"), F.min("mean_test_sharpe").alias("lowest"), F.max("mean_test_sharpe").alias("highest"), F.max("degradation").alias("degradation"), F.count("*").alias("n_methods"))
-    if mode == "strictest":
-        return g.select("pair", (F.col("every") == 1).alias("passed"), F.col("lowest").alias("sharpe"), "degradation", "n_methods")
-    if mode == "any_pass":
-        return g.select("pair", (F.col("some") == 1).alias("passed"), F.col("highest").alias("sharpe"), "degradation", "n_methods")
-    verdict = F.when(F.col("every") == 1, "CONFIRMED").when(F.col("some") == 1, "FRAGILE_EDGE").otherwise("REJECT")
-    return g.select("pair", (F.col("some") == 1).alias("passed"), F.col("lowest").alias("sharpe"), "degradation", "n_methods", verdict.alias("agreement"))
+# Tiers from best to worst, and what a portfolio makes of them.
+TIER_ORDER = ("TOP_TIER", "SECOND_TIER", "LAST_TIER", "REJECT")
+PORTFOLIO = {"TOP_TIER": "GOOD", "SECOND_TIER": "GOOD", "LAST_TIER": "MARGINAL"}
+
+
+def tier_rank(tier: Column) -> Column:
+    """0 is best; an unknown tier is a REJECT."""
+    at = F.array_position(F.array(*[F.lit(t) for t in TIER_ORDER]), tier)
+    return F.when(F.coalesce(at, F.lit(0)) > 0, at - 1).otherwise(F.lit(len(TIER_ORDER) - 1)).cast("int")
+
+
+def downgraded(tier: Column) -> Column:
+    """The next worse tier; REJECT stays."""
+    return F.element_at(F.array(*[F.lit(t) for t in TIER_ORDER]), F.least(tier_rank(tier) + 2, F.lit(len(TIER_ORDER))))
+
+
+MODES = ("strictest", "agreement", "any_pass")
+
+
+def resolve_validators(s3: DataFrame, mode: str = "strictest", methods: list[str] | None = None) -> DataFrame:
+    """Several validation rows a pair to one.
+
+    strictest: all must pass; the lowest Sharpe and the highest degradation count then. any_pass: one must, and its best
+    one counts. agreement: CONFIRMED (all, the lowest counts), FRAGILE_EDGE (some, the best that passes counts) or
+    REJECT. A pair that doesn't pass keeps its best row's numbers. Each validator's own Sharpe is a column
+    ``sharpe_{method}``; ``methods`` names them, else they are read from the rows.
+    """
+    if mode not in MODES:
+        raise ValueError(f"no mode {mode!r}; there are {', '.join(MODES)}")
+    names = methods or sorted(r[0] for r in s3.select("val_method").distinct().collect())  # a row for each validator
+    x, passes = F.col("mean_test_sharpe"), F.coalesce(F.col("passed"), F.lit(False))
+    best = lambda c, where: F.max_by(c, F.when(where, F.struct(x, F.hash("val_method"))))
+    g = s3.groupBy("pair").agg(
+        F.count("*").alias("n_methods"), F.count_if(passes).alias("n_methods_passed"), F.array_join(F.array_sort(F.collect_list("val_method")), ",").alias("val_methods"),
+        F.min(x).alias("_low"), F.max("degradation").alias("_worst"), best(x, F.lit(True)).alias("_any"), best(F.col("degradation"), F.lit(True)).alias("_any_d"), best(x, passes).alias("_good"), best(F.col("degradation"), passes).alias("_good_d"),
+        *[F.max(F.when(F.col("val_method") == m, x)).alias(f"sharpe_{m}") for m in names],
+    )
+    every, some = F.col("n_methods_passed") == F.col("n_methods"), F.col("n_methods_passed") > 0
+    lowest = (every, "_low", "_worst") if mode != "any_pass" else (F.lit(False), "_low", "_worst")
+    good = some if mode != "strictest" else F.lit(False)
+    pick = lambda i: F.when(lowest[0], F.col(lowest[i])).when(good, F.col(("_good", "_good_d")[i - 1])).otherwise(F.col(("_any", "_any_d")[i - 1]))
+    verdict = [F.when(every, "CONFIRMED").when(some, "FRAGILE_EDGE").otherwise("REJECT").alias("agreement")] if mode == "agreement" else []
+    return g.select("pair", (every if mode == "strictest" else some).alias("passed"), pick(1).alias("sharpe"), pick(2).alias("degradation"), "n_methods", "n_methods_passed", "val_methods", *verdict, *[f"sharpe_{m}" for m in names])
 
 
 def bridge(s2: DataFrame, s3: DataFrame, s4: DataFrame, mode: str = "strictest", one_per_numerator: bool = True) -> DataFrame:
-    """Portfolio candidates: validation, the best optimiser row, the tier; the best by Sharpe of each
-    numerator is flagged."""
-    best = B.best_first(s2.withColumn("_i", F.lit(0)), "pair", "oos_sharpe", "_i").drop("_i", "passed")
-    tier = F.when(F.col("tier") == S.TOP, "GOOD").when(F.col("tier") == S.SECOND, "MARGINAL").otherwise("REJECT")
-    out = resolve_validators(s3, mode).join(best, "pair", "left").join(s4.filter("passed").select("pair", tier.alias("portfolio_tier")), "pair")
+    """Portfolio candidates: validation, the best optimiser row that passed, the tier (one lower for a FRAGILE_EDGE), and
+    what a portfolio makes of it; the best by Sharpe of each numerator is selected."""
+    best = B.best_first(s2.filter("passed").withColumn("_i", F.lit(0)), "pair", "oos_sharpe", "_i").drop("_i", "passed")
+    out = resolve_validators(s3, mode).join(best, "pair", "left").join(s4.filter("passed").select("pair", "tier"), "pair")
+    if mode == "agreement":
+        out = out.withColumn("tier", F.when(F.col("agreement") == "FRAGILE_EDGE", downgraded(F.col("tier"))).otherwise(F.col("tier")))
+    kind = F.create_map(*[F.lit(v) for item in PORTFOLIO.items() for v in item])
+    out = out.withColumn("portfolio_tier", F.coalesce(kind[F.col("tier")], F.lit("REJECT")))
     w = W.partitionBy("numerator").orderBy(F.col("sharpe").desc(), "pair")
     return out.withColumn("selected", (F.row_number().over(w) == 1) if one_per_numerator else F.lit(True))
 

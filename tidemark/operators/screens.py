@@ -267,15 +267,18 @@ def passthrough(series: DataFrame) -> DataFrame:
     return h.select("pair", "halflife", F.when(w > 0, w).otherwise(20).alias("window"), F.lit(True).alias("passed"))
 
 
-def regime_aware(series: DataFrame, benchmark: DataFrame, low: float = 2, high: float = 756, least: int = 126, seed: int = 42) -> DataFrame:
+def regime_aware(series: DataFrame, benchmark: DataFrame, low: float = 2, high: float = 756, least: int = 126, seed: int = 42, starts: int = 5) -> DataFrame:
     """Half-life valid in both the bull and the bear regime of a three-component Gaussian mixture on
-    the benchmark's returns."""
+    the benchmark's returns; of several starts the one with the highest likelihood counts."""
     from pyspark.ml.clustering import GaussianMixture
     from pyspark.ml.feature import VectorAssembler
 
     r = benchmark.withColumn("r", F.col("close") / F.nullif(F.lag("close").over(W.partitionBy("ticker").orderBy("ts")), F.lit(0.0)) - 1).filter("r is not null")
     vec = VectorAssembler(inputCols=["r"], outputCol="v").transform(r)
-    model = GaussianMixture(k=3, featuresCol="v", seed=seed, maxIter=50).fit(vec)
+    vec = vec.persist()
+    models = [GaussianMixture(k=3, featuresCol="v", seed=seed + i, maxIter=50).fit(vec) for i in range(starts)]
+    model = max(models, key=lambda m: m.summary.logLikelihood)
+    vec.unpersist()
     means = sorted((float(g.mean[0]), i) for i, g in enumerate(model.gaussians))
     names = {means[0][1]: "bear", means[1][1]: "neutral", means[2][1]: "bull"}
     label = F.lit("neutral")

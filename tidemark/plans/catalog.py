@@ -377,6 +377,20 @@ def _(spark, d):
     return V.cpcv_folds(V.lengths(P.series(spark, d))).select("pair", F.element_at("test_folds", 1).alias("f1"), F.element_at("test_folds", 2).alias("f2"), "n_train", "n_test")
 
 
+@query("fold_by_date", Q.S + "SELECT pair, ts <= DATE '1999-06-30' AS in_sample, count(*) AS n, min(ts) AS first, max(ts) AS last FROM s GROUP BY 1,2")
+def _(spark, d):
+    return V.split(P.series(spark, d), cutoff="1999-06-30").groupBy("pair", "in_sample").agg(F.count("*").alias("n"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+
+
+@query("s3_resolved", Q.RESOLVED)
+def _(spark, d):
+    """Two validators of each pair to one row, by agreement."""
+    s = P.series(spark, d)
+    columns = ["pair", "mean_test_sharpe", "degradation", "passed", "val_method"]
+    rows = rounded(V.wfa_expanding(s).select(*columns).unionByName(V.chan_is_oos(s).select(*columns)))
+    return PL.resolve_validators(rows, "agreement")
+
+
 @query("fold_factorisation", "SELECT r::BIGINT AS path, CASE WHEN j=0 THEN least(9, r%9) ELSE least((r+j)%9, (r-j+9)%9) END::BIGINT AS a, CASE WHEN j=0 THEN 9 ELSE greatest((r+j)%9, (r-j+9)%9) END::BIGINT AS b FROM range(9) t(r), range(5) u(j)")
 def _(spark, d):
     return spark.createDataFrame([(p, *e) for p, edges in enumerate(V.factorisation()) for e in edges], "path long, a long, b long")

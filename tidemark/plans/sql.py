@@ -514,3 +514,9 @@ PERIOD_HISTOGRAM = (
     "pb AS (SELECT key, x, (CASE WHEN x < -1 THEN 0 WHEN x > 1 THEN 9 ELSE least(floor((x+1)/0.25::DOUBLE)+1,8) END)::INTEGER AS bin FROM pr WHERE x IS NOT NULL) "
     "SELECT key, bin, CASE WHEN bin > 0 THEN round(-1+(bin-1)*0.25::DOUBLE,6) END AS low, CASE WHEN bin <= 8 THEN round(-1+bin*0.25::DOUBLE,6) END AS high, n, round(mu,6) AS mean_pct, round(sd,6) AS sd_pct FROM (SELECT key, bin, count(*) AS n FROM pb GROUP BY 1,2) JOIN (SELECT key, avg(x) AS mu, stddev_samp(x) AS sd FROM pb GROUP BY 1) USING (key)"
 )
+
+RESOLVED = (
+    "WITH v AS (SELECT pair, mean_test_sharpe AS x, degradation AS d, passed AS p, val_method AS m FROM (" + validated("wfa_expanding") + ") UNION ALL SELECT pair, mean_test_sharpe, degradation, passed, val_method FROM (" + validated("is_oos") + ")), "
+    "g AS (SELECT pair, count(*) AS n, count(*) FILTER (p) AS k, string_agg(m, ',' ORDER BY m) AS ms, min(x) AS low, max(d) AS worst, max_by(x,x) AS ax, max_by(d,x) AS ad, max_by(x,x) FILTER (p) AS gx, max_by(d,x) FILTER (p) AS gd, max(x) FILTER (m='chan_is_oos') AS s1, max(x) FILTER (m='wfa_expanding') AS s2 FROM v GROUP BY 1) "
+    "SELECT pair, k>0 AS passed, CASE WHEN k=n THEN low WHEN k>0 THEN gx ELSE ax END AS sharpe, CASE WHEN k=n THEN worst WHEN k>0 THEN gd ELSE ad END AS degradation, n AS n_methods, k AS n_methods_passed, ms AS val_methods, CASE WHEN k=n THEN 'CONFIRMED' WHEN k>0 THEN 'FRAGILE_EDGE' ELSE 'REJECT' END AS agreement, s1 AS sharpe_chan_is_oos, s2 AS sharpe_wfa_expanding FROM g"
+)

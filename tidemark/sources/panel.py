@@ -6,6 +6,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 SMOOTH, LEAST = 63, 10
@@ -135,6 +137,25 @@ def is_friday(day: Column) -> Column:
     return F.weekday(day) == 4
 
 
+class NotFriday(PermissionError):
+    """A run for Fridays only, on another day, without leave to run."""
+
+
+def require_friday(name: str, day: dt.date, force: bool = False, reason: str | None = None) -> dict[str, object]:
+    """What to log of a run for ``day``, its own and not today's date: (name, day, weekday, forced, reason).
+
+    On other days NotFriday is raised, unless the run is forced with a reason that isn't blank.
+    """
+    about = {"name": name, "day": day.isoformat(), "weekday": day.strftime("%A"), "forced": day.weekday() != 4, "reason": None}
+    if not about["forced"]:
+        return about
+    if not force:
+        raise NotFriday(f"{name} runs for Fridays, {day} is a {about['weekday']}; force it with a reason, or give a Friday")
+    if not (reason or "").strip():
+        raise NotFriday(f"{name} was forced for {day}, a {about['weekday']}, without a reason")
+    return about | {"reason": reason.strip()}
+
+
 def weekdays_only(df: DataFrame, ts: str = "ts") -> DataFrame:
     return df.filter(F.weekday(ts) <= 4)
 
