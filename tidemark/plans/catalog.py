@@ -196,7 +196,7 @@ def _(spark, d):
 
 
 for _name, _fn in {"s1_chan_halflife": S1.chan_halflife, "s1_kpss": S1.kpss, "s1_cadf": S1.cadf, "s1_cadf_rolling": S1.cadf_rolling, "s1_johansen": S1.johansen, "s1_chan_combined": S1.chan_combined, "s1_trend_combined": S1.trend_combined, "s1_kaufman_kama": S1.kaufman_kama, "s1_cadf_rolling_kalman": S1.cadf_rolling_kalman}.items():
-    query(_name, {"s1_chan_halflife": Q.CHAN_HALFLIFE, "s1_kpss": Q.KPSS, "s1_cadf": Q.CADF, "s1_cadf_rolling": Q.CADF_ROLLING, "s1_kaufman_kama": Q.KAUFMAN_KAMA, "s1_chan_combined": Q.CHAN_COMBINED, "s1_trend_combined": Q.TREND_COMBINED}.get(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
+    query(_name, {"s1_chan_halflife": Q.CHAN_HALFLIFE, "s1_johansen": Q.JOHANSEN, "s1_kpss": Q.KPSS, "s1_cadf": Q.CADF, "s1_cadf_rolling": Q.CADF_ROLLING, "s1_kaufman_kama": Q.KAUFMAN_KAMA, "s1_chan_combined": Q.CHAN_COMBINED, "s1_trend_combined": Q.TREND_COMBINED}.get(_name))(lambda spark, d, fn=_fn: fn(P.series(spark, d)))
 
 
 @query("s1_regime_aware")
@@ -562,7 +562,7 @@ query("met_drawdown_table", Q.RET + Q.DRAWDOWNS)(lambda s, d: M.drawdown_table(_
 query("met_decile_returns", Q.RET + Q.DECILE)(lambda s, d: M.decile_returns(_returns(s, d), _bench(s, d)).withColumn("bin", F.col("bin").cast("long")))
 query("met_period_returns", Q.RET + "SELECT key, period, round(last/lag(last) OVER (PARTITION BY key ORDER BY period)-1,6) AS r FROM (SELECT ticker AS key, CAST(date_trunc('week',ts) AS DATE) AS period, max_by(close,ts) AS last FROM px WHERE close IS NOT NULL GROUP BY 1,2) QUALIFY lag(last) OVER (PARTITION BY key ORDER BY period) IS NOT NULL")(lambda s, d: M.period_returns(_curve(s, d), "week"))
 query("met_bars_per_year", Q.RET + "SELECT ticker AS key, round(count(*)/((max(ts)-min(ts))/365.25),6) AS bars_per_year FROM px WHERE close IS NOT NULL GROUP BY 1")(lambda s, d: M.bars_per_year(_curve(s, d)))
-query("met_kde")(lambda s, d: M.kde(_returns(s, d)))
+query("met_kde", Q.KDE)(lambda s, d: M.kde(_returns(s, d)))
 query("met_curve_hash", Q.CURVE_HASH)(lambda s, d: M.curve_hash(_curve(s, d)))
 query("met_bootstrap", Q.BOOTSTRAP)(lambda s, d: RS.bootstrap_stats(_returns(s, d), 200))
 query("met_forecast_cone", Q.CONE)(lambda s, d: RS.forecast_cone(_returns(s, d)))

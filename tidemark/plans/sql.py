@@ -520,3 +520,56 @@ RESOLVED = (
     "g AS (SELECT pair, count(*) AS n, count(*) FILTER (p) AS k, string_agg(m, ',' ORDER BY m) AS ms, min(x) AS low, max(d) AS worst, max_by(x,x) AS ax, max_by(d,x) AS ad, max_by(x,x) FILTER (p) AS gx, max_by(d,x) FILTER (p) AS gd, max(x) FILTER (m='chan_is_oos') AS s1, max(x) FILTER (m='wfa_expanding') AS s2 FROM v GROUP BY 1) "
     "SELECT pair, k>0 AS passed, CASE WHEN k=n THEN low WHEN k>0 THEN gx ELSE ax END AS sharpe, CASE WHEN k=n THEN worst WHEN k>0 THEN gd ELSE ad END AS degradation, n AS n_methods, k AS n_methods_passed, ms AS val_methods, CASE WHEN k=n THEN 'CONFIRMED' WHEN k>0 THEN 'FRAGILE_EDGE' ELSE 'REJECT' END AS agreement, s1 AS sharpe_chan_is_oos, s2 AS sharpe_wfa_expanding FROM g"
 )
+
+_SMA200 = roll("avg", "ratio", 200)
+_E20 = f"CASE WHEN count(*) OVER (PARTITION BY pair ORDER BY seq) >= 20 THEN pow(1-{_E21},seq::DOUBLE)*sum(ratio*CASE WHEN seq=1 THEN pow(1-{_E21},-1.0) ELSE {_E21}*pow(1-{_E21},-seq::DOUBLE) END) OVER (PARTITION BY pair ORDER BY seq) END"
+_MORE_SIGNALS |= {
+    "consec_down": lambda: _held_signal(
+        f", a AS (SELECT *, ratio/nullif({lag('ratio')},0)-1 AS r, {_SMA200} AS sm FROM s), b AS (SELECT *, sum((NOT coalesce(r<0,false))::INTEGER) OVER (PARTITION BY pair ORDER BY seq) AS island FROM a), c AS (SELECT *, sum(coalesce(r<0,false)::INTEGER) OVER (PARTITION BY pair, island ORDER BY seq) AS streak FROM b)",
+        "c", "streak>=3 AND ratio>sm", "r>0", 5),
+    "rsi_connors": lambda: _held_signal(
+        _D + f", c AS (SELECT *, greatest(dx,0) AS gn, greatest(-dx,0) AS ls, {roll('avg', 'ratio', 5)} AS s5, {_SMA200} AS sm FROM d), w AS (SELECT pair, seq, 0.0::DOUBLE AS g, 0.0::DOUBLE AS l, 0.0::DOUBLE AS k FROM c WHERE seq=1 UNION ALL SELECT c.pair, c.seq, 0.75*w.g+gn, 0.75*w.l+ls, 0.75*w.k+1 FROM w JOIN c ON c.pair=w.pair AND c.seq=w.seq+1), "
+        "y AS (SELECT c.*, CASE WHEN c.seq>=5 THEN 100-100/(1+(g/k)/nullif(l/k,0)) END AS rsi FROM c JOIN w ON w.pair=c.pair AND w.seq=c.seq)",
+        "y", "rsi<=25 AND ratio>sm", "coalesce(ratio>s5,false) OR coalesce(rsi>=55,false)", 10),
+    "vol_forecast_gate": lambda: _signal(
+        f", a AS (SELECT *, ratio/{lag('ratio')}-1 AS r, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s), b AS (SELECT *, {roll('stddev_samp', 'r', 20)} AS vol FROM a), c AS (SELECT *, 0.7*{ewm('vol', _E21, 1)}+0.3*CASE WHEN count(vol) OVER h >= 20 THEN avg(vol) OVER h END AS fc FROM b WINDOW h AS (PARTITION BY pair ORDER BY seq ROWS 251 PRECEDING)), "
+        "dd AS (SELECT *, count(fc) OVER h AS cv, list(fc) FILTER (fc IS NOT NULL) OVER h AS held FROM c WINDOW h AS (PARTITION BY pair ORDER BY seq ROWS 251 PRECEDING)), "
+        "ee AS (SELECT *, coalesce(CASE WHEN cv>=20 AND fc IS NOT NULL THEN (len(list_filter(held, lambda v: v<fc))+(len(list_filter(held, lambda v: v=fc))+1)/2.0)/len(held) END,0.5) AS pct FROM dd)", "ee", "z<=-2 AND pct<=0.30", "coalesce(z>=0,false) OR pct>=0.75"),
+    "adx_ema_pullback": lambda: _signal(
+        _ADX + f", pa AS (SELECT *, {_E20} AS e FROM aa), pb AS (SELECT *, coalesce((ratio<=e)::INTEGER,0) AS tch, coalesce((ratio>{lag('ratio')})::INTEGER,0) AS upb FROM pa), "
+        f"pc AS (SELECT *, {lag('tch')} AS was, max(tch) OVER (PARTITION BY pair ORDER BY seq ROWS 4 PRECEDING) AS near, {lag('ratio')} AS prev, sum(upb) OVER (PARTITION BY pair ORDER BY seq ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING) AS ups FROM pb)", "pc", "adx>25 AND ratio>e AND was=1 AND near=1", "ratio<prev AND ups=2"),
+    "halflife_time_decay": lambda: (
+        _REC + f", a AS (SELECT *, (ratio-{_M20})/nullif({_SD20},0) AS z FROM s), hs AS (SELECT pair, count(*)+1 AS n, regr_slope(dx,px) AS b FROM (SELECT pair, ratio-{lag('ratio')} AS dx, {lag('ratio')} AS px FROM s) WHERE px IS NOT NULL GROUP BY 1), hl AS (SELECT pair, CASE WHEN n>=30 AND b<0 THEN -ln(2)/b END AS hl FROM hs), "
+        "g AS (SELECT a.*, coalesce(z<=-2,false) AS e0, coalesce(z>=0.5,false) AS x0, hl, floor(2*hl) AS most FROM a JOIN hl USING (pair)), "
+        "m AS (SELECT pair, seq, CASE WHEN e0 THEN 0 ELSE -1 END AS held, false AS o FROM g WHERE seq=1 UNION ALL SELECT g.pair, g.seq, CASE WHEN m.held < 0 THEN CASE WHEN g.e0 THEN 0 ELSE -1 END WHEN coalesce(g.z,0) >= 0.5*greatest(1-(m.held+1)/g.most,0.1) OR m.held+1 >= g.most OR g.x0 THEN -1 ELSE m.held+1 END, "
+        "m.held >= 0 AND (coalesce(g.z,0) >= 0.5*greatest(1-(m.held+1)/g.most,0.1) OR m.held+1 >= g.most OR g.x0) FROM m JOIN g ON g.pair=m.pair AND g.seq=m.seq+1), "
+        f"f AS (SELECT g.pair, g.ts, g.seq, e0 AS e, CASE WHEN hl >= 2 THEN o ELSE x0 END AS x FROM g JOIN m ON m.pair=g.pair AND m.seq=g.seq) SELECT pair, ts, coalesce({lag('e')},false) AS entry, coalesce({lag('x')},false) AS \"exit\" FROM f"
+    ),
+}
+
+
+def _johansen() -> str:
+    """The same moments as sums, cleaned of the lagged differences, and the 2 x 2 problem's two roots."""
+    names = ("da", "db", "la", "lb", "ea", "eb")
+    col = lambda p, q: f"{p}_{q}" if names.index(p) <= names.index(q) else f"{q}_{p}"
+    sums = ", ".join(f"sum({p}*{q}) AS {p}_{q}" for i, p in enumerate(names) for q in names[i:])
+    clean = lambda p, q: f"{col(p, q)}-({col(p, 'ea')}*(eb_eb*{col(q, 'ea')}-ea_eb*{col(q, 'eb')})+{col(p, 'eb')}*(ea_ea*{col(q, 'eb')}-ea_eb*{col(q, 'ea')}))/(ea_ea*eb_eb-ea_eb*ea_eb)"
+    four = names[:4]
+    cleaned = ", ".join(f"{clean(p, q)} AS r_{p}_{q}" for i, p in enumerate(four) for q in four[i:])
+    r = lambda p, q: f"r_{col(p, q)}"
+    inv = {("da", "da"): "r_db_db/d0", ("db", "db"): "r_da_da/d0", ("da", "db"): "(-r_da_db/d0)", ("db", "da"): "(-r_da_db/d0)"}
+    m = {(i, j): "(" + "+".join(f"{r(i, p)}*{inv[p, q]}*{r(j, q)}" for p in ("da", "db") for q in ("da", "db")) + ")" for i in ("la", "lb") for j in ("la", "lb")}
+    return (
+        S + ", j AS (SELECT pair, seq, lag(num_close) OVER w AS la, num_close-lag(num_close) OVER w AS da, lag(den_close) OVER w AS lb, den_close-lag(den_close) OVER w AS db FROM s WINDOW w AS (PARTITION BY pair ORDER BY seq)), "
+        f"k AS (SELECT *, lag(da) OVER w AS ea, lag(db) OVER w AS eb FROM j WINDOW w AS (PARTITION BY pair ORDER BY seq)), g AS (SELECT pair, count(*) AS n, {sums} FROM k WHERE ea IS NOT NULL GROUP BY 1 HAVING count(*) >= 250), c AS (SELECT pair, n, {cleaned} FROM g), "
+        "e AS (SELECT *, r_da_da*r_db_db-r_da_db*r_da_db AS d0, r_la_la*r_lb_lb-r_la_lb*r_la_lb AS d1 FROM c), "
+        f"t AS (SELECT pair, n, (r_lb_lb*{m['la', 'la']}-r_la_lb*{m['lb', 'la']}-r_la_lb*{m['la', 'lb']}+r_la_la*{m['lb', 'lb']})/d1 AS t, ({m['la', 'la']}*{m['lb', 'lb']}-{m['la', 'lb']}*{m['lb', 'la']})/d1 AS d FROM e), "
+        "x AS (SELECT pair, n, t/2+sqrt(greatest(t*t/4-d,0)) AS e1, t/2-sqrt(greatest(t*t/4-d,0)) AS e2 FROM t) SELECT pair, round(e1,6) AS eig_1, round(e2,6) AS eig_2, round(-n*(ln(1-e1)+ln(1-e2)),6) AS trace_stat, -n*(ln(1-e1)+ln(1-e2)) > 12.3212 AS passed FROM x"
+    )
+
+
+JOHANSEN = _johansen()
+KDE = (
+    RET + ", g AS (SELECT key, count(*) AS n, min(r) AS lo, max(r) AS hi, stddev_samp(r)*pow(count(*)::DOUBLE,-0.2) AS h FROM ret GROUP BY 1), p AS (SELECT *, lo+i*(hi-lo)/399 AS x FROM g, range(400) t(i)) "
+    "SELECT p.key, i::INTEGER AS i, round(any_value(x),6) AS x, round(sum(exp(-pow((x-r)/h,2)/2)/sqrt(2*pi()))/any_value(n)/any_value(h),6) AS density FROM p JOIN ret ON ret.key=p.key GROUP BY 1,2"
+)
