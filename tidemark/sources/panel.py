@@ -60,10 +60,9 @@ def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def universe(prices: DataFrame) -> DataFrame:
     """All ordered pairs of tickers: (pair, numerator, denominator)."""
-    names = prices.select("ticker").distinct()
-    # Each task pairs its tickers with the array of all of them.
-    every = names.agg(F.array_sort(F.collect_list("ticker")).alias("t")).scalar()
-    each = names.select(F.col("ticker").alias("numerator"), every.alias("all"))
+    # One array of all tickers, which the panel's grid shares where both come from one table.
+    every = prices.agg(F.array_sort(F.collect_set("ticker")).alias("t")).scalar()
+    each = prices.sparkSession.range(1).select(F.explode(every).alias("numerator"), every.alias("all"))
     pairs = each.select("numerator", F.explode(F.filter("all", lambda b: b > F.col("numerator"))).alias("denominator"))
     return pairs.select(F.concat_ws("/", "numerator", "denominator").alias("pair"), "numerator", "denominator")
 
@@ -90,8 +89,8 @@ def ratio_ohlc(bar: DataFrame, pairs: DataFrame, least: int = 504) -> DataFrame:
 
 
 def series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prices = px(spark, sf_dir)
-    return compute_ratio(prices, universe(prices))
+    cells = daily(spark, sf_dir)
+    return compute_ratio(smoothed(cells), universe(cells))
 
 
 def parse_universe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
