@@ -441,3 +441,13 @@ def test_grid_ma_tries_every_window(spark):
     scores = {w: v.mean() / v.std(ddof=1) * 252**0.5 if v.std(ddof=1) > 1e-10 else 0.0 for w, v in nets.items()}
     best = max(scores, key=scores.get)
     assert (best - 10) % 20 and got["window"] == best and abs(got["is_sharpe"] - scores[best]) < 1e-9
+
+
+def test_no_task_has_all_lines_of_a_pair(spark):
+    """A falling series on which nearly every two bars make a line: no group returns more than a few shares' lines."""
+    n = 1200
+    rows = [("A/B", i, 100 - 0.001 * i + 0.0004 * (i % 3)) for i in range(n)]
+    bars = spark.createDataFrame(rows, "pair string, ts int, close double").selectExpr("pair", "ts", "close + 0.5 AS high", "close - 0.5 AS low", "close", "close AS num_close")
+    found = PT.trendlines(bars, least_points=4, error_pct=0.5, least_period=21)
+    by = [r["count"] for r in found.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(by) > 600_000 and len(by) >= 5 and max(by) < sum(by) / 2

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from ..functions.intervals import range_join
 
@@ -140,59 +141,119 @@ def expanding_detection(x: np.ndarray, detect, warmup: int = 120, step: int = 5)
 
 
 LINES = "pair string, kind string, start_idx long, end_idx long, slope double, intercept double, n_points long, score double"
+KINDS = {"resistance": 1.0, "support": -1.0}
 
 
-def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: int = 3, error_pct: float = 0.1, least_period: int = 30, most_period: int | None = None) -> list[tuple]:
-    """Lines through two extremes that no bar between breaks by more than the error and enough touch.
+def lines_by_start(high: np.ndarray, low: np.ndarray, kind: str, starts: np.ndarray | None = None, scored: bool = True, least_points: int = 3, error_pct: float = 0.1, least_period: int = 30, most_period: int | None = None) -> Iterator[tuple]:
+    """For each start (all, or those given) that has lines: (start, ends, slopes, intercepts), with the points and
+    scores of each line behind them if ``scored``.
 
     All ends of one start are tested together: slopes as a column, bars as rows.
     """
     n = len(high)
     if n < 100:
-        return []
-    x = high if kind == "resistance" else low
-    sign = 1.0 if kind == "resistance" else -1.0
+        return
+    x, sign = high if kind == "resistance" else low, KINDS[kind]
     error = error_pct * float(np.mean(high - low))
-    out = []
-    for i in range(n - least_period):
+    for i in (range(n - least_period) if starts is None else starts[starts < n - least_period].tolist()):
         j = np.arange(i + least_period, n if most_period is None else min(n, i + most_period + 1))
+        if not len(j):
+            continue
         slope = (x[j] - x[i]) / (j - i)
         ok = slope * sign < 0
         # A line is broken before j if some bar between lies beyond it: compare slopes from i.
         bars = np.arange(i + 1, j[-1] + 1)
-        reach = (sign * (x[bars] - x[i]) - error) / (bars - i)
-        most = np.maximum.accumulate(reach)
+        rise = sign * (x[bars] - x[i])
+        most = np.maximum.accumulate((rise - error) / (bars - i))
         ok &= sign * slope >= most[j - i - 1] - 1e-15
+        if not ok.any():
+            continue
+        reach = int(j[ok][-1]) - i
+        # No bar lies beyond by more than the error, so a bar touches if it is near enough from the other side:
+        # a line has k touches by its end if the k-th highest so far is as high as its slope.
+        near = (rise + error) / (bars - i)
+        left = near
+        for _ in range(least_points - 1):
+            highest = np.maximum.accumulate(left)
+            left = np.minimum(left, np.concatenate(([-np.inf], highest[:-1])))
+        if least_points > 1:
+            ok &= highest[j - i - 1] >= sign * slope
         ends, steep = j[ok], slope[ok]
         if not len(ends):
             continue
-        # No bar lies beyond by more than the error, so a bar touches if it is near enough from the other side.
-        bars = np.arange(i + 1, ends[-1] + 1)
-        near = (sign * (x[bars] - x[i]) + error) / (bars - i)
-        for lo in range(0, len(ends), 256):
-            e, s = ends[lo : lo + 256], steep[lo : lo + 256]
+        if not scored:
+            yield i, ends, steep, x[i] - steep * i
+            continue
+        bars, near = bars[:reach], near[:reach]
+        points, score = np.empty(len(ends), dtype=np.int64), np.empty(len(ends))
+        for lo in range(0, len(ends), 64):
+            e, s = ends[lo : lo + 64], steep[lo : lo + 64]
             touch = (near >= (sign * s)[:, None]) & (bars <= e[:, None])
-            many = touch.sum(axis=1) + 1 >= least_points
-            if not many.any():
-                continue
-            e, s, touch = e[many], s[many], touch[many]
             off = np.where(touch, np.abs(x[bars] - (x[i] + s[:, None] * (bars - i))), 0.0)
-            points = touch.sum(axis=1) + 1
-            score = -np.log(off.sum(axis=1) / points + 0.001) + points * math.log(2.5)
-            out += zip([kind] * len(e), [i] * len(e), e.tolist(), s.tolist(), (x[i] - s * i).tolist(), points.tolist(), score.tolist())
+            points[lo : lo + 64] = some = touch.sum(axis=1) + 1
+            score[lo : lo + 64] = -np.log(off.sum(axis=1) / some + 0.001) + some * math.log(2.5)
+        yield i, ends, steep, x[i] - steep * i, points, score
+
+
+def trendlines_of(high: np.ndarray, low: np.ndarray, kind: str, least_points: int = 3, error_pct: float = 0.1, least_period: int = 30, most_period: int | None = None) -> list[tuple]:
+    """Lines through two extremes that no bar between breaks by more than the error and enough touch."""
+    out = []
+    for i, *line in lines_by_start(high, low, kind, None, True, least_points, error_pct, least_period, most_period):
+        e, s, at, points, score = (v.tolist() for v in line)
+        out += zip([kind] * len(e), [i] * len(e), e, s, at, points, score)
     return sorted(out, key=lambda r: (-r[6], r[1], r[2]))
 
 
+#: Pairs of bars that one group tests, groups that a pair's starts are dealt to at most, and partitions of the groups.
+SHARE, MOST_SHARES, DEALT = 1 << 17, 256, 96
+
+
+def _shares(bars: DataFrame, order: str) -> DataFrame:
+    """``bars`` numbered from 0 (_i), for each share of its pair's starts: share s of _n has the starts s, s + _n, ...
+
+    A pair has about as many shares as the square of its bars asks for, so that no task has all lines of a pair.
+    """
+    w = W.partitionBy("pair")
+    n = F.count(F.lit(1)).over(w)
+    count = F.greatest(F.lit(1), F.least(F.lit(MOST_SHARES), F.ceil(n * n / SHARE))).cast("int")
+    rows = bars.withColumn("_i", F.row_number().over(w.orderBy(order)) - 1).withColumn("_n", count)
+    return rows.withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).repartition(DEALT, "pair", "_share")
+
+
+def _share_starts(rows: pd.DataFrame) -> np.ndarray:
+    return np.arange(int(rows["_share"].iloc[0]), len(rows), int(rows["_n"].iloc[0]))
+
+
 def trendlines(ohlc: DataFrame, top: int | None = None, **options) -> DataFrame:
     """All lines of each pair and kind, or the best ``top``, a row each."""
+    names = [c.split()[0] for c in LINES.split(", ")]
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
+    def some(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(batches)).sort_values("_i")
         h, lo = rows["high"].to_numpy(float), rows["low"].to_numpy(float)
-        found = [r for kind in ("resistance", "support") for r in trendlines_of(h, lo, kind, **options)[:top]]
-        return pd.DataFrame([(rows["pair"].iloc[0], *r) for r in found], columns=[c.split()[0] for c in LINES.split(", ")])
-
-    return ohlc.groupBy("pair").applyInPandas(one, LINES)
+        pair, starts = rows["pair"].iloc[0], _share_starts(rows)
+        for kind in KINDS:
+            held, n = [], 0
+            for i, *line in lines_by_start(h, lo, kind, starts, **options):
+                held.append(pd.DataFrame(dict(zip(names, (pair, kind, i, *line)))))
+                n += len(line[0])
+                if n >= SHARE and top is not None:
+                    held, n = [_best(pd.concat(held), top)], top
+                elif n >= SHARE:
+                    yield pd.concat(held)
+                    held, n = [], 0
+            if held:
+                yield pd.concat(held) if top is None else _best(pd.concat(held), top)
+
+    found = _shares(ohlc.select("pair", "ts", "high", "low"), "ts").groupBy("pair", "_share").applyInPandas(some, LINES)
+    if top is None:
+        return found
+    best = W.partitionBy("pair", "kind").orderBy(F.desc("score"), "start_idx", "end_idx")
+    return found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= top).drop("_rank")
+
+
+def _best(lines: pd.DataFrame, top: int) -> pd.DataFrame:
+    return lines.sort_values(["score", "start_idx", "end_idx"], ascending=[False, True, True]).head(top)
 
 
 def live_lines(bars: DataFrame, lines: DataFrame, width: int = 128) -> DataFrame:
