@@ -443,6 +443,44 @@ def test_grid_ma_tries_every_window(spark):
     assert (best - 10) % 20 and got["window"] == best and abs(got["is_sharpe"] - scores[best]) < 1e-9
 
 
+def test_lines_and_events_by_shares(spark, monkeypatch):
+    """Each share returns less than its pair's lines, and together they are what plain code finds, on ticks that lie on lines."""
+    rng = np.random.default_rng(8)
+    lines, rows, plain, passed, want = {"least_points": 3, "error_pct": 0.37, "least_period": 10}, [], {}, {}, (0, 1, 3)
+    for pair, n in (("A/B", 240), ("A/C", 130), ("B/C", 60)):
+        close = 100 + np.cumsum(rng.integers(-2, 3, n)) * 0.25
+        high, low = close + rng.integers(0, 3, n) * 0.25, close - rng.integers(0, 3, n) * 0.25
+        rows += [(pair, i, float(a), float(b), float(c), float(c)) for i, (a, b, c) in enumerate(zip(high, low, close))]
+        for kind, x, sign in (("resistance", high, 1), ("support", low, -1)):
+            error, found = 0.37 * np.mean(high - low), []
+            for i in range(n if n >= 100 else 0):
+                for j in range(i + 10, n):
+                    s = (x[j] - x[i]) / (j - i)
+                    b = np.arange(i + 1, j + 1)
+                    gap = sign * (x[b] - (x[i] + s * (b - i)))
+                    if s * sign < 0 and (gap <= error + 1e-9).all() and (gap >= -error - 1e-9).sum() + 1 >= 3:
+                        found.append((i, j, s))
+            plain[pair, kind] = {(i, j) for i, j, _ in found}
+            beyond = np.array([[t > j and sign * (close[t] - (s * t + (x[i] - s * i))) > 0 for t in range(n)] for i, j, s in found], dtype=bool).reshape(len(found), n)
+            streak = np.zeros((len(found), n), int)
+            for t in range(n):
+                streak[:, t] = np.where(beyond[:, t], (streak[:, t - 1] if t else 0) + 1, 0)
+            live = np.array([[t > j for t in range(n)] for _, j, _ in found], dtype=bool).reshape(len(found), n)
+            passed[pair, kind] = [[bool((live[:, t] & (streak[:, t] == c)).any()) for c in want] for t in range(n)]
+    bars = spark.createDataFrame(rows, "pair string, ts int, high double, low double, close double, num_close double")
+    monkeypatch.setattr(PT, "SHARE", 1 << 12)
+    assert PT._shares(bars, "ts").groupBy("pair").agg(F.max("_share").alias("s")).filter("pair = 'A/B'").first()["s"] == 14
+    got = PT.trendlines(bars, **lines).collect()
+    assert len(got) == sum(map(len, plain.values())) > 1000 and all((r["start_idx"], r["end_idx"]) in plain[r["pair"], r["kind"]] for r in got)
+    best = sorted((r for r in got if r["pair"] == "A/B" and r["kind"] == "support"), key=lambda r: (-r["score"], r["start_idx"], r["end_idx"]))[:7]
+    assert sorted(r for r in PT.trendlines(bars, 7, **lines).collect() if r["pair"] == "A/B" and r["kind"] == "support") == sorted(best)
+    events = PT.line_events(bars, want, want, **lines).collect()
+    assert len(events) == len(rows) and sum(r["n_lines"] for r in events) == len(got)
+    for r in events:
+        for name, kind in (("over", "resistance"), ("under", "support")):
+            assert [r[f"{name}{k}"] for k in range(3)] == passed[r["pair"], kind][r["ts"]], r
+
+
 def test_no_task_has_all_lines_of_a_pair(spark):
     """A falling series on which nearly every two bars make a line: no group returns more than a few shares' lines."""
     n = 1200

@@ -275,19 +275,18 @@ def breakout(bars: DataFrame, entry_conf: int = 1, exit_conf: int = 1, atr_k: fl
     stop. From (pair, ts, seq, high, low, close of the ratio, num_close); flags act one bar later."""
 
     def run(c: K.Columns) -> K.Columns:
-        close, num = c["close"], c["num_close"]
-        over, under = streak_events(close, [x for kind in ("resistance", "support") for x in trendlines_of(c["high"], c["low"], kind, **lines)], (entry_conf, exit_conf))
+        num, over, under = c["num_close"], c["over0"], c["under0"]
         atr = K.atr_close(num)
         floor = np.where(np.isnan(atr), -np.inf, num - atr_k * atr)
-        into, out, t = np.zeros(len(close), bool), np.zeros(len(close), bool), 0
-        while t < len(close):
-            ahead = np.flatnonzero(over[t:, 0])
+        into, out, t = np.zeros(len(num), bool), np.zeros(len(num), bool), 0
+        while t < len(num):
+            ahead = np.flatnonzero(over[t:])
             if not len(ahead):
                 break
             t += int(ahead[0])
             into[t] = True
-            later = slice(t + 1, len(close))
-            gone = np.flatnonzero(under[later, 1] | (num[later] <= np.maximum.accumulate(floor[later])))
+            later = slice(t + 1, len(num))
+            gone = np.flatnonzero(under[later] | (num[later] <= np.maximum.accumulate(floor[later])))
             if not len(gone):
                 break
             t += 1 + int(gone[0])
@@ -295,7 +294,8 @@ def breakout(bars: DataFrame, entry_conf: int = 1, exit_conf: int = 1, atr_k: fl
             t += 1
         return {"entry": K.shifted(into), "exit": K.shifted(out)}
 
-    return K.per_key(bars, run, {"entry": "boolean", "exit": "boolean"}, ["high", "low", "close", "num_close"])
+    flagged = line_events(bars, (entry_conf,), (exit_conf,), "seq", **lines).drop("n_lines")
+    return K.per_key(flagged, run, {"entry": "boolean", "exit": "boolean"}, ["num_close", "over0", "under0"]).drop("over0", "under0")
 
 
 CONFIRMATIONS = (3, 4, 5, 6, 7)
@@ -321,6 +321,77 @@ def streak_events(close: np.ndarray, lines: list[tuple], confirmations: tuple[in
     return out[0], out[1]
 
 
+def streaks(close: np.ndarray, kind: str, ends: np.ndarray, slope: np.ndarray, level: np.ndarray, confirmations: tuple[int, ...]) -> np.ndarray:
+    """For each bar and confirmation, whether some of the lines has just been closed beyond (over resistance, under
+    support) that many bars in a row. A line is live after its end."""
+    n, hit, most = len(close), np.zeros((len(close), len(confirmations)), dtype=bool), max(confirmations, default=0)
+    order = np.argsort(ends, kind="stable")
+    for lo in range(0, len(ends), 512):
+        e, s, v = (x[order[lo : lo + 512]] for x in (ends, slope, level))
+        first = int(e[0]) + 1  # no line of these is live before
+        if first >= n:
+            break
+        t = np.arange(first, n, dtype=float)[:, None]
+        line = s * t
+        line += v
+        beyond = line < close[first:, None] if kind == "resistance" else line > close[first:, None]
+        for at in [k for k, c in enumerate(confirmations) if c == 0]:
+            hit[first:, at] |= (~beyond & (t > e)).any(axis=1)
+        later = int(e[-1]) + 1 - first  # from here all are live
+        beyond[:later] &= t[:later] > e
+        beyond = np.packbits(beyond, axis=1)  # a bit a line
+        run = beyond.copy()
+        run[1:] &= ~beyond[:-1]
+        for c in range(1, most + 1):  # run[k]: c bars in a row, and no more, at bar first + k + c - 1
+            if c > 1:
+                run = run[:-1] & beyond[c - 1 :]
+            for at in [k for k, x in enumerate(confirmations) if x == c]:
+                hit[first + c - 1 :, at] |= run.any(axis=1)
+    return hit
+
+
+def line_events(bars: DataFrame, over: tuple, under: tuple, order: str = "ts", **lines) -> DataFrame:
+    """``bars`` (pair, ``order``, high, low, close of the ratio, ...) with over0, over1, ...: whether some live resistance
+    has just been closed over as many bars in a row as ``over`` says (numbers or columns of the pair), under0, ...: support
+    under likewise, and n_lines, whose sum over the pair's bars is the number of its lines.
+
+    Lines are found and followed by shares of their starts and never leave their task: what the shares have seen is put together by bar.
+    """
+    wanted, n_over = [c if isinstance(c, Column) else F.lit(c) for c in (*over, *under)], len(over)
+    flags = [f"over{k}" for k in range(len(over))] + [f"under{k}" for k in range(len(under))]
+    fields = [*bars.schema.fields, *T.StructType.fromDDL(", ".join([*(f"{c} boolean" for c in flags), "n_lines long", "_i int"]))]
+
+    def some(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_i").reset_index(drop=True)
+        high, low, close = (rows[c].to_numpy(float) for c in ("high", "low", "close"))
+        starts, confs = _share_starts(rows), [int(c) for c in rows["_confs"].iloc[0]]
+        want = {"resistance": tuple(confs[:n_over]), "support": tuple(confs[n_over:])}
+        total, hits = 0, []
+        for kind, mine in want.items():
+            hit, held, n = np.zeros((len(rows), len(mine)), dtype=bool), [], 0
+            for _, *line in lines_by_start(high, low, kind, starts, scored=False, **lines):
+                held.append(line)
+                n += len(line[0])
+                if n >= 1 << 15:
+                    hit |= streaks(close, kind, *map(np.concatenate, zip(*held)), mine)
+                    total, held, n = total + n, [], 0
+            if held:
+                hit |= streaks(close, kind, *map(np.concatenate, zip(*held)), mine)
+            total, hits = total + n, [*hits, hit]
+        hits = np.hstack(hits)
+        for k, c in enumerate(flags):
+            rows[c] = hits[:, k]
+        rows["n_lines"] = np.where(rows["_i"] == 0, total, 0)
+        # The first share returns every bar, the others what they have seen.
+        seen = hits.any(axis=1) | (rows["_i"] == 0) | (rows["_share"] == 0)
+        return rows.loc[seen, [f.name for f in fields]]
+
+    dealt = _shares(bars.withColumn("_confs", F.array(*wanted)), order)
+    found = dealt.groupBy("pair", "_share").applyInPandas(some, T.StructType(fields))
+    own = [F.first(c).alias(c) for c in bars.columns if c != "pair"]
+    return found.groupBy("pair", "_i").agg(*own, *[F.bool_or(c).alias(c) for c in flags], F.sum("n_lines").alias("n_lines")).select(*bars.columns, *flags, "n_lines")
+
+
 def breakout_trades(close: np.ndarray, into: np.ndarray, out: np.ndarray, stop: float, cost: float = 0.001, slip: float = 0.0005) -> tuple[np.ndarray, list[tuple]]:
     """(returns, trades) of one walk: in at the close of a bar that confirms, out at the stop or at the close
     of a bar that confirms the other way; both sides' costs are taken on the way out, a bar's return is the
