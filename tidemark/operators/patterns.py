@@ -422,13 +422,24 @@ BREAKOUT = "pair string, entry_conf int, exit_conf int, stop_pct double, is_shar
 BREAKOUT_TRADES = "pair string, entry_conf int, exit_conf int, stop_pct double, entry_ts date, exit_ts date, entry_price double, exit_price double, pnl double, exit_reason string"
 
 
-def _breakout_pairs(bars: DataFrame, make, schema: str) -> DataFrame:
+def _pair_rows(bars: DataFrame, make, schema: str) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(make(rows.sort_values("ts")), columns=[c.split()[0] for c in schema.split(", ")])
 
     return bars.select("pair", "ts", "high", "low", "close", "num_close").groupBy("pair").applyInPandas(one, schema)
 
 
+def _breakout_pairs(bars: DataFrame, over: tuple, under: tuple, make, schema: str, **lines) -> DataFrame:
+    def one(rows: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(make(rows.sort_values("ts")), columns=[c.split()[0] for c in schema.split(", ")])
+
+    return line_events(bars.select("pair", "ts", "high", "low", "close", "num_close"), over, under, **lines).groupBy("pair").applyInPandas(one, schema)
+
+
+def _flags(rows: pd.DataFrame, name: str, n: int) -> np.ndarray:
+    return rows[[f"{name}{k}" for k in range(n)]].to_numpy(bool)
+
+
 def grid_breakout(bars: DataFrame, entry_confs: tuple[int, ...] = CONFIRMATIONS, exit_confs: tuple[int, ...] = CONFIRMATIONS, stops: tuple[float, ...] = BREAK_STOPS, is_ratio: float = 0.7, least_is: float = 0.5, least_oos: float = 0.0, least_trades: int = 5, n_params: int = 3, cost: float = 0.001, slip: float = 0.0005, full: bool = True, **lines) -> DataFrame:
     """Every entry and exit confirmation and stop over the lines of each pair (pair, ts, high, low, close of
     the ratio, num_close): a row for each combination, or the best alone, and a reason where none passes.
@@ -457,19 +468,18 @@ def grid_breakout(bars: DataFrame, entry_confs: tuple[int, ...] = CONFIRMATIONS,
             out[int(np.argmax([o[5] if o[6] >= least_trades else -np.inf for o in out]))][13] = True
         return [tuple(o) for o in out if full or o[13]]
 
-    return _breakout_pairs(bars, make, BREAKOUT)
+    return _pair_rows(bars, make, BREAKOUT)
 
 
 def breakout_trace(bars: DataFrame, entry_conf: int = 3, exit_conf: int = 3, stop: float = 0.1, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
     """A row for each trade of one combination."""
 
     def make(rows: pd.DataFrame) -> list[tuple]:
-        high, low, close, num = (rows[c].to_numpy(float) for c in ("high", "low", "close", "num_close"))
-        over, under = streak_events(close, [x for kind in ("resistance", "support") for x in trendlines_of(high, low, kind, **lines)], (entry_conf, exit_conf))
+        num, over, under = rows["num_close"].to_numpy(float), _flags(rows, "over", 1), _flags(rows, "under", 1)
         ts, pair = rows["ts"].to_numpy(), rows["pair"].iloc[0]
-        return [(pair, entry_conf, exit_conf, float(stop), ts[a], ts[b], p, q, r, why) for a, b, p, q, r, why in breakout_trades(num, over[:, 0], under[:, 1], stop, cost, slip)[1]]
+        return [(pair, entry_conf, exit_conf, float(stop), ts[a], ts[b], p, q, r, why) for a, b, p, q, r, why in breakout_trades(num, over[:, 0], under[:, 0], stop, cost, slip)[1]]
 
-    return _breakout_pairs(bars, make, BREAKOUT_TRADES)
+    return _breakout_pairs(bars, (entry_conf,), (exit_conf,), make, BREAKOUT_TRADES, **lines)
 
 
 CHOSEN = ("entry_thresh", "exit_thresh", "stop_pct")
