@@ -302,25 +302,6 @@ CONFIRMATIONS = (3, 4, 5, 6, 7)
 BREAK_STOPS = (0.0, 0.1, 0.15, 0.2)
 
 
-def streak_events(close: np.ndarray, lines: list[tuple], confirmations: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """(over, under): for each bar and confirmation, whether some live resistance has just been closed over,
-    or support under, that many bars in a row. A line (kind, start, end, slope, intercept, ...) is live after its end."""
-    n, want = len(close), np.array(confirmations)
-    out = []
-    for kind, sign in (("resistance", 1.0), ("support", -1.0)):
-        mine = sorted((x for x in lines if x[0] == kind), key=lambda x: x[2])
-        ends, slope, level = (np.array([x[i] for x in mine], dtype=float) for i in (2, 3, 4))
-        streak, hit = np.zeros(len(mine), dtype=np.int64), np.zeros((n, len(want)), dtype=bool)
-        for t in range(n):
-            live = int(np.searchsorted(ends, t, side="left"))  # lines that ended before this bar
-            if live:
-                beyond = sign * (close[t] - (slope[:live] * t + level[:live])) > 0
-                streak[:live] = np.where(beyond, streak[:live] + 1, 0)
-                hit[t] = np.isin(want, streak[:live])
-        out.append(hit)
-    return out[0], out[1]
-
-
 def streaks(close: np.ndarray, kind: str, ends: np.ndarray, slope: np.ndarray, level: np.ndarray, confirmations: tuple[int, ...]) -> np.ndarray:
     """For each bar and confirmation, whether some of the lines has just been closed beyond (over resistance, under
     support) that many bars in a row. A line is live after its end."""
@@ -422,13 +403,6 @@ BREAKOUT = "pair string, entry_conf int, exit_conf int, stop_pct double, is_shar
 BREAKOUT_TRADES = "pair string, entry_conf int, exit_conf int, stop_pct double, entry_ts date, exit_ts date, entry_price double, exit_price double, pnl double, exit_reason string"
 
 
-def _pair_rows(bars: DataFrame, make, schema: str) -> DataFrame:
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(make(rows.sort_values("ts")), columns=[c.split()[0] for c in schema.split(", ")])
-
-    return bars.select("pair", "ts", "high", "low", "close", "num_close").groupBy("pair").applyInPandas(one, schema)
-
-
 def _breakout_pairs(bars: DataFrame, over: tuple, under: tuple, make, schema: str, **lines) -> DataFrame:
     def one(rows: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame(make(rows.sort_values("ts")), columns=[c.split()[0] for c in schema.split(", ")])
@@ -448,14 +422,10 @@ def grid_breakout(bars: DataFrame, entry_confs: tuple[int, ...] = CONFIRMATIONS,
     """
 
     def make(rows: pd.DataFrame) -> list[tuple]:
-        high, low, close, num = (rows[c].to_numpy(float) for c in ("high", "low", "close", "num_close"))
-        found = [x for kind in ("resistance", "support") for x in trendlines_of(high, low, kind, **lines)]
-        confs = tuple(sorted({*entry_confs, *exit_confs}))
-        over, under = streak_events(close, found, confs)
-        cut, pair, out = int(len(close) * is_ratio), rows["pair"].iloc[0], []
-        for e in entry_confs:
-            for x in exit_confs:
-                go, leave = over[:, confs.index(e)], under[:, confs.index(x)]
+        num, over, under = rows["num_close"].to_numpy(float), _flags(rows, "over", len(entry_confs)), _flags(rows, "under", len(exit_confs))
+        found, cut, pair, out = int(rows["n_lines"].sum()), int(len(rows) * is_ratio), rows["pair"].iloc[0], []
+        for go, e in zip(over.T, entry_confs):
+            for leave, x in zip(under.T, exit_confs):
                 for stop in stops:
                     r, trades = breakout_trades(num[:cut], go[:cut], leave[:cut], stop, cost, slip)
                     sr, n = S.sharpe(r), len(trades)
@@ -463,12 +433,12 @@ def grid_breakout(bars: DataFrame, entry_confs: tuple[int, ...] = CONFIRMATIONS,
                     q, later = breakout_trades(num[cut:], go[cut:], leave[cut:], stop, cost, slip)
                     hits = float(np.mean([t[4] > 0 for t in later])) if later else 0.0
                     why = "no lines" if not found else "too few trades" if n < least_trades else "in-sample Sharpe" if sr < least_is else "too few trades out of sample" if len(later) < least_trades else "out-of-sample Sharpe" if S.sharpe(q) < least_oos else None
-                    out.append([pair, e, x, float(stop), sr, pen, n, S.sharpe(q), S.cagr(q), S.deepest(q), len(later), hits, len(found), False, why is None, why])
+                    out.append([pair, e, x, float(stop), sr, pen, n, S.sharpe(q), S.cagr(q), S.deepest(q), len(later), hits, found, False, why is None, why])
         if out:
             out[int(np.argmax([o[5] if o[6] >= least_trades else -np.inf for o in out]))][13] = True
         return [tuple(o) for o in out if full or o[13]]
 
-    return _pair_rows(bars, make, BREAKOUT)
+    return _breakout_pairs(bars, tuple(entry_confs), tuple(exit_confs), make, BREAKOUT, **lines)
 
 
 def breakout_trace(bars: DataFrame, entry_conf: int = 3, exit_conf: int = 3, stop: float = 0.1, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
@@ -486,29 +456,38 @@ CHOSEN = ("entry_thresh", "exit_thresh", "stop_pct")
 
 
 class _Chosen:
-    """A pair's bars with the combination an optimiser chose for it, in the columns ``CHOSEN``."""
+    """A pair's bars with the combination an optimiser chose for it, in the columns ``CHOSEN``, and its flags."""
 
-    def __init__(self, rows: pd.DataFrame, cost: float, slip: float, lines: dict):
+    def __init__(self, rows: pd.DataFrame, cost: float, slip: float):
         rows = rows.sort_values("ts")
-        high, low, self.close, self.num = (rows[c].to_numpy(float) for c in ("high", "low", "close", "num_close"))
-        self.found = [x for kind in ("resistance", "support") for x in trendlines_of(high, low, kind, **lines)]
+        self.num = rows["num_close"].to_numpy(float)
+        self.over, self.under = (_flags(rows, c, len(NEAR)) for c in ("over", "under"))
         self.entry, self.exit, self.stop = (float(rows[c].iloc[0]) for c in CHOSEN)
         self.pair, self.cost, self.slip = rows["pair"].iloc[0], cost, slip
 
-    def returns(self, cut: int = 0, entry: float | None = None, exit_: float | None = None, stop: float | None = None) -> np.ndarray:
-        confs = tuple(max(1, int(a if b is None else b)) for a, b in ((self.entry, entry), (self.exit, exit_)))
-        over, under = streak_events(self.close, self.found, confs)
-        return breakout_trades(self.num[cut:], over[cut:, 0], under[cut:, 1], self.stop if stop is None else stop, self.cost, self.slip)[0]
+    def returns(self, cut: int = 0, entry: int = 0, exit_: int = 0, stop: float | None = None) -> np.ndarray:
+        """With the chosen confirmations, or those so many bars (of ``NEAR``) away from them."""
+        over, under = self.over[cut:, NEAR.index(entry)], self.under[cut:, NEAR.index(exit_)]
+        return breakout_trades(self.num[cut:], over, under, self.stop if stop is None else stop, self.cost, self.slip)[0]
+
+
+#: Bars from a chosen confirmation that its pair is walked with.
+NEAR = (0, -1, 1)
+
+
+def _chosen_events(bars: DataFrame, chosen: DataFrame, **lines) -> DataFrame:
+    near = lambda c: tuple(F.greatest(F.lit(1), (F.col(c) + k).cast("int")) for k in NEAR)
+    return line_events(bars.join(chosen.select("pair", *CHOSEN), "pair"), near("entry_thresh"), near("exit_thresh"), **lines)
 
 
 def breakout_returns(bars: DataFrame, chosen: DataFrame, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
     """(pair, seq, ret): each pair walked with its own row of ``chosen`` (pair, entry_thresh, exit_thresh, stop_pct)."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        p = _Chosen(rows, cost, slip, lines)
+        p = _Chosen(rows, cost, slip)
         return pd.DataFrame({"pair": p.pair, "seq": np.arange(1, len(rows) + 1), "ret": p.returns()})
 
-    return bars.join(chosen.select("pair", *CHOSEN), "pair").groupBy("pair").applyInPandas(one, "pair string, seq long, ret double")
+    return _chosen_events(bars, chosen, **lines).groupBy("pair").applyInPandas(one, "pair string, seq long, ret double")
 
 
 def breakout_sensitivity(bars: DataFrame, chosen: DataFrame, schema: str, is_ratio: float = 0.7, shift: float = 0.2, most: float = 0.5, least: float = 0.0, cost: float = 0.001, slip: float = 0.0005, **lines) -> DataFrame:
@@ -516,11 +495,11 @@ def breakout_sensitivity(bars: DataFrame, chosen: DataFrame, schema: str, is_rat
     higher, against the chosen combination. Columns as ``schema`` names them."""
 
     def one(rows: pd.DataFrame) -> pd.DataFrame:
-        p = _Chosen(rows, cost, slip, lines)
+        p = _Chosen(rows, cost, slip)
         cut = int(len(rows) * is_ratio)
         whole = p.returns(cut)
         base = S.sharpe(whole)
-        variants = [{"entry": p.entry + s} for s in (-1, 1) if p.entry + s >= 1] + [{"exit_": p.exit + s} for s in (-1, 1) if p.exit + s >= 1]
+        variants = [{"entry": s} for s in (-1, 1) if p.entry + s >= 1] + [{"exit_": s} for s in (-1, 1) if p.exit + s >= 1]
         variants += [{"stop": p.stop * (1 + s * shift)} for s in (-1, 1) if p.stop > 0]
         tried = [S.sharpe(p.returns(cut, **v)) for v in variants]
         mean = float(np.mean(tried))
@@ -532,7 +511,7 @@ def breakout_sensitivity(bars: DataFrame, chosen: DataFrame, schema: str, is_rat
         }
         return pd.DataFrame([row])[[c.split()[0] for c in schema.split(", ")]]
 
-    return bars.join(chosen.select("pair", *CHOSEN), "pair").groupBy("pair").applyInPandas(one, schema)
+    return _chosen_events(bars, chosen, **lines).groupBy("pair").applyInPandas(one, schema)
 
 
 def _classified(tops: np.ndarray, bottoms: np.ndarray, x: np.ndarray, n: int = 1) -> dict[int, str]:
